@@ -128,7 +128,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"),
         F.to_date("o_orderdate").alias("date"),
-        F.col("o_orderdate").cast("timestamp").alias("asof"),
+        F.col("o_orderdate").cast("timestamp").alias("seen_at"),
         F.col("o_orderpriority").alias("sector"),
         F.col("o_orderstatus").alias("industry"),
         F.col("o_totalprice").alias("market_cap"),

@@ -158,7 +158,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              WHEN p1='pass' AND (p2='pass')::INT+(p3='pass')::INT+(p4='pass')::INT+(p5='pass')::INT>=2
              THEN 'watch' ELSE 'none' END AS tier FROM statuses"""),
     "reference": ((), """SELECT 'C'||o_custkey AS ticker, o_orderdate::DATE AS date,
-        o_orderdate AS asof, o_orderpriority AS sector, o_orderstatus AS industry,
+        o_orderdate AS seen_at, o_orderpriority AS sector, o_orderstatus AS industry,
         o_totalprice AS market_cap, o_orderkey FROM orders"""),
     "news": (("ticks",), """SELECT event_id::VARCHAR AS news_id,
         [uticker, 'U'||((user_id*7)%150)] AS symbols, 'headline '||event_id AS headline,

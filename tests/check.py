@@ -70,7 +70,7 @@ def main() -> int:
     from tapeloom.session import build_session
 
     spark = build_session("check", "local[8]", 8, {
-        "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
         "spark.sql.ui.explainMode": "formatted"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
