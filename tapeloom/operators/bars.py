@@ -185,3 +185,10 @@ def regular_closes(bars: DataFrame) -> DataFrame:
     return daily.withColumn(
         "prev_close", F.lag("close").over(W.partitionBy("ticker").orderBy("date"))
     )
+
+
+def reference_times(days: DataFrame, walls: tuple[str, ...], now: Column | None = None) -> DataFrame:
+    """One row per ticker-day and reference time that is not in the future."""
+    moments = F.array(*[tg.et_instant(F.col("date"), wall) for wall in walls])
+    grid = days.withColumn("reference_ts", F.explode(moments))
+    return grid if now is None else grid.where(F.col("reference_ts") <= now)
