@@ -226,3 +226,45 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_rows(
         df, ["ticker", "poll_ts"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
     )
+
+
+def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with users as tickers: many names, few trades a day."""
+    t = ticks(spark, sf_dir).drop("ticker").withColumnRenamed("uticker", "ticker")
+    return bar_ops.build_bars(t, BAR_MINUTES)
+
+
+def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last close per user and day, with the one before it."""
+    days = user_bars(spark, sf_dir).groupBy("ticker", "date").agg(
+        F.max_by("close", "minute").alias("close"))
+    return days.withColumn(
+        "prev_close", F.lag("close").over(W.partitionBy("ticker").orderBy("date")))
+
+
+def day_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored evaluations moved onto users and January days; some users get none."""
+    start = F.lit("2024-01-01").cast("date")
+    moved = evals(spark, sf_dir).withColumns({
+        "ticker": F.concat(F.lit("U"), (F.col("l_partkey") % 120).cast("string")),
+        "date": F.date_add(start, (F.col("l_orderkey") % 30).cast("int")),
+    })
+    noon = tg.plus_minutes(F.col("date").cast("timestamp"), 720 + F.col("l_linenumber"))
+    return score(moved.withColumn("poll_ts", noon), PillarThresholds())
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls with the two figures the nightly jobs summarise."""
+    return polls(spark, sf_dir).withColumns({
+        "gap_pct": F.col("change_pct"),
+        "rvol": F.col("volume") / (F.col("average_volume_10d") * 0.05),
+    })
+
+
+def known_listings(spark: SparkSession, sf_dir: str, cutoff: str) -> DataFrame:
+    """Parts shipped before ``cutoff``, as listings."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(cutoff).cast("date"))
+    return li.groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker")).agg(
+        F.to_date(F.min("l_shipdate")).alias("first_seen"),
+        F.to_date(F.max("l_shipdate")).alias("last_seen"),
+    ).withColumns({"status": F.lit("active"), "ticker_canonical_id": F.lit(None).cast("string")})

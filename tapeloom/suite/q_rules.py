@@ -18,7 +18,7 @@ from tapeloom.operators import collect, push, whatif
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators.scan import percentile_ranks, top_rows
 from tapeloom.sources import adapters as src
-from tapeloom.suite.registry import pct, query, r, t, with_
+from tapeloom.suite.registry import half_even, pct, query, r, t, with_
 
 TH = PillarThresholds()
 EVAL_ORDER = ["poll_ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
@@ -378,14 +378,10 @@ def alert_id(spark, d):
     return rows.groupBy(key.alias("alert_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _half_even(expr, digits):
-    return f"printf('%.{digits}f', round_even({expr}, {digits}))"
-
-
 @query("h14_push_text", with_("scored", f"""SELECT {EVAL_KEY}, {t('poll_ts','poll_ts')},
     '['||tier||'] '||ticker||' '||printf('%+.0f', round_even(gap_pct,0))||'% | RVOL '||
-    {_half_even('rvol',0)}||'x | '||coalesce('Float '||{_half_even('float_shares/1000000',1)}||'M','Float ?')
-    ||' | $'||{_half_even('price',2)}||' — '||CASE WHEN p3='pass' THEN 'fresh '||brand ELSE
+    {half_even('rvol',0)}||'x | '||coalesce('Float '||{half_even('float_shares/1000000',1)}||'M','Float ?')
+    ||' | $'||{half_even('price',2)}||' — '||CASE WHEN p3='pass' THEN 'fresh '||brand ELSE
     'no fresh catalyst' END AS line FROM scored WHERE tier IN ('A','B')"""))
 def push_text(spark, d):
     rows = src.scored(spark, d).where(F.col("tier").isin("A", "B"))
@@ -396,8 +392,8 @@ def push_text(spark, d):
 
 
 @query("h15_number_format", f"""SELECT o_orderkey, CASE WHEN x IS NULL THEN '—'
-    WHEN abs(x)>=1000000 THEN {_half_even('x/1000000',1)}||'M' WHEN abs(x)>=1000 THEN
-    {_half_even('x/1000',1)}||'k' ELSE {_half_even('x',2)} END AS number,
+    WHEN abs(x)>=1000000 THEN {half_even('x/1000000',1)}||'M' WHEN abs(x)>=1000 THEN
+    {half_even('x/1000',1)}||'k' ELSE {half_even('x',2)} END AS number,
     CASE WHEN x IS NULL THEN '—' ELSE printf('%+.1f', round_even(x/10000,1))||'%' END AS percent
     FROM (SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice*37
       WHEN 2 THEN -o_totalprice/1000 END AS x FROM orders)""")

@@ -83,6 +83,11 @@ def pct(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) > 1e-9 THEN (({a})/({b}) - 1.0::DOUBLE)*100.0::DOUBLE END)"
 
 
+def half_even(expr: str, digits: int) -> str:
+    """Fixed decimals with ties to even, as text."""
+    return f"printf('%.{digits}f', round_even({expr}, {digits}))"
+
+
 SESSION = lambda ts: (
     f"CASE WHEN {sod(ts)} >= 14400 AND {sod(ts)} < 34200 THEN 'pre' "
     f"WHEN {sod(ts)} >= 34200 AND {sod(ts)} < 57600 THEN 'regular' "
@@ -185,6 +190,25 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "health": (("ticks",), """SELECT event_id, ts, ts::DATE AS day,
         CASE ticker WHEN 'error' THEN 'down' ELSE 'up' END AS state
         FROM ticks WHERE ticker IN ('error','signup')"""),
+    "ubars": (("ticks",), """SELECT uticker AS ticker, date, time_bucket(INTERVAL 15 MINUTE, ts) AS minute,
+        arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+        arg_max(price, ts) AS close, sum(volume) AS volume FROM ticks GROUP BY ALL"""),
+    "udaily": (("ubars",), """SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker
+        ORDER BY date) AS prev_close FROM (SELECT ticker, date, arg_max(close, minute) AS close
+        FROM ubars GROUP BY ALL)"""),
+    "day_evals": (("scored",), """SELECT * EXCLUDE (ticker, date, poll_ts),
+        'U'||(l_partkey%120) AS ticker, DATE '2024-01-01' + (l_orderkey%30)::INT AS date,
+        (DATE '2024-01-01' + (l_orderkey%30)::INT)::TIMESTAMP + to_minutes(720+l_linenumber) AS poll_ts,
+        CASE tier WHEN 'A' THEN 3 WHEN 'B' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS k FROM scored"""),
+    "umoves": (("ubars", "udaily"), f"""SELECT a.*, y.prev_close, {pct('day_high','prev_close')} AS up,
+        {pct('day_low','prev_close')} AS down FROM (SELECT ticker, date, max(high) AS day_high,
+          min(low) AS day_low, arg_max(close, minute) AS last_price, max(run) AS runup,
+          sum(close*volume) AS dollars FROM (SELECT *, {pct('high','lo')} AS run FROM (SELECT *,
+            min(low) OVER (PARTITION BY ticker, date ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING
+            AND CURRENT ROW) AS lo FROM ubars)) GROUP BY ticker, date) a
+        JOIN udaily y ON y.ticker=a.ticker AND y.date=a.date"""),
+    "snaps": (("polls",), """SELECT *, change_pct AS gap_pct,
+        volume/(average_volume_10d*0.05::DOUBLE) AS rvol FROM polls"""),
     "calendar": (("ticks",), """SELECT date, row_number() OVER (ORDER BY date) AS ord
         FROM (SELECT DISTINCT date FROM ticks WHERE dayofweek(date) NOT IN (0, 6))"""),
 }
