@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.config import Window
+from tapeloom.config import DISPLAY_TZ, MARKET_TZ, Window
 from tapeloom.functions import timegrid as tg
 
 
@@ -67,18 +67,33 @@ def previous_days(days: DataFrame, count: int) -> DataFrame:
     return steps.join(days, "ord").select("day", F.col("date").alias("previous_day"))
 
 
-def windows_of(days: DataFrame, windows: Iterable[Window]) -> DataFrame:
-    """One row per day and window, with its UTC start."""
-    walls = F.array(*[F.lit(start) for start, _end in windows])
-    seconds = F.split("wall", ":")
-    return days.select(F.col("date").alias("day"), F.explode(walls).alias("wall")).withColumn(
-        "starts_at",
-        tg.et_instant_at(
-            F.col("day"),
-            seconds[0].cast("long") * 3600 + seconds[1].cast("long") * 60,
-        ),
-    )
-
+def windows_of(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
+    """One row per trading day and window with its UTC bounds.
 
-def next_windows(days: DataFrame, windows: Iterable[Window], as_of: Column, n: int) -> DataFrame:
-    return windows_of(days, windows).where(F.col("starts_at") > as_of).orderBy("starts_at").limit(n)
+    ``hours`` comes from :func:`with_hours`; a half day loses the windows that
+    start at or after its close.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(start).alias("wall"), tg.et_instant(F.col("date"), start).alias("starts_at"),
+                 tg.et_instant(F.col("date"), end).alias("ends_at"))
+        for start, end in windows
+    ])
+    rows = hours.select("date", "early_close", "close_utc", F.inline(cells))
+    closed = F.col("early_close") & (F.col("starts_at") >= F.col("close_utc"))
+    return rows.where(~closed).select(F.col("date").alias("day"), "wall", "starts_at", "ends_at")
+
+
+def next_windows(hours: DataFrame, windows: Iterable[Window], as_of: Column, n: int,
+                 horizon_days: int = 14) -> DataFrame:
+    """The next ``n`` windows that start after ``as_of``, within the horizon."""
+    today = tg.et_date(as_of)
+    near = hours.where(F.col("date").between(today, F.date_add(today, horizon_days)))
+    return windows_of(near, windows).where(F.col("starts_at") > as_of).orderBy("starts_at").limit(n)
+
+
+def window_text(start: Column, end: Column, display_tz: str = DISPLAY_TZ) -> Column:
+    """A window in market time and in a second zone, on one line."""
+    return F.concat(
+        tg.wall_text(start, MARKET_TZ, "EEE dd MMM HH:mm"), F.lit("-"),
+        tg.wall_text(end, MARKET_TZ), F.lit(" ET ("),
+        tg.wall_text(start, display_tz), F.lit(f" {display_tz})"))

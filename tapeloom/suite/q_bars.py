@@ -225,15 +225,31 @@ def previous_trading_days(spark, d):
     return cal.previous_days(src.calendar(spark, d), 10)
 
 
-@query("h20_next_windows", with_("calendar", f"""SELECT {t('day','day')}, wall,
-    {t("timezone('UTC', timezone('America/New_York', day + wall::TIME))",'starts_at')}
-    FROM (SELECT date AS day, unnest(['08:00','08:30','09:00','16:00','16:30']) AS wall FROM calendar)
-    WHERE timezone('UTC', timezone('America/New_York', day + wall::TIME)) >
-          TIMESTAMP '2024-01-10 13:10:00' ORDER BY starts_at LIMIT 7"""))
+_WINDOWS = ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in ALERT_WINDOWS)
+_OPEN = f"""SELECT day, w.a AS wall, timezone('UTC', timezone('America/New_York', day + w.a::TIME)) AS starts_at,
+    timezone('UTC', timezone('America/New_York', day + w.b::TIME)) AS ends_at FROM (
+      SELECT date AS day, unnest([{_WINDOWS}]) AS w FROM calendar)
+    WHERE NOT (dayofweek(day)=5 AND w.a >= '13:00')"""
+
+
+@query("h20_next_windows", with_("calendar", f"""SELECT {t('day','day')}, wall, {t('starts_at','starts_at')},
+    {t('ends_at','ends_at')} FROM opened WHERE starts_at > TIMESTAMP '2024-01-11 21:10:00'
+    AND day <= DATE '2024-01-25' ORDER BY opened.starts_at LIMIT 9""", opened=_OPEN))
 def next_windows(spark, d):
-    """The next seven alert windows after an instant."""
-    at = F.lit("2024-01-10 13:10:00").cast("timestamp")
-    return cal.next_windows(src.calendar(spark, d), ALERT_WINDOWS, at, 7)
+    """The next nine alert windows; Fridays are half days here."""
+    at = F.lit("2024-01-11 21:10:00").cast("timestamp")
+    hours = cal.with_hours(src.calendar(spark, d), early_close=F.dayofweek("date") == 6)
+    return cal.next_windows(hours, ALERT_WINDOWS, at, 9)
+
+
+@query("h23_window_text", with_("calendar", f"""SELECT {t('starts_at','starts_at')},
+    strftime({et('starts_at')}, '%a %d %b %H:%M')||'-'||strftime({et('ends_at')}, '%H:%M')||' ET ('||
+    strftime(timezone('Europe/Paris', timezone('UTC', starts_at)), '%H:%M')||' Europe/Paris)' AS line
+    FROM opened""", opened=_OPEN))
+def window_text(spark, d):
+    hours = cal.with_hours(src.calendar(spark, d), early_close=F.dayofweek("date") == 6)
+    return cal.windows_of(hours, ALERT_WINDOWS).select(
+        "starts_at", cal.window_text(F.col("starts_at"), F.col("ends_at")).alias("line"))
 
 
 @query("i2_window_scope", with_("ticks", f"""SELECT w AS window_wall, {t('date','date')}, count(*) AS n,
