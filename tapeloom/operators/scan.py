@@ -44,13 +44,19 @@ def running(
     order: Sequence[str],
     values: Mapping[str, tuple[str, Column]],
     include_current: bool = True,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running aggregates along ``order`` within ``keys``.
 
     ``chunk`` must never decrease along ``order``. ``values`` maps an output
     name to ``(how, column)`` with how one of sum, min, max, last (``last``
     skips NULLs). With ``include_current=False`` a row sees only earlier rows,
-    so ``last`` of a never-NULL struct is ``lag``.
+    so ``last`` of a never-NULL struct is ``lag``. ``totals`` maps an output
+    name to one of ``values`` whose whole-key aggregate it should hold; it
+    comes from the chunk table, at no extra pass.
+
+    ``df`` is read twice (rows, and the few columns behind the chunk table), so
+    write an expensive one down first.
     """
     part = [*keys, CHUNK]
     rows = df.withColumn(CHUNK, chunk)
@@ -67,18 +73,24 @@ def running(
         "*", *[_OVER[how](col).over(inside).alias(f"_in_{name}")
                for name, (how, col) in values.items()]
     )
-    totals = rows.groupBy(*part).agg(
+    chunks = rows.groupBy(*part).agg(
         *[total(how, col).alias(f"_all_{name}") for name, (how, col) in values.items()]
     )
-    carried = totals.select(
-        *part, *[_OVER[how](F.col(f"_all_{name}")).over(earlier).alias(f"_before_{name}")
-                 for name, (how, _col) in values.items()]
+    whole = W.partitionBy(*keys)
+    sums = {out: (values[name][0], F.col(f"_all_{name}"))
+            for out, name in (totals or {}).items()}
+    carried = chunks.select(
+        *part,
+        *[_OVER[how](F.col(f"_all_{name}")).over(earlier).alias(f"_before_{name}")
+          for name, (how, _col) in values.items()],
+        *[_OVER[how](col).over(whole).alias(out) for out, (how, col) in sums.items()],
     )
     joined = local.join(carried, part, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_merge(how, F.col(f"_in_{name}"), F.col(f"_before_{name}")).alias(name)
           for name, (how, _col) in values.items()],
+        *[F.col(out) for out in sums],
     )
 
 
@@ -148,21 +160,21 @@ def percentile_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str
     Ranks are worked out on distinct values with their counts, so a group's
     size never lands on one task. ``columns`` maps value column to rank name.
     """
+    out = df
     for value, name in columns.items():
         counts = value_counts(df, by, value)
         below = running(
             counts, by, value_band(F.col(value)), [value],
-            {"_below": ("sum", F.col("_n"))}, include_current=False,
+            {"_below": ("sum", F.col("_n"))}, include_current=False, totals={"_size": "_below"},
         )
-        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
         shared = F.coalesce(F.col("_below"), F.lit(0)) + (F.col("_n") - 1) / 2.0
-        ranks = below.join(sizes, list(by)).select(
+        ranks = below.select(
             *by, value,
             F.when(F.col("_size") == 1, F.lit(1.0))
             .otherwise(shared / (F.col("_size") - 1)).alias(name),
         )
-        df = df.join(ranks, [*by, value], "left")
-    return df
+        out = out.join(ranks, [*by, value], "left")
+    return out
 
 
 def quantiles(
@@ -183,11 +195,10 @@ def quantiles(
         if not 0 < p <= 1:
             raise ValueError(f"fraction must be in (0, 1], got {p}")
     counts = value_counts(df, by, value)
-    upto = running(
-        counts, by, value_band(F.col(value)), [value], {"_upto": ("sum", F.col("_n"))}
+    placed = running(
+        counts, by, value_band(F.col(value)), [value], {"_upto": ("sum", F.col("_n"))},
+        totals={"_size": "_upto"},
     )
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    placed = upto.join(sizes, list(by))
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("_upto") >= position, F.col(value)))

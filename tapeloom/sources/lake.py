@@ -63,9 +63,15 @@ def stamp(df: DataFrame, source: str) -> DataFrame:
     return df
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
+def _write(df: DataFrame, path: str, mode: str, laid_out: bool = False) -> None:
+    """Date-partitioned write.
+
+    Rows are rebalanced by date first, so a day lands in few well-sized files
+    and a heavy day is split over several tasks. ``laid_out`` rows already are.
+    """
+    rows = df if laid_out else df.hint("rebalance", "date")
     (
-        df.write.mode(mode).partitionBy("date")
+        rows.write.mode(mode).partitionBy("date")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
@@ -158,7 +164,8 @@ def compact(spark: SparkSession, root: str, table: str,
     spread = rows.join(plan.select("date", "files_after"), "date").withColumn(
         "_file", F.pmod(F.xxhash64(*key), F.col("files_after")))
     columns = [f.name for f in contracts.schema(table)]
-    _write(spread.repartition(int(total), "date", "_file").select(*columns), staging, "overwrite")
+    laid_out = spread.repartition(int(total), "date", "_file").select(*columns)
+    _write(laid_out, staging, "overwrite", laid_out=True)
     staged = spark.read.schema(contracts.schema(table)).parquet(staging).select(*columns)
 
     def counted(df: DataFrame, name: str) -> DataFrame:
@@ -169,7 +176,10 @@ def compact(spark: SparkSession, root: str, table: str,
     lost = check.where(~F.col("rows").eqNullSafe(F.col("staged"))).limit(1).collect()
     if lost:
         raise contracts.SchemaDrift(f"{table}: compaction would change {lost[0]}")
-    _write(staged, table_path(root, table), "overwrite")
+    again = staged.join(plan.select("date", "files_after"), "date").withColumn(
+        "_file", F.pmod(F.xxhash64(*key), F.col("files_after")))
+    laid_out = again.repartition(int(total), "date", "_file").select(*columns)
+    _write(laid_out, table_path(root, table), "overwrite", laid_out=True)
     return plan.join(before, "date").select("date", "files_before", "files_after", "rows")
 
 
