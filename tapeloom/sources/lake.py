@@ -6,9 +6,10 @@ on shared storage works the same as a local one.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom import contracts
@@ -40,6 +41,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def _swap(spark: SparkSession, fresh: str, current: str) -> None:
+    """Move a staged day into place; the old one is removed last."""
+    fs, target = _fs(spark, current)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    aside = path(f"{fresh}-replaced")
+    if not fs.rename(target, aside):
+        raise OSError(f"cannot set {current} aside")
+    if not fs.rename(path(fresh), target):
+        fs.rename(aside, target)
+        raise OSError(f"cannot move {fresh} into place")
+    fs.delete(aside, True)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The whole table; one that was never written reads as empty."""
     path, schema = table_path(root, table), contracts.schema(table)
@@ -83,30 +97,29 @@ def append(df: DataFrame, root: str, table: str, source: str) -> None:
     _write(contracts.conform(stamp(df, source), table), table_path(root, table), "append")
 
 
-def replace_days(df: DataFrame, root: str, table: str, source: str) -> DataFrame:
+def replace_days(df: DataFrame, root: str, table: str, source: str) -> None:
     """Re-running a day replaces it: days present in ``df`` are swapped whole.
 
-    The new rows are staged in full first, so they may come from the very
-    partitions they replace. Returns the staged rows.
+    The dynamic overwrite stages the new rows and swaps at commit, so ``df``
+    may read the very partitions it replaces, and a failed job changes nothing.
     """
-    spark = df.sparkSession
-    staging = scratch_path(spark, f"stage-{table}")
-    _write(contracts.conform(stamp(df, source), table), staging, "overwrite")
-    staged = spark.read.schema(contracts.schema(table)).parquet(staging)
-    _write(staged, table_path(root, table), "overwrite")
-    return staged
+    _write(contracts.conform(stamp(df, source), table), table_path(root, table), "overwrite")
 
 
 def rewrite_days(df: DataFrame, root: str, table: str, days: DataFrame, source: str) -> None:
     """Like :func:`replace_days` for a table that may lose rows; a day of
-    ``days`` with nothing left is removed."""
+    ``days`` with nothing left is removed.
+
+    The days written are observed during the write, so ``df`` runs once.
+    """
     contracts.refuse_protected(table)
     spark = df.sparkSession
-    wanted = written_once(days.select("date").distinct(), f"days-{table}")
-    staged = replace_days(df, root, table, source)
-    gone = wanted.join(staged.select("date").distinct(), "date", "left_anti")
-    for row in gone.toLocalIterator():
-        _delete(spark, f"{table_path(root, table)}/date={row['date']}")
+    wanted = {row["date"] for row in days.select("date").distinct().toLocalIterator()}
+    seen = Observation()
+    observed = df.observe(seen, F.collect_set("date").alias("days"))
+    replace_days(observed, root, table, source)
+    for day in sorted(wanted - set(seen.get["days"])):
+        _delete(spark, f"{table_path(root, table)}/date={day}")
 
 
 def files(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -158,7 +171,9 @@ def compact(spark: SparkSession, root: str, table: str,
     plan = written_once(plan, f"plan-{table}")
     total = plan.agg(F.coalesce(F.sum("files_after"), F.lit(0))).first()[0]
     if not total:
-        return plan.select("date", "files_before", "files_after", F.lit(0).alias("rows"))
+        return plan.select("date", "files_before", "files_after", F.lit(0).cast("long").alias("rows"))
+    target = table_path(root, table)
+    staging = f"{root.rstrip('/')}/_staging/{table}-{uuid.uuid4().hex}"
     rows = read_table(spark, root, table)
     key = [c for c, _k, required in contracts.declared(table) if required and c != "date"]
     spread = rows.join(plan.select("date", "files_after"), "date").withColumn(
@@ -166,21 +181,20 @@ def compact(spark: SparkSession, root: str, table: str,
     columns = [f.name for f in contracts.schema(table)]
     laid_out = spread.repartition(int(total), "date", "_file").select(*columns)
     _write(laid_out, staging, "overwrite", laid_out=True)
-    staged = spark.read.schema(contracts.schema(table)).parquet(staging).select(*columns)
+    staged = spark.read.schema(contracts.schema(table)).parquet(staging)
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("date").agg(F.count(F.lit(1)).alias(name))
 
     before = counted(rows.join(plan.select("date"), "date", "left_semi"), "rows")
     check = before.join(counted(staged, "staged"), "date", "full_outer")
+    check = written_once(check, f"check-{table}")
     lost = check.where(~F.col("rows").eqNullSafe(F.col("staged"))).limit(1).collect()
     if lost:
         raise contracts.SchemaDrift(f"{table}: compaction would change {lost[0]}")
-    again = staged.join(plan.select("date", "files_after"), "date").withColumn(
-        "_file", F.pmod(F.xxhash64(*key), F.col("files_after")))
-    laid_out = again.repartition(int(total), "date", "_file").select(*columns)
-    _write(laid_out, table_path(root, table), "overwrite", laid_out=True)
-    return plan.join(before, "date").select("date", "files_before", "files_after", "rows")
+    for row in plan.select("date").toLocalIterator():
+        _swap(spark, f"{staging}/date={row['date']}", f"{target}/date={row['date']}")
+    return plan.join(check, "date").select("date", "files_before", "files_after", "rows")
 
 
 def drop_days(spark: SparkSession, root: str, table: str, cutoff: Column) -> DataFrame:
