@@ -11,17 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from tapeloom import contracts
 from tapeloom.sources import lake
 
-STATE_PROVIDER = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
 FLUSH_INTERVAL = "5 minutes"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State on disk, as ``transformWithState`` requires."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-
-
 def read_files(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None,
                fmt: str = "parquet") -> DataFrame:
     """A folder of landed files as a stream, oldest file first."""

@@ -1,139 +1,129 @@
-"""Keyed state of the live system as stateful processors.
+"""Keyed state of the live system.
 
 Keys are a ticker in a window or on a day, so the rows of a key in one
-micro-batch number at most the polls of that window or day.
+micro-batch number at most the polls of that window or day. State travels with
+the Arrow batches and expires once the watermark is a given time past the last
+row of its key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from tapeloom.streaming.sources import use_rocksdb
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR_MS = 3_600_000
+Step = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
-class FirstSeen(StatefulProcessor):
-    """First price and volume of a ticker in a window, carried to every row."""
+def _expiring(step: Step, at: str, ttl_ms: int) -> Step:
+    """Forget a key ``ttl_ms`` of event time after its last row."""
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
+    def run(key, rows, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest = state.getCurrentWatermarkMs()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState(
-            "first", "price double, volume double, opened_at timestamp", self.ttl_ms)
+        def watched():
+            nonlocal latest
+            for batch in rows:
+                if len(batch):
+                    latest = max(latest, batch[at].max().value // 1_000_000)
+                yield batch
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) \
-            -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("poll_ts")
-        if self.first.exists():
-            price, volume, opened = self.first.get()
-        else:
-            head = batch.iloc[0]
-            price, volume, opened = head["price"], head["volume"], head["poll_ts"]
-            self.first.update((_plain(price), _plain(volume), opened.to_pydatetime()))
-        yield batch.assign(open_price=price, open_volume=volume, opened_at=opened)[
-            ["ticker", "window_start", "poll_ts", "price", "volume", "open_price", "open_volume",
-             "opened_at"]]
+        yield from step(key, watched(), state)
+        state.setTimeoutTimestamp(latest + ttl_ms)
+
+    return run
+
+
+def _number(value) -> float | None:
+    return None if pd.isna(value) else float(value)
 
-    def close(self) -> None:
-        pass
 
+def first_seen(polls: DataFrame, ttl_ms: int = 24 * HOUR_MS,
+               lateness: str = "10 minutes") -> DataFrame:
+    """``(ticker, window_start, poll_ts, price, volume)`` with the window's baseline."""
+    columns = ["ticker", "window_start", "poll_ts", "price", "volume", "open_price", "open_volume",
+               "opened_at"]
+
+    def step(_key, rows, state):
+        batch = pd.concat(list(rows)).sort_values("poll_ts")
+        if not state.exists:
+            head = batch.iloc[0]
+            state.update((_number(head["price"]), _number(head["volume"]),
+                          head["poll_ts"].value // 1000))
+        price, volume, opened = state.get
+        yield batch.assign(
+            open_price=price, open_volume=volume, opened_at=pd.Timestamp(opened, unit="us"))[columns]
+
+    on_time = polls.withWatermark("poll_ts", lateness)
+    return on_time.groupBy("ticker", "window_start").applyInPandasWithState(
+        _expiring(step, "poll_ts", ttl_ms),
+        "ticker string, window_start timestamp, poll_ts timestamp, price double, volume double, "
+        "open_price double, open_volume double, opened_at timestamp",
+        "price double, volume double, opened_us bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
-class ChangeOnly(StatefulProcessor):
-    """Rows whose compared fields differ from the last ones observed."""
 
-    def __init__(self, fields: Sequence[str], order: Sequence[str], columns: Sequence[str],
-                 ttl_ms: int) -> None:
-        self.fields, self.order = list(fields), list(order)
-        self.columns, self.ttl_ms = list(columns), ttl_ms
+def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
+                order: Sequence[str], ttl_ms: int = 48 * HOUR_MS,
+                lateness: str = "10 minutes") -> DataFrame:
+    """Emit a row when it is the first of its key or its fields changed.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seen array<string>", self.ttl_ms)
+    ``order`` starts with the event time.
+    NULL equals NULL; what is compared is the last observed row, not the last
+    emitted one.
+    """
+    fields, order, columns = list(fields), list(order), list(observed.columns)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) \
-            -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        previous = list(self.last.get()[0]) if self.last.exists() else None
+    def step(_key, rows, state):
+        batch = pd.concat(list(rows)).sort_values(order)
+        previous = list(state.get[0]) if state.exists else None
         keep = []
-        for values in batch[self.fields].itertuples(index=False):
+        for values in batch[fields].itertuples(index=False):
             current = [None if pd.isna(v) else str(v) for v in values]
             keep.append(current != previous)
             previous = current
-        self.last.update((previous,))
-        yield batch[keep][self.columns]
+        state.update((previous,))
+        yield batch[keep][columns]
 
-    def close(self) -> None:
-        pass
+    return observed.withWatermark(order[0], lateness).groupBy(*keys).applyInPandasWithState(
+        _expiring(step, order[0], ttl_ms), observed.schema, "seen array<string>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
-class PushCandidates(StatefulProcessor):
+def push_candidates(rows: DataFrame, order: Sequence[str], ttl_ms: int = 24 * HOUR_MS,
+                    lateness: str = "10 minutes") -> DataFrame:
     """The only two rows of a ticker a window can push.
 
-    Keeps the highest level seen; emits the first pushable row and, after a B,
-    the first A. One pass over the rows holding two of them, no buffering.
+    ``level`` is 3 for A, 2 for B, 0 otherwise. The state is the highest level
+    emitted: the first pushable row and, after a B, the first A. One pass over
+    the rows, holding two of them. ``order`` starts with the event time.
     """
+    order, columns = list(order), list(rows.columns)
 
-    def __init__(self, order: Sequence[str], columns: Sequence[str], ttl_ms: int) -> None:
-        self.order, self.columns, self.ttl_ms = list(order), list(columns), ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "level int", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) \
-            -> Iterator[pd.DataFrame]:
-        seen = self.level.get()[0] if self.level.exists() else 0
+    def step(_key, batches, state):
+        seen = state.get[0] if state.exists else 0
         best: dict[int, tuple] = {}
-        for batch in rows:
+        for batch in batches:
             for level in (2, 3):
                 part = batch[batch["level"] == level]
                 if len(part):
-                    row = part.sort_values(self.order).iloc[0]
-                    place = tuple(row[c] for c in self.order)
+                    row = part.sort_values(order).iloc[[0]]
+                    place = tuple(row[order].itertuples(index=False, name=None))[0]
                     if level not in best or place < best[level][0]:
                         best[level] = (place, row)
-        out = []
         for level in sorted(best, key=lambda k: best[k][0]):
             if level > seen:
-                out.append(best[level][1])
                 seen = level
-        if out:
-            self.level.update((seen,))
-            yield pd.DataFrame(out)[self.columns]
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(value):
-    return None if pd.isna(value) else float(value)
+                yield best[level][1][columns]
+        state.update((seen,))
 
-
-def first_seen(polls: DataFrame, ttl_ms: int = 24 * HOUR_MS) -> DataFrame:
-    """``(ticker, window_start, poll_ts, price, volume)`` with the window's baseline."""
-    use_rocksdb(polls.sparkSession)
-    return polls.groupBy("ticker", "window_start").transformWithStateInPandas(
-        FirstSeen(ttl_ms),
-        "ticker string, window_start timestamp, poll_ts timestamp, price double, volume double, "
-        "open_price double, open_volume double, opened_at timestamp",
-        "Append", "ProcessingTime")
-
-
-def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
-                order: Sequence[str], ttl_ms: int = 48 * HOUR_MS) -> DataFrame:
-    """Emit a row when it is the first of its key or its fields changed."""
-    use_rocksdb(observed.sparkSession)
-    return observed.groupBy(*keys).transformWithStateInPandas(
-        ChangeOnly(fields, order, observed.columns, ttl_ms), observed.schema, "Append",
-        "ProcessingTime")
-
-
-def push_candidates(rows: DataFrame, order: Sequence[str], ttl_ms: int = 24 * HOUR_MS) -> DataFrame:
-    """Rows that could be pushed; ``level`` is 3 for A, 2 for B, 0 otherwise."""
-    use_rocksdb(rows.sparkSession)
-    return rows.where("level > 0").groupBy("window_start", "ticker").transformWithStateInPandas(
-        PushCandidates(order, rows.columns, ttl_ms), rows.schema, "Append", "ProcessingTime")
+    on_time = rows.where("level > 0").withWatermark(order[0], lateness)
+    return on_time.groupBy("window_start", "ticker").applyInPandasWithState(
+        _expiring(step, order[0], ttl_ms), rows.schema, "level int", "append",
+        GroupStateTimeout.EventTimeTimeout)

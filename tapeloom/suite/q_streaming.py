@@ -130,6 +130,7 @@ def window_baseline_state(spark, d):
 
 
 ORDER_CUTS = ("1997-01-01", "1999-01-01")
+YEARS_MS = 20 * 366 * 24 * 3_600_000
 
 
 @query("i6_change_only_state", with_("reference", f"""SELECT ticker, {t('seen_at','seen_at')}, o_orderkey, sector, industry
@@ -139,7 +140,7 @@ def change_only_state(spark, d):
     ref = src.reference(spark, d).select("ticker", "seen_at", "o_orderkey", "sector", "industry")
     stream = replay(ref, "seen_at", "reference", ORDER_CUTS)
     return drained(state.change_only(stream, ["ticker"], ["sector", "industry"],
-                                     ["seen_at", "o_orderkey"]), "changes")
+                                     ["seen_at", "o_orderkey"], ttl_ms=YEARS_MS), "changes")
 
 
 @query("i7_push_budget_state", with_("scored", f"""SELECT {t('window_start','window_start')}, brand AS ticker,
