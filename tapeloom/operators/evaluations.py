@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.config import OutcomeRules, PillarThresholds
 from tapeloom.functions import rules, text
-from tapeloom.operators.scan import latest_rows, top_rows
+from tapeloom.operators.scan import top_rows
 
 
 def best_tier(evaluations: DataFrame, by: Sequence[str] = ("ticker", "date")) -> DataFrame:
@@ -24,11 +24,17 @@ def best_tier(evaluations: DataFrame, by: Sequence[str] = ("ticker", "date")) ->
 
 def evaluation_summary(evaluations: DataFrame, th: PillarThresholds,
                        order: Sequence[str]) -> DataFrame:
-    """Latest verdicts per ticker-day as an array, with the best tier."""
+    """Latest verdicts per ticker-day as an array, with the best tier: one aggregate."""
     fields = ["gap_pct", "rvol", "news_age", "price", "float_shares",
-              *[f"p{i}" for i in range(1, 6)], *order]
-    latest = latest_rows(evaluations.select("ticker", "date", *dict.fromkeys(fields)),
-                         ["ticker", "date"], order)
+              *[f"p{i}" for i in range(1, 6)]]
+    rank = F.col("_rank")
+    latest = evaluations.withColumn("_rank", rules.tier_rank(F.col("tier"))).groupBy(
+        "ticker", "date").agg(
+        F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"),
+        F.max(rank).alias("_best"),
+        F.min_by("poll_ts", F.struct(-rank, F.col("poll_ts"))).alias("best_tier_ts"),
+    ).select("ticker", "date", "_row.*", rules.tier_name(F.col("_best")).alias("best_tier"),
+             "best_tier_ts")
     values = {1: "gap_pct", 2: "rvol", 3: "news_age", 4: "price", 5: "float_shares"}
     limits = {1: th.gap_pct_min, 2: th.rvol_min, 3: th.news_fresh_minutes, 4: th.price_max,
               5: th.float_shares_max}
@@ -40,8 +46,8 @@ def evaluation_summary(evaluations: DataFrame, th: PillarThresholds,
         ) for n in range(1, 6)
     ])
     return latest.select(
-        "ticker", "date", pillars.alias("pillars"), "float_shares", F.lit(True).alias("evaluated")
-    ).join(best_tier(evaluations), ["ticker", "date"])
+        "ticker", "date", pillars.alias("pillars"), "float_shares",
+        F.lit(True).alias("evaluated"), "best_tier", "best_tier_ts")
 
 
 def bar_scope(evaluations: DataFrame, rule_set: OutcomeRules) -> DataFrame:

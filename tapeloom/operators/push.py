@@ -3,7 +3,8 @@
 Only two rows of a ticker can ever be pushed in a window (its first pushable
 row, and its first A row after a B), so those two are found by a map-side
 combined aggregate and the budget by a limited ranking. No window of the data
-is ever walked row by row.
+is ever walked row by row, and rows of a tier that never pushes, the bulk, are
+passed through without a shuffle.
 """
 
 from __future__ import annotations
@@ -38,13 +39,11 @@ def decide_pushes(
         F.col(ticker).alias("ticker"),
         *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)],
     )
-    level = (
-        F.when(F.col(tier) == "A", 3)
-        .when((F.col(tier) == "B") & F.lit(rules.tier_b_enabled), 2)
-        .otherwise(0)
-    )
-    rows = df.withColumns({"_place": place, "_level": level})
-    firsts = rows.where(F.col("_level") > 0).groupBy(window, ticker).agg(
+    levels = {"A": 3, "B": 2} if rules.tier_b_enabled else {"A": 3}
+    is_loud = F.col(tier).isin(*levels)
+    level = F.when(F.col(tier) == "A", 3).otherwise(2)
+    loud = df.where(is_loud).withColumns({"_level": level, "_place": place})
+    firsts = loud.groupBy(window, ticker).agg(
         F.min_by("_level", "_place").alias("first_level"),
         F.min("_place").alias("first_place"),
         F.min(F.when(F.col("_level") == 3, F.col("_place"))).alias("a_place"),
@@ -64,24 +63,24 @@ def decide_pushes(
         F.min(F.when(F.col("level") == 2, F.col("place"))).alias("_sent_b"),
         F.min(F.when(F.col("level") == 3, F.col("place"))).alias("_sent_a"),
     )
-    seen = rows.join(history, [window, ticker], "left")
+    seen = loud.join(history, [window, ticker], "left")
     place, level = F.col("_place"), F.col("_level")
     earlier = F.when(F.col("_sent_a") < place, "A").when(F.col("_sent_b") < place, "B")
     earlier_level = F.when(earlier == "A", 3).when(earlier == "B", 2)
     no = F.lit(False)
     pushed = F.coalesce(place == F.col("_sent_a"), no) | F.coalesce(place == F.col("_sent_b"), no)
     reason = (
-        F.when(~F.col(tier).isin("A", "B"),
-               F.concat(F.lit("tier "), F.col(tier), F.lit(" is UI-only")))
-        .when(level == 0, "tier B pushes disabled in settings")
-        .when(earlier_level >= level,
-              F.concat(F.lit("already pushed "), F.col(ticker), F.lit(" at tier "), earlier,
-                       F.lit(" in this window")))
+        F.when(earlier_level >= level,
+               F.concat(F.lit("already pushed "), F.col(ticker), F.lit(" at tier "), earlier,
+                        F.lit(" in this window")))
         .when(pushed & earlier.isNotNull(),
               F.concat(F.lit("upgrade "), earlier, F.lit(" -> "), F.col(tier)))
         .when(pushed, F.concat(F.lit("first "), F.col(tier), F.lit(" alert for "), F.col(ticker)))
         .otherwise(f"window push budget of {rules.max_pushes} exhausted; UI only")
     )
-    return seen.withColumns({"pushed": pushed, "push_reason": reason}).select(
-        *df.columns, "pushed", "push_reason"
-    )
+    decided = seen.select(*df.columns, pushed.alias("pushed"), reason.alias("push_reason"))
+    quiet = df.where(~is_loud).select(
+        *df.columns, no.alias("pushed"),
+        F.when(F.col(tier) == "B", "tier B pushes disabled in settings").otherwise(
+            F.concat(F.lit("tier "), F.col(tier), F.lit(" is UI-only"))).alias("push_reason"))
+    return decided.unionByName(quiet)

@@ -222,12 +222,8 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
 
 
 def latest_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the largest ``order`` per group, combined before the shuffle."""
-    rest = [c for c in df.columns if c not in by]
-    picked = df.groupBy(*by).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*by, "_row.*")
+    """The row with the largest ``order`` per group; one per task and group travels."""
+    return top_rows(df, by, [F.desc(c) for c in order], 1, "_place").drop("_place")
 
 
 def intervals_overlap(

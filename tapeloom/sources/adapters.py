@@ -11,7 +11,7 @@ from tapeloom.functions import rules
 from tapeloom.functions import timegrid as tg
 from tapeloom.operators import bars as bar_ops
 from tapeloom.operators.scan import latest_rows
-from tapeloom.session import prepare
+from tapeloom.session import prepare, written_once
 
 BAR_MINUTES = 15
 
@@ -106,6 +106,11 @@ def scored(spark: SparkSession, sf_dir: str, th: PillarThresholds | None = None)
     return score(evals(spark, sf_dir), th or PillarThresholds())
 
 
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored`` as a stored table, the way the nightly jobs find it."""
+    return written_once(scored(spark, sf_dir), "evaluations")
+
+
 def score(df: DataFrame, th: PillarThresholds) -> DataFrame:
     c = F.col
     out = df.withColumns({

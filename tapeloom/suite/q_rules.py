@@ -258,7 +258,7 @@ PUSH_CTE = f"""SELECT *, CASE WHEN tier NOT IN ('A','B') THEN 'tier '||tier||' i
 
 
 def pushed_evals(spark, d):
-    rows = src.scored(spark, d).withColumn("ticker", F.col("brand"))
+    rows = src.evaluations(spark, d).withColumn("ticker", F.col("brand"))
     return push.decide_pushes(rows, PushRules(max_pushes=3), score="l_quantity",
                               ties=["l_orderkey", "l_linenumber", "l_partkey"])
 
