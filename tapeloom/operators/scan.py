@@ -214,6 +214,17 @@ def quantiles(
     return placed.groupBy(*by).agg(*aggs)
 
 
+def places(df: DataFrame, by: Sequence[str], score: Column, ties: Sequence[str],
+           name: str = "place") -> DataFrame:
+    """Position of every row in its group, largest ``score`` first.
+
+    The whole group is numbered, not a top of it, band by band of the score.
+    """
+    ranked = df.withColumn("_neg", -score)
+    return running(ranked, by, value_band(F.col("_neg")), ["_neg", *ties],
+                   {name: ("sum", F.lit(1))}).drop("_neg")
+
+
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
              rank: str = "rank") -> DataFrame:
     """First ``n`` rows per group; Spark limits every task before the shuffle."""

@@ -51,7 +51,7 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only where that setting is absent (local tests) is a temporary folder made.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not _local_scratch:

@@ -16,7 +16,7 @@ from tapeloom.functions import metrics as m
 from tapeloom.functions import rules, text
 from tapeloom.operators import collect, push, whatif
 from tapeloom.operators import evaluations as ev
-from tapeloom.operators.scan import percentile_ranks, top_rows
+from tapeloom.operators.scan import percentile_ranks, places
 from tapeloom.sources import adapters as src
 from tapeloom.suite.registry import half_even, pct, query, r, t, with_
 
@@ -291,30 +291,27 @@ def alert_history(spark, d):
         F.count(F.lit(1)).alias("alerts"), F.count_if("pushed").alias("pushed"))
 
 
-@query("f3_push_order", with_("scored", f"""SELECT {t('window_start','window_start')}, brand AS ticker,
-    {r('score','score')}, rk AS place FROM (SELECT *, row_number() OVER (PARTITION BY window_start
-      ORDER BY coalesce(score,-1) DESC, brand, {PUSH_TIES}) AS rk FROM (SELECT *,
-        CASE WHEN confidence<>'low' THEN l_quantity END AS score FROM scored)) WHERE rk <= 10"""))
+@query("f3_push_order", with_("scored", f"""SELECT {EVAL_KEY}, {t('window_start','window_start')}, {r('score','score')},
+    row_number() OVER (PARTITION BY window_start ORDER BY coalesce(score,-1) DESC, brand, {PUSH_TIES}) AS place
+    FROM (SELECT *, CASE WHEN confidence<>'low' THEN l_quantity END AS score FROM scored)"""))
 def push_order(spark, d):
-    """The ten strongest rows of every window; a NULL score ranks last."""
-    rows = src.scored(spark, d).withColumn(
+    """The order every row of a window competes in; a NULL score ranks last."""
+    rows = src.evals(spark, d).withColumn(
         "score", F.when(F.col("confidence") != "low", F.col("l_quantity")))
-    order = [F.desc(F.coalesce("score", F.lit(-1.0))), "brand", "l_orderkey", "l_linenumber",
-             "l_partkey"]
-    return top_rows(rows, ["window_start"], order, 10, "place").select(
-        "window_start", F.col("brand").alias("ticker"), "score", "place")
+    return places(rows, ["window_start"], F.coalesce("score", F.lit(-1.0)),
+                  ["brand", "l_orderkey", "l_linenumber", "l_partkey"]).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "window_start", "score", "place")
 
 
-@query("f7_alerts_newest_first", with_("scored", f"""SELECT alert_id, {t('last','last_poll_ts')}, place FROM (
-    SELECT *, row_number() OVER (PARTITION BY date ORDER BY last DESC, alert_id) AS place FROM (
-      SELECT strftime(date,'%Y-%m-%d')||'-'||strftime(window_start,'%H%M')||'-'||brand||'-'||tier AS alert_id,
-      date, max(poll_ts) AS last FROM decided WHERE tier IN ('A','B') GROUP BY ALL)) WHERE place <= 20""",
-      decided=PUSH_CTE))
+@query("f7_alerts_newest_first", with_("scored", f"""SELECT {t('date','date')}, alert_id, {t('last','last_poll_ts')}
+    FROM (SELECT strftime(date,'%Y-%m-%d')||'-'||strftime(window_start,'%H%M')||'-'||brand||'-'||tier AS alert_id,
+      date, max(poll_ts) AS last FROM decided WHERE tier IN ('A','B') GROUP BY ALL) x
+    ORDER BY x.date, x.last DESC, alert_id""", decided=PUSH_CTE))
 def alerts_newest_first(spark, d):
-    """Twenty newest alerts of every day."""
+    """Alerts of every day, newest first."""
     kept = ev.alert_history(pushed_evals(spark, d), ["poll_ts", "l_orderkey"])
-    return top_rows(kept, ["date"], [F.desc("poll_ts"), F.asc("alert_id")], 20, "place").select(
-        "alert_id", F.col("poll_ts").alias("last_poll_ts"), "place")
+    return kept.orderBy("date", F.desc("poll_ts"), "alert_id").select(
+        "date", "alert_id", F.col("poll_ts").alias("last_poll_ts"))
 
 
 # --- scalar metrics --------------------------------------------------------

@@ -10,6 +10,7 @@ from tapeloom.operators import calendar as cal
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators import news as news_ops
 from tapeloom.operators import runners as ops
+from tapeloom.operators.scan import places
 from tapeloom.sources import adapters as src
 from tapeloom.suite.q_rules import EVAL_ORDER
 from tapeloom.suite.registry import et, et_instant, half_even, mins, pct, query, r, sod, t, with_
@@ -220,12 +221,9 @@ def daily_digest(spark, d):
     **PARTS))
 def runners_by_high(spark, d):
     """Runners of a day, biggest first; an unknown high counts as zero."""
-    from pyspark.sql import Window as W
     high = F.coalesce("high_of_day_pct", F.lit(0.0))
-    # one row per runner of a day
-    order = W.partitionBy("date").orderBy(F.desc("high"), "ticker")
-    return runner_table(spark, d).select("date", "ticker", high.alias("high")).withColumn(
-        "place", F.row_number().over(order))
+    rows = runner_table(spark, d).select("date", "ticker", high.alias("high"))
+    return places(rows, ["date"], F.col("high"), ["ticker"])
 
 
 # --- watch-list ------------------------------------------------------------
