@@ -15,9 +15,6 @@ at a position, the arc table says which of them may follow the state there. As
 no position can be entered in two states, a position without a way to the end is
 left for good, so the run is linear. Decoding emits the labels of the arcs.
 
-Words repeat, so a task remembers the ids of words, in two tables of bounded
-size: when the newer is full it replaces the older, and words in use move over.
-
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; equal rows get equal results; null ids are kept; an empty table gives no
 rows; further columns are ignored. The special token's string becomes its id.
@@ -27,36 +24,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tapeloom.llm.base import chunks, query, table, texts
+from tapeloom.llm.presplit import WordEncoder, split_pieces
 
 #: The tokenizer file of the query.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words in each of a task's two tables.
-REMEMBERED = 300_000
-#: Longer words are encoded but not remembered.
-LONGEST_REMEMBERED = 40
-
-# White space of the pre-splitting pattern, and the pattern.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
-           rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-
-_split = regex.compile(PATTERN).findall
-#: A space between two characters that are not white always begins a word.
-_gap = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
-#: A space that is not such.
-_uneven = re.compile(rf"(?<![^{WHITE}]) | (?![^{WHITE}])").search
-
-
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in vocabulary files: printable ones for themselves, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,10 +44,11 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class MergeAutomaton:
+class MergeAutomaton(WordEncoder):
     """See the module's text. Ids of byte states and of merged states come from the vocabulary."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
+        super().__init__(special)
         letters = byte_letters()
         self.label: dict[int, bytes] = {}
         for text, b in letters.items():
@@ -81,14 +61,9 @@ class MergeAutomaton:
         self.cut: dict[tuple[int, int], int] = {}
         for k, (u, v) in enumerate(merges):
             self._merge(k, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.special = special
         for text, i in special.items():
             self.label[i] = text.encode()
         self._arcs: dict[int, bool] = {}
-        self._special_split = regex.compile(
-            "(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self._newer: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
         #: marks that no letter can join
         self._stops = frozenset(",.;:!?|$%#*&()-/")
         self.tree: dict = {}
@@ -196,7 +171,7 @@ class MergeAutomaton:
                 break
         return path
 
-    def _encode_word(self, word: str) -> bytes:
+    def encode_word(self, word: str) -> bytes:
         ids: list[int] = []
         body = word[1:]
         if word[:1] == " " and body.isalpha():
@@ -204,38 +179,10 @@ class MergeAutomaton:
         elif word[:1] == " " and body[-1:] in self._stops and body[:-1].isalpha():
             ids = self.encode_piece(word[:-1].encode()) + self.encode_piece(body[-1].encode())
         else:
-            for piece in _split(word):
+            for piece in split_pieces(word):
                 ids += self.encode_piece(piece.encode())
         return array("i", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of `` word`` (with its space), remembered."""
-        out = self._older.get(word) or self._encode_word(" " + word)
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self._newer) >= REMEMBERED:
-                self._older, self._newer = self._newer, {}
-            self._newer[word] = out
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        parts = [text]
-        if self._special_split is not None and any(s in text for s in self.special):
-            parts = self._special_split.split(text)
-        out: list[bytes] = []
-        for part in parts:
-            if part in self.special:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
-            elif part:
-                self._encode_plain(part, out)
-        return np.frombuffer(b"".join(out), np.int32)
-
-    def _encode_plain(self, text: str, out: list[bytes]) -> None:
-        words = _gap.split(text) if _uneven(text) else text.split(" ")
-        out.append(self._encode_word(words[0]))
-        for word in words[1:]:
-            out.append(self._newer.get(word) or self._word(word))
-
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs, one after another; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.label.__getitem__, ids.tolist())).decode("utf-8", "replace")

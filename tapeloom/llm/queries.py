@@ -1,6 +1,6 @@
 """Every query of this subpackage."""
 
-from tapeloom.llm import bpe, credentials, licences, sharding  # noqa: F401
+from tapeloom.llm import bpe, credentials, licences, quality, sharding, token_files  # noqa: F401
 from tapeloom.llm.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
