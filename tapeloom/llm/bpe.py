@@ -32,18 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tapeloom.llm.base import chunks, query, table, texts
-from tapeloom.llm.presplit import WordEncoder, split_pieces
+from tapeloom.llm.presplit import WordEncoder, byte_letters
 
 #: The tokenizer file of the query.
 VOCABULARY = "byte_bpe_50k.json"
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in vocabulary files: printable ones for themselves, others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain}
-    rest = [b for b in range(256) if b not in set(plain)]
-    return letters | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class MergeAutomaton(WordEncoder):
     """See the module's text. Ids of byte states and of merged states come from the vocabulary."""
 
@@ -64,8 +56,6 @@ class MergeAutomaton(WordEncoder):
         for text, i in special.items():
             self.label[i] = text.encode()
         self._arcs: dict[int, bool] = {}
-        #: marks that no letter can join
-        self._stops = frozenset(",.;:!?|$%#*&()-/")
         self.tree: dict = {}
         for i, label in sorted(self.label.items()):
             if i not in special.values() and self._is_reached(i):
@@ -129,7 +119,10 @@ class MergeAutomaton(WordEncoder):
                 self._resolve(u, v, self.born[w]) and self._is_reached(u) and self._is_reached(v))
         return known
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: str) -> bytes:
+        return array("i", self.spell(piece.encode())).tobytes()
+
+    def spell(self, piece: bytes) -> list[int]:
         """Ids of one pre-split word: the only path of arcs whose labels spell it."""
         size, arcs, tree = len(piece), self._arcs, self.tree
         left: set[int] = set()  # positions without a way to the end
@@ -171,18 +164,6 @@ class MergeAutomaton(WordEncoder):
                 break
         return path
 
-    def encode_word(self, word: str) -> bytes:
-        ids: list[int] = []
-        body = word[1:]
-        if word[:1] == " " and body.isalpha():
-            ids = self.encode_piece(word.encode())
-        elif word[:1] == " " and body[-1:] in self._stops and body[:-1].isalpha():
-            ids = self.encode_piece(word[:-1].encode()) + self.encode_piece(body[-1].encode())
-        else:
-            for piece in split_pieces(word):
-                ids += self.encode_piece(piece.encode())
-        return array("i", ids).tobytes()
-
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs, one after another; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.label.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -210,9 +191,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]):
         machine = automaton(path)
         for batch in chunks(batches):
-            ids = [machine.encode(t) for t in batch.column("text").to_pylist()]
-            offsets = np.append(0, np.cumsum([len(i) for i in ids]))
-            values = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32())
+            ids = machine.encode_all(batch.column("text").to_pylist())
+            offsets = np.append(0, np.cumsum([len(i) // 4 for i in ids]))
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
                 names=["doc_id", "ids"])
@@ -241,8 +222,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         machine = automaton(path)
         for batch in chunks(batches):
             counts, ids_sha, text_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = machine.encode(text)
+            for ids in machine.encode_all(batch.column("text").to_pylist()):
+                ids = np.frombuffer(ids, "<i4")
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
