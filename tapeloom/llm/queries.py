@@ -1,6 +1,6 @@
 """Every query of this subpackage."""
 
-from tapeloom.llm import bpe, credentials, decontaminate, jaccard, licences, quality, sharding, token_files, topk  # noqa: F401
+from tapeloom.llm import bpe, credentials, decontaminate, jaccard, licences, personal, quality, sharding, token_files, topk  # noqa: F401
 from tapeloom.llm.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
