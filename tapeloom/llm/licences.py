@@ -184,9 +184,8 @@ def alignments(text: np.ndarray, index: Index) -> list[tuple[int, int]]:
     post = np.repeat(index.first[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
     template = index.post_template[post]
     place = np.repeat(hit, size) - index.post_place[post]
-    inside = place >= 0
-    pairs, n = np.unique(np.stack([template[inside], place[inside]]), axis=1, return_counts=True)
-    return [(int(t), int(p)) for t, p in pairs[:, n >= index.votes[pairs[0]]].T] if pairs.size else []
+    pairs, n = np.unique(np.stack([template, place]), axis=1, return_counts=True)
+    return [(int(t), int(p)) for t, p in pairs[:, n >= index.votes[pairs[0]]].T]
 
 
 def method_labels(text: np.ndarray, index: Index) -> tuple[set[str], float]:
@@ -195,8 +194,9 @@ def method_labels(text: np.ndarray, index: Index) -> tuple[set[str], float]:
     for k, place in alignments(text, index):
         sequence = index.sequences[k]
         there = np.zeros(len(sequence), bool)
-        part = text[place:place + len(sequence)]
-        there[:len(part)] = part == sequence[:len(part)]
+        # a notice may begin before the text does, or end behind it
+        low, high = max(0, place), min(len(text), place + len(sequence))
+        there[low - place:high - place] = text[low:high] == sequence[low - place:high - place]
         if there[index.mandatory[k]].all():
             labels.add(index.labels[k])
             best = max(best, float(index.weights[k][there].sum() / index.weights[k].sum()))

@@ -258,7 +258,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
              .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")))
     order = F.xxhash64("doc_id")
     rows = vectors.join(known, "doc_id").orderBy(order, "doc_id", "vector").limit(sample).toPandas()
-    x = np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), -1)
+    x = np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), 2 * WIDTH + 2)
     net = train(x, rows["label"].to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]):
