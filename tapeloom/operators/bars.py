@@ -8,6 +8,7 @@ bars by a map-side combined aggregate first. That bound holds for any key.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,9 +21,20 @@ from tapeloom.functions.metrics import EPSILON, pct_change
 DAY = ("ticker", "date")
 
 
+def trade_order(ts: Column, event_id: Column) -> Column:
+    """Time in microseconds and, behind it, the id (null: none), as a 38-digit number."""
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
+    return (micros * F.lit(Decimal(10**19)).cast("decimal(20,0)")).cast("decimal(38,0)") + F.coalesce(
+        event_id, F.lit(0)).cast("decimal(19,0)")
+
+
 def build_bars(ticks: DataFrame, minutes: int) -> DataFrame:
-    """OHLCV bars from trades ``(ticker, ts, event_id, price, volume)``."""
-    order = F.struct("ts", "event_id")
+    """OHLCV bars from trades ``(ticker, ts, event_id, price, volume)``.
+
+    Trades are ordered by time, then id, in one number of fixed width, so that
+    Spark folds them in a hash table and never sorts them.
+    """
+    order = trade_order(F.col("ts"), F.col("event_id"))
     return (
         ticks.groupBy(
             "ticker", tg.et_date(F.col("ts")).alias("date"),

@@ -83,12 +83,10 @@ def windows_of(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
     return rows.where(~closed).select(F.col("date").alias("day"), "wall", "starts_at", "ends_at")
 
 
-def next_windows(hours: DataFrame, windows: Iterable[Window], as_of: Column, n: int,
-                 horizon_days: int = 14) -> DataFrame:
-    """The next ``n`` windows that start after ``as_of``, within the horizon."""
-    today = tg.et_date(as_of)
-    near = hours.where(F.col("date").between(today, F.date_add(today, horizon_days)))
-    return windows_of(near, windows).where(F.col("starts_at") > as_of).orderBy("starts_at").limit(n)
+def next_windows(hours: DataFrame, windows: Iterable[Window], as_of: Column, n: int) -> DataFrame:
+    """The next ``n`` windows that start after ``as_of``: as many as the calendar has ahead."""
+    ahead = hours.where(F.col("date") >= tg.et_date(as_of))
+    return windows_of(ahead, windows).where(F.col("starts_at") > as_of).orderBy("starts_at").limit(n)
 
 
 def window_text(start: Column, end: Column, display_tz: str = DISPLAY_TZ) -> Column:

@@ -6,7 +6,9 @@ ticker and day, so one layout serves them all.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,9 @@ class EveningRules:
     surge_volume: float = float("inf")
 
 
-def lake_bars(spark: SparkSession, root: str) -> DataFrame:
-    """Bars as the operators name them."""
-    return lake.read_table(spark, root, "bars_1m").withColumnRenamed("minute_utc", "minute").select(
+def lake_bars(spark: SparkSession, root: str, days: Sequence[date]) -> DataFrame:
+    """The days' bars as the operators name them."""
+    return lake.read_days(spark, root, "bars_1m", days).withColumnRenamed("minute_utc", "minute").select(
         *DAY, "minute", "open", "high", "low", "close", "volume", "vwap", "trade_count")
 
 
@@ -69,29 +71,31 @@ def universe_rows(bars: DataFrame, halts: DataFrame, prev_closes: DataFrame, act
         "ticker_canonical_id": F.col("ticker"), "written_at_utc": now})
 
 
-def run_evening(spark: SparkSession, root: str, prev_closes: DataFrame, actions: DataFrame,
-                summaries: DataFrame, first_news: DataFrame, rule_set: EveningRules,
-                now: Column) -> None:
-    """Write ``daily_universe``, ``outcomes`` and ``runners`` from the lake's bars.
+def run_evening(spark: SparkSession, root: str, days: Sequence[date], prev_closes: DataFrame,
+                actions: DataFrame, summaries: DataFrame, first_news: DataFrame,
+                rule_set: EveningRules, now: Column) -> None:
+    """Write ``daily_universe``, ``outcomes`` and ``runners`` of the given days from the lake's bars.
 
-    ``summaries`` is ``evaluations.evaluation_summary``. Days are replaced, so
-    running twice changes nothing.
+    ``summaries`` is ``evaluations.evaluation_summary``. The days then hold
+    exactly what this run found, nothing if it found nothing; other days are
+    neither read nor touched.
     """
-    bars = lake_bars(spark, root)
+    bars = lake_bars(spark, root, days)
+    prev_closes = prev_closes.where(F.col("date").isin(list(days)))
     silent, minutes = rule_set.integrity.halt_min_silent_minutes, rule_set.bar_minutes
     halts = integrity.infer_halts(bars, silent, minutes)
     on_basis = integrity.action_on(prev_closes.select(*DAY, "prev_close"), actions).select(
         *DAY, integrity.adjusted_close(
             F.col("prev_close"), F.col("action_type"), F.col("ratio")).alias("prev_close"))
-    lake.replace_days(
-        universe_rows(bars, halts, on_basis, actions, rule_set, now), root, "daily_universe", "bars")
+    lake.set_days(
+        universe_rows(bars, halts, on_basis, actions, rule_set, now), root, "daily_universe", days, "bars")
     labels = outcomes.outcomes(
         integrity.with_gaps(bars, silent, minutes), rule_set.outcomes, rule_set.tradability,
         on_basis, now)
-    lake.replace_days(labels.withColumn("written_at_utc", now), root, "outcomes", "bars")
+    lake.set_days(labels.withColumn("written_at_utc", now), root, "outcomes", days, "bars")
     found = runners.diagnose(
         runners.detect(bars, on_basis, rule_set.runners), summaries, first_news, rule_set.runners)
-    lake.replace_days(runners.runner_rows(found, now), root, "runners", "bars")
+    lake.set_days(runners.runner_rows(found, now), root, "runners", days, "bars")
 
 
 def scope(evaluations: DataFrame, rule_set: OutcomeRules) -> tuple[DataFrame, DataFrame]:

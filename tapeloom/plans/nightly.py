@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +29,19 @@ class NightlyDone(NamedTuple):
     size_warning: DataFrame
 
 
-def prune_snapshots(spark: SparkSession, root: str, classified: DataFrame,
+def prune_snapshots(spark: SparkSession, root: str, days: Sequence[date], classified: DataFrame,
                     rules: RetentionRules, now: Column) -> DataFrame:
-    """Rewrite the snapshot days once, leaving a summary row per dropped ticker."""
-    snapshots = lake.read_table(spark, root, "snapshots")
-    done = rt.prune(snapshots, classified, rules)
+    """Rewrite the snapshots of the given days, leaving a summary row per dropped ticker.
+
+    Other days are neither read nor touched: their labels were set by their own
+    nights and cannot be recomputed from pruned rows.
+    """
+    snapshots = lake.read_days(spark, root, "snapshots", days)
+    done = rt.prune(snapshots, classified.where(F.col("date").isin(list(days))), rules)
     report = written_once(done.report, "prune-report")
     dropped = written_once(done.summary.withColumn("written_at_utc", now), "pruned-summary")
-    lake.replace_days(dropped, root, "pruned_summary", "nightly")
-    lake.rewrite_days(done.snapshots, root, "snapshots", snapshots.select("date"), "nightly")
+    lake.set_days(dropped, root, "pruned_summary", days, "nightly")
+    lake.rewrite_days(done.snapshots, root, "snapshots", days, "nightly")
     return report
 
 
@@ -45,8 +51,9 @@ def thin_old_bars(spark: SparkSession, root: str, today: Column, rules: Retentio
     bars = lake.read_table(spark, root, "bars_1m")
     due = (F.datediff(today, F.col("date")) > rules.bars_raw_days) & (
         F.col("resolution_minutes") == raw_minutes)
-    old_days = written_once(bars.where(due).select("date").distinct(), "thin-days")
-    old = bars.join(old_days, "date", "left_semi")
+    # one row a day: the days past the horizon that still hold raw bars
+    old_days = sorted(r["date"] for r in bars.where(due).select("date").distinct().toLocalIterator())
+    old = lake.read_days(spark, root, "bars_1m", old_days)
     before = written_once(old.groupBy("date").agg(F.count(F.lit(1)).alias("rows_before")), "thin")
     last = old.groupBy(
         "ticker", "date",
@@ -59,43 +66,51 @@ def thin_old_bars(spark: SparkSession, root: str, today: Column, rules: Retentio
         "volume", "trade_count", "vwap", "resolution_minutes", "_last.written_at_utc",
         "_last.source")
     lake.rewrite_days(rows, root, "bars_1m", old_days, "nightly")
-    after = lake.row_counts(spark, root, "bars_1m").withColumnRenamed("rows", "rows_after")
+    after = lake.row_counts(spark, root, "bars_1m").where(F.col("date").isin(old_days)).withColumnRenamed(
+        "rows", "rows_after")
     return before.join(after, "date").withColumn(
         "action", F.lit(f"thinned to {rules.bars_thinned_minutes}m"))
 
 
-def quality_rows(spark: SparkSession, root: str, prune_report: DataFrame,
+def quality_rows(spark: SparkSession, root: str, days: Sequence[date], prune_report: DataFrame,
                  outage_minutes: DataFrame | None = None) -> DataFrame:
-    """One row per table and day from what the lake holds now."""
-    evaluations = lake.read_table(spark, root, "evaluations").withColumnRenamed(
-        "float_confidence", "confidence")
-    suspects = lake.read_table(spark, root, "snapshots").groupBy("date").agg(
+    """One row per table and given day from what the lake holds now.
+
+    Halts come from the day's universe, which the evening job wrote.
+    """
+    def of(table: str) -> DataFrame:
+        return lake.read_days(spark, root, table, days)
+
+    evaluations = of("evaluations").withColumnRenamed("float_confidence", "confidence")
+    suspects = of("snapshots").groupBy("date").agg(
         F.count_if(F.coalesce("suspect_price", F.lit(False))).alias("suspect_price_rows"))
+    # three rows per ticker-day carry the same halts
+    halts = of("daily_universe").groupBy("ticker", "date").agg(F.max("halt_count").alias("halt_count"))
     return quality.union_rows(
         quality.evaluation_quality(evaluations),
-        quality.outcome_quality(lake.read_table(spark, root, "outcomes")),
-        quality.news_quality(lake.read_table(spark, root, "news"), outage_minutes),
+        quality.outcome_quality(of("outcomes"), halts),
+        quality.news_quality(of("news"), outage_minutes),
         quality.snapshot_quality(prune_report, suspects),
     )
 
 
-def run_nightly(spark: SparkSession, root: str, classified: DataFrame, rules: RetentionRules,
-                today: Column, now: Column, outage_minutes: DataFrame | None = None,
+def run_nightly(spark: SparkSession, root: str, days: Sequence[date], classified: DataFrame,
+                rules: RetentionRules, today: Column, now: Column, outage_minutes: DataFrame | None = None,
                 raw_minutes: int = 1) -> NightlyDone:
-    """All closing steps in order; ``classified`` comes from ``retention.classify``."""
-    report = prune_snapshots(spark, root, classified, rules, now)
+    """All closing steps for the given days; ``classified`` comes from ``retention.classify``."""
+    report = prune_snapshots(spark, root, days, classified, rules, now)
     compacted = None
     for table in COMPACTED:
         one = lake.compact(spark, root, table).withColumn("table_name", F.lit(table))
         compacted = one if compacted is None else compacted.unionByName(one)
     thinned = thin_old_bars(spark, root, today, rules, raw_minutes)
     dropped = lake.drop_days(spark, root, "snapshots", rt.snapshot_cutoff(today, rules))
-    rows = written_once(quality_rows(spark, root, report, outage_minutes), "quality")
+    rows = written_once(quality_rows(spark, root, days, report, outage_minutes), "quality")
     ints = [c for c in quality.COUNTERS if c != "missing_field_count"]
-    lake.replace_days(
+    lake.set_days(
         rows.withColumns({c: F.col(c).cast("int") for c in [*ints, "polls_expected",
                                                            "polls_completed"]})
-        .withColumn("written_at_utc", now), root, "data_quality", "nightly")
+        .withColumn("written_at_utc", now), root, "data_quality", days, "nightly")
     sizes = lake.coverage(spark, root)
     return NightlyDone(report, compacted, thinned, dropped, rows, quality.warnings(rows),
                        lake.size_warning(sizes, rules))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +24,8 @@ RUNTIME_CONF = {
 }
 
 _local_scratch: list[str] = []
+#: Paths made since the innermost open :func:`scratch_scope`.
+_scopes: list[list[str]] = []
 
 
 def build_session(
@@ -49,19 +55,44 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) is a temporary folder made.
+    Only a local master may go without: it gets a temporary folder, removed when
+    Python ends. Elsewhere each executor would write to a disk of its own, so a
+    missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="tapeloom-"))
+        atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
     return _local_scratch[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique path under the scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is written to scratch inside, once the block ends.
+
+    For jobs that have used up their intermediate tables by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

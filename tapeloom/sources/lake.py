@@ -7,17 +7,21 @@ on shared storage works the same as a local one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom import contracts
 from tapeloom.config import ROW_CAP, RetentionRules
 from tapeloom.operators.research import holdout_cutoff
-from tapeloom.session import scratch_path, written_once
+from tapeloom.session import written_once
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+#: Ends the name of a day that a swap has set aside.
+_ASIDE = "-replaced"
 
 
 def table_path(root: str, table: str) -> str:
@@ -41,11 +45,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def _names(spark: SparkSession, path: str) -> set[str]:
+    """Names of the files in a folder, none if it does not exist."""
+    fs, target = _fs(spark, path)
+    return {f.getPath().getName() for f in fs.listStatus(target)} if fs.exists(target) else set()
+
+
 def _swap(spark: SparkSession, fresh: str, current: str) -> None:
-    """Move a staged day into place; the old one is removed last."""
+    """Move a staged day into place; the old one is removed last.
+
+    A driver lost between the renames leaves the old day set aside; see
+    :func:`recover`.
+    """
     fs, target = _fs(spark, current)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    aside = path(f"{fresh}-replaced")
+    aside = path(f"{fresh}{_ASIDE}")
     if not fs.rename(target, aside):
         raise OSError(f"cannot set {current} aside")
     if not fs.rename(path(fresh), target):
@@ -54,6 +68,34 @@ def _swap(spark: SparkSession, fresh: str, current: str) -> None:
     fs.delete(aside, True)
 
 
+def recover(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Finish what a lost job left half done; returns the days put back.
+
+    A day set aside whose place is empty returns to it, then the job's staging
+    folder goes. One job at a time may rewrite a table.
+    """
+    staging = f"{root.rstrip('/')}/_staging"
+    if not exists(spark, staging):
+        return []
+    fs, folder = _fs(spark, staging)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    back = []
+    for job in fs.listStatus(folder):
+        if not job.getPath().getName().startswith(f"{table}-"):
+            continue
+        for entry in fs.listStatus(job.getPath()):
+            name = entry.getPath().getName()
+            if not name.endswith(_ASIDE):
+                continue
+            day = name[:-len(_ASIDE)]
+            target = path(f"{table_path(root, table)}/{day}")
+            if not fs.exists(target):
+                fs.rename(entry.getPath(), target)
+                back.append(day.removeprefix("date="))
+        fs.delete(job.getPath(), True)
+    return sorted(back)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The whole table; one that was never written reads as empty."""
     path, schema = table_path(root, table), contracts.schema(table)
@@ -68,6 +110,11 @@ def read_day(spark: SparkSession, root: str, table: str, day: date) -> DataFrame
     return read_table(spark, root, table).where(F.col("date") == F.lit(day))
 
 
+def read_days(spark: SparkSession, root: str, table: str, days: Sequence[date]) -> DataFrame:
+    """Only the given days; the filter prunes every other partition."""
+    return read_table(spark, root, table).where(F.col("date").isin(list(days)))
+
+
 def stamp(df: DataFrame, source: str) -> DataFrame:
     """Provenance, where the rows do not carry it yet."""
     if "source" not in df.columns:
@@ -106,20 +153,28 @@ def replace_days(df: DataFrame, root: str, table: str, source: str) -> None:
     _write(contracts.conform(stamp(df, source), table), table_path(root, table), "overwrite")
 
 
-def rewrite_days(df: DataFrame, root: str, table: str, days: DataFrame, source: str) -> None:
-    """Like :func:`replace_days` for a table that may lose rows; a day of
-    ``days`` with nothing left is removed.
+def set_days(df: DataFrame, root: str, table: str, days: Sequence[date], source: str) -> None:
+    """Make the given days hold exactly ``df``: a day without rows is removed.
 
-    The days written are observed during the write, so ``df`` runs once.
+    Rows of other days are an error. A day whose files are the same afterwards
+    got no rows, so ``df`` runs once and only those folders are listed. For
+    tables whose days are results of a job; see :func:`rewrite_days` for
+    collected ones.
     """
+    spark, path = df.sparkSession, table_path(root, table)
+    stray = F.raise_error(F.concat(F.lit(f"{table}: a row of a day not asked for: "), F.col("date").cast("string")))
+    checked = df.withColumn("date", F.when(F.col("date").isin(list(days)), F.col("date")).otherwise(stray))
+    before = {day: _names(spark, f"{path}/date={day}") for day in days}
+    replace_days(checked, root, table, source)
+    for day in sorted(before):
+        if before[day] and _names(spark, f"{path}/date={day}") == before[day]:
+            _delete(spark, f"{path}/date={day}")
+
+
+def rewrite_days(df: DataFrame, root: str, table: str, days: Sequence[date], source: str) -> None:
+    """:func:`set_days` for a table that holds what cannot be fetched again."""
     contracts.refuse_protected(table)
-    spark = df.sparkSession
-    wanted = {row["date"] for row in days.select("date").distinct().toLocalIterator()}
-    seen = Observation()
-    observed = df.observe(seen, F.collect_set("date").alias("days"))
-    replace_days(observed, root, table, source)
-    for day in sorted(wanted - set(seen.get["days"])):
-        _delete(spark, f"{table_path(root, table)}/date={day}")
+    set_days(df, root, table, days, source)
 
 
 def files(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -167,7 +222,7 @@ def compact(spark: SparkSession, root: str, table: str,
     wanted = F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes)).cast("int")
     plan = sizes.withColumn("files_after", wanted).where(
         F.col("files_before") > F.col("files_after"))
-    staging = scratch_path(spark, f"compact-{table}")
+    recover(spark, root, table)
     plan = written_once(plan, f"plan-{table}")
     total = plan.agg(F.coalesce(F.sum("files_after"), F.lit(0))).first()[0]
     if not total:
@@ -194,6 +249,7 @@ def compact(spark: SparkSession, root: str, table: str,
         raise contracts.SchemaDrift(f"{table}: compaction would change {lost[0]}")
     for row in plan.select("date").toLocalIterator():
         _swap(spark, f"{staging}/date={row['date']}", f"{target}/date={row['date']}")
+    _delete(spark, staging)
     return plan.join(check, "date").select("date", "files_before", "files_after", "rows")
 
 
@@ -223,26 +279,38 @@ def register_views(spark: SparkSession, root: str, cutoff: Column | None = None)
     return names
 
 
-def run_sql(spark: SparkSession, root: str, sql: str, row_cap: int = ROW_CAP,
+def run_sql(spark: SparkSession, root: str, sql: str, row_cap: int | None = None,
             holdout: str | None = None, fraction: float = 0.30,
             allow_holdout: bool = False) -> DataFrame:
-    """Read-only SQL over the lake views, at most ``row_cap`` rows.
+    """Read-only SQL over the lake views.
 
     The statement runs as a subquery, which only a query can be. ``holdout``
-    names the table whose collected days define the held-back slice.
+    names the table whose collected days define the held-back slice. All rows
+    come back unless a cap is given; see :func:`capped` for telling whether one
+    was reached.
     """
     cutoff = None
     if holdout is not None and not allow_holdout:
         cutoff = holdout_cutoff(read_table(spark, root, holdout), fraction).scalar()
     if not register_views(spark, root, cutoff):
         raise LookupError("the lake is empty")
-    return spark.sql(f"SELECT * FROM ({sql.strip().rstrip(';')}) AS q LIMIT {int(row_cap)}")
+    rows = spark.sql(f"SELECT * FROM ({sql.strip().rstrip(';')}) AS q")
+    return rows if row_cap is None else rows.limit(int(row_cap))
+
+
+class Capped(NamedTuple):
+    rows: DataFrame
+    truncated: bool
+
+
+def capped(spark: SparkSession, root: str, sql: str, row_cap: int = ROW_CAP, **guard) -> Capped:
+    """At most ``row_cap`` rows, and whether the answer has more."""
+    return Capped(run_sql(spark, root, sql, row_cap, **guard),
+                  not run_sql(spark, root, sql, **guard).offset(int(row_cap)).isEmpty())
 
 
-def to_csv(df: DataFrame, path: str, row_cap: int | None = ROW_CAP) -> None:
-    """CSV with a header. A capped result is one file, an uncapped one is not."""
-    if row_cap is not None:
-        df = df.limit(row_cap).coalesce(1)
+def to_csv(df: DataFrame, path: str) -> None:
+    """All rows as CSV files with a header, written by as many tasks as hold them."""
     df.write.option("header", True).csv(path)
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR_MS = 3_600_000
@@ -76,23 +77,21 @@ def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
 
     ``order`` starts with the event time.
     NULL equals NULL; what is compared is the last observed row, not the last
-    emitted one.
+    emitted one. Fields are put into one text by Spark, which knows their types:
+    a whole number stays one beside a NULL.
     """
-    fields, order, columns = list(fields), list(order), list(observed.columns)
+    order, columns = list(order), list(observed.columns)
+    seen_as = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
     def step(_key, rows, state):
         batch = pd.concat(list(rows)).sort_values(order)
-        previous = list(state.get[0]) if state.exists else None
-        keep = []
-        for values in batch[fields].itertuples(index=False):
-            current = [None if pd.isna(v) else str(v) for v in values]
-            keep.append(current != previous)
-            previous = current
-        state.update((previous,))
-        yield batch[keep][columns]
-
-    return observed.withWatermark(order[0], lateness).groupBy(*keys).applyInPandasWithState(
-        _expiring(step, order[0], ttl_ms), observed.schema, "seen array<string>", "append",
+        before = batch["_seen"].shift(1, fill_value=state.get[0] if state.exists else "")
+        state.update((batch["_seen"].iloc[-1],))
+        yield batch[batch["_seen"] != before][columns]
+
+    marked = observed.withColumn("_seen", seen_as).withWatermark(order[0], lateness)
+    return marked.groupBy(*keys).applyInPandasWithState(
+        _expiring(step, order[0], ttl_ms), observed.schema, "seen string", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

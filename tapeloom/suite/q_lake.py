@@ -116,11 +116,11 @@ def replace_partition(spark, d):
     """One day is rewritten, one is emptied, all others stay as they were."""
     root = new_lake(spark, d, "bars_1m")
     rows = lake.read_table(spark, root, "bars_1m")
-    days = rows.where(F.col("date").isin(date(2024, 1, 15), date(2024, 1, 16)))
-    changed = days.where(F.col("minute_utc") < "2024-01-15 15:00:00").withColumn(
+    days = [date(2024, 1, 15), date(2024, 1, 16)]
+    changed = rows.where(F.col("date").isin(days)).where(F.col("minute_utc") < "2024-01-15 15:00:00").withColumn(
         "volume", F.col("volume") * 2)
     lake.rewrite_days(changed.where(F.col("date") == date(2024, 1, 15)), root, "bars_1m",
-                      days.select("date"), "suite")
+                      days, "suite")
     return lake.read_table(spark, root, "bars_1m").groupBy("date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
 

@@ -159,13 +159,13 @@ def pruned_summary(spark, d):
     return pruned(spark, d).summary
 
 
-@query("b32_retention_ages", with_("bars", f"""SELECT {t('date','date')}, bool_and(31 - date_part('day', date) > 20) AS thin,
-    bool_and(date < DATE '2024-01-31' - 15) AS drop_snapshots FROM bars WHERE date >= DATE '2024-01-01' GROUP BY date"""))
+@query("b32_retention_ages", with_("bars", f"""SELECT {t('date','date')}, bool_and(DATE '2024-01-31' - date > 20) AS thin,
+    bool_and(date < DATE '2024-01-31' - 15) AS drop_snapshots FROM bars GROUP BY date"""))
 def retention_ages(spark, d):
     """As of 31 January: bars older than 20 days, snapshots than half a month."""
     rule_set = RetentionRules(bars_raw_days=20, snapshots_months=0.5)
     today = F.lit("2024-01-31").cast("date")
-    days = src.bars(spark, d).where(F.col("date") >= "2024-01-01").select("date").distinct()
+    days = src.bars(spark, d).select("date").distinct()
     return days.select(
         "date", rt.due_for_thinning(F.col("date"), today, F.lit(1), rule_set).alias("thin"),
         (F.col("date") < rt.snapshot_cutoff(today, rule_set)).alias("drop_snapshots"))

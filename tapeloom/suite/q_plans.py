@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tapeloom.config import (
@@ -24,7 +26,7 @@ from tapeloom.suite import q_lake as ql
 from tapeloom.suite import q_nightly as qn
 from tapeloom.suite import q_rules as qr
 from tapeloom.suite import q_runners as qu
-from tapeloom.suite.registry import SESSION, et_instant, mins, pct, query, r, t, with_
+from tapeloom.suite.registry import SESSION, et, et_instant, mins, pct, query, r, t, with_
 
 CONTEXT = window_poll.PollContext(
     thresholds=PillarThresholds(rvol_min=1.0, price_max=100.0, news_fresh_minutes=1440),
@@ -114,15 +116,24 @@ def corporate_actions(spark, d):
     return out
 
 
+def day_rows(spark, root, *tables):
+    """Rows of every day of the named tables."""
+    out = None
+    for name in tables:
+        one = lake.row_counts(spark, root, name).select(F.lit(name).alias("table_name"), "date", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 EVENING = evening.EveningRules(
     outcomes=qa.RULES, tradability=qa.TRADE, runners=qu.RULES,
     integrity=IntegrityRules(halt_min_silent_minutes=qa.SILENT), bar_minutes=src.BAR_MINUTES)
 
 
-@query("k4_evening_job", with_(qu.DEPS + " bars sessions", """SELECT 'daily_universe' AS table_name,
-    3*(SELECT count(*) FROM (SELECT DISTINCT ticker, date FROM ubars)) AS rows UNION ALL SELECT 'outcomes',
-    6*(SELECT count(*) FROM (SELECT DISTINCT ticker, date FROM ubars)) UNION ALL SELECT 'runners', count(*) FROM diagnosed""",
-    **qu.PARTS))
+@query("k4_evening_job", with_(qu.DEPS + " bars sessions", f"""SELECT table_name, {t('date','date')}, rows FROM (
+    SELECT 'daily_universe' AS table_name, date, 3*count(DISTINCT ticker) AS rows FROM ubars GROUP BY date
+    UNION ALL SELECT 'outcomes', date, 6*count(DISTINCT ticker) FROM ubars GROUP BY date
+    UNION ALL SELECT 'runners', date, count(*) FROM diagnosed GROUP BY date)""", **qu.PARTS))
 def evening_job(spark, d):
     """Bars in the lake become universe, outcomes and runners."""
     from tapeloom.sources import feeds
@@ -131,11 +142,11 @@ def evening_job(spark, d):
     lake.append(feeds.bar_rows(bars, ql.now(), src.BAR_MINUTES), root, "bars_1m", "suite")
     summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), qr.EVAL_ORDER)
     firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
-    evening.run_evening(spark, root, src.user_daily(spark, d), src.actions(spark, d), summaries,
-                        firsts, _standard(EVENING), ql.now())
-    return rs.table_history({
-        name: lake.read_table(spark, root, name) for name in ("daily_universe", "outcomes", "runners")
-    }).select("table_name", "rows")
+    days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
+    for evening_days in (days[:20], days[20:], days[5:6]):  # two runs, then one day again
+        evening.run_evening(spark, root, evening_days, src.user_daily(spark, d), src.actions(spark, d),
+                            summaries, firsts, _standard(EVENING), ql.now())
+    return day_rows(spark, root, "daily_universe", "outcomes", "runners")
 
 
 def _standard(rule_set):
@@ -165,24 +176,30 @@ def universe_rows(spark, d):
         "ticker", "date", "session", "close", "volume", "prev_close", "halt_count", "suspect_price")
 
 
-@query("k5_nightly_job", with_(qn.DEPS + " news bars", f"""SELECT 'snapshots' AS table_name, count(*) FILTER (klass IS NOT NULL
-    AND date >= DATE '2024-01-16') AS rows FROM keep UNION ALL SELECT 'pruned_summary', count(*) FROM judged WHERE klass IS NULL
-    AND NOT ({qn.UNKNOWN}) AND (ticker, date) IN (SELECT (ticker, date) FROM snaps) UNION ALL SELECT 'bars_1m', count(*) FROM (
+@query("k5_nightly_job", with_(qn.DEPS + " news bars", f"""SELECT table_name, {t('date','date')}, rows FROM (
+    SELECT 'snapshots '||klass AS table_name, date, count(*) AS rows FROM keep
+      WHERE klass IS NOT NULL AND date >= DATE '2024-01-16' GROUP BY klass, date
+    UNION ALL SELECT 'pruned_summary', date, count(*) FROM judged WHERE klass IS NULL
+      AND NOT ({qn.UNKNOWN}) AND (ticker, date) IN (SELECT (ticker, date) FROM snaps) GROUP BY date
+    UNION ALL SELECT 'bars_1m', date, count(*) FROM (
       SELECT DISTINCT ticker, date, CASE WHEN DATE '2024-01-31' - date > 10 THEN time_bucket(INTERVAL 30 MINUTE, minute)
-      ELSE minute END FROM bars) UNION ALL SELECT 'evaluations', count(*) FROM day_evals UNION ALL SELECT 'news', count(*)
-    FROM news""", **qn.CTE, keep=qn.KEEP))
+      ELSE minute END FROM bars) GROUP BY date
+    UNION ALL SELECT 'evaluations', date, count(*) FROM day_evals GROUP BY date
+    UNION ALL SELECT 'news', {et('created_at')}::DATE, count(*) FROM news GROUP BY 2)""", **qn.CTE, keep=qn.KEEP))
 def nightly_job(spark, d):
     """Prune, compact, thin, drop and account on a lake of four tables."""
     root = ql.new_lake(spark, d, "snapshots", "evaluations", "news", "bars_1m")
     rules = RetentionRules(move_threshold_pct=400.0, control_sample_pct=40, bars_raw_days=10,
                            bars_thinned_minutes=30, snapshots_months=0.5)
     known = qn.classified(spark, d).where(~(F.col("last_price") > 200))
-    nightly.run_nightly(spark, root, known, rules, F.lit("2024-01-31").cast("date"), ql.now(),
-                        raw_minutes=src.BAR_MINUTES)
-    return rs.table_history({
-        n: lake.read_table(spark, root, n)
-        for n in ("snapshots", "pruned_summary", "bars_1m", "evaluations", "news")
-    }).select("table_name", "rows")
+    days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
+    for night in (days[:18], days[18:]):
+        nightly.run_nightly(spark, root, night, known.where(F.col("date").isin(night)), rules,
+                            F.lit("2024-01-31").cast("date"), ql.now(), raw_minutes=src.BAR_MINUTES)
+    labels = lake.read_table(spark, root, "snapshots").groupBy("date", "retention_class").agg(
+        F.count(F.lit(1)).alias("rows")).select(
+        F.concat(F.lit("snapshots "), F.col("retention_class")).alias("table_name"), "date", "rows")
+    return labels.unionByName(day_rows(spark, root, "pruned_summary", "bars_1m", "evaluations", "news"))
 
 
 @query("k8_starter_pack", with_(qu.DEPS, """SELECT question, count(*) AS lines FROM (

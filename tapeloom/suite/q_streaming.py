@@ -20,10 +20,12 @@ FILES = 8
 BATCHES = ("2024-01-09", "2024-01-17", "2024-01-25")
 
 
-def replay(df: DataFrame, ts: str, label: str, cuts=BATCHES) -> DataFrame:
+def replay(df: DataFrame, ts: str, label: str, cuts=BATCHES, closing: str | None = None) -> DataFrame:
     """Land the rows in time order, a few files per step, and stream them back.
 
     One micro-batch reads one step, so state has to carry across batches.
+    ``closing``, an interval, adds a last row of nulls that much later: it moves
+    the watermark past everything before it and is never emitted itself.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"replay-{label}")
@@ -35,6 +37,10 @@ def replay(df: DataFrame, ts: str, label: str, cuts=BATCHES) -> DataFrame:
         if high is not None:
             part = part.where(F.col(ts) < F.lit(high).cast("timestamp"))
         part.repartition(FILES).write.mode("append").parquet(path)
+    if closing is not None:
+        last = df.agg((F.max(ts) + F.expr(f"interval {closing}")).alias(ts))
+        last.select(*[F.col(c) if c == ts else F.lit(None).cast(k).alias(c) for c, k in df.dtypes]).write.mode(
+            "append").parquet(path)
     fields = ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
     return sources.read_files(spark, path, fields, FILES)
 
@@ -51,11 +57,11 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 @query("i10_streaming_bars", with_("ticks", f"""SELECT ticker, {t(f"{et('minute')}::DATE",'date')}, {t('minute','minute')},
     {r('arg_min(price,ts)','open')}, {r('max(price)','high')}, {r('min(price)','low')}, {r('arg_max(price,ts)','close')},
     {r('sum(volume)','volume')}, count(*) AS trade_count FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS minute FROM ticks)
-    WHERE minute + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE GROUP BY ticker, minute"""))
+    GROUP BY ticker, minute"""))
 def streaming_bars(spark, d):
-    """Buckets the watermark has passed, each emitted once."""
+    """Every bucket, emitted once the watermark has passed it."""
     ticks = src.ticks(spark, d).select("event_id", "ticker", "price", "volume", "ts")
-    return drained(feeds.tumbling_bars(replay(ticks, "ts", "ticks"), 15), "bars")
+    return drained(feeds.tumbling_bars(replay(ticks, "ts", "ticks", closing="1 day"), 15), "bars")
 
 
 @query("i3_news_dedup", with_("news", f"""SELECT news_id, count(*) AS copies FROM news GROUP BY news_id"""))

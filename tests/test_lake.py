@@ -79,11 +79,11 @@ def test_rewrite_removes_emptied_days_and_respects_protection(spark, tmp_path):
     lake.append(bar_rows(spark), root, "bars_1m", "u")
     rows = lake.read_table(spark, root, "bars_1m")
     lake.rewrite_days(rows.where("date = '2024-01-03' and close > 30"), root, "bars_1m",
-                      rows.select("date"), "u")
+                      [date(2024, 1, 2), date(2024, 1, 3)], "u")
     left = lake.row_counts(spark, root, "bars_1m").collect()
     assert [(r["date"], r["rows"]) for r in left] == [(date(2024, 1, 3), 5)]
     with pytest.raises(contracts.Protected):
-        lake.rewrite_days(rows, root, "evaluations", rows, "u")
+        lake.rewrite_days(rows, root, "evaluations", [date(2024, 1, 2)], "u")
     with pytest.raises(contracts.Protected):
         lake.drop_days(spark, root, "runners", F.current_date())
 
@@ -125,3 +125,70 @@ def test_nan_and_share_counts(spark):
     got = feeds.scanner_rows(df).first()
     assert (got["ticker"], got["close"], got["float_shares"], got["shares_outstanding"]) \
         == ("ABCD", None, 123, None)
+
+
+def test_capped_sql_tells_truncation(spark, tmp_path):
+    root = str(tmp_path)
+    lake.append(bar_rows(spark), root, "bars_1m", "u")
+    cut = lake.capped(spark, root, "SELECT * FROM bars_1m", 39)
+    whole = lake.capped(spark, root, "SELECT * FROM bars_1m", 40)
+    assert (cut.rows.count(), cut.truncated, whole.rows.count(), whole.truncated) == (39, True, 40, False)
+    lake.to_csv(lake.run_sql(spark, root, "SELECT id FROM range(25000)"), f"{root}/csv")
+    assert spark.read.option("header", True).csv(f"{root}/csv").count() == 25_000
+
+
+def test_days_are_set_exactly(spark, tmp_path):
+    root, days = str(tmp_path), [date(2024, 1, 2), date(2024, 1, 3)]
+    lake.append(bar_rows(spark, ["2024-01-02", "2024-01-03", "2024-01-04"]), root, "bars_1m", "u")
+    rows = lake.read_days(spark, root, "bars_1m", days)
+    assert "date#" in (plan := rows._jdf.queryExecution().toString()) and "PartitionFilters: [date" in plan
+    lake.set_days(rows.where("date = '2024-01-03' AND close < 20"), root, "bars_1m", days, "u")
+    left = {r["date"]: r["rows"] for r in lake.row_counts(spark, root, "bars_1m").collect()}
+    assert left == {date(2024, 1, 3): 7, date(2024, 1, 4): 20}
+    with pytest.raises(Exception, match="a day not asked for"):
+        lake.set_days(lake.read_table(spark, root, "bars_1m"), root, "bars_1m", days, "u")
+
+
+def test_half_done_swap_is_recovered(spark, tmp_path):
+    root = str(tmp_path)
+    lake.append(bar_rows(spark), root, "bars_1m", "u")
+    staging = tmp_path / "_staging" / "bars_1m-lost"
+    staging.mkdir(parents=True)
+    # the driver died after setting a day aside, and before moving the new one in
+    (tmp_path / "bars_1m" / "date=2024-01-02").rename(staging / "date=2024-01-02-replaced")
+    (staging / "date=2024-01-03").mkdir()
+    assert lake.recover(spark, root, "bars_1m") == ["2024-01-02"]
+    assert lake.read_table(spark, root, "bars_1m").count() == 40 and not staging.exists()
+    assert lake.recover(spark, root, "bars_1m") == []
+
+
+def test_nights_leave_other_days_alone(spark, tmp_path):
+    from tapeloom.plans import nightly
+
+    root, now = str(tmp_path), F.current_timestamp()
+    polls = spark.createDataFrame(
+        [(t, d, p) for d in ("2024-01-01", "2024-01-02") for t in ("MV", "CT", "DR") for p in range(3)],
+        "ticker string, day string, p int").select(
+        "ticker", F.col("day").cast("date").alias("date"),
+        (F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.col("p") + 14)).alias("poll_ts_utc"),
+        F.lit(5.0).alias("price"), F.lit(1.0).alias("session_volume"), now.alias("written_at_utc"))
+    lake.append(polls, root, "snapshots", "u")
+
+    def night(day):
+        known = spark.createDataFrame(
+            [("MV", day, "mover"), ("CT", day, "control"), ("DR", day, None)],
+            "ticker string, date date, retention_class string").withColumns(
+            {c: F.lit(1.0) for c in ("up_move_pct", "down_move_pct", "day_high", "day_low", "last_price",
+                                     "session_volume", "max_gap_pct", "max_rvol")} | {
+                "poll_count": F.lit(3), "first_poll_ts": now, "last_poll_ts": now,
+                "best_tier": F.lit("none"), "reason": F.lit("r")})
+        nightly.prune_snapshots(spark, root, [day], known, RetentionRules(), now)
+        return {(str(r["date"]), r["ticker"]): r["retention_class"] for r in
+                lake.read_table(spark, root, "snapshots").select("date", "ticker", "retention_class").distinct().collect()}
+
+    first = night(date(2024, 1, 1))
+    assert first == {("2024-01-01", "MV"): "mover", ("2024-01-01", "CT"): "control",
+                     **{("2024-01-02", t): None for t in ("MV", "CT", "DR")}}
+    second = night(date(2024, 1, 2))
+    assert second == {(d, t): k for d in ("2024-01-01", "2024-01-02") for t, k in (("MV", "mover"), ("CT", "control"))}
+    assert lake.row_counts(spark, root, "pruned_summary").count() == 2
