@@ -107,23 +107,43 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.select("key", "kind", "start", "end").distinct()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, spans`` per row: the sorted ``(start, rank, kind, end)`` of all its spans.
+def text_key(text: Column) -> Column:
+    """A digest of the text where it can have a part at all, else null."""
+    return F.when(text.rlike(GATE), F.sha2(text.cast("binary"), 256))
+
+
+def spans_by_key(slim: DataFrame) -> DataFrame:
+    """``key, spans``: the sorted ``(start, rank, kind, end)`` of each distinct text in ``key, text``.
 
-    ``rank`` is the kind's place in :data:`KINDS`. ``key`` is null where the
-    text has no part at all.
+    ``rank`` is the kind's place in :data:`KINDS`. Texts without a span have no row.
     """
-    flagged = texts(docs, id_col, text_col).withColumn(
-        "text", F.when(F.col("text").rlike(GATE), F.col("text")))
-    slim = written_once(
-        flagged.withColumn("key", F.when(F.col("text").isNotNull(), F.sha2("text", 256))), "secrets")
     once = slim.filter("key IS NOT NULL").select("key", "text").dropDuplicates(["key"])
     found = written_once(parts(once), "parts")
     reported = found.filter(F.col("kind").isin(*BASE_KINDS)).unionByName(linked(found))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    spans = reported.groupBy("key").agg(F.sort_array(F.collect_list(
+    return reported.groupBy("key").agg(F.sort_array(F.collect_list(
         F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
-    return slim.select("doc_id", "key").join(spans, "key", "left")
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, key, spans`` per row; ``key`` is null where the text has no part at all."""
+    keyed = texts(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
+    slim = written_once(keyed.withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))), "secrets")
+    spans = spans_by_key(slim)
+    # rows without a part meet nothing: they stay out of the join, as one key would hold most of them
+    bare = slim.filter("key IS NULL").select("key", "doc_id", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return slim.filter("key IS NOT NULL").select("key", "doc_id").join(spans, "key", "left").unionByName(bare)
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with every span of their texts masked."""
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn("__key", text_key(text))
+    hit = keyed.filter("__key IS NOT NULL")
+    slim = written_once(hit.select(F.col("__key").alias("key"), text.alias("text")), "secrets")
+    spans = spans_by_key(slim).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    changed = hit.join(spans, "__key", "left").withColumn(text_col, masked(text, F.col("__spans")))
+    return keyed.filter("__key IS NULL").select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 
 def span_text(spans: Column) -> Column:
