@@ -1,13 +1,76 @@
-"""From raw documents to token ids: the stages, and a run over a folder of tables."""
+"""From raw documents to token ids: the stages, and a run over a folder of tables.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its
+predecessor kept. Decisions take effect: rejected documents, further copies and
+contaminated documents go, secrets are masked in the text. All but the last
+return the columns of ``documents``. Rows that share an id are rejected together,
+and equal ones among them become one; rows without an id cannot be named and are
+kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeloom.llm.base import table
+from tapeloom.llm.bpe import encode, vocabulary_path
+from tapeloom.llm.credentials import mask_secrets
+from tapeloom.llm.decontaminate import contaminated
+from tapeloom.llm.jaccard import similarity_components
+from tapeloom.llm.quality import score_quality
 from tapeloom.session import scratch_path
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Documents whose id is not among the rejected ones.
+
+    Few rows are rejected as against those kept; Spark broadcasts them or not by
+    their size.
+    """
+    rejected = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
+    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier gives less than an even chance of being good."""
+    return without(docs, score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of similar texts."""
+    kept = without(docs, similarity_components(docs).filter("doc_id <> component_id"))
+    # rows repeated as they are have one id, which is hardly ever the case
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return without(kept, repeated).unionByName(once) if not repeated.isEmpty() else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret; a text's length follows."""
+    return mask_secrets(docs).withColumn(
+        "n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of what is left."""
+    return encode(docs, vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("tokens", tokens),
+]
 
 #: Trained scores, similarity groups and merges are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
