@@ -28,7 +28,10 @@ def decide_pushes(
     poll: str = "poll_ts",
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``pushed`` and ``push_reason``.
+    """Add ``pushed`` and ``push_reason``, a code with the value it turns on.
+
+    ``SENT_BEFORE`` and ``UPGRADE`` name the tier sent earlier in the window,
+    ``BUDGET_SPENT`` the window's budget.
 
     Rows compete in order of poll, then score (NULL last), then ticker, then
     ``ties``; that order must be total for the outcome to be deterministic.
@@ -70,17 +73,13 @@ def decide_pushes(
     no = F.lit(False)
     pushed = F.coalesce(place == F.col("_sent_a"), no) | F.coalesce(place == F.col("_sent_b"), no)
     reason = (
-        F.when(earlier_level >= level,
-               F.concat(F.lit("already pushed "), F.col(ticker), F.lit(" at tier "), earlier,
-                        F.lit(" in this window")))
-        .when(pushed & earlier.isNotNull(),
-              F.concat(F.lit("upgrade "), earlier, F.lit(" -> "), F.col(tier)))
-        .when(pushed, F.concat(F.lit("first "), F.col(tier), F.lit(" alert for "), F.col(ticker)))
-        .otherwise(f"window push budget of {rules.max_pushes} exhausted; UI only")
+        F.when(earlier_level >= level, F.concat(F.lit("SENT_BEFORE:"), earlier))
+        .when(pushed & earlier.isNotNull(), F.concat(F.lit("UPGRADE:"), earlier))
+        .when(pushed, "FIRST")
+        .otherwise(f"BUDGET_SPENT:{rules.max_pushes}")
     )
     decided = seen.select(*df.columns, pushed.alias("pushed"), reason.alias("push_reason"))
     quiet = df.where(~is_loud).select(
         *df.columns, no.alias("pushed"),
-        F.when(F.col(tier) == "B", "tier B pushes disabled in settings").otherwise(
-            F.concat(F.lit("tier "), F.col(tier), F.lit(" is UI-only"))).alias("push_reason"))
+        F.when(F.col(tier) == "B", "TIER_B_OFF").otherwise("TIER_NOT_SENT").alias("push_reason"))
     return decided.unionByName(quiet)

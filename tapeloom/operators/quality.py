@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.config import LATENCY_P95_WARN_S
-from tapeloom.functions import text
 from tapeloom.operators.scan import quantiles
 
 #: Counters of a quality row, zero when a table has none.
@@ -112,28 +111,16 @@ def union_rows(*rows: DataFrame) -> DataFrame:
 
 
 def warnings(rows: DataFrame, latency_warn_s: float = LATENCY_P95_WARN_S) -> DataFrame:
-    """One row per condition worth showing."""
-    def warning(when: Column, code: str, message: Column) -> Column:
-        return F.when(when, F.struct(F.lit(code).alias("code"), message.alias("message")))
-
-    p95, low = F.col("news_latency_p95_s"), F.col("pillar5_low_confidence_share")
-    gap = F.col("ws_disconnect_minutes")
-    found = F.array_compact(F.array(
-        warning(p95 > latency_warn_s, "news_feed_latency", F.concat(
-            F.lit("News p95 latency "), text.fixed(p95, 0),
-            F.lit(f"s exceeds {latency_warn_s:.0f}s: the freshness rule is measuring feed lag, "
-                  "not market reaction"))),
-        warning(low > 0.5, "float_confidence", F.concat(
-            text.fixed(low * 100, 0),
-            F.lit("% of pillar-5 evaluations ran at low float confidence: "
-                  "pillar 5 may not be usable with this data"))),
-        warning(gap > 0, "news_feed_gap", F.concat(
-            F.lit("News WebSocket was disconnected for "), text.fixed(gap, 0),
-            F.lit(" minutes"))),
-        warning(F.col("api_errors") > 0, "api_errors", F.concat(
-            F.col("api_errors").cast("string"), F.lit(" API errors on "), F.col("table_name"))),
-        warning(F.col("suspect_price_rows") > 0, "suspect_price", F.concat(
-            F.col("suspect_price_rows").cast("string"),
-            F.lit(" rows flagged suspect_price and excluded from move metrics"))),
-    ))
+    """``(date, table_name, code, value)``: one row per condition worth showing, with its figure."""
+    low = F.col("pillar5_low_confidence_share")
+    conditions = (
+        ("news_feed_latency", F.col("news_latency_p95_s") > latency_warn_s, F.col("news_latency_p95_s")),
+        ("float_confidence", low > 0.5, low),
+        ("news_feed_gap", F.col("ws_disconnect_minutes") > 0, F.col("ws_disconnect_minutes")),
+        ("api_errors", F.col("api_errors") > 0, F.col("api_errors")),
+        ("suspect_price", F.col("suspect_price_rows") > 0, F.col("suspect_price_rows")),
+    )
+    found = F.array_compact(F.array(*[
+        F.when(met, F.struct(F.lit(code).alias("code"), value.cast("double").alias("value")))
+        for code, met, value in conditions]))
     return rows.select("date", "table_name", F.inline(found))

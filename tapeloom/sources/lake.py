@@ -315,19 +315,16 @@ def to_csv(df: DataFrame, path: str) -> None:
 
 
 def size_warning(sizes: DataFrame, rules: RetentionRules) -> DataFrame:
-    """A message once the lake nears its limit, no row before that.
+    """``(total_gb, limit_gb, used_share, largest)`` once the lake nears its limit, no row before that.
 
-    ``sizes`` is ``(table_name, size_bytes)``, one row per declared table.
+    ``sizes`` is ``(table_name, size_bytes)``, one row per declared table;
+    ``largest`` names the three largest, the largest first.
     """
     gib = 1024.0**3
     limit = rules.max_lake_gb * gib
-    named = F.struct(F.col("size_bytes"), F.col("table_name"))
     folded = sizes.agg(
         F.sum("size_bytes").alias("total"),
-        F.slice(F.sort_array(F.collect_list(named), asc=False), 1, 3).alias("top"))
-    detail = F.concat_ws(", ", F.transform("top", lambda x: F.format_string(
-        "%s %.2f GB", x["table_name"], F.bround(x["size_bytes"] / gib, 2))))
-    return folded.where(F.col("total") >= limit * rules.warn_fraction).select(F.format_string(
-        f"Lake is at %.2f GB of {rules.max_lake_gb} GB (%.0f%%); largest tables: %s",
-        F.bround(F.col("total") / gib, 2), F.bround(F.col("total") / limit * 100, 0),
-        detail).alias("message"))
+        F.slice(F.sort_array(F.collect_list(F.struct("size_bytes", "table_name")), asc=False), 1, 3).alias("top"))
+    return folded.where(F.col("total") >= limit * rules.warn_fraction).select(
+        (F.col("total") / gib).alias("total_gb"), F.lit(float(rules.max_lake_gb)).alias("limit_gb"),
+        (F.col("total") / limit).alias("used_share"), F.transform("top", lambda x: x["table_name"]).alias("largest"))

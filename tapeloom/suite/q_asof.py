@@ -410,11 +410,8 @@ def reference_grid(spark, d):
     return bar_ops.reference_times(days, RULES.reference_times, now)
 
 
-TRADE_REASON = """CASE WHEN dollars IS NULL THEN 'no bars in the window after the reference time'
-    WHEN dollars < 8000 THEN '$'||format('{:,}', round_even(dollars,0)::BIGINT)||' traded in 60m is below $8,000'
-    WHEN spread IS NULL THEN 'no spread figure available'
-    WHEN spread > 60 THEN 'spread '||printf('%.2f', round_even(spread,2))||'% exceeds 60.00%'
-    ELSE 'liquid enough to act on' END"""
+TRADE_REASON = """CASE WHEN dollars IS NULL THEN 'NO_BARS' WHEN dollars < 8000 THEN 'THIN'
+    WHEN spread IS NULL THEN 'NO_SPREAD' WHEN spread > 60 THEN 'WIDE' ELSE 'LIQUID' END"""
 
 
 @query("b24_tradability", with_("bars", f"""SELECT f.ticker, {t('f.date','date')}, {t('ref','reference_ts')},

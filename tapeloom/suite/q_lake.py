@@ -202,10 +202,9 @@ def protected_tables(spark, d):
     return out
 
 
-@query("d37_size_warning", with_("bars polls evals", """SELECT 'Lake is at '||printf('%.2f', round_even(total/1073741824,2))||
-    ' GB of 1 GB ('||printf('%.0f', round_even(total/1073741824*100,0))||'%); largest tables: '||detail AS message
-    FROM (SELECT sum(b) AS total, string_agg(n||' '||printf('%.2f', round_even(b/1073741824,2))||' GB', ', ' ORDER BY b DESC)
-      FILTER (rk <= 3) AS detail FROM (SELECT *, row_number() OVER (ORDER BY b DESC) AS rk FROM (
+@query("d37_size_warning", with_("bars polls evals", f"""SELECT {r('total/1073741824','total_gb')}, {r('1','limit_gb')},
+    {r('total/1073741824','used_share')}, largest FROM (SELECT sum(b) AS total, string_agg(n, '|' ORDER BY b DESC)
+      FILTER (rk <= 3) AS largest FROM (SELECT *, row_number() OVER (ORDER BY b DESC) AS rk FROM (
         SELECT 'bars_1m' AS n, count(*)*50000::BIGINT AS b FROM bars UNION ALL SELECT 'snapshots', count(*)*60000 FROM polls
         UNION ALL SELECT 'evaluations', count(*)*20000 FROM evals UNION ALL SELECT 'news', count(*)*1000 FROM events)))
     WHERE total >= 0.8::DOUBLE*1073741824"""))

@@ -259,19 +259,13 @@ def quality(spark, d):
     return quality_rows(spark, d)
 
 
-WARN = f"""SELECT date, table_name, code, message FROM (
-    SELECT date, table_name, 'news_feed_latency' AS code, 'News p95 latency '||{half_even('news_latency_p95_s',0)}||
-      's exceeds 60s: the freshness rule is measuring feed lag, not market reaction' AS message FROM quality
-      WHERE news_latency_p95_s > 60
-    UNION ALL SELECT date, table_name, 'float_confidence', {half_even('pillar5_low_confidence_share*100',0)}||
-      '% of pillar-5 evaluations ran at low float confidence: pillar 5 may not be usable with this data'
-      FROM quality WHERE pillar5_low_confidence_share > 0.5
-    UNION ALL SELECT date, table_name, 'news_feed_gap', 'News WebSocket was disconnected for '||
-      {half_even('ws_disconnect_minutes',0)}||' minutes' FROM quality WHERE ws_disconnect_minutes > 0
-    UNION ALL SELECT date, table_name, 'api_errors', api_errors||' API errors on '||table_name FROM quality
-      WHERE api_errors > 0
-    UNION ALL SELECT date, table_name, 'suspect_price', suspect_price_rows||
-      ' rows flagged suspect_price and excluded from move metrics' FROM quality WHERE suspect_price_rows > 0)"""
+WARN = f"""SELECT date, table_name, code, {r('value','value')} FROM (
+    SELECT date, table_name, 'news_feed_latency' AS code, news_latency_p95_s AS value FROM quality WHERE news_latency_p95_s > 60
+    UNION ALL SELECT date, table_name, 'float_confidence', pillar5_low_confidence_share FROM quality
+      WHERE pillar5_low_confidence_share > 0.5
+    UNION ALL SELECT date, table_name, 'news_feed_gap', ws_disconnect_minutes FROM quality WHERE ws_disconnect_minutes > 0
+    UNION ALL SELECT date, table_name, 'api_errors', api_errors FROM quality WHERE api_errors > 0
+    UNION ALL SELECT date, table_name, 'suspect_price', suspect_price_rows FROM quality WHERE suspect_price_rows > 0)"""
 
 
 @query("b28_quality_warnings", with_(QDEPS, WARN, **QCTE))
@@ -279,11 +273,12 @@ def quality_warnings(spark, d):
     return ql.warnings(quality_rows(spark, d))
 
 
-@query("h19_notes", with_("day_evals", f"""SELECT {t('cutoff','cutoff')}, 'Rows with retention_class = ''control'' are a 10% sample of everything that was neither a mover nor a signal. Any rate estimated from this lake must weight them by 10x, or the denominator is wrong and every hit rate looks far better than it is.' AS note
-    FROM (SELECT date AS cutoff FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS i, count(*) OVER () AS n
+@query("h19_notes", with_("day_evals", f"""SELECT {t('cutoff','cutoff')}, held AS held_back_days, 10.0::DOUBLE AS control_weight
+    FROM (SELECT date AS cutoff, n-i AS held FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS i, count(*) OVER () AS n
       FROM (SELECT DISTINCT date FROM day_evals)) WHERE i = floor(n*0.7::DOUBLE))"""))
 def notes(spark, d):
-    return rs.holdout_cutoff(src.day_evals(spark, d)).withColumn("note", F.lit(rs.reweight_note(10)))
+    """What a reader of rates must know: the held-back days and the control rows' weight."""
+    return rs.reading_notes(src.day_evals(spark, d), control_pct=10)
 
 
 # --- research --------------------------------------------------------------

@@ -16,6 +16,7 @@ from tapeloom.config import (
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators import news as news_ops
 from tapeloom.operators import research as rs
+from tapeloom.operators import runners
 from tapeloom.plans import actions as actions_plan
 from tapeloom.plans import evening, nightly, window_poll
 from tapeloom.session import scratch_path
@@ -58,10 +59,9 @@ SCORED = f"""SELECT *, coalesce(a*0.5::DOUBLE,0)+coalesce(b*0.3::DOUBLE,0)+coale
     FROM (SELECT *, {qr.rank_sql('wc','poll_ts')} AS a, {qr.rank_sql('rv','poll_ts')} AS b,
       {qr.rank_sql('gap','poll_ts')} AS c FROM judged)"""
 ORDER = "poll_ts, -coalesce(score,-1), ticker"
-DECIDED = f"""SELECT *, CASE WHEN tier NOT IN ('A','B') THEN 'tier '||tier||' is UI-only' WHEN before >= p THEN
-    'already pushed '||ticker||' at tier '||CASE before WHEN 3 THEN 'A' ELSE 'B' END||' in this window'
-    WHEN pushed AND before=2 THEN 'upgrade B -> '||tier WHEN pushed THEN 'first '||tier||' alert for '||ticker
-    ELSE 'window push budget of 4 exhausted; UI only' END AS push_reason FROM (SELECT *, coalesce(max(CASE WHEN pushed
+DECIDED = f"""SELECT *, CASE WHEN tier NOT IN ('A','B') THEN 'TIER_NOT_SENT' WHEN before >= p THEN
+    'SENT_BEFORE:'||CASE before WHEN 3 THEN 'A' ELSE 'B' END
+    WHEN pushed AND before=2 THEN 'UPGRADE:B' WHEN pushed THEN 'FIRST' ELSE 'BUDGET_SPENT:4' END AS push_reason FROM (SELECT *, coalesce(max(CASE WHEN pushed
       THEN p END) OVER (PARTITION BY window_start, ticker ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND
       1 PRECEDING),0) AS before FROM (SELECT *, eligible AND sum(eligible::INT) OVER (PARTITION BY window_start
         ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 4 AS pushed FROM (SELECT *, p >
@@ -202,23 +202,34 @@ def nightly_job(spark, d):
     return labels.unionByName(day_rows(spark, root, "pruned_summary", "bars_1m", "evaluations", "news"))
 
 
-@query("k8_starter_pack", with_(qu.DEPS, """SELECT question, count(*) AS lines FROM (
-    SELECT 'When do moves actually start?' AS question, date_trunc('hour', start) AS k FROM diagnosed WHERE start IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT 'Miss reasons over the collected history', x FROM (SELECT DISTINCT unnest(string_split(miss_reasons,'|')) AS v
-      FROM diagnosed), (SELECT NULL::TIMESTAMP AS x)
-    UNION ALL SELECT 'Pillar 5 low-confidence share by day', date FROM (SELECT DISTINCT date FROM day_evals)) GROUP BY 1""",
-    **qu.PARTS))
+@query("k8_starter_pack", with_(" ".join(dict.fromkeys(f"{qu.DEPS} {qn.DEPS} bars daily".split())), f"""SELECT question, line, n, {r('value','value')} FROM (
+    SELECT 'start_hours' AS question, {t("date_trunc('hour', start)",'line')}, count(*) AS n, NULL AS value FROM diagnosed
+      WHERE start IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'miss_reasons', v, count(*), NULL FROM (SELECT unnest(string_split(miss_reasons,'|')) AS v
+      FROM diagnosed) GROUP BY 2
+    UNION ALL SELECT 'low_confidence', date::VARCHAR, NULL, avg((confidence='low')::INT) FROM day_evals GROUP BY 2
+    UNION ALL SELECT 'tradability', (coalesce(dollars >= 8000 AND spread <= 60, false))::VARCHAR, count(*),
+      avg({pct('p60','price')}) FROM folded f WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE g.ticker=f.ticker AND g.date=f.date
+      AND g.halt_start < until AND ref < g.halt_end) GROUP BY 2
+    UNION ALL SELECT 'classes', date::VARCHAR||' '||klass, count(DISTINCT ticker), NULL FROM keep WHERE klass IS NOT NULL
+      GROUP BY 2)""", **{**qu.PARTS, **qn.CTE, "keep": qn.KEEP, "refs": qa.REFS, "folded": qa.FOLDED, "gaps": qa.GAPS}))
 def starter_pack(spark, d):
-    """Saved questions as plain SQL over the lake; lines in each answer."""
-    root = ql.new_lake(spark, d, "evaluations")
-    lake.append(qu.runner_table(spark, d), root, "runners", "suite")
+    """The saved questions with their answers."""
+    c = F.col
+    none = F.lit(None).cast("double")
+    runners_table = qu.runner_table(spark, d)
+    answers = (
+        ("start_hours", rs.start_hours(runners_table), c("hour_utc").cast("string"), c("runners"), none),
+        ("miss_reasons", runners.reason_counts(runners_table), c("reason"), c("n"), none),
+        ("low_confidence", rs.low_confidence_share(src.day_evals(spark, d)), c("date").cast("string"),
+         none.cast("long"), c("low_share")),
+        ("tradability", rs.outcomes_by_tradability(qa.labels(spark, d), "ret_60m_pct"),
+         c("tradeable").cast("string"), c("n"), c("avg_ret")),
+        ("classes", rs.tickers_per_class(qn.pruned(spark, d).snapshots),
+         F.concat_ws(" ", c("date").cast("string"), c("retention_class")), c("tickers"), none),
+    )
     out = None
-    for question, sql in rs.STARTER_SQL.items():
-        if "FROM outcomes" in sql or "FROM snapshots" in sql:
-            continue
-        one = lake.run_sql(spark, root, sql).agg(F.count(F.lit(1)).alias("lines")).select(
-            F.lit(question).alias("question"), "lines")
+    for question, rows, line, n, value in answers:
+        one = rows.select(F.lit(question).alias("question"), line.alias("line"), n.alias("n"), value.alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
-
-

@@ -61,11 +61,11 @@ def all_pillars(spark, d):
 
 
 @query("b10_feed_outage_override", with_("statuses", f"""SELECT p3 AS status, count(*) AS n,
-    count(*) FILTER (detail='news feed unavailable; catalyst not evaluable') AS n_outage,
-    count(*) FILTER (detail='no news within the freshness window') AS n_quiet FROM (
+    count(*) FILTER (detail='FEED_DOWN') AS n_outage,
+    count(*) FILTER (detail='NO_FRESH_NEWS') AS n_quiet FROM (
       SELECT CASE WHEN confidence='low' THEN 'unknown' ELSE p3 END AS p3,
-      CASE WHEN confidence='low' THEN 'news feed unavailable; catalyst not evaluable'
-           WHEN news_age IS NULL THEN 'no news within the freshness window' END AS detail FROM statuses)
+      CASE WHEN confidence='low' THEN 'FEED_DOWN'
+           WHEN news_age IS NULL THEN 'NO_FRESH_NEWS' END AS detail FROM statuses)
     GROUP BY 1"""))
 def feed_outage_override(spark, d):
     """Line 7 stands for polls during an outage: the catalyst is unknown there."""
@@ -76,8 +76,8 @@ def feed_outage_override(spark, d):
     third = src.evals(spark, d).select(F.element_at(results, 3).alias("p"))
     return third.groupBy(c("p.status").alias("status")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(c("p.detail") == "news feed unavailable; catalyst not evaluable").alias("n_outage"),
-        F.count_if(c("p.detail") == "no news within the freshness window").alias("n_quiet"))
+        F.count_if(c("p.detail") == "FEED_DOWN").alias("n_outage"),
+        F.count_if(c("p.detail") == "NO_FRESH_NEWS").alias("n_quiet"))
 
 
 @query("b11_near_miss", with_("statuses", """SELECT number, count(*) AS n,
@@ -241,12 +241,10 @@ def rank_score(spark, d):
 # --- pushes ----------------------------------------------------------------
 
 PUSH_TIES = "l_orderkey, l_linenumber, l_partkey"
-PUSH_CTE = f"""SELECT *, CASE WHEN tier NOT IN ('A','B') THEN 'tier '||tier||' is UI-only'
-    WHEN sent_before >= p THEN 'already pushed '||brand||' at tier '||
-      CASE sent_before WHEN 3 THEN 'A' ELSE 'B' END||' in this window'
-    WHEN pushed AND sent_before=2 THEN 'upgrade B -> '||tier
-    WHEN pushed THEN 'first '||tier||' alert for '||brand
-    ELSE 'window push budget of 3 exhausted; UI only' END AS push_reason FROM (
+PUSH_CTE = f"""SELECT *, CASE WHEN tier NOT IN ('A','B') THEN 'TIER_NOT_SENT'
+    WHEN sent_before >= p THEN 'SENT_BEFORE:'||CASE sent_before WHEN 3 THEN 'A' ELSE 'B' END
+    WHEN pushed AND sent_before=2 THEN 'UPGRADE:B' WHEN pushed THEN 'FIRST'
+    ELSE 'BUDGET_SPENT:3' END AS push_reason FROM (
   SELECT *, coalesce(max(CASE WHEN pushed THEN p END) OVER (PARTITION BY window_start, brand
     ORDER BY poll_ts, -l_quantity, brand, {PUSH_TIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)
     AS sent_before FROM (

@@ -46,11 +46,11 @@ def price_at_move_start(spark, d):
 
 
 DETECTED = f"""SELECT *, CASE WHEN NOT floor THEN high_pct END AS shown_high,
-    CASE WHEN floor THEN 'below the $1 / $1,000 floors'
-      WHEN high_pct >= 50 THEN 'high of day +'||{half_even('high_pct',0)}||'% vs prev close'
-      WHEN intraday >= 30 THEN 'intraday +'||{half_even('intraday',0)}||'% from a 60-minute low'
-      WHEN post >= 30 THEN 'post-market +'||{half_even('post',0)}||'% from the 16:00 price'
-      ELSE 'no runner rule met' END AS rule,
+    CASE WHEN floor THEN 'BELOW_FLOORS'
+      WHEN high_pct >= 50 THEN 'DAY_HIGH:'||{half_even('high_pct',0)}
+      WHEN intraday >= 30 THEN 'INTRADAY:'||{half_even('intraday',0)}
+      WHEN post >= 30 THEN 'POST_MARKET:'||{half_even('post',0)}
+      ELSE 'NONE' END AS rule,
     NOT floor AND (coalesce(high_pct >= 50,false) OR coalesce(intraday >= 30,false)
       OR coalesce(post >= 30,false)) AS is_runner FROM (SELECT a.*, {pct('day_high','prev_close')} AS high_pct,
       {pct('post_high','four_price')} AS post, last_price < 1 OR dollars < 1000 AS floor FROM (
@@ -91,34 +91,31 @@ def _compact(x):
             f"{half_even(f'({x})/1000000', 1)}||'M' ELSE {half_even(x, 2)} END")
 
 
-def _pillar_sql(n, name, value, threshold):
+def _pillar_sql(n, value, threshold):
     status = f"p{n}"
     fail = f"{status}='fail'" if n != 3 else "false"
     near = f"{fail} AND abs({value}-{threshold})/{threshold}::DOUBLE <= 0.2::DOUBLE"
     reasons = [f"CASE WHEN {status}='unknown' THEN 'DATA_MISSING' END",
                f"CASE WHEN {fail} THEN 'FAILED_PILLAR' END", f"CASE WHEN {near} THEN 'NEAR_MISS' END"]
-    details = [f"CASE WHEN {status}='unknown' THEN 'pillar {n} ({name}) unknown: ' END",
-               f"CASE WHEN {fail} THEN 'pillar {n} ({name}) failed: '||{_compact(f'{value}::DOUBLE')}||' vs '||"
+    details = [f"CASE WHEN {status}='unknown' THEN 'p{n}?' END",
+               f"CASE WHEN {fail} THEN 'p{n}='||{_compact(f'{value}::DOUBLE')}||'/'||"
                f"{_compact(f'{threshold}::DOUBLE')} END",
-               f"CASE WHEN {near} THEN 'pillar {n} was within 20% of its threshold' END"]
+               f"CASE WHEN {near} THEN 'p{n}~0.2' END"]
     return reasons, details
 
 
 _R, _D = [], []
-for _args in ((1, "up_on_day", "gap_pct", 10), (2, "relative_volume", "rvol", 5),
-              (3, "news_catalyst", "news_age", 15), (4, "price_range", "price", 20),
-              (5, "float", "float_shares", 20000000)):
+for _args in ((1, "gap_pct", 10), (2, "rvol", 5), (3, "news_age", 15), (4, "price", 20),
+              (5, "float_shares", 20000000)):
     _a, _b = _pillar_sql(*_args)
     _R += _a
     _D += _b
 DIAGNOSED = f"""SELECT *, CASE WHEN caught THEN 'CAUGHT' ELSE array_to_string([reasons[i] for i in range(1, len(reasons)+1)
       if reasons[i] IS NOT NULL AND list_position(reasons, reasons[i]) = i], '|') END AS miss_reasons,
-    CASE WHEN caught THEN 'alerted at tier '||best_tier ELSE array_to_string([
-      CASE WHEN NOT evaluated THEN 'never appeared in a snapshot: the collector filter did not select it' END,
-      CASE WHEN outside THEN 'move started '||strftime({et('start')},'%H:%M')||' ET, outside every alert window' END,
-      {', '.join(_D)}, CASE WHEN first_news IS NULL THEN 'no news recorded for this ticker that day'
-        WHEN lag > 15 THEN 'first news arrived '||{half_even('lag',0)}||' min after the move started'
-        WHEN lag < -15 THEN 'news predated the move by '||{half_even('-lag',0)}||' min: stale by the freshness rule' END], '; ') END AS miss_detail FROM (SELECT *, [
+    CASE WHEN caught THEN 'tier='||best_tier ELSE array_to_string([
+      CASE WHEN NOT evaluated THEN 'not_collected' END,
+      CASE WHEN outside THEN 'started='||strftime({et('start')},'%H:%M') END,
+      {', '.join(_D)}, CASE WHEN lag > 15 THEN 'news=+'||{half_even('lag',0)} WHEN lag < -15 THEN 'news='||{half_even('lag',0)} END], '; ') END AS miss_detail FROM (SELECT *, [
         CASE WHEN NOT evaluated THEN 'NOT_IN_UNIVERSE' END, CASE WHEN outside THEN 'OUTSIDE_WINDOW' END, {', '.join(_R)},
         CASE WHEN first_news IS NULL THEN 'NO_NEWS' WHEN lag > 15 THEN 'NEWS_LATE' WHEN lag < -15 THEN 'NEWS_STALE' END]
         AS reasons FROM (SELECT e.ticker, e.date, e.start, e.rule, e.shown_high, e.start_price, e.dollars,
