@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.config import OutcomeRules, PillarThresholds
@@ -12,12 +12,26 @@ from tapeloom.functions import rules, text
 from tapeloom.operators.scan import top_rows
 
 
+#: Room for a time in microseconds below a tier's rank in one whole number.
+_TIME_BITS = 57
+
+
+def _rank_then_time(rank: Column, ts: Column) -> Column:
+    """Smallest for the highest rank, the earliest time first; a long, so Spark folds it in a hash table."""
+    top = len(rules.TIERS) - 1
+    return F.shiftleft((F.lit(top) - F.coalesce(rank, F.lit(-1))).cast("long"), _TIME_BITS) + F.unix_micros(ts)
+
+
+def _its_time(key: Column) -> Column:
+    return F.timestamp_micros(key.bitwiseAND((1 << _TIME_BITS) - 1))
+
+
 def best_tier(evaluations: DataFrame, by: Sequence[str] = ("ticker", "date")) -> DataFrame:
     """Highest tier per ticker-day and the first moment it was reached."""
     ranked = evaluations.withColumn("_rank", rules.tier_rank(F.col("tier")))
     top = ranked.groupBy(*by).agg(
         F.max("_rank").alias("_best"),
-        F.min_by("poll_ts", F.struct(-F.col("_rank"), F.col("poll_ts"))).alias("best_tier_ts"),
+        _its_time(F.min(_rank_then_time(F.col("_rank"), F.col("poll_ts")))).alias("best_tier_ts"),
     )
     return top.withColumn("best_tier", rules.tier_name(F.col("_best"))).drop("_best")
 
@@ -32,7 +46,7 @@ def evaluation_summary(evaluations: DataFrame, th: PillarThresholds,
         "ticker", "date").agg(
         F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"),
         F.max(rank).alias("_best"),
-        F.min_by("poll_ts", F.struct(-rank, F.col("poll_ts"))).alias("best_tier_ts"),
+        _its_time(F.min(_rank_then_time(rank, F.col("poll_ts")))).alias("best_tier_ts"),
     ).select("ticker", "date", "_row.*", rules.tier_name(F.col("_best")).alias("best_tier"),
              "best_tier_ts")
     values = {1: "gap_pct", 2: "rvol", 3: "news_age", 4: "price", 5: "float_shares"}
