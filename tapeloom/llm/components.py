@@ -8,34 +8,36 @@ from pyspark.sql import functions as F
 from tapeloom.session import written_once
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre (only ``a``) or hangs on exactly one (``b`` once)."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("hangs")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(1).alias("hangs")))
+    found = ends.groupBy("node").agg(F.sum("hangs").alias("on"), F.min("hangs").alias("centre"))
+    return found.filter("on > 1 OR (on = 1 AND centre = 0)").isEmpty()
+
+
 def components(edges: DataFrame, label: str = "component") -> DataFrame:
     """``node, root`` for every node of ``a, b``; the root is the component's least node.
 
-    Alternates two steps until nothing changes: every node tells its larger
+    Alternates two steps until all edges are stars: every node tells its larger
     neighbours, then its smaller ones, the least neighbour it knows. Each step
     is an aggregate per node and a join with it, so a hub's edges are spread by
     Spark's skew handling and never gathered. Rounds grow with the logarithm of
     the longest path.
     """
-    edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = written_once(edges, label)
-    state = None
-    while True:
+    edges = written_once(edges.filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["node"]).filter("b > a").select(
-            F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = written_once(both.join(least, both["a"] == least["node"]).filter("b > a").select(
+            F.col("m").alias("a"), "b").filter("a <> b").distinct(), label)
         least = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m")
         met = large.join(least, large["b"] == least["node"])
-        small = met.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(
-            met.select(F.col("m").alias("x"), F.col("b").alias("y"))).filter("x <> y").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = written_once(small, label)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    # the roots themselves need rows of their own
+        # the least neighbour and each other one, and the least neighbour and the node itself
+        small = met.select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).filter("a <> b")
+        edges = written_once(small.select("a", "b").distinct(), label)
+    # centres need rows of their own
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -52,11 +52,9 @@ FREQUENT = 0.001
 #: Sets in a leaf of a candidate component; points in a node of a tree.
 LEAF, NODE = 256, 16
 #: Prefix hashes a task gathers before it sends them on, and those of a slice on average.
-FLUSH, SLICE = 1 << 21, 1 << 19
+FLUSH, SLICE = 1 << 19, 1 << 19
 #: Holders of a hash are counted up to this; frequent ones rank beyond.
 MOST_HELD = 60_000
-#: Nodes whose sets are wanted are sent to all tasks up to this many; beyond, every set is shuffled.
-WANTED = 4_000_000
 
 
 def links(common: int, a: int, b: int) -> bool:
@@ -91,7 +89,7 @@ def node_of(own: np.ndarray) -> int:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, n, node`` (``token`` null), and reports of hashes that many of a task's sets hold.
+    """Per document ``doc_id, n, node, h`` (``token`` null), and reports of hashes that many of a task's sets hold.
 
     A hash held by ``FREQUENT`` of all sets is reported by tasks that see more
     than half of them, so the reports add up to at least half its holders.
@@ -105,17 +103,13 @@ def scan_sets(docs: DataFrame) -> DataFrame:
         def report():
             tokens, n = np.unique(np.concatenate(gathered), return_counts=True)
             many = n >= max(32, FREQUENT / 2 * sets)
-            return rows([], [], [], tokens[many].view(np.int64), n[many])
-
-        def rows(doc_id, n, node, token, held):
-            k, m = len(n), len(token)
-            return pa.RecordBatch.from_arrays([
-                pa.array(doc_id, pa.int64()) if k else pa.nulls(m, pa.int64()),
-                pa.array(n, pa.int64()) if k else pa.nulls(m, pa.int64()),
-                pa.array(node, pa.int64()) if k else pa.nulls(m, pa.int64()),
-                pa.array(token, pa.int64()) if m else pa.nulls(k, pa.int64()),
-                pa.array(held, pa.int64()) if m else pa.nulls(k, pa.int64()),
-            ], names=["doc_id", "n", "node", "token", "held"])
+            return rows(token=tokens[many].view(np.int64), held=n[many])
+
+        def rows(**given):
+            size = max(map(len, given.values()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(given[c], pa.int64()) if c in given else pa.nulls(size, pa.int64()) for c in columns],
+                names=columns)
 
         for batch in chunks(batches):
             n, nodes = [], []
@@ -127,15 +121,15 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                     gathered.append(own[:prefix(len(own))])
                     sets += 1
                     size += len(gathered[-1])
-            yield rows(batch.column("doc_id"), n, nodes, [], [])
+            yield rows(doc_id=batch.column("doc_id"), n=n, node=nodes, h=batch.column("h"))
             if size >= FLUSH:
                 yield report()
                 gathered, sets, size = [], 0, 0
         if gathered:
             yield report()
 
-    return written_once(
-        docs.mapInArrow(run, "doc_id long, n long, node long, token long, held long"), "sets")
+    columns = ["doc_id", "n", "node", "h", "token", "held"]
+    return written_once(docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns)), "sets")
 
 
 PACKED = "part int, nodes binary, sizes binary, runs binary, low binary, high binary, held binary"
@@ -433,35 +427,29 @@ def join_leaf(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(nodes[label]), pa.array(nodes)], schema=_EDGES)
 
 
-def member_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the nodes in ``wanted``, with its columns: ``hashes binary``."""
-    spark = docs.sparkSession
-    known = None
-    if wanted.count() <= WANTED:
-        known = np.sort(wanted.select("node").toPandas()["node"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(known)
+def member_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the nodes in ``wanted``, with its columns: ``hashes binary``.
+
+    One text per node is found by its hash; all others leave before the exchange.
+    """
+    hashes = written_once(rows.join(wanted.select("node"), "node").groupBy("node").agg(
+        F.min("h").alias("h")).select("h").distinct(), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        only, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in chunks(batches):
-            nodes, hashes = [], []
+            nodes, found = [], []
             for own in shingle_sets(batch.column("text")):
-                if not len(own):
-                    continue
                 node = node_of(own)
-                if node in seen:
-                    continue
-                if only is not None:
-                    at = int(np.searchsorted(only, node))
-                    if at == len(only) or only[at] != node:
-                        continue
-                seen.add(node)
-                nodes.append(node)
-                hashes.append(own.astype("<u8").tobytes())
+                if len(own) and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    found.append(own.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+                [pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    sets = docs.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    texts_ = docs.join(hashes, "h", "left_semi").select("text")
+    sets = texts_.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
     return written_once(sets.join(wanted, "node"), "members")
 
 
@@ -551,47 +539,53 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
     return again.groupBy(*key).applyInArrow(verify, EDGES)
 
 
-def link_sets(docs: DataFrame, wanted: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """``node, root`` of linked sets; ``wanted`` has ``node, candidate``."""
-    members = member_sets(docs, dealt(wanted, leaf))
-    edges = written_once(members.select("node", "hashes", "candidate", "leaf").groupBy("candidate", "leaf").applyInArrow(
-        join_leaf, EDGES), "links")
+def link_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``node, root`` of all sets in ``wanted``, which has ``node, candidate``."""
+    members = member_sets(docs, rows, dealt(wanted, leaf))
+    inside = written_once(members.select("node", "hashes", "candidate", "leaf").groupBy(
+        "candidate", "leaf").applyInArrow(join_leaf, EDGES), "links")
+    current = inside.select(F.col("b").alias("node"), F.col("a").alias("root"))
     several = members.filter("leaves > 1")
     if several.isEmpty():
-        return roots(members, edges)
-    # pivots of the leaves' parts, as long as that lessens them
-    pivots = members.select("node", "candidate", "leaves").join(
-        edges.select(F.col("a").alias("node")).distinct(), "node").filter("leaves > 1").select("node", "candidate")
-    before = None
+        return current
+    # pivots: the least set of each leaf's parts, joined as long as that lessens them
+    pivots = several.select("node", "candidate").join(
+        inside.select(F.col("a").alias("node")).distinct(), "node")
+    edges, before = None, None
     while True:
         pivots = written_once(dealt(pivots, leaf), "pivots")
         n = pivots.count()
         if before is not None and 2 * n > before:
             break
-        sets = members.select("node", "hashes").join(pivots, "node")
+        sets = several.select("node", "hashes").join(pivots, "node")
         more = written_once(sets.groupBy("candidate", "leaf").applyInArrow(join_leaf, EDGES), "pivot-links")
-        edges = edges.unionByName(more)
+        edges = more if edges is None else edges.unionByName(more)
         if pivots.filter("leaves > 1").isEmpty():
             break
         before = n
         pivots = pivots.select("node", "candidate").join(more.select(F.col("a").alias("node")).distinct(), "node")
-    current = written_once(roots(members, edges), "parts")
-    return roots(members, edges.unionByName(stragglers_edges(several, current, leaf)))
+    current = written_once(replaced(current, components(edges, "joined")), "parts")
+    more = written_once(stragglers_edges(several, current, leaf), "straggler-links")
+    if more.isEmpty():
+        return current
+    ends = [current.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    more = more.join(ends[0], "a").join(ends[1], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    return replaced(current, components(more, "joined"))
 
 
-def roots(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, root`` of all members; one without links is its own root."""
-    found = components(edges, "joined")
-    return members.select("node").join(found, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"))
+def replaced(current: DataFrame, joined: DataFrame) -> DataFrame:
+    """``node, root`` with roots that were joined to others replaced by theirs."""
+    joined = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return current.join(joined, current["root"] == joined["old"], "left").select(
+        "node", F.coalesce("new", "root").alias("root"))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           leaf: int = LEAF, frequent_share: float = FREQUENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    docs = texts(docs, id_col, text_col)
+    docs = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     sets = scan_sets(docs)
-    rows = sets.filter("n IS NOT NULL").select("doc_id", "n", "node")
+    rows = sets.filter("n IS NOT NULL").select("doc_id", "n", "node", "h")
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).first()
     # at most 2 / share hashes for each hash of an average prefix, whatever the input
     reports = sets.filter("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held")).filter(
@@ -607,11 +601,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = candidates.join(nodes, "node").withColumnRenamed("root", "candidate")
     several = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("candidate")
     wanted = written_once(candidates.join(several, "candidate").select("node", "candidate"), "candidates")
-    linked = written_once(link_sets(docs, wanted, leaf), "linked")
-    placed = rows.filter("node IS NOT NULL").join(linked, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = link_sets(docs, rows, wanted, leaf)
+    # per distinct set first; both sides of each join are written or plain, so that Spark can split a large component
+    placed = written_once(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(
+        linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    least = written_once(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written_once(placed.join(least, "root").select("node", "component_id"), "named")
+    out = rows.filter("node IS NOT NULL").join(named, "node").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("node IS NULL").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
