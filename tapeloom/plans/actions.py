@@ -15,6 +15,7 @@ class ActionsDone(NamedTuple):
     rejected: DataFrame
     affected: DataFrame
     baselines: DataFrame
+    payloads: DataFrame
 
 
 def run_actions(payloads: DataFrame, root: str, stored_baselines: DataFrame, day: Column,
@@ -28,4 +29,4 @@ def run_actions(payloads: DataFrame, root: str, stored_baselines: DataFrame, day
     lake.append(feeds.action_rows(actions, day, now), root, "corporate_actions", "actions_feed")
     affected = integrity.baselines_to_recompute(actions)
     kept = baseline.invalidate(stored_baselines, affected)
-    return ActionsDone(records.where(~F.col("valid")), affected, kept)
+    return ActionsDone(records.where(~F.col("valid")), affected, kept, feeds.payload_counts(payloads, "actions"))

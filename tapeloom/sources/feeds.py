@@ -73,7 +73,12 @@ ACTION_TYPES = {
     "worthless_removal": "delisting",
     "delisting": "delisting",
 }
-MAX_SAMPLE_ERRORS = 5
+#: What a payload of each feed must hold to be readable at all.
+PAYLOADS = {
+    "scanner": ("data array<struct<s:string,d:array<string>>>", "data"),
+    "bars": ("bars map<string,array<struct<t:string>>>", "bars"),
+    "actions": ("corporate_actions map<string,array<struct<symbol:string>>>", "corporate_actions"),
+}
 
 
 class ContractChanged(ValueError):
@@ -90,6 +95,18 @@ def missing_columns(returned: Sequence[str],
     return missing
 
 
+def payload_counts(lines: DataFrame, feed: str, by: Sequence[str] = ()) -> DataFrame:
+    """``payloads`` landed and ``unreadable`` ones among them.
+
+    A payload that is not the feed's JSON yields no record, so only a count of
+    payloads can show it.
+    """
+    schema, field = PAYLOADS[feed]
+    readable = F.from_json("value", schema)[field].isNotNull()
+    return lines.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("payloads"), F.count_if(~readable).alias("unreadable"))
+
+
 # --- scanner snapshots -----------------------------------------------------
 
 def scanner_records(lines: DataFrame, poll_ts: str = "poll_ts") -> DataFrame:
@@ -142,21 +159,28 @@ def tradable(rows: DataFrame) -> DataFrame:
         F.col("instrument_type"), F.col("typespecs"), F.col("exchange"))).drop("parse_error")
 
 
-def poll_report(rows: DataFrame, missing: Sequence[str] = (), poll_ts: str = "poll_ts") -> DataFrame:
-    """Kept, unparsable and excluded rows per poll, with a few sample errors.
+def poll_report(rows: DataFrame, lines: DataFrame, missing: Sequence[str] = (),
+                poll_ts: str = "poll_ts") -> DataFrame:
+    """Kept, unparsable and excluded rows and unreadable payloads per poll, with the errors met.
 
-    The samples are the smallest few distinct messages; there is one possible
-    message per column, so the set behind them is bounded by the contract.
+    There is one possible message per column, so their set is bounded by the
+    contract. A poll without a readable payload has its row all the same.
     """
     good = F.col("parse_error").isNull()
     stock = rules.common_stock(F.col("instrument_type"), F.col("typespecs"), F.col("exchange"))
-    return rows.groupBy(poll_ts).agg(
+    seen = rows.groupBy(poll_ts).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(good & stock).alias("kept"),
         F.count_if(~good).alias("unparsable"),
         F.count_if(good & ~stock).alias("excluded_non_stock"),
-        F.slice(F.sort_array(F.collect_set("parse_error")), 1, MAX_SAMPLE_ERRORS).alias("errors"),
-    ).withColumn("degraded", (F.col("unparsable") > 0) | F.lit(bool(missing)))
+        F.sort_array(F.collect_set("parse_error")).alias("errors"),
+    )
+    polls = payload_counts(lines, "scanner", [poll_ts]).drop("payloads").join(seen, poll_ts, "left")
+    counts = ["total", "kept", "unparsable", "excluded_non_stock"]
+    return polls.select(
+        poll_ts, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], "unreadable",
+        F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+    ).withColumn("degraded", (F.col("unparsable") + F.col("unreadable") > 0) | F.lit(bool(missing)))
 
 
 def busiest_above(rows: DataFrame, min_price: float, limit: int = 20_000,
@@ -253,6 +277,20 @@ def news_items(frames: DataFrame, default_source: str = "wire") -> DataFrame:
         F.try_to_timestamp("updated_at").alias("updated_at"), "received_at")
 
 
+def _complete_story() -> Column:
+    return (
+        F.col("i.id").isNotNull() & (F.coalesce(F.col("i.headline"), F.lit("")) != "")
+        & (F.coalesce(F.col("i.datetime"), F.lit(0)) != 0)
+    )
+
+
+def second_feed_counts(lines: DataFrame) -> DataFrame:
+    """Records of the other feed, and those :func:`second_feed_items` leaves out."""
+    item = F.from_json("value", "id string, headline string, datetime bigint")
+    return lines.select(item.alias("i")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(~_complete_story()).alias("left_out"))
+
+
 def second_feed_items(lines: DataFrame, feed: str) -> DataFrame:
     """Company-news records of another feed in the shared shape.
 
@@ -262,11 +300,7 @@ def second_feed_items(lines: DataFrame, feed: str) -> DataFrame:
     item = F.from_json(
         "value", "id string, headline string, datetime bigint, source string, url string")
     rows = lines.select("ticker", "received_at", item.alias("i"))
-    complete = (
-        F.col("i.id").isNotNull() & (F.coalesce(F.col("i.headline"), F.lit("")) != "")
-        & (F.coalesce(F.col("i.datetime"), F.lit(0)) != 0)
-    )
-    return rows.where(complete).select(
+    return rows.where(_complete_story()).select(
         F.concat(F.lit(f"{feed}:"), F.col("i.id")).alias("news_id"),
         F.array(F.upper("ticker")).alias("symbols"), F.col("i.headline").alias("headline"),
         F.concat(F.lit(f"{feed}:"), F.coalesce(F.col("i.source"), F.lit("unknown")))

@@ -25,7 +25,7 @@ def land(lines: DataFrame, label: str) -> DataFrame:
 
 
 def scanner_payloads(spark: SparkSession, sf_dir: str, broken_arity: bool = False) -> DataFrame:
-    """One payload per 50 events: positional rows, some with an unusable close."""
+    """One payload per 50 events: positional rows, some with an unusable close; some payloads once more, cut off."""
     t = src.ticks(spark, sf_dir).withColumn("page", F.floor(F.col("event_id") / PAGE))
     number = F.concat(F.lit('"'), F.lit("n/a"), F.lit('"'))
     close = F.when(F.col("event_id") % 97 == 0, number).otherwise(F.col("price").cast("string"))
@@ -49,7 +49,9 @@ def scanner_payloads(spark: SparkSession, sf_dir: str, broken_arity: bool = Fals
         F.min("ts").alias("poll_ts"), F.sort_array(F.collect_list(row)).alias("rows"))
     value = F.concat(F.lit('{"totalCount":'), F.size("rows").cast("string"), F.lit(',"data":['),
                      F.concat_ws(",", "rows"), F.lit("]}"))
-    return land(docs.select("poll_ts", value.alias("value")), "scanner")
+    cut_off = docs.where(F.col("page") % 40 == 7).select(
+        "poll_ts", F.lit('{"totalCount":1,"data":[{"s":"X:Y","d":[').alias("value"))
+    return land(docs.select("poll_ts", value.alias("value")).unionByName(cut_off), "scanner")
 
 
 def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,8 @@ def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = bars.groupBy("ticker", "date").agg(F.sort_array(F.collect_list(rec)).alias("r"))
     value = F.concat(F.lit('{"bars":{"'), F.col("ticker"), F.lit('":['),
                      F.concat_ws(",", "r"), F.lit(']},"next_page_token":null}'))
-    return land(pages.select(value.alias("value")), "bars")
+    garbage = pages.where(F.dayofmonth("date") == 3).select(F.lit("<html>busy</html>").alias("value"))
+    return land(pages.select(value.alias("value")).unionByName(garbage), "bars")
 
 
 def news_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +124,5 @@ def action_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(rec)).alias("r"))
     value = F.concat(F.lit('{"corporate_actions":{"'), F.col("kind"), F.lit('":['),
                      F.concat_ws(",", "r"), F.lit("]}}"))
-    return land(pages.select(value.alias("value")), "actions")
+    garbage = pages.where(F.col("page") == 0).select(F.lit('{"message":"try later"}').alias("value"))
+    return land(pages.select(value.alias("value")).unionByName(garbage), "actions")

@@ -276,10 +276,12 @@ def typespec_overlap(spark, d):
 @query("a11_poll_report", with_("ticks", f"""SELECT {t('poll_ts','poll_ts')}, count(*) AS total,
     count(*) FILTER (NOT bad AND {STOCK}) AS kept, count(*) FILTER (bad) AS unparsable,
     count(*) FILTER (NOT bad AND NOT ({STOCK})) AS excluded_non_stock,
-    CASE WHEN bool_or(bad) THEN 'close is not a number' ELSE '' END AS errors, bool_or(bad) AS degraded
-    FROM scanned GROUP BY poll_ts""", scanned=SCANNED))
+    (any_value(page)%40=7)::BIGINT AS unreadable, CASE WHEN bool_or(bad) THEN 'close is not a number' ELSE '' END AS errors,
+    bool_or(bad OR page%40=7) AS degraded FROM scanned GROUP BY poll_ts""", scanned=SCANNED))
 def poll_report(spark, d):
-    return feeds.poll_report(scanned(spark, d))
+    """Some payloads landed cut off: they are counted."""
+    lines = landed.scanner_payloads(spark, d)
+    return feeds.poll_report(feeds.scanner_rows(feeds.scanner_records(lines)), lines)
 
 
 @query("a10_column_contract", with_("ticks", """SELECT 'sector|industry' AS missing, count(*) AS rows FROM ticks"""))
@@ -322,6 +324,12 @@ def unparsable_bars(spark, d):
         F.count_if(~F.col("valid")).alias("unparsable"), F.count_if("valid").alias("kept"))
 
 
+@query("a12_unreadable_pages", with_("bars", """SELECT count(*)+count(*) FILTER (day(date)=3) AS payloads,
+    count(*) FILTER (day(date)=3) AS unreadable FROM (SELECT DISTINCT ticker, date FROM bars)"""))
+def unreadable_pages(spark, d):
+    return feeds.payload_counts(landed.bar_pages(spark, d), "bars")
+
+
 @query("a13_bar_lake_rows", with_("bars", f"""SELECT upper(ticker) AS ticker, {t('date','date')}, {t('minute','minute_utc')},
     {r('close','close')}, {r('volume','volume')}, 15::BIGINT AS resolution_minutes FROM bars WHERE NOT ({BROKEN})"""))
 def bar_lake_rows(spark, d):
@@ -366,6 +374,12 @@ def second_feed(spark, d):
     return items.select("news_id", "symbols", "headline", "news_source", "url", "created_at")
 
 
+@query("a16_second_feed_left_out", with_("purchases", """SELECT count(*) AS records,
+    count(*) FILTER (event_id%23=0) AS left_out FROM purchases"""))
+def second_feed_left_out(spark, d):
+    return feeds.second_feed_counts(landed.second_feed_lines(spark, d))
+
+
 # --- corporate actions feed ------------------------------------------------
 
 LANDED = """SELECT a.*, CASE WHEN ratio IS NOT NULL THEN ticker ELSE new_symbol END AS shown, ticker[2:]::BIGINT AS k
@@ -382,6 +396,12 @@ def action_records(spark, d):
     return feeds.valid_actions(landed_actions(spark, d))
 
 
+@query("a17_unreadable_payloads", with_("actions", """SELECT count(*)+count(*) FILTER (page=0) AS payloads,
+    count(*) FILTER (page=0) AS unreadable FROM (SELECT DISTINCT action_type, k//50 AS page FROM landed)""", landed=LANDED))
+def unreadable_payloads(spark, d):
+    return feeds.payload_counts(landed.action_payloads(spark, d), "actions")
+
+
 @query("a18_action_lake_rows", with_("actions", f"""SELECT shown AS ticker, '2000-01-03' AS date,
     {t('effective_date','effective_date')}, action_type, {r('ratio','ratio')}, NULL::DOUBLE AS cash_amount
     FROM landed WHERE NOT (k%3=2 AND k%5=0)""", landed=LANDED))

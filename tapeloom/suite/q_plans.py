@@ -98,7 +98,8 @@ def window_poll_rows(spark, d):
     UNION ALL SELECT 'rejected', count(*) FROM landed WHERE k%3=2 AND k%5=0
     UNION ALL SELECT 'affected', count(DISTINCT (ticker, effective_date)) FROM landed WHERE NOT (k%3=2 AND k%5=0)
       AND action_type LIKE '%split'
-    UNION ALL SELECT 'baselines_kept', count(*) FROM base) x""", landed=ql.LANDED, curve=qa.CURVE, base=qa.BASE))
+    UNION ALL SELECT 'baselines_kept', count(*) FROM base
+    UNION ALL SELECT 'unreadable', count(DISTINCT action_type) FROM landed WHERE k < 50) x""", landed=ql.LANDED, curve=qa.CURVE, base=qa.BASE))
 def corporate_actions(spark, d):
     """Land, append, invalidate; the actions' tickers have no baseline here."""
     root = scratch_path(spark, "lake")
@@ -113,7 +114,7 @@ def corporate_actions(spark, d):
     for df, kind in ((done.rejected, "rejected"), (done.affected, "affected"),
                      (done.baselines, "baselines_kept")):
         out = out.unionByName(count(df, kind))
-    return out
+    return out.unionByName(done.payloads.select(F.lit("unreadable").alias("kind"), F.col("unreadable").alias("n")))
 
 
 def day_rows(spark, root, *tables):
