@@ -53,8 +53,11 @@ class Items(NamedTuple):
     counts: list[np.ndarray]
     lengths: np.ndarray
     prints: np.ndarray
-    #: all shingles of the block, sorted
+    #: all shingles of the block, sorted, and for each the items that hold it with their counts
     known: np.ndarray
+    first: np.ndarray
+    post_item: np.ndarray
+    post_count: np.ndarray
     #: per block of bits and value: the items
     blocks: list[list[np.ndarray]]
 
@@ -104,7 +107,22 @@ def index_items(ids: list[int], item_texts: list[str]) -> Items | None:
     prints = fingerprints(np.stack(sums))
     values = pieces(prints)
     blocks = [[np.flatnonzero(values[:, b] == v) for v in range(1 << BLOCK_BITS)] for b in range(BLOCKS)]
-    return Items(kept, sets, counts, np.array(lengths), prints, np.unique(np.concatenate(sets)), blocks)
+    shingle = np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    known, start = np.unique(shingle[order], return_index=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    return Items(kept, sets, counts, np.array(lengths), prints, known, np.append(start, len(shingle)), owner,
+                 np.concatenate(counts)[order], blocks)
+
+
+def possible_lengths(held: np.ndarray, items: Items, need: float) -> np.ndarray:
+    """Lengths of the items of which a text holds enough; ``held``: places in ``known`` of its shingles."""
+    held = np.unique(held)
+    size = items.first[held + 1] - items.first[held]
+    post = np.repeat(items.first[held] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+    common = np.bincount(items.post_item[post], items.post_count[post], len(items.lengths))
+    enough = (items.lengths > 0) & (common >= 2 * need / (1 + need) * items.lengths - 1e-9)
+    return np.unique(items.lengths[enough])
 
 
 def near(prints: np.ndarray, which: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -213,17 +231,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def look_up(hashes, runs, first, items: Items, found: list[dict[int, float]]) -> None:
         at = np.minimum(np.searchsorted(items.known, runs), len(items.known) - 1)
         hit = items.known[at] == runs
-        lengths = np.unique(items.lengths[items.lengths > 0])
         short = (items.lengths < 0).any()
+        before = np.append(0, np.cumsum(hit))
         for d in range(len(found)):
             low, high = int(first[d]), int(first[d + 1])
             best = short_matches(hashes[low:high], items) if short else {}
-            if high - low >= w.SHINGLE:
-                own, own_hit = runs[low:high - w.SHINGLE + 1], hit[low:high - w.SHINGLE + 1]
-                n = np.count_nonzero(own_hit)
-                for length in lengths:
-                    if n < 2 * need / (1 + need) * length - 1e-9:
-                        break
+            end = high - w.SHINGLE + 1
+            if end > low and before[end] > before[low]:
+                own, own_hit = runs[low:end], hit[low:end]
+                for length in possible_lengths(at[low:end][own_hit], items, need):
                     best |= matches(own, own_hit, int(length), items, need)
             for item, value in best.items():
                 i = items.ids[item]
