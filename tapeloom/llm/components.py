@@ -29,11 +29,12 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        # written, so that both sides of the join are plain exchanges and a hub's can be split
+        least = written_once(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("node"), F.least("a", "m").alias("m")), label)
         large = written_once(both.join(least, both["a"] == least["node"]).filter("b > a").select(
             F.col("m").alias("a"), "b").filter("a <> b").distinct(), label)
-        least = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m")
+        least = written_once(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m"), label)
         met = large.join(least, large["b"] == least["node"])
         # the least neighbour and each other one, and the least neighbour and the node itself
         small = met.select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).filter("a <> b")
