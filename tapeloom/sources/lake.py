@@ -45,8 +45,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def _names(spark: SparkSession, path: str) -> set[str]:
-    """Names of the files in a folder, none if it does not exist."""
+def entries(spark: SparkSession, path: str) -> set[str]:
+    """Names in a folder, none if it does not exist."""
     fs, target = _fs(spark, path)
     return {f.getPath().getName() for f in fs.listStatus(target)} if fs.exists(target) else set()
 
@@ -164,10 +164,10 @@ def set_days(df: DataFrame, root: str, table: str, days: Sequence[date], source:
     spark, path = df.sparkSession, table_path(root, table)
     stray = F.raise_error(F.concat(F.lit(f"{table}: a row of a day not asked for: "), F.col("date").cast("string")))
     checked = df.withColumn("date", F.when(F.col("date").isin(list(days)), F.col("date")).otherwise(stray))
-    before = {day: _names(spark, f"{path}/date={day}") for day in days}
+    before = {day: entries(spark, f"{path}/date={day}") for day in days}
     replace_days(checked, root, table, source)
     for day in sorted(before):
-        if before[day] and _names(spark, f"{path}/date={day}") == before[day]:
+        if before[day] and entries(spark, f"{path}/date={day}") == before[day]:
             _delete(spark, f"{path}/date={day}")
 
 

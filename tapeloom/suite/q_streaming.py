@@ -172,17 +172,18 @@ ALL_OUTAGES = """SELECT ts AS started, (SELECT min(u.ts) FROM health u WHERE u.s
     WHERE state='down' AND prev IS DISTINCT FROM 'down'"""
 
 
-@query("i8_feed_health_state", with_("health", f"""SELECT {t('started','started')}, {t('ended','ended')} FROM outages
-    WHERE ended IS NOT NULL""", outages=ALL_OUTAGES))
+@query("i8_feed_health_state", with_("health", f"""SELECT {t('started','started')}, {t('ended','ended')} FROM outages""",
+    outages=ALL_OUTAGES))
 def feed_health_state(spark, d):
-    """Outages of one feed; a gap may begin in one batch and end in another."""
+    """Outages of one feed, one still open included; a gap may begin in one batch and end in another."""
     log = src.health(spark, d).select(F.lit("news").alias("feed"), "ts", "event_id", "state")
     root = scratch_path(spark, "health")
     sources.drain(jobs.outage_stream(replay(log, "ts", "health"), root, ["feed"]),
                   scratch_path(spark, "cp-health"))
-    return sources.read_batches(
-        spark, root, "outages", "feed string, started timestamp, ended timestamp").select(
-        "started", "ended")
+    ended = sources.read_batches(
+        spark, root, "outages", "feed string, started timestamp, ended timestamp").select("started", "ended")
+    still = sources.of_last_batch(spark, root, "open_outages", "feed string, started timestamp")
+    return ended.unionByName(still.select("started", F.lit(None).cast("timestamp").alias("ended")))
 
 
 @query("i1_streaming_evaluations", with_("polls tagged udaily", f"""SELECT ticker, {t('poll_ts','poll_ts')},
