@@ -455,7 +455,9 @@ def member_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
 
 def dealt(nodes: DataFrame, leaf: int) -> DataFrame:
     """Adds ``leaf`` to ``node, candidate``: components beyond the size of a leaf are dealt by a hash."""
-    sizes = nodes.groupBy("candidate").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("leaves"))
+    # written, so that both sides of the join are plain exchanges and a large component's can be split
+    sizes = written_once(
+        nodes.groupBy("candidate").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("leaves")), "sizes")
     return nodes.join(sizes, "candidate").withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")))
 
 
@@ -598,9 +600,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = components(edges, "candidates")
     # vertices of frequent hashes are no nodes, and a candidate component needs two nodes
     nodes = rows.filter("node IS NOT NULL").select("node").distinct()
-    candidates = candidates.join(nodes, "node").withColumnRenamed("root", "candidate")
-    several = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("candidate")
-    wanted = written_once(candidates.join(several, "candidate").select("node", "candidate"), "candidates")
+    candidates = written_once(candidates.join(nodes, "node").withColumnRenamed("root", "candidate"), "candidates")
+    several = written_once(candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(
+        "candidate"), "several")
+    wanted = written_once(candidates.join(several, "candidate").select("node", "candidate"), "wanted")
     linked = link_sets(docs, rows, wanted, leaf)
     # per distinct set first; both sides of each join are written or plain, so that Spark can split a large component
     placed = written_once(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(
