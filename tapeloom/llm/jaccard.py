@@ -53,6 +53,8 @@ FREQUENT = 0.001
 LEAF, NODE = 256, 16
 #: Prefix hashes a task gathers before it sends them on, and those of a slice on average.
 FLUSH, SLICE = 1 << 19, 1 << 19
+#: Bits of the bitmap of wanted nodes.
+FILTER_BITS = 1 << 23
 #: Holders of a hash are counted up to this; frequent ones rank beyond.
 MOST_HELD = 60_000
 
@@ -89,7 +91,7 @@ def node_of(own: np.ndarray) -> int:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, n, node, h`` (``token`` null), and reports of hashes that many of a task's sets hold.
+    """Per document ``doc_id, n, node`` (``token`` null), and reports of hashes that many of a task's sets hold.
 
     A hash held by ``FREQUENT`` of all sets is reported by tasks that see more
     than half of them, so the reports add up to at least half its holders.
@@ -121,14 +123,14 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                     gathered.append(own[:prefix(len(own))])
                     sets += 1
                     size += len(gathered[-1])
-            yield rows(doc_id=batch.column("doc_id"), n=n, node=nodes, h=batch.column("h"))
+            yield rows(doc_id=batch.column("doc_id"), n=n, node=nodes)
             if size >= FLUSH:
                 yield report()
                 gathered, sets, size = [], 0, 0
         if gathered:
             yield report()
 
-    columns = ["doc_id", "n", "node", "h", "token", "held"]
+    columns = ["doc_id", "n", "node", "token", "held"]
     return written_once(docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns)), "sets")
 
 
@@ -427,29 +429,43 @@ def join_leaf(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(nodes[label]), pa.array(nodes)], schema=_EDGES)
 
 
-def member_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bit of every wanted node set: at most ``FILTER_BITS / 64`` rows come here."""
+    place = F.pmod(F.col("node"), F.lit(FILTER_BITS))
+    words = wanted.select(F.floor(place / 64).cast("int").alias("word"), F.expr(
+        "shiftleft(1L, CAST(pmod(node, 64) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.collect():
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
+
+
+def member_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sets of the nodes in ``wanted``, with its columns: ``hashes binary``.
 
-    One text per node is found by its hash; all others leave before the exchange.
+    A bitmap of fixed size keeps most other sets from the exchange; the join
+    decides.
     """
-    hashes = written_once(rows.join(wanted.select("node"), "node").groupBy("node").agg(
-        F.min("h").alias("h")).select("h").distinct(), "texts")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: set[int] = set()
+        bits, seen = shared.value, set()
         for batch in chunks(batches):
             nodes, found = [], []
             for own in shingle_sets(batch.column("text")):
+                if not len(own):
+                    continue
                 node = node_of(own)
-                if len(own) and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    found.append(own.astype("<u8").tobytes())
+                place = node % FILTER_BITS
+                if node in seen or not int(bits[place // 64]) >> place % 64 & 1:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                found.append(own.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    texts_ = docs.join(hashes, "h", "left_semi").select("text")
-    sets = texts_.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    sets = docs.select("text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
     return written_once(sets.join(wanted, "node"), "members")
 
 
@@ -541,9 +557,9 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
     return again.groupBy(*key).applyInArrow(verify, EDGES)
 
 
-def link_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, leaf: int = LEAF) -> DataFrame:
+def link_sets(docs: DataFrame, wanted: DataFrame, leaf: int = LEAF) -> DataFrame:
     """``node, root`` of all sets in ``wanted``, which has ``node, candidate``."""
-    members = member_sets(docs, rows, dealt(wanted, leaf))
+    members = member_sets(docs, dealt(wanted, leaf))
     inside = written_once(members.select("node", "hashes", "candidate", "leaf").groupBy(
         "candidate", "leaf").applyInArrow(join_leaf, EDGES), "links")
     current = inside.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -585,9 +601,9 @@ def replaced(current: DataFrame, joined: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           leaf: int = LEAF, frequent_share: float = FREQUENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    docs = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    docs = texts(docs, id_col, text_col)
     sets = scan_sets(docs)
-    rows = sets.filter("n IS NOT NULL").select("doc_id", "n", "node", "h")
+    rows = sets.filter("n IS NOT NULL").select("doc_id", "n", "node")
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).first()
     # at most 2 / share hashes for each hash of an average prefix, whatever the input
     reports = sets.filter("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held")).filter(
@@ -604,7 +620,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several = written_once(candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(
         "candidate"), "several")
     wanted = written_once(candidates.join(several, "candidate").select("node", "candidate"), "wanted")
-    linked = link_sets(docs, rows, wanted, leaf)
+    linked = link_sets(docs, wanted, leaf)
     # per distinct set first; both sides of each join are written or plain, so that Spark can split a large component
     placed = written_once(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(
         linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
