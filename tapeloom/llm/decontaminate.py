@@ -3,14 +3,16 @@
 A benchmark item is its multiset of five-word shingles (its whole sequence if it
 has fewer words). A document is contaminated by an item if a window of it, as
 long as the item, has a weighted Jaccard similarity (sum of minima over sum of
-maxima of the shingles' counts) of at least 0.75 with it.
+maxima of the shingles' counts) of at least 0.75 with it. A document shorter than
+the item is the one window itself.
 
 Windows that can reach this hold enough shingles of the benchmark at all, which
 one running count per document shows; those get a 64-bit SimHash. Fingerprints
 are cut into 21 blocks of 3 bits: two that differ in at most 20 bits agree in a
 block, so a look-up per block finds all items within that radius. Candidates are
 then compared exactly. At a similarity of 0.75 two fingerprints differ in 11 bits
-on average, with a deviation of 3, so the radius lies three deviations beyond.
+on average, with a deviation of 3, so the radius lies three deviations beyond. A document shorter than
+an item of which it holds enough is compared with it exactly, without fingerprints.
 
 The benchmark is a stated set of bounded blocks: each block of items is sent to
 all tasks and the documents are read once per block, so no block outgrows a task.
@@ -115,14 +117,15 @@ def index_items(ids: list[int], item_texts: list[str]) -> Items | None:
                  np.concatenate(counts)[order], blocks)
 
 
-def possible_lengths(held: np.ndarray, items: Items, need: float) -> np.ndarray:
-    """Lengths of the items of which a text holds enough; ``held``: places in ``known`` of its shingles."""
+def possible_items(held: np.ndarray, size: int, items: Items, need: float) -> np.ndarray:
+    """Items of which a text of ``size`` shingles holds enough; ``held``: places in ``known`` of its shingles."""
     held = np.unique(held)
-    size = items.first[held + 1] - items.first[held]
-    post = np.repeat(items.first[held] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+    n = items.first[held + 1] - items.first[held]
+    post = np.repeat(items.first[held] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
     common = np.bincount(items.post_item[post], items.post_count[post], len(items.lengths))
-    enough = (items.lengths > 0) & (common >= 2 * need / (1 + need) * items.lengths - 1e-9)
-    return np.unique(items.lengths[enough])
+    # a window is as long as its item, or the whole text if that is shorter
+    least = need / (1 + need) * (items.lengths + np.minimum(items.lengths, size))
+    return np.flatnonzero((items.lengths > 0) & (common >= least - 1e-9))
 
 
 def near(prints: np.ndarray, which: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -158,9 +161,9 @@ def similarity(window: np.ndarray, shingles: np.ndarray, counts: np.ndarray) ->
 
 
 def matches(own: np.ndarray, hits: np.ndarray, length: int, items: Items, need: float) -> dict[int, float]:
-    """Best similarity per item among the windows of ``length`` shingles of one text."""
+    """Best similarity per item among the windows of ``length`` shingles of one text, which has as many."""
     so_far = np.append(0, np.cumsum(hits))
-    held = so_far[length:] - so_far[:-length] if len(hits) >= length else np.empty(0, np.int64)
+    held = so_far[length:] - so_far[:-length]
     # similar windows share at least this many shingles with their item
     starts = np.flatnonzero(held >= math.ceil(2 * need / (1 + need) * length - 1e-9))
     best: dict[int, float] = {}
@@ -178,6 +181,12 @@ def matches(own: np.ndarray, hits: np.ndarray, length: int, items: Items, need:
     return best
 
 
+def whole_matches(own: np.ndarray, possible: np.ndarray, items: Items, need: float) -> dict[int, float]:
+    """Those of the ``possible`` items, all longer than the text, that the whole text is similar to."""
+    found = ((int(item), similarity(own, items.shingles[item], items.counts[item])) for item in possible)
+    return {item: value for item, value in found if value >= need}
+
+
 def short_matches(text: np.ndarray, items: Items) -> dict[int, float]:
     """Items with fewer words than a shingle: their whole sequence stands in the text."""
     best = {}
@@ -239,7 +248,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             end = high - w.SHINGLE + 1
             if end > low and before[end] > before[low]:
                 own, own_hit = runs[low:end], hit[low:end]
-                for length in possible_lengths(at[low:end][own_hit], items, need):
+                possible = possible_items(at[low:end][own_hit], end - low, items, need)
+                longer = items.lengths[possible] > end - low
+                best |= whole_matches(own, possible[longer], items, need)
+                for length in np.unique(items.lengths[possible[~longer]]):
                     best |= matches(own, own_hit, int(length), items, need)
             for item, value in best.items():
                 i = items.ids[item]
