@@ -2,9 +2,9 @@
 
 Templates are short notices. Over all documents it is counted how many hold
 each template word; a template is indexed by the positions of its rarest words.
-A document looks up the highest-IDF licence words it holds; each occurrence and
-each posting give the place where the template would begin, and places named by
-several rare words are aligned. A template counts if at such a place its
+A document looks up all indexed words it holds; each occurrence and each posting
+give the place where the template would begin, and places named by several rare
+words are aligned. A template counts if at such a place its
 mandatory phrases stand where they belong. The alignment's share of matching
 words, weighted by IDF, is the score.
 
@@ -80,8 +80,8 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain",
              ("free and unencumbered software", "public domain")),
 )
-#: Rare words a template is indexed by, and licence words a document looks up.
-INDEXED, LOOKED_UP = 4, 12
+#: Rare words a template is indexed by.
+INDEXED = 4
 #: An alignment needs so many of the template's indexed words (all, if it has fewer).
 VOTES = 2
 
@@ -95,9 +95,8 @@ class Index(NamedTuple):
     mandatory: list[np.ndarray]
     labels: list[str]
     votes: np.ndarray
-    #: sorted hashes of the indexed words with IDF, and their postings
+    #: sorted hashes of the indexed words, and their postings
     words: np.ndarray
-    idf: np.ndarray
     first: np.ndarray
     post_template: np.ndarray
     post_place: np.ndarray
@@ -165,8 +164,7 @@ def build_index(templates: tuple[Template, ...], held: dict[int, int], rows: int
     words, first = np.unique(keys, return_index=True)
     return Index(
         sequences, weights, mandatory, [t.label for t in templates], np.array(votes), words,
-        np.array([idf[int(h)] for h in words]), np.append(first, len(keys)),
-        np.array([p[1] for p in postings]), np.array([p[2] for p in postings]),
+        np.append(first, len(keys)), np.array([p[1] for p in postings]), np.array([p[2] for p in postings]),
         [(hashed(p), label) for p, label in BASE.items()])
 
 
@@ -176,9 +174,6 @@ def alignments(text: np.ndarray, index: Index) -> list[tuple[int, int]]:
     hit = np.flatnonzero(index.words[at] == text)
     if not len(hit):
         return []
-    held = np.unique(at[hit])
-    rarest = held[np.lexsort((held, -index.idf[held]))][:LOOKED_UP]
-    hit = hit[np.isin(at[hit], rarest)]
     which = at[hit]
     size = index.first[which + 1] - index.first[which]
     post = np.repeat(index.first[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())

@@ -56,3 +56,21 @@ def test_pipeline_drops_a_truncated_item(spark, tmp_path):
     docs = spark.createDataFrame([(1, " ".join(item[:36]), "en", "x", 1), (2, " ".join(item[:20]), "en", "x", 1)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in p.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_every_notice_of_a_text_is_found(spark):
+    """All templates in one text, and one notice among all template words scattered in another."""
+    from tapeloom.llm.licences import TEMPLATES, scan_licences
+
+    labels = {t.label for t in TEMPLATES}
+    notices = " ".join(f"{fresh(i, 20)} {t.text}" for i, t in enumerate(TEMPLATES))
+    scattered = " ".join(f"s{i} {x}" for i, x in enumerate(sorted({x for t in TEMPLATES for x in t.text.split()})))
+    apache = next(t for t in TEMPLATES if t.label == "apache-2.0")
+    # the commoner a notice, the less rare its words
+    rows = [(1, notices), (2, f"{scattered} {apache.text} {scattered}"), (3, scattered)]
+    rows += [(10 + i, f"{apache.text} {fresh(i, 9)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in scan_licences(docs).collect()}
+    assert labels <= set(got[1]["labels"].split(",")) and round(got[1]["score"], 9) == 1
+    assert got[2]["labels"] == "apache,apache-2.0" and round(got[2]["score"], 9) == 1
+    assert got[3]["labels"] == "" and got[3]["score"] == 0
