@@ -3,8 +3,9 @@
 Three base kinds (``assign``, ``access``, ``hex``) stand on their own. Weak parts
 are reported only where complementary parts lie within the same scope: an
 identifier or an endpoint near a secret, a bare token near an identifier. They are
-found by an interval join: parts are bucketed by their place in the text, and a
-part meets the parts of its own and the neighbouring buckets, never all others.
+found by an interval join on the gap between two parts, so that long parts are not
+far apart: the ends of parts are bucketed by their place in the text, and a part
+meets those in the buckets beside its own ends, never all others.
 
 Texts without any part leave the plan after one scan; only the others are taken
 apart. A part's place comes from the lengths of the pieces between matches.
@@ -39,7 +40,7 @@ NEEDS = {
     "endpoint": ("assign", "access", "hex"),
     "bare": ("access", "identifier"),
 }
-#: Two parts belong to one scope if they start at most so many characters apart.
+#: Two parts belong to one scope if at most so many characters lie between them.
 SCOPE = 256
 #: A text without any of these has no part that can be reported.
 GATE = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -84,26 +85,35 @@ def parts(rows: DataFrame) -> DataFrame:
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts with a complementary part in their scope.
 
-    A weak part looks into its own bucket and both neighbours; a bucket has
-    ``scope`` characters, hence few parts, however long the text is. A bare
-    token that overlaps its partner is the partner itself and does not count.
+    A partner before a weak part ends in the bucket of the weak part's start or
+    the one before; a partner behind it starts in the bucket of its end or the
+    next. A bucket has ``scope`` characters, hence few parts, and a part meets
+    two buckets on each side, however long it or the text is. A bare token that
+    overlaps its partner is the partner itself and does not count.
     """
-    bucket = F.floor(F.col("start") / scope)
-    weak = found.filter(F.col("kind").isin(*NEEDS)).withColumn(
-        "bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    def bucket(place: str) -> Column:
+        return F.floor(F.col(place) / scope)
+
+    def meeting(before: bool, at: Column) -> Column:
+        return F.struct(F.lit(before).alias("before"), at.alias("bucket"))
+
+    weak = found.filter(F.col("kind").isin(*NEEDS)).withColumn("look", F.explode(F.array(
+        meeting(True, bucket("start") - 1), meeting(True, bucket("start")),
+        meeting(False, bucket("end")), meeting(False, bucket("end") + 1))))
     other = found.select(
         F.col("key").alias("o_key"), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"),
-        F.col("end").alias("o_end"), bucket.alias("o_bucket"))
+        F.col("end").alias("o_end"),
+        F.explode(F.array(meeting(True, bucket("end")), meeting(False, bucket("start")))).alias("o_at"))
     needed = F.lit(False)
     for kind, partners in NEEDS.items():
         needed = needed | ((F.col("kind") == kind) & F.col("o_kind").isin(*partners))
-    apart = (F.col("o_end") <= F.col("start")) | (F.col("end") <= F.col("o_start"))
+    gap = F.when(F.col("look.before"), F.col("start") - F.col("o_end")).otherwise(F.col("o_start") - F.col("end"))
     met = weak.join(
         other,
-        (F.col("key") == F.col("o_key")) & (F.col("bucket") == F.col("o_bucket"))
-        & (F.abs(F.col("start") - F.col("o_start")) <= scope) & needed & apart,
+        (F.col("key") == F.col("o_key")) & (F.col("look.before") == F.col("o_at.before"))
+        & (F.col("look.bucket") == F.col("o_at.bucket")) & gap.between(0, scope) & needed,
         "left_semi")
-    # a part may meet partners in two buckets
+    # a part may meet partners on both sides and in several buckets
     return met.select("key", "kind", "start", "end").distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import random
 import sys
 from pathlib import Path
 
@@ -74,3 +75,33 @@ def test_every_notice_of_a_text_is_found(spark):
     assert labels <= set(got[1]["labels"].split(",")) and round(got[1]["score"], 9) == 1
     assert got[2]["labels"] == "apache,apache-2.0" and round(got[2]["score"], 9) == 1
     assert got[3]["labels"] == "" and got[3]["score"] == 0
+
+
+def test_long_parts_are_linked_by_the_gap_between_them(spark):
+    from tapeloom.llm import credentials as c
+
+    bare = "Zm9vYmFyQmF6UXV4MTIzNDU2" * 30
+    rows = [
+        (1, f"{bare}\nclient_id: svc.reader"), (2, f"client_id: svc.reader\n{bare}"),
+        (3, f"https://api.example.org/v1?q={'x' * 700}\npassword = correcthorse9"),
+        (4, f"{bare}{' ' * 256}client_id: svc.reader"), (5, f"{bare}{' ' * 257}client_id: svc.reader"),
+        (6, f"client_id: svc.reader{' ' * 256}{bare}"), (7, f"client_id: svc.reader{' ' * 257}{bare}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: {s["kind"] for s in r["spans"] or []} for r in c.find_secrets(docs).collect()}
+    both = {"identifier", "bare"}
+    assert spans == {1: both, 2: both, 3: {"endpoint", "assign"}, 4: both, 5: set(), 6: both, 7: set()}
+    left = {r["doc_id"]: r["text"] for r in c.mask_secrets(docs).collect()}
+    assert left[1] == left[2] == "[SECRET]\n[SECRET]" and left[5] == rows[4][1]
+
+    # against all pairs
+    pick, parts = random.Random(5), []
+    for key in range(40):
+        for _ in range(pick.randrange(2, 12)):
+            start = pick.randrange(6000)
+            parts.append((str(key), pick.choice(c.KINDS), start, start + pick.choice([20, 24, 90, 256, 300, 512, 1500])))
+    parts = sorted(set(parts))
+    want = {p for p in parts for o in parts if p[0] == o[0] and o[1] in c.NEEDS.get(p[1], ())
+            and (0 <= p[2] - o[3] <= c.SCOPE or 0 <= o[2] - p[3] <= c.SCOPE)}
+    found = spark.createDataFrame(parts, "key string, kind string, start long, end long")
+    assert sorted(tuple(r) for r in c.linked(found).collect()) == sorted(want) and want
