@@ -9,7 +9,9 @@ deep in a window counting more, and one best path per stretch decides, so a span
 cut by a window's edge comes out whole.
 
 Every such span holds a digit or an at-sign, or an ``at`` in brackets; windows
-are laid around all of those, and nothing lies outside. A found span is reported
+are laid around all of those. Beside an ``at`` they reach over the whole name and
+domain: a window around the ``at`` decides whether it is an address, and the name's
+and the domain's characters say how far it goes, however long they are. A found span is reported
 if the tagger is sure, its kind's own check holds (digits, Luhn, parts up to 255),
 and no base span overlaps it.
 
@@ -54,6 +56,8 @@ PER_KIND, WITHOUT = 250, 500
 #: Least mean probability of a reported span's tags.
 SURE = 0.85
 _AT_WORD = re.compile(r"[\[(]\s?at\s?[\])]", re.IGNORECASE)
+_AT = re.compile(f"@|{_AT_WORD.pattern}", re.IGNORECASE)
+_HOST = _LOCAL - frozenset("_%+")
 
 
 def luhn(digits: str) -> bool:
@@ -102,20 +106,39 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text that can hold a span, with room on both sides."""
-    calls = [m.start() for m in re.finditer("[0-9@]", text)]
-    if "[" in text or "(" in text:
-        calls = sorted(calls + [m.start() for m in _AT_WORD.finditer(text)])
+    """Parts of the text that can hold a span, with room on both sides.
+
+    Beside an at-sign, as a sign or in brackets, the room begins where the address does.
+    """
+    calls = [(m.start(), m.end()) for m in re.finditer("[0-9]", text)]
+    calls += [address(text, m.start(), m.end()) for m in _AT.finditer(text)]
     out: list[list[int]] = []
-    for at in calls:
-        low, high = max(0, at - ROOM), min(len(text), at + ROOM + 1)
+    for start, end in sorted(calls):
+        low, high = max(0, start - ROOM), min(len(text), end + ROOM)
         if out and low <= out[-1][1]:
-            out[-1][1] = high
+            out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
     return [(a, b) for a, b in out]
 
 
+def address(text: str, start: int, end: int) -> tuple[int, int]:
+    """The mark at ``start:end`` with the runs of local characters before it and of domain characters behind it.
+
+    Spaces may stand beside the mark. Runs hold no mark, so a character is read for two marks at most.
+    """
+    low, high = start, end
+    while low and text[low - 1].isspace():
+        low -= 1
+    while low and text[low - 1] in _LOCAL:
+        low -= 1
+    while high < len(text) and text[high].isspace():
+        high += 1
+    while high < len(text) and text[high] in _HOST:
+        high += 1
+    return low, high
+
+
 def window_starts(low: int, high: int) -> list[int]:
     return list(range(low, max(low + 1, high - WINDOW + STRIDE), STRIDE))
 
@@ -124,6 +147,18 @@ def padded(codes: np.ndarray) -> np.ndarray:
     return np.append(codes, np.full(WINDOW - len(codes), PAD)) if len(codes) < WINDOW else codes
 
 
+def written_addresses(text: str) -> list[tuple[int, int, int, int]]:
+    """Whole addresses with an at in brackets: their start and end, and the mark's."""
+    out = []
+    for m in _AT_WORD.finditer(text):
+        start, high = address(text, m.start(), m.end())
+        behind = next((k for k in range(m.end(), high) if text[k] in _HOST), high)
+        domain = _DOMAIN.match(text, behind)
+        if text[start] in _LOCAL and domain:
+            out.append((start, domain.end(), m.start(), m.end()))
+    return out
+
+
 # -- training ------------------------------------------------------------------------
 
 
@@ -131,7 +166,11 @@ def rewritings(kind: str, span: str) -> list[str]:
     """Ways of writing a span that the base rules miss."""
     if kind == "email":
         name, _, host = span.partition("@")
-        return [f"{name} (at) {host}", f"{name} [at] {host}", f"{name}(at){host}"]
+        # names and domains of any length, with digits or without
+        own, far = re.sub("[^A-Za-z]", "", name) or "x", re.sub("[0-9]", "", host)
+        long = f"{own}{own[::-1]}.{own}ina{own}"
+        return [f"{name} (at) {host}", f"{name} [at] {host}", f"{name}(at){host}", f"{own} (at) {own[::-1]}.{far}",
+                f"{long} (at) {far}", f"{long} [at] {own}-{own[::-1]}.{far}", f"{long}(at){own}.{own[::-1]}{own}.{far}"]
     if kind == "phone":
         bare = span[1:]
         return [f"tel. {bare}", f"00{bare}", bare.replace(" ", ".")]
@@ -145,8 +184,8 @@ def rewritings(kind: str, span: str) -> list[str]:
 def examples(text: str) -> list[tuple[str, str, int, int]]:
     """Training windows of a text: ``kind, window, start, end`` of one span each (kind empty: none).
 
-    Spans stand at varied places of their windows and may be cut by the end, as
-    they are when texts are read.
+    Spans stand at varied places of their windows and may be cut by the end, and
+    long names by the start, as they are when texts are read.
     """
     found = base_spans(text)
     out = []
@@ -160,6 +199,10 @@ def examples(text: str) -> list[tuple[str, str, int, int]]:
             first, last = start - low + lead, min(WINDOW, start - low + len(new))
             if first < last:
                 out.append((kind, window, first, last))
+            mark = _AT_WORD.search(new) if kind == "email" else None
+            if mark is not None and mark.start() > ROOM:
+                cut = new[mark.start() - 1 - (start * 31 + j * 17) % ROOM:]
+                out.append((kind, (cut + text[end:end + WINDOW])[:WINDOW], 0, min(WINDOW, len(cut))))
     for low, high in stretches(text):
         if not any(s < high + WINDOW and low < e for _, s, e in found):
             out.append(("", text[low:low + WINDOW], 0, 0))
@@ -215,7 +258,7 @@ def plausible(kind: str, span: str) -> bool:
     if kind == "ip":
         parts = re.findall("[0-9]+", span)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    return ("@" in span or _AT_WORD.search(span) is not None) and "." in span
+    return "@" in span and "." in span or bool(written_addresses(span))
 
 
 def added_spans(found: dict[int, str], base: dict[int, list[Span]], tagger: Tagger, batch: int = 512) -> dict[int, list[Span]]:
@@ -239,6 +282,9 @@ def added_spans(found: dict[int, str], base: dict[int, list[Span]], tagger: Tagg
             merged[i, low][0][start - low:start - low + n] += (p * weight)[:n]
             merged[i, low][1][start - low:start - low + n] += weight[:n]
     out: dict[int, list[Span]] = {}
+    whole = whole_addresses(found, base, tagger, batch)
+    for i, spans in whole.items():
+        out[i] = [("email", *span) for span in spans]
     for (i, low), (sums, weights, _) in merged.items():
         mean = sums / weights
         tags = tagger.best_path(mean)
@@ -253,12 +299,35 @@ def added_spans(found: dict[int, str], base: dict[int, list[Span]], tagger: Tagg
             start, stop = low + t, low + end
             sure = np.exp(mean[np.arange(t, end), tags[t:end]]).mean()
             if (sure >= SURE and plausible(kind, found[i][start:stop])
-                    and not any(s < stop and start < e for _, s, e in base[i])):
+                    and not any(s < stop and start < e for _, s, e in base[i])
+                    and not any(s < stop and start < e for s, e in whole.get(i, ()))):
                 out.setdefault(i, []).append((kind, start, stop))
             t = end
     return out
 
 
+def whole_addresses(found: dict[int, str], base: dict[int, list[Span]], tagger: Tagger,
+                    batch: int) -> dict[int, list[tuple[int, int]]]:
+    """Addresses with an at in brackets: a window around the mark decides, the address's characters say how far it reaches."""
+    places, codes = [], []
+    for i, text in found.items():
+        written = written_addresses(text) if "[" in text or "(" in text else []
+        own = classes(text) if written else None
+        for start, stop, a, b in written:
+            if not any(s < stop and start < e for _, s, e in base[i]):
+                low = max(0, (a + b - WINDOW) // 2)
+                places.append((i, start, stop, a - low, b - low))
+                codes.append(padded(own[low:low + WINDOW]))
+    email = 1 + 2 * KINDS.index("email")
+    out: dict[int, list[tuple[int, int]]] = {}
+    for at in range(0, len(codes), batch):
+        probable = tagger.marginals(np.stack(codes[at:at + batch]))
+        for (i, start, stop, a, b), p in zip(places[at:at + batch], probable):
+            if p[a:b, email:email + 2].sum(axis=1).mean() >= SURE:
+                out.setdefault(i, []).append((start, stop))
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

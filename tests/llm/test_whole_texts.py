@@ -105,3 +105,44 @@ def test_long_parts_are_linked_by_the_gap_between_them(spark):
             and (0 <= p[2] - o[3] <= c.SCOPE or 0 <= o[2] - p[3] <= c.SCOPE)}
     found = spark.createDataFrame(parts, "key string, kind string, start long, end long")
     assert sorted(tuple(r) for r in c.linked(found).collect()) == sorted(want) and want
+
+
+LONG = ["ann (at) mails.example.com", "alexandra.konstantinidou (at) physics.example.edu",
+        "ann [at] mathematics.university.example.edu", "maria.magdalena.papadopoulou(at)example.org",
+        "eleonora.vanderbilt-hohenstein (at) department-of-mathematics.university.example.edu"]
+
+
+def test_stretches_hold_whole_addresses():
+    from tapeloom.llm.personal import ROOM, stretches
+
+    for own in LONG:
+        text = f"{'word ' * 12}{own} {'word ' * 12}"
+        at = text.index(own)
+        assert stretches(text) == [(at - ROOM, at + len(own) + ROOM)]
+    # a far-reaching name joins all stretches it passes; long runs cost a step per character
+    text = f"7 {'a' * 90} 8 {'b' * 90} (at) {'c' * 90}.d"
+    assert stretches(text) == [(0, 21), (73, len(text))]
+    assert stretches("1" + "a" * 100 + "@" + "b" * 100) == [(0, 202)]
+    assert stretches("a" * 200_000 + "(at)" * 50_000) == [(0, 400_000)]
+
+
+def test_addresses_of_any_length_come_out_whole():
+    import numpy as np
+    from tapeloom.llm.personal import KINDS, added_spans, base_spans, examples, padded
+    from tapeloom.llm.sequence_model import Tagger, classes
+    from test_llm_operators import prose
+
+    pick = random.Random(8)
+    texts = [f"{prose(i, 9)} {pick.choice(['ann', 'bob', 'cy'])}{i}@mail{i % 9}.example.com {prose(i + 500, 8)}" for i in range(80)]
+    rows = [e for t in texts for e in examples(t)]
+    codes = np.stack([padded(classes(r[1])) for r in rows])
+    tags = np.zeros(codes.shape, int)
+    for i, (kind, _, a, b) in enumerate(rows):
+        tags[i, a:b] = 2 + 2 * KINDS.index(kind)
+        tags[i, a] -= 1
+    tagger = Tagger(KINDS).fit(codes, tags, epochs=6)
+    for k, own in enumerate(LONG):
+        text = f"{prose(900 + k, 9)} {own} {prose(950 + k, 8)}"
+        assert not base_spans(text)
+        assert [(kind, text[a:b]) for kind, a, b in added_spans({0: text}, {0: []}, tagger)[0]] == [("email", own)]
+    assert added_spans({0: f"{prose(990, 9)} (at) {prose(991, 9)} [at] all (at) noon. {prose(992, 5)}"}, {0: []}, tagger) == {}
