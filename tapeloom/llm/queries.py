@@ -1,6 +1,8 @@
 """Every query of this subpackage."""
 
-from tapeloom.llm import bpe, credentials, decontaminate, jaccard, licences, personal, quality, sharding, token_files, topk  # noqa: F401
+from tapeloom.llm import (  # noqa: F401
+    bpe, credentials, decontaminate, exact_copies, importance, jaccard, licences, personal, quality, sharding,
+    token_files, topk)
 from tapeloom.llm.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
