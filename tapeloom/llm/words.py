@@ -1,25 +1,27 @@
 """Words and word shingles of whole batches of texts, as arrays of hashes.
 
 A kernel sees the UTF-8 bytes of many documents at once: a table says which
-bytes belong to words, and a word's hash is a difference of prefix sums of
-``value[byte] * base**position``, modulo 2**64. No Python object is made per word.
+bytes belong to words, and a word's hash takes in eight bytes at a time, mixing
+after each, so that no arrangement of letters makes words collide by structure
+(as it does with polynomials modulo 2**64). No Python object is made per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
 
-#: Segments of this many bytes are hashed at a time (a longer word alone).
-SEGMENT = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 256
 SHINGLE = 5
 
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(20240301).integers(1, 1 << 63, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+
+_STEP = np.uint64(0x9FB21C651E98DF25)
+#: Masks of a number's first 0 to 8 bytes.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _bytes = np.arange(256)
 #: Bytes with A-Z in lower case.
@@ -56,17 +58,6 @@ def find_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Wor
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-def _power(kind: str, base: int, length: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < length:
-        factors = np.full(max(length, SEGMENT + 256), base, np.uint64)
-        factors[0] = 1
-        have = np.cumprod(factors, dtype=np.uint64)
-        if length <= 4 * SEGMENT:
-            _powers[kind] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -76,22 +67,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    starts, ends = words.starts, words.ends
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        upto = max(at + 1, int(np.searchsorted(ends, low + SEGMENT, side="right")))
-        part = data[low:ends[upto - 1]]
-        terms = _VALUE[part] * _power("up", _BASE, len(part))[:len(part)]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(terms, out=sums[1:])
-        begin, end = starts[at:upto] - low, ends[at:upto] - low
-        down = _power("down", pow(_BASE, -1, 1 << 64), len(part))
-        out[at:upto] = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
-        at = upto
+def hash_words(data: np.ndarray, words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another seed gives another, unrelated one."""
+    starts, lengths = words.starts, words.ends - words.starts
+    # every place's next eight bytes as one number
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    out = mix(lengths.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    at, left, which = starts, lengths, slice(None)
+    short = lengths <= LONG
+    if not short.all():
+        which = np.flatnonzero(short)
+        at, left = starts[which], lengths[which]
+        for i in np.flatnonzero(~short):
+            digest = hashlib.blake2b(data[starts[i]:words.ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+            out[i] = int.from_bytes(digest.digest(), "little")
+    while len(at):
+        block = eights[at]
+        few = left < 8
+        np.bitwise_and(block, _HEAD[np.minimum(left, 8)], out=block, where=few)
+        out[which] = mix(out[which] ^ block) * _STEP
+        more = np.flatnonzero(left > 8)
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
     return mix(out)
 
 
