@@ -13,11 +13,10 @@ language. What occurs often enough in everything is found so:
    set is closed: any frequent phrase has frequent parts, so none is missing.
 
 Proposals reach the tasks as a Bloom filter of bounded size. A false positive
-counts a phrase in vain and changes no result. Counted phrases are keyed by two
-hashes of their words with different seeds, 126 bits together, summed per task
-before the shuffle. Words are looked up again only for frequent phrases: in the
-sample for what it holds, in everything else for the rest; two phrases under one
-key would be noticed there and end the run.
+counts a phrase in vain and changes no result. These passes count by a hash of a
+phrase's words, summed per task before the shuffle, so a count can only be too
+high, by a collision; the few phrases that reach the support so are counted once
+more by their very words, and only these counts are used.
 
 Defined results: a null text is empty and adds nothing; a null language is
 ``und``; a language without a frequent phrase of two words has no rows; repeated
@@ -29,7 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,10 @@ REPORTED, SCALE = 2000, 1_000_000
 SHARE, DEVIATIONS = 0.25, 1.5
 #: Bits of the filter for a proposal, and of a filter at least and at most.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
-#: Different phrases that a task holds before it hands its counts on.
-HELD = 1 << 21
+#: A key's lowest bits tell the phrase's size; a filter is probed by the bits from these places on.
+LOW, HIGH = 2, 34
+#: Different phrases that a task holds before it hands its counts on; and of those held with their words.
+HELD, SPELLED = 1 << 20, 1 << 17
 
 _PLACES = np.random.default_rng(20240311).integers(1, 1 << 63, size=MOST_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _bytes = np.arange(256)
@@ -60,29 +62,29 @@ MEMBER = ~(PIECE_END | (_bytes == 32) | (_bytes == 9))
 
 
 class Filter:
-    """A Bloom filter of phrase keys with two probes, one by each half of a key."""
+    """A Bloom filter of phrase keys with two probes, by the lower and the upper bits of a key."""
 
     def __init__(self, bits: int):
         self.cells = np.zeros(bits >> 6, np.uint64)
 
-    def probe(self, half: np.ndarray) -> np.ndarray:
-        place = half & np.uint64(len(self.cells) * 64 - 1)
-        return (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return self.probe(keys >> np.uint64(LOW)) & self.probe(keys >> np.uint64(HIGH))
 
-    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.probe(a) & self.probe(b >> np.uint64(2))
+    def probe(self, place: np.ndarray) -> np.ndarray:
+        place = place & np.uint64(len(self.cells) * 64 - 1)
+        return (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def with_keys(self, keys: DataFrame) -> Filter:
-        """This and the keys ``a, b``; one number per cell touched comes to the driver."""
+        """This and the ``key`` of every row; one number per cell touched comes to the driver."""
         bits = len(self.cells) * 64
-        touched = keys.select(F.explode(F.array("a", F.shiftrightunsigned("b", 2))).alias("half")).select(
-            F.col("half").bitwiseAND(F.lit(bits - 1)).alias("place")).groupBy(
+        places = F.array(F.shiftrightunsigned("key", LOW), F.shiftrightunsigned("key", HIGH))
+        touched = keys.select(F.explode(places).alias("place")).select(
+            F.col("place").bitwiseAND(F.lit(bits - 1)).alias("place")).groupBy(
             F.shiftright("place", 6).alias("cell")).agg(
             F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("mask")).toArrow()
         out = Filter(bits)
         out.cells = self.cells.copy()
-        cell = touched["cell"].to_numpy()
-        out.cells[cell] |= touched["mask"].to_numpy().view(np.uint64)
+        out.cells[touched["cell"].to_numpy()] |= touched["mask"].to_numpy().view(np.uint64)
         return out
 
 
@@ -92,41 +94,54 @@ def filter_for(keys: DataFrame) -> Filter:
 
 
 class Stretch:
-    """Words of a stretch of text in two hashes each, and which of them stand in one piece."""
+    """Words of a stretch of text, hashed with their language, and the pieces they stand in."""
 
     def __init__(self, lower: np.ndarray, offsets: np.ndarray, languages: np.ndarray):
         self.lower = lower
         self.words = w.find_words(lower, offsets, MEMBER)
         n = np.diff(self.words.first)
         self.doc = np.repeat(np.arange(len(n)), n)
-        self.halves = [w.hash_words(lower, self.words, seed) ^ languages[self.doc, seed] for seed in (0, 1)]
+        self.hashes = w.hash_words(lower, self.words) ^ languages[self.doc]
         piece = np.searchsorted(np.flatnonzero(PIECE_END[lower]), self.words.starts)
         new = np.ones(len(piece), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.piece = np.cumsum(new)
 
-    def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, at: np.ndarray, size: int) -> np.ndarray:
         """Keys of the phrases of ``size`` words that start at words ``at``."""
-        out = []
-        for half in self.halves:
-            total = np.full(len(at), size, np.uint64)
-            for k in range(size):
-                total += half[at + k] * _PLACES[k]
-            out.append(w.mix(total))
-        return out[0], out[1] << np.uint64(2) | np.uint64(size - 1)
-
-    def countable(self, known: Filter | None, upto: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        total = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            total += self.hashes[at + k] * _PLACES[k]
+        return w.mix(total) << np.uint64(LOW) | np.uint64(size - 1)
+
+    @cached_property
+    def others(self) -> np.ndarray:
+        return w.hash_words(self.lower, self.words, 1)
+
+    def distinct(self, at: np.ndarray, keys: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """Key, a second and unrelated hash, a start and the count of each phrase among those that start at ``at``."""
+        second = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            second += self.others[at + k] * _PLACES[k]
+        second = w.mix(second)
+        order = np.lexsort((second, keys))
+        at, keys, second = at[order], keys[order], second[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (second[1:] != second[:-1]))[:len(at)])
+        n = np.diff(np.append(first, len(at)))
+        return zip(keys[first].tolist(), second[first].tolist(), at[first].tolist(), n.tolist())
+
+    def countable(self, known: Filter | None, upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per size: starts and keys of all words, and of phrases whose two longest parts are in ``known``."""
         at = np.arange(len(self.doc))
-        found = [(at, *self.keys(at, 1))]
+        found = [(at, self.keys(at, 1))]
         for size in range(2, upto + 1):
-            at, a, b = found[-1]
+            at, keys = found[-1]
             part = np.zeros(len(self.doc) + 1, bool)
-            part[at[known.holds(a, b)]] = True
+            part[at[known.holds(keys)]] = True
             at = np.flatnonzero(part[:-1] & part[1:])
             at = at[at + size - 1 < len(self.doc)]
             at = at[self.piece[at] == self.piece[at + size - 1]]
-            found.append((at, *self.keys(at, size)))
+            found.append((at, self.keys(at, size)))
         return found
 
     def phrase(self, at: int, size: int) -> bytes:
@@ -134,14 +149,8 @@ class Stretch:
         return b" ".join(self.lower[starts[i]:ends[i]].tobytes() for i in range(at, at + size))
 
 
-_language_keys: dict[str, tuple[int, int]] = {}
-
-
-def language_key(name: str) -> tuple[int, int]:
-    if name not in _language_keys:
-        digest = hashlib.blake2b(name.encode(), digest_size=16).digest()
-        _language_keys[name] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
-    return _language_keys[name]
+def language_hash(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stretch, list[str]]]:
@@ -150,7 +159,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stretch, list
         data, offsets = utf8(batch.column("text"))
         lower = w.LOWER[data]
         names = batch.column("lang").to_pylist()
-        keys = np.array([language_key(x) for x in names], np.uint64).reshape(-1, 2)
+        keys = np.array([language_hash(x) for x in names], np.uint64)
         if batch.num_rows > 1 or len(lower) <= 2 * CHUNK_BYTES:
             yield Stretch(lower, offsets, keys), names
             continue
@@ -167,201 +176,148 @@ class Tally:
     """Counts by key, folded whenever many have come together."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = self.folded = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.parts.append(self.fold(a, b, np.ones(len(a), np.int64)))
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
         self.held += len(self.parts[-1][0])
 
-    @staticmethod
-    def fold(a, b, n):
-        order = np.argsort(a)
-        a, b, n = a[order], b[order], n[order]
-        # the same key may come out twice if first halves collide; sums do not mind
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        return a[first], b[first], np.add.reduceat(n, first) if len(first) else n[:0]
-
     def drain(self, least: int = HELD) -> Iterator[pa.RecordBatch]:
-        """Everything, once so many different keys are held."""
-        if self.held < 2 * least and least:
+        """Everything, once ``least`` different keys are held."""
+        if not self.parts or self.held < 2 * least:
             return
-        if self.parts:
-            a, b, n = self.fold(*(np.concatenate(x) for x in zip(*self.parts)))
-            if least and len(a) < least:
-                self.parts, self.held = [(a, b, n)], len(a)
-                return
-            self.parts, self.held = [], 0
-            for at in range(0, len(a), 1 << 16):
-                to = at + (1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[at:to].view(np.int64)), pa.array(b[at:to].view(np.int64)), pa.array(n[at:to])],
-                    names=["a", "b", "n"])
-
-
-def count_phrases(rows: DataFrame, known: Filter | None, counted: Filter | None = None, sizes: range | None = None,
-                  totals: bool = False) -> DataFrame:
-    """``a, b, n`` of the phrases that ``known`` makes countable and ``counted`` did not.
-
-    ``totals`` adds each language's number of words under the language's own key.
-    """
-    sizes = sizes or range(1, MOST_WORDS + 1)
+        keys, n = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+        keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+        self.held = len(keys)
+        if self.held < least:
+            self.parts = [(keys, n)]
+            return
+        self.held = 0
+        for at in range(0, len(keys), 1 << 16):
+            to = at + (1 << 16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[at:to].view(np.int64)), pa.array(n[at:to])], names=["key", "n"])
+
+
+def count_keys(rows: DataFrame, known: Filter | None, counted: Filter | None = None,
+               sizes: range = range(1, MOST_WORDS + 1)) -> DataFrame:
+    """``key, n`` of the phrases that ``known`` makes countable and ``counted`` did not."""
     context = rows.sparkSession.sparkContext
     shared, before = context.broadcast(known), context.broadcast(counted)
 
     def count(batches: Iterator[pa.RecordBatch]):
-        tally, total = Tally(), {}
-        for stretch, names in stretches(batches):
+        tally = Tally()
+        for stretch, _ in stretches(batches):
             found = stretch.countable(shared.value, sizes[-1])
             old = stretch.countable(before.value, sizes[-1]) if before.value is not None else None
             for size in sizes:
-                at, a, b = found[size - 1]
+                at, keys = found[size - 1]
                 if old is not None:
                     fresh = np.ones(len(stretch.doc), bool)
                     fresh[old[size - 1][0]] = False
-                    a, b = a[fresh[at]], b[fresh[at]]
-                if len(a):
-                    tally.add(a, b)
-            if totals:
-                for name, n in zip(names, np.diff(stretch.words.first).tolist()):
-                    total[name] = total.get(name, 0) + n
+                    keys = keys[fresh[at]]
+                if len(keys):
+                    tally.add(keys)
             yield from tally.drain()
         yield from tally.drain(0)
-        if total:
-            keys = np.array([language_key(x) for x in total], np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(list(total.values()), pa.int64())],
-                names=["a", "b", "n"])
 
-    return rows.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
 
+def count_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lang, phrase, f``: exact counts of all phrases whose key is among ``wanted``, and of some others.
 
-def spell(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``a, b, lang, phrase`` for those of the keys ``wanted`` that occur in ``rows``."""
+    The empty phrase stands for all words of a language.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(filter_for(wanted))
 
-    def find(batches: Iterator[pa.RecordBatch]):
-        known, seen, out = shared.value, set(), []
+    def count(batches: Iterator[pa.RecordBatch]):
+        known, held, total = shared.value, {}, {}
         for stretch, names in stretches(batches):
-            for size, (at, a, b) in enumerate(stretch.countable(known, MOST_WORDS), 1):
-                held = known.holds(a, b)
-                at, a, b = at[held], a[held], b[held]
-                # one place for each key, more only where first halves collide
-                order = np.argsort(a, kind="stable")
-                first = np.flatnonzero(np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))[:len(a)])
-                for i in order[first].tolist():
-                    key = int(a[i]), int(b[i])
-                    if key not in seen:
-                        seen.add(key)
-                        start = int(at[i])
-                        out.append((*key, names[int(stretch.doc[start])], stretch.phrase(start, size)))
-            if len(out) >= 1 << 15:
-                yield phrase_batch(out)
-                out = []
-            if len(seen) > HELD // 2:
-                seen.clear()
-        if out:
-            yield phrase_batch(out)
-
-    found = rows.mapInArrow(find, "a long, b long, lang string, phrase string")
-    # as structs of strings compare by language, then phrase: two phrases under one key show
-    named = found.groupBy("a", "b").agg(
-        F.min("lang").alias("lang"), F.max("lang").alias("other_lang"),
-        F.min("phrase").alias("phrase"), F.max("phrase").alias("other"))
-    return named.join(wanted.select("a", "b"), ["a", "b"])
-
-
-def phrase_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, names, phrases = zip(*rows)
+            for name, n in zip(names, np.diff(stretch.words.first).tolist()):
+                total[name] = total.get(name, 0) + n
+            for size, (at, keys) in enumerate(stretch.countable(known, MOST_WORDS), 1):
+                some = known.holds(keys)
+                for key, second, start, n in stretch.distinct(at[some], keys[some], size):
+                    entry = held.get((key, second))
+                    if entry is None:
+                        held[key, second] = [names[stretch.doc[start]], stretch.phrase(start, size), n]
+                    else:
+                        entry[2] += n
+            if len(held) > SPELLED:
+                yield phrase_batch(held.values())
+                held = {}
+        if held or total:
+            yield phrase_batch([*held.values(), *([name, b"", n] for name, n in total.items())])
+
+    return rows.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(
+        F.sum("n").alias("f"))
+
+
+def phrase_batch(entries: Iterable[list]) -> pa.RecordBatch:
+    names, phrases, n = zip(*entries)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
-         pa.array(names, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())],
-        names=["a", "b", "lang", "phrase"])
+        [pa.array(names, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+        names=["lang", "phrase", "n"])
 
 
 def propose(sample: DataFrame, lowered: int) -> DataFrame:
-    """Keys ``a, b`` of all phrases with the lowered support in the sample, found level by level."""
+    """Keys of all phrases with the lowered support in the sample, found level by level."""
     found = None
     for size in range(1, MOST_WORDS + 1):
         known = None if found is None else filter_for(found)
-        level = written_once(count_phrases(sample, known, sizes=range(size, size + 1)).filter(
-            F.col("n") >= lowered).select("a", "b"), "phrases-proposed")
+        level = written_once(count_keys(sample, known, sizes=range(size, size + 1)).filter(
+            F.col("n") >= lowered).select("key"), "phrases-proposed")
         found = level if found is None else found.unionByName(level)
     return found
 
 
+def outside(counted: DataFrame, known: Filter) -> DataFrame:
+    """Keys that are not proposed and short enough to be a part of longer phrases."""
+    shared = counted.sparkSession.sparkContext.broadcast(known)
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            size = (keys & np.uint64((1 << LOW) - 1)) + np.uint64(1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[~shared.value.holds(keys) & (size < MOST_WORDS)].view(np.int64))], names=["key"])
+
+    return counted.select("key").mapInArrow(keep, "key long")
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT,
                      share: float = SHARE, lowered: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of every phrase that occurs ``support`` times, and ``lang, n`` of every language.
 
-    The results do not depend on ``share`` and ``lowered``; passes do.
+    The results do not depend on ``share`` and ``lowered``; the number of passes does.
     """
     rows = docs.select(
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-        # copies are drawn one by one
-        F.pmod(F.hash("text", F.monotonically_increasing_id()), F.lit(1 << 16)).alias("draw"))
-    sample = written_once(rows.filter(F.col("draw") < int(share * (1 << 16))).select("text", "lang"), "phrases-sample")
-    rows = rows.select("text", "lang")
+        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
+    # copies are drawn one by one
+    draw = F.pmod(F.hash("text", F.monotonically_increasing_id()), F.lit(1 << 16))
+    sample = written_once(rows.withColumn("draw", draw).filter(F.col("draw") < int(share * (1 << 16))).drop("draw"),
+                          "phrases-sample")
     expected = support * share
     if lowered is None:
         lowered = max(1, math.floor(expected - DEVIATIONS * math.sqrt(expected)))
-    known, counted = filter_for(propose(sample, lowered)), None
-    frequent, totals = None, None
+    known, counted, frequent = filter_for(propose(sample, lowered)), None, None
     while True:
-        counts = count_phrases(rows, known, counted, totals=counted is None)
-        if counted is None:
-            names = language_table(rows)
-            # language totals stand under their own keys, however small they are
-            first = written_once(counts.join(F.broadcast(names), ["a", "b"], "left").filter(
-                (F.col("n") >= support) | F.col("lang").isNotNull()), "phrases-counted")
-            totals = first.filter("lang IS NOT NULL").select("lang", "n")
-            new = first.filter("lang IS NULL").select("a", "b", "n")
-        else:
-            new = written_once(counts.filter(F.col("n") >= support), "phrases-counted")
+        new = written_once(count_keys(rows, known, counted).filter(F.col("n") >= support), "phrases-counted")
         frequent = new if frequent is None else frequent.unionByName(new)
         failures = written_once(outside(new, known), "phrases-failed")
         if failures.isEmpty():
             break
         known, counted = known.with_keys(failures), known
-    named = spell(sample, frequent)
-    named = written_once(named, "phrases-spelled")
-    missing = written_once(frequent.select("a", "b").join(named, ["a", "b"], "left_anti"), "phrases-unspelled")
-    if not missing.isEmpty():
-        # a phrase is found by way of its parts, so those are looked for as well
-        rest = spell(rows, frequent).join(missing, ["a", "b"], "left_semi")
-        named = named.unionByName(written_once(rest, "phrases-spelled"))
-    if not named.filter("phrase <> other OR lang <> other_lang").isEmpty():
-        raise RuntimeError("two phrases share all 126 bits of their key")
-    return frequent.join(named, ["a", "b"]).select("lang", "phrase", F.col("n").alias("f")), totals
-
-
-def language_table(rows: DataFrame) -> DataFrame:
-    """``lang, a, b`` of every language."""
-
-    def keys(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            own = np.array([language_key(x) for x in batch.column(0).to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], names=["lang", "a", "b"])
-
-    return rows.select("lang").distinct().mapInArrow(keys, "lang string, a long, b long")
-
-
-def outside(counted: DataFrame, known: Filter) -> DataFrame:
-    """Keys that are not proposed and short enough to be a part of longer phrases."""
-    shared = counted.sparkSession.sparkContext.broadcast(known)
-
-    def keep(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-            at = ~shared.value.holds(a, b) & ((b & np.uint64(3)) < MOST_WORDS - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["a", "b"])
-
-    return counted.select("a", "b").mapInArrow(keep, "a long, b long")
+    exact = written_once(count_words(rows, frequent.select("key")).filter(
+        (F.col("f") >= support) | (F.col("phrase") == "")), "phrases-exact")
+    return exact.filter("phrase <> ''"), exact.filter("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT,
