@@ -13,10 +13,10 @@ language. What occurs often enough in everything is found so:
    set is closed: any frequent phrase has frequent parts, so none is missing.
 
 Proposals reach the tasks as a Bloom filter of bounded size. A false positive
-counts a phrase in vain and changes no result. These passes count by a hash of a
-phrase's words, summed per task before the shuffle, so a count can only be too
-high, by a collision; the few phrases that reach the support so are counted once
-more by their very words, and only these counts are used.
+counts a phrase in vain and changes no result. Counted phrases are keyed by two
+unrelated hashes of their words, 94 bits together, summed per task before the
+shuffle. With its count a phrase keeps one of 256 groups of texts that has it, so
+that a last pass spells each frequent phrase out in that group's texts alone.
 
 Defined results: a null text is empty and adds nothing; a null language is
 ``und``; a language without a frequent phrase of two words has no rows; repeated
@@ -30,6 +30,7 @@ import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,12 @@ SHARE, DEVIATIONS = 0.25, 1.5
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
 #: A key's lowest bits tell the phrase's size; a filter is probed by the bits from these places on.
 LOW, HIGH = 2, 34
-#: Different phrases that a task holds before it hands its counts on; and of those held with their words.
-HELD, SPELLED = 1 << 20, 1 << 17
+#: Different phrases that a task holds before it hands its counts on; and that it remembers to have spelled out.
+HELD, SPELLED = 1 << 20, 1 << 18
 
+#: Groups of texts, and what marks a key as seen in each.
+GROUP_BITS = 8
+_GROUPS = w.mix(np.arange(1, (1 << GROUP_BITS) + 1, dtype=np.uint64))
 _PLACES = np.random.default_rng(20240311).integers(1, 1 << 63, size=MOST_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _bytes = np.arange(256)
 PIECE_END = np.isin(_bytes, [ord(c) for c in ".,;:!?"]) | ((_bytes >= 10) & (_bytes <= 13))
@@ -96,52 +100,55 @@ def filter_for(keys: DataFrame) -> Filter:
 class Stretch:
     """Words of a stretch of text, hashed with their language, and the pieces they stand in."""
 
-    def __init__(self, lower: np.ndarray, offsets: np.ndarray, languages: np.ndarray):
+    def __init__(self, lower: np.ndarray, offsets: np.ndarray, languages: np.ndarray, groups: np.ndarray):
         self.lower = lower
         self.words = w.find_words(lower, offsets, MEMBER)
         n = np.diff(self.words.first)
         self.doc = np.repeat(np.arange(len(n)), n)
+        self.languages, self.group = languages, groups[self.doc]
         self.hashes = w.hash_words(lower, self.words) ^ languages[self.doc]
         piece = np.searchsorted(np.flatnonzero(PIECE_END[lower]), self.words.starts)
         new = np.ones(len(piece), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.piece = np.cumsum(new)
 
-    def keys(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Keys of the phrases of ``size`` words that start at words ``at``."""
-        total = np.full(len(at), size, np.uint64)
-        for k in range(size):
-            total += self.hashes[at + k] * _PLACES[k]
-        return w.mix(total) << np.uint64(LOW) | np.uint64(size - 1)
-
     @cached_property
     def others(self) -> np.ndarray:
-        return w.hash_words(self.lower, self.words, 1)
+        return w.hash_words(self.lower, self.words, 1) ^ self.languages[self.doc]
 
-    def distinct(self, at: np.ndarray, keys: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
-        """Key, a second and unrelated hash, a start and the count of each phrase among those that start at ``at``."""
-        second = np.full(len(at), size, np.uint64)
+    @staticmethod
+    def run(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(len(at), size, np.uint64)
         for k in range(size):
-            second += self.others[at + k] * _PLACES[k]
-        second = w.mix(second)
-        order = np.lexsort((second, keys))
-        at, keys, second = at[order], keys[order], second[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (second[1:] != second[:-1]))[:len(at)])
-        n = np.diff(np.append(first, len(at)))
-        return zip(keys[first].tolist(), second[first].tolist(), at[first].tolist(), n.tolist())
-
-    def countable(self, known: Filter | None, upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per size: starts and keys of all words, and of phrases whose two longest parts are in ``known``."""
+            total += hashes[at + k] * _PLACES[k]
+        return w.mix(total)
+
+    def keys(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Keys of the phrases of ``size`` words that start at words ``at``."""
+        return self.run(self.hashes, at, size) << np.uint64(LOW) | np.uint64(size - 1)
+
+    def seconds(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Their second hashes, of 32 bits."""
+        return self.run(self.others, at, size) >> np.uint64(32)
+
+    def countable(self, known: Filter | None, upto: int, counted: Filter | None = None
+                  ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per size: starts and keys of all words, and of phrases whose two longest parts are in ``known``.
+
+        The third array marks those of which the same holds by ``counted``.
+        """
         at = np.arange(len(self.doc))
-        found = [(at, self.keys(at, 1))]
+        found = [(at, self.keys(at, 1), np.full(len(at), counted is not None))]
         for size in range(2, upto + 1):
-            at, keys = found[-1]
-            part = np.zeros(len(self.doc) + 1, bool)
+            at, keys, old = found[-1]
+            part, before = np.zeros((2, len(self.doc) + 1), bool)
             part[at[known.holds(keys)]] = True
+            if counted is not None:
+                before[at[old & counted.holds(keys)]] = True
             at = np.flatnonzero(part[:-1] & part[1:])
             at = at[at + size - 1 < len(self.doc)]
             at = at[self.piece[at] == self.piece[at + size - 1]]
-            found.append((at, self.keys(at, size)))
+            found.append((at, self.keys(at, size), before[at] & before[at + 1]))
         return found
 
     def phrase(self, at: int, size: int) -> bytes:
@@ -160,110 +167,121 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stretch, list
         lower = w.LOWER[data]
         names = batch.column("lang").to_pylist()
         keys = np.array([language_hash(x) for x in names], np.uint64)
+        groups = np.array([crc32(data[a:b]) % len(_GROUPS) for a, b in zip(offsets, offsets[1:])], np.uint64)
         if batch.num_rows > 1 or len(lower) <= 2 * CHUNK_BYTES:
-            yield Stretch(lower, offsets, keys), names
+            yield Stretch(lower, offsets, keys, groups), names
             continue
         ends = np.flatnonzero(PIECE_END[lower])
         at = 0
         while at < len(lower):
             next_end = np.searchsorted(ends, at + CHUNK_BYTES)
             upto = int(ends[next_end]) + 1 if next_end < len(ends) else len(lower)
-            yield Stretch(lower[at:upto], np.array([0, upto - at]), keys), names
+            yield Stretch(lower[at:upto], np.array([0, upto - at]), keys, groups), names
             at = upto
 
 
 class Tally:
-    """Counts by key, folded whenever many have come together."""
+    """Counts by key and second hash, folded whenever many have come together."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
+    def add(self, keys: np.ndarray, seconds: np.ndarray, groups: np.ndarray) -> None:
+        # the group below the second hash: the least of both is one of a text that has the phrase
+        self.parts.append(self.fold(keys, seconds << np.uint64(GROUP_BITS) | groups, np.ones(len(keys), np.int64)))
         self.held += len(self.parts[-1][0])
 
+    @staticmethod
+    def fold(keys, marks, n):
+        order = np.argsort(keys)
+        keys, marks, n = keys[order], marks[order], n[order]
+        new = np.ones(len(keys), bool)
+        # where keys collide a phrase may come out more than once; sums do not mind
+        new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] >> np.uint64(GROUP_BITS) != marks[:-1] >> np.uint64(GROUP_BITS))
+        first = np.flatnonzero(new)
+        if not len(first):
+            return keys, marks, n
+        return keys[first], np.minimum.reduceat(marks, first), np.add.reduceat(n, first)
+
     def drain(self, least: int = HELD) -> Iterator[pa.RecordBatch]:
-        """Everything, once ``least`` different keys are held."""
+        """Everything, once ``least`` different phrases are held."""
         if not self.parts or self.held < 2 * least:
             return
-        keys, n = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts = []
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
-        keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
-        self.held = len(keys)
-        if self.held < least:
-            self.parts = [(keys, n)]
+        keys, marks, n = self.fold(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.parts, self.held = [], 0
+        if len(keys) < least:
+            self.parts, self.held = [(keys, marks, n)], len(keys)
             return
-        self.held = 0
         for at in range(0, len(keys), 1 << 16):
             to = at + (1 << 16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at:to].view(np.int64)), pa.array(n[at:to])], names=["key", "n"])
+                [pa.array(keys[at:to].view(np.int64)), pa.array(marks[at:to].view(np.int64)), pa.array(n[at:to])],
+                names=["key", "mark", "n"])
 
 
-def count_keys(rows: DataFrame, known: Filter | None, counted: Filter | None = None,
-               sizes: range = range(1, MOST_WORDS + 1)) -> DataFrame:
-    """``key, n`` of the phrases that ``known`` makes countable and ``counted`` did not."""
+def count_phrases(rows: DataFrame, known: Filter | None, counted: Filter | None = None,
+                  sizes: range = range(1, MOST_WORDS + 1)) -> DataFrame:
+    """``key, second, n, group`` of the phrases that ``known`` makes countable and ``counted`` did not."""
     context = rows.sparkSession.sparkContext
     shared, before = context.broadcast(known), context.broadcast(counted)
 
     def count(batches: Iterator[pa.RecordBatch]):
         tally = Tally()
         for stretch, _ in stretches(batches):
-            found = stretch.countable(shared.value, sizes[-1])
-            old = stretch.countable(before.value, sizes[-1]) if before.value is not None else None
+            found = stretch.countable(shared.value, sizes[-1], before.value)
             for size in sizes:
-                at, keys = found[size - 1]
-                if old is not None:
-                    fresh = np.ones(len(stretch.doc), bool)
-                    fresh[old[size - 1][0]] = False
-                    keys = keys[fresh[at]]
-                if len(keys):
-                    tally.add(keys)
+                at, keys, old = found[size - 1]
+                if old.any():
+                    at, keys = at[~old], keys[~old]
+                if len(at):
+                    tally.add(keys, stretch.seconds(at, size), stretch.group[at])
             yield from tally.drain()
         yield from tally.drain(0)
 
-    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
+    # tasks have summed already: rows are dealt by key as they are, and summed there
+    return rows.mapInArrow(count, "key long, mark long, n long").repartition("key").groupBy(
+        "key", F.shiftright("mark", GROUP_BITS).alias("second")).agg(
+        F.sum("n").alias("n"), F.min(F.col("mark").bitwiseAND(F.lit(len(_GROUPS) - 1))).alias("group"))
 
-def count_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lang, phrase, f``: exact counts of all phrases whose key is among ``wanted``, and of some others.
 
-    The empty phrase stands for all words of a language.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(filter_for(wanted))
+def spell(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``key, second, lang, phrase`` of frequent phrases, and ``lang, n`` with the empty phrase for all words."""
+    context = rows.sparkSession.sparkContext
+    marks = F.array(*[F.lit(x) for x in _GROUPS.view(np.int64).tolist()])
+    marked = frequent.select(F.col("key").bitwiseXOR(F.element_at(marks, (F.col("group") + 1).cast("int"))).alias("key"))
+    shared = context.broadcast((filter_for(frequent.select("key")), filter_for(marked)))
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        known, held, total = shared.value, {}, {}
+    def find(batches: Iterator[pa.RecordBatch]):
+        (known, wanted), seen, out, total = shared.value, set(), [], {}
         for stretch, names in stretches(batches):
             for name, n in zip(names, np.diff(stretch.words.first).tolist()):
                 total[name] = total.get(name, 0) + n
-            for size, (at, keys) in enumerate(stretch.countable(known, MOST_WORDS), 1):
-                some = known.holds(keys)
-                for key, second, start, n in stretch.distinct(at[some], keys[some], size):
-                    entry = held.get((key, second))
-                    if entry is None:
-                        held[key, second] = [names[stretch.doc[start]], stretch.phrase(start, size), n]
-                    else:
-                        entry[2] += n
-            if len(held) > SPELLED:
-                yield phrase_batch(held.values())
-                held = {}
-        if held or total:
-            yield phrase_batch([*held.values(), *([name, b"", n] for name, n in total.items())])
-
-    return rows.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(
-        F.sum("n").alias("f"))
-
-
-def phrase_batch(entries: Iterable[list]) -> pa.RecordBatch:
-    names, phrases, n = zip(*entries)
+            for size, (at, keys, _) in enumerate(stretch.countable(known, MOST_WORDS), 1):
+                some = wanted.holds(keys ^ _GROUPS[stretch.group[at]])
+                at, keys = at[some], keys[some]
+                for start, *key in zip(at.tolist(), keys.view(np.int64).tolist(), stretch.seconds(at, size).tolist()):
+                    if tuple(key) not in seen:
+                        seen.add(tuple(key))
+                        out.append([*key, names[stretch.doc[start]], stretch.phrase(start, size), 0])
+            if len(out) >= 1 << 15:
+                yield phrase_batch(out)
+                out = []
+            if len(seen) > SPELLED:
+                seen.clear()
+        out += ([None, None, name, b"", n] for name, n in total.items())
+        if out:
+            yield phrase_batch(out)
+
+    return rows.mapInArrow(find, "key long, second long, lang string, phrase string, n long")
+
+
+def phrase_batch(entries: list[list]) -> pa.RecordBatch:
+    keys, seconds, names, phrases, n = zip(*entries)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-        names=["lang", "phrase", "n"])
+        [pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.array(names, pa.string()),
+         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+        names=["key", "second", "lang", "phrase", "n"])
 
 
 def propose(sample: DataFrame, lowered: int) -> DataFrame:
@@ -271,7 +289,7 @@ def propose(sample: DataFrame, lowered: int) -> DataFrame:
     found = None
     for size in range(1, MOST_WORDS + 1):
         known = None if found is None else filter_for(found)
-        level = written_once(count_keys(sample, known, sizes=range(size, size + 1)).filter(
+        level = written_once(count_phrases(sample, known, sizes=range(size, size + 1)).filter(
             F.col("n") >= lowered).select("key"), "phrases-proposed")
         found = level if found is None else found.unionByName(level)
     return found
@@ -309,15 +327,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         lowered = max(1, math.floor(expected - DEVIATIONS * math.sqrt(expected)))
     known, counted, frequent = filter_for(propose(sample, lowered)), None, None
     while True:
-        new = written_once(count_keys(rows, known, counted).filter(F.col("n") >= support), "phrases-counted")
+        new = written_once(count_phrases(rows, known, counted).filter(F.col("n") >= support), "phrases-counted")
         frequent = new if frequent is None else frequent.unionByName(new)
         failures = written_once(outside(new, known), "phrases-failed")
         if failures.isEmpty():
             break
         known, counted = known.with_keys(failures), known
-    exact = written_once(count_words(rows, frequent.select("key")).filter(
-        (F.col("f") >= support) | (F.col("phrase") == "")), "phrases-exact")
-    return exact.filter("phrase <> ''"), exact.filter("phrase = ''").select("lang", F.col("f").alias("n"))
+    spelled = written_once(spell(rows, frequent), "phrases-spelled")
+    names = spelled.filter("key IS NOT NULL").dropDuplicates(["key", "second"]).select("key", "second", "lang", "phrase")
+    totals = spelled.filter("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    return frequent.join(names, ["key", "second"]).select("lang", "phrase", F.col("n").alias("f")), totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT,
@@ -348,10 +367,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     kept = best.join(around, ["lang", "phrase"], "left").filter(
         f"around IS NULL OR 100 * cast(around AS decimal(19, 0)) < {covered} * cast(a AS decimal(19, 0))")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    placed = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    placed = kept.withColumn("rank", F.row_number().over(order))
     if reported is not None:
         placed = placed.filter(F.col("rank") <= reported)
-    return placed.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return placed.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE_SQL = f"""
