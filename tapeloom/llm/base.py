@@ -8,10 +8,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.session import prepare
+from tapeloom.session import prepare, written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,35 @@ def chunks(batches: Iterable[pa.RecordBatch], text_col: str = "text",
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose texts ``keep`` says yes to; it is given texts, bounded in bytes, nulls as empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            texts_ = batch.column(at).fill_null("")
+            for part in chunks([pa.RecordBatch.from_arrays([texts_, pa.array(range(len(texts_)))], ["text", "row"])]):
+                first = part.column("row")[0].as_py()
+                yield batch.slice(first, part.num_rows).filter(pa.array(keep(part.column("text"))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long of its own for every row, the same whenever it is computed.
+
+    The key is the number of the row's file among all files, which the driver
+    lists anyway, and the row's place in it. A frame that is not read from files
+    is written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = written_once(docs, "keyed")
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__file long, __path string")
+    own = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    return own.join(F.broadcast(files), "__path").withColumn(
+        name, F.shiftleft("__file", 40).bitwiseOR(F.col("__at"))).select(*docs.columns, name)

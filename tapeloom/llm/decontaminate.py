@@ -14,8 +14,9 @@ then compared exactly. At a similarity of 0.75 two fingerprints differ in 11 bit
 on average, with a deviation of 3, so the radius lies three deviations beyond. A document shorter than
 an item of which it holds enough is compared with it exactly, without fingerprints.
 
-The benchmark is a stated set of bounded blocks: each block of items is sent to
-all tasks and the documents are read once per block, so no block outgrows a task.
+The benchmark is a stated set of bounded blocks: one block of items at a time is
+read, sent to all tasks and given up again, and the documents are read once per
+block, so neither driver nor task holds more than one.
 
 Defined results: a null or empty text and an item without words match nothing;
 equal items are reported under each of their ids; equal documents get equal
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import words as w
-from tapeloom.llm.base import chunks, query, table, texts, utf8
+from tapeloom.llm.base import chunks, kept_rows, query, table, texts, utf8
+from tapeloom.session import written_once
 
 SIMILARITY = 0.75
 BITS, BLOCK_BITS = 64, 3
@@ -199,18 +201,55 @@ def short_matches(text: np.ndarray, items: Items) -> dict[int, float]:
     return best
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Items]:
-    """The benchmark's items, indexed in blocks of about ``block_bytes`` of text."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
+    """The benchmark's items, indexed in blocks of about ``block_bytes`` of text, one at a time."""
     items = texts(benchmark, id_col, text_col).filter("doc_id IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    blocks = []
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k).orderBy("doc_id", "text").collect()
         found = index_items([r["doc_id"] for r in rows], [r["text"] for r in rows])
         if found is not None:
-            blocks.append(found)
-    return blocks
+            yield found
+
+
+def held_items(column, items: Items, need: float) -> list[dict[int, float]]:
+    """Per text the ids of the items it holds, each with its best similarity."""
+    hashes, runs, first = text_shingles(column)
+    at = np.minimum(np.searchsorted(items.known, runs), len(items.known) - 1)
+    hit = items.known[at] == runs
+    short = (items.lengths < 0).any()
+    before = np.append(0, np.cumsum(hit))
+    found: list[dict[int, float]] = []
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
+        best = short_matches(hashes[low:high], items) if short else {}
+        end = high - w.SHINGLE + 1
+        if end > low and before[end] > before[low]:
+            own, own_hit = runs[low:end], hit[low:end]
+            possible = possible_items(at[low:end][own_hit], end - low, items, need)
+            longer = items.lengths[possible] > end - low
+            best |= whole_matches(own, possible[longer], items, need)
+            for length in np.unique(items.lengths[possible[~longer]]):
+                best |= matches(own, own_hit, int(length), items, need)
+        named: dict[int, float] = {}
+        for item, value in best.items():
+            named[items.ids[item]] = max(value, named.get(items.ids[item], 0.0))
+        found.append(named)
+    return found
+
+
+def block_by_block(rows: DataFrame, blocks: Iterator[Items], scan) -> DataFrame:
+    """``scan(rows, block)`` over every block; one block is in memory and sent at a time.
+
+    All passes but the last are written, so that a block is done with before the next comes.
+    """
+    context, last = rows.sparkSession.sparkContext, None
+    for block in blocks:
+        if last is not None:
+            rows = written_once(scan(rows, last), "decontamination")
+            last.destroy()
+        last = context.broadcast(block)
+    return rows if last is None else scan(rows, last)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -221,48 +260,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``item_ids`` lists the matched items in ascending order; ``similarity`` is
     the best one, 0 if none.
     """
-    docs = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id_col, item_text_col, block_bytes)]
-
-    def scan(batches: Iterator[pa.RecordBatch]):
-        for batch in chunks(batches):
-            hashes, runs, first = text_shingles(batch.column("text"))
-            found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
-            for block in shared:
-                look_up(hashes, runs, first, block.value, found)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
-                pa.array([sorted(f) for f in found], pa.list_(pa.int64())),
-                pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
-            ], names=["doc_id", "item_ids", "similarity"])
-
-    def look_up(hashes, runs, first, items: Items, found: list[dict[int, float]]) -> None:
-        at = np.minimum(np.searchsorted(items.known, runs), len(items.known) - 1)
-        hit = items.known[at] == runs
-        short = (items.lengths < 0).any()
-        before = np.append(0, np.cumsum(hit))
-        for d in range(len(found)):
-            low, high = int(first[d]), int(first[d + 1])
-            best = short_matches(hashes[low:high], items) if short else {}
-            end = high - w.SHINGLE + 1
-            if end > low and before[end] > before[low]:
-                own, own_hit = runs[low:end], hit[low:end]
-                possible = possible_items(at[low:end][own_hit], end - low, items, need)
-                longer = items.lengths[possible] > end - low
-                best |= whole_matches(own, possible[longer], items, need)
-                for length in np.unique(items.lengths[possible[~longer]]):
-                    best |= matches(own, own_hit, int(length), items, need)
-            for item, value in best.items():
-                i = items.ids[item]
-                found[d][i] = max(value, found[d].get(i, 0.0))
-
-    out = docs.mapInArrow(scan, "doc_id long, item_ids array<long>, similarity double")
+
+    def scan(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]):
+            for batch in chunks(batches):
+                found = held_items(batch.column("text"), shared.value, need)
+                ids = [sorted({*old, *new}) for old, new in zip(batch.column("item_ids").to_pylist(), found)]
+                best = np.maximum(batch.column("similarity").to_numpy(zero_copy_only=False),
+                                  [max(f.values(), default=0.0) for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(best)],
+                    names=["doc_id", "text", "item_ids", "similarity"])
+
+        return rows.mapInArrow(run, "doc_id long, text string, item_ids array<long>, similarity double")
+
+    rows = texts(docs, id_col, text_col).withColumn("item_ids", F.array().cast("array<long>")).withColumn(
+        "similarity", F.lit(0.0))
+    out = block_by_block(rows, item_blocks(benchmark, item_id_col, item_text_col, block_bytes), scan)
     return out.select(
         "doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"),
         "item_ids", "similarity")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                    item_text_col: str = "text", need: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns, that hold no item; a row is judged by its own text, whatever its id."""
+
+    def scan(rows: DataFrame, shared) -> DataFrame:
+        return kept_rows(rows, lambda column: np.array([not f for f in held_items(column, shared.value, need)], bool),
+                         text_col)
+
+    return block_by_block(docs, item_blocks(benchmark, item_id_col, item_text_col, block_bytes), scan)
+
+
 @query("op3_decontamination")
 def op3(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -196,7 +196,7 @@ def bucket_of(node: np.ndarray, parts: int) -> np.ndarray:
     return (w.mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def candidate_edges(docs: DataFrame, frequent: dict[int, int], slices: int, bits: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, frequent: dict[int, int], slices: int) -> DataFrame:
     """Edges between sets that may link; three exchanges of packed arrays.
 
     Parts below ``slices`` are slices of the hashes; those beyond are buckets of
@@ -204,7 +204,6 @@ def candidate_edges(docs: DataFrame, frequent: dict[int, int], slices: int, bits
     """
     hot = np.array(sorted(frequent), np.uint64)
     hot_rank = np.array([MOST_HELD + int(64 * np.log2(max(2, frequent[int(t)]))) for t in hot], np.int64)
-    cut = np.uint64(64 - bits)
     top = np.uint64(64 - (slices.bit_length() - 1))
 
     def slice_of(token: np.ndarray) -> np.ndarray:
@@ -227,7 +226,7 @@ def candidate_edges(docs: DataFrame, frequent: dict[int, int], slices: int, bits
                 known = hot[at] == token
                 rank[known] = hot_rank[at[known]]
                 part[known] = slices + bucket_of(node[known], slices)
-            return pack(part, node, n, token >> cut << cut, rank)
+            return pack(part, node, n, token, rank)
 
         for batch in chunks(batches):
             for own in shingle_sets(batch.column("text")):
@@ -611,8 +610,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = {r["token"] & 0xFFFFFFFFFFFFFFFF: r["held"] for r in reports.collect()}
     total = max(1, int(size["shingles"] or 0) // 2)
     slices = 1 << int(np.clip(np.ceil(np.log2(total / SLICE)), 6, 15))
-    bits = 48 if total < 1 << 28 else 64
-    edges = candidate_edges(docs, frequent, slices, bits)
+    edges = candidate_edges(docs, frequent, slices)
     candidates = components(edges, "candidates")
     # vertices of frequent hashes are no nodes, and a candidate component needs two nodes
     nodes = rows.filter("node IS NOT NULL").select("node").distinct()

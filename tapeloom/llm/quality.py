@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import words as w
-from tapeloom.llm.base import chunks, query, table, texts, utf8
+from tapeloom.llm.base import chunks, kept_rows, query, table, texts, utf8
 from tapeloom.session import written_once
 
 #: Rows of the context matrix for surfaces, shapes and marks of repetition; its columns.
@@ -151,20 +151,26 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
     return own + (context / np.maximum(length, 1.0)).astype(np.float32)
 
 
+def pool(column, vectors: np.ndarray) -> np.ndarray:
+    """Per text: mean surface vector, mean shape vector, shares of repetition."""
+    t = tokens(column)
+    n = np.diff(t.first)
+    out = np.zeros((len(n), 2 * WIDTH + 2), np.float32)
+    some = np.flatnonzero(n)
+    if len(some):
+        for k, rows in enumerate((t.surface, t.shape)):
+            out[some, k * WIDTH:(k + 1) * WIDTH] = np.add.reduceat(vectors[rows], t.first[some], axis=0)
+        out[some, -2], out[some, -1] = t.same[some], t.again[some]
+        out[some] /= n[some, None]
+    return out
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``doc_id, vector array<float>``: mean surface vector, mean shape vector, shares of repetition."""
+    """``doc_id, vector array<float>``, see :func:`pool`."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches):
-            t = tokens(batch.column("text"))
-            n = np.diff(t.first)
-            out = np.zeros((batch.num_rows, 2 * WIDTH + 2), np.float32)
-            some = np.flatnonzero(n)
-            if len(some):
-                for k, rows in enumerate((t.surface, t.shape)):
-                    out[some, k * WIDTH:(k + 1) * WIDTH] = np.add.reduceat(vectors[rows], t.first[some], axis=0)
-                out[some, -2], out[some, -1] = t.same[some], t.again[some]
-                out[some] /= n[some, None]
+            out = pool(batch.column("text"), vectors)
             values = pa.array(out.ravel(), pa.float32())
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -244,22 +250,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
-                  text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document.
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[np.ndarray, DataFrame, Network]:
+    """Word vectors of all ``doc_id, text``, the documents' vectors, and the network.
 
-    Word vectors come from all documents. The network sees labels only of ids
-    that are not held out, ``sample`` of them at most, chosen by a hash of the id.
+    The network sees labels only of ids that are not held out, ``sample`` of them
+    at most, chosen by a hash of the id.
     """
-    docs = texts(docs, id_col, text_col)
-    vectors = written_once(pooled(docs, word_vectors(contexts(docs))), "pooled")
+    words = word_vectors(contexts(docs))
+    vectors = written_once(pooled(docs, words), "pooled")
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
              .filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")))
     order = F.xxhash64("doc_id")
     rows = vectors.join(known, "doc_id").orderBy(order, "doc_id", "vector").limit(sample).toPandas()
     x = np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), 2 * WIDTH + 2)
-    net = train(x, rows["label"].to_numpy())
+    return words, vectors, train(x, rows["label"].to_numpy())
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
+                  text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; see :func:`fit`."""
+    _, vectors, net = fit(texts(docs, id_col, text_col), labels, label, sample)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -273,6 +284,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
+                   text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The documents, all columns, that the classifier gives at least an even chance.
+
+    Each row is judged by its own text in the pass that yields it, whatever its id.
+    """
+    words, _, net = fit(texts(docs, id_col, text_col), labels, label, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((words, net))  # of fixed size
+
+    def keep(column: pa.Array) -> np.ndarray:
+        words, net = shared.value
+        return net.scores(pool(column, words)) >= 0.5
+
+    return kept_rows(docs, keep, text_col)
+
+
 @query("op7_quality_classifier")
 def op7(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
