@@ -3,9 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its
 predecessor kept. Decisions take effect: rejected documents, further copies and
 contaminated documents go, secrets are masked in the text. All but the last
-return the columns of ``documents``. Rows that share an id are rejected together,
-and equal ones among them become one; rows without an id cannot be named and are
-kept.
+return the columns of ``documents``. Every row is judged by itself: its id may be
+missing or shared with other rows, of which the clean ones stay.
 """
 
 from __future__ import annotations
@@ -13,44 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.base import table
+from tapeloom.llm.base import table, with_row_key
 from tapeloom.llm.bpe import encode, vocabulary_path
 from tapeloom.llm.credentials import mask_secrets
-from tapeloom.llm.decontaminate import contaminated
+from tapeloom.llm.decontaminate import clean_documents
 from tapeloom.llm.jaccard import similarity_components
-from tapeloom.llm.quality import score_quality
-from tapeloom.session import scratch_path
+from tapeloom.llm.quality import good_documents
+from tapeloom.session import scratch_path, written_once
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected ones.
-
-    Few rows are rejected as against those kept; Spark broadcasts them or not by
-    their size.
-    """
-    rejected = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier gives less than an even chance of being good."""
-    return without(docs, score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    return good_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar texts."""
-    kept = without(docs, similarity_components(docs).filter("doc_id <> component_id"))
-    # rows repeated as they are have one id, which is hardly ever the case
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return without(kept, repeated).unionByName(once) if not repeated.isEmpty() else kept
+    """Keeps one row of each group of similar texts: the smallest id's, then the first."""
+    keyed = with_row_key(docs.select(*COLUMNS), "__row")
+    found = similarity_components(keyed, id_col="__row").filter("n_shingles > 0").select(
+        F.col("doc_id").alias("__row"), "component_id")
+    members = written_once(found.join(keyed.select("__row", "doc_id"), "__row"), "members")
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first"),
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id", F.col("first.__row").alias("__first"))
+    further = members.join(first, "component_id").filter("__row <> __first").select("__row")
+    return keyed.join(further, "__row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
