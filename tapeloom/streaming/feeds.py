@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tapeloom.config import BACKFILL_MINUTES
 from tapeloom.functions import timegrid as tg
+from tapeloom.streaming import state
 from tapeloom.streaming.sources import each_batch
 
 
@@ -48,22 +49,36 @@ def backfill_window(now: datetime, minutes: int = BACKFILL_MINUTES) -> tuple[dat
     return now - timedelta(minutes=minutes), now
 
 
-def news_in_reach(polls: DataFrame, tagged: DataFrame, fresh_minutes: int,
-                  lateness: str = "60 minutes") -> DataFrame:
-    """Polls joined to every article of their ticker still fresh at the poll.
+def latest_news(polls: DataFrame, tagged: DataFrame, fresh_minutes: int,
+                lateness: str = "60 minutes") -> DataFrame:
+    """Every poll once, with the latest article of its ticker still fresh at the poll, or NULL.
 
-    A late article only meets polls at or after its own creation. The watermark
-    on both sides bounds the state.
+    Time is cut into spans as long as an article stays fresh, so a poll needs the
+    articles of its own span and of the one before: an article is sent to two
+    keys, and a ticker with many rows is many keys. Articles are kept in time
+    order, late ones put in their place; a poll is answered once the watermark
+    has passed it. Of articles created at one moment the largest id counts.
     """
-    left = polls.withWatermark("poll_ts", lateness).alias("p")
-    right = tagged.withWatermark("created_at", lateness).alias("n")
-    near = (
-        (F.col("p.ticker") == F.col("n.ticker"))
-        & (F.col("n.created_at") <= F.col("p.poll_ts"))
-        & (F.col("n.created_at") >= F.col("p.poll_ts") - F.expr(f"interval {fresh_minutes} minutes"))
-    )
-    return left.join(right, near, "left_outer").select(
-        "p.*", F.col("n.news_id").alias("news_id"), F.col("n.created_at").alias("news_created_at"))
+    span = fresh_minutes * 60_000_000
+    # a row without a ticker only moves the watermark; as a filter would be pushed below it, the state skips the row
+    named = F.col("ticker").isNotNull()
+    payload = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    asked = polls.select(
+        "ticker", F.col("poll_ts").alias("at"), F.when(named, F.to_json(F.struct(*polls.columns), payload)).alias("poll"),
+        F.lit(None).cast("string").alias("news_id"),
+        F.floor(F.unix_micros("poll_ts") / span).alias("span"))
+    own = F.floor(F.unix_micros("created_at") / span)
+    told = tagged.select(
+        "ticker", F.col("created_at").alias("at"), F.lit(None).cast("string").alias("poll"),
+        F.when(named, F.col("news_id").cast("string")).alias("news_id"), F.explode(F.array(own, own + 1)).alias("span"))
+    # the slower of the two sets the watermark
+    both = asked.withWatermark("at", lateness).unionByName(told.withWatermark("at", lateness))
+    kind = dict(tagged.dtypes)["news_id"]
+    answered = state.latest_in_span(both, span, numeric=kind in ("bigint", "int"))
+    fields = ", ".join(f"`{name}` {of}" for name, of in polls.dtypes)
+    return answered.select(
+        F.from_json("poll", fields, payload).alias("p"), F.col("news_id").cast(kind).alias("news_id"),
+        "news_created_at").select("p.*", "news_id", "news_created_at")
 
 
 def on_item(news: DataFrame, callback: Callable[[DataFrame], None]) -> DataStreamWriter:

@@ -8,10 +8,7 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -46,62 +43,4 @@ def evaluate_stream(polls: DataFrame, context: window_poll.PollContext, tagged_n
     return each_batch(polls, handle)
 
 
-def push_stream(rows: DataFrame, rules: PushRules, order: Sequence[str], root: str,
-                schema: str) -> DataStreamWriter:
-    """Pushes within the budget of each window.
-
-    The keyed state leaves at most two candidates per ticker and window; the
-    budget left is the rule's maximum minus what the ledger already holds.
-    """
-    candidates = state.push_candidates(rows, order)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = earlier(read_batches(spark, root, "pushes", schema), batch_id)
-        used = ledger.groupBy("window_start").agg(F.count(F.lit(1)).alias("_used"))
-        best = top_rows(batch, ["window_start"], [F.asc(c) for c in order], rules.max_pushes)
-        left = rules.max_pushes - F.coalesce(F.col("_used"), F.lit(0))
-        chosen = best.join(used, "window_start", "left").where(F.col("rank") <= left)
-        write_batch(chosen.select(*batch.columns), root, "pushes", batch_id)
-
-    return each_batch(candidates, handle)
-
-
-def outage_stream(log: DataFrame, root: str, keys: Sequence[str]) -> DataStreamWriter:
-    """Outage intervals of ``(*keys, ts, event_id, state)`` logs.
-
-    A gap still open at the end of a batch re-enters the next one as the
-    ``down`` event it started with. Every batch records the open gap of every
-    key it knows, so only the batch before has to be read.
-    """
-    columns = [*keys, "ts", "event_id", "state"]
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        types = dict(batch.dtypes)
-        schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", started timestamp"
-        before = read_batches(spark, root, "open_outages", schema)
-        previous = before.where(F.col("batch_id") == batch_id - 1)
-        carried = previous.select(
-            *keys, F.col("started").alias("ts"), F.lit(-1).cast(types["event_id"]).alias("event_id"),
-            F.lit("down").alias("state"))
-        found = news_ops.outages(batch.select(*columns).unionByName(carried), keys)
-        done = F.col("ended").isNotNull()
-        write_batch(found.where(~done).select(*keys, "started"), root, "open_outages", batch_id)
-        write_batch(found.where(done), root, "outages", batch_id)
-
-    return each_batch(log, handle)
-
-
-def latest_per_key(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Newest batch's row per key."""
-    return latest_rows(batches, list(keys), ["batch_id"])
-
-
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Position of a row inside a small group, such as the pushes of a window."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-
-
-__all__ = ["batch_table", "evaluate_stream", "latest_per_key", "numbered", "outage_stream",
-           "push_stream"]
+__all__ = ["evaluate_stream"]

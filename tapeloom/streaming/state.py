@@ -8,6 +8,7 @@ row of its key.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -95,34 +96,156 @@ def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
         GroupStateTimeout.EventTimeTimeout)
 
 
-def push_candidates(rows: DataFrame, order: Sequence[str], ttl_ms: int = 24 * HOUR_MS,
-                    lateness: str = "10 minutes") -> DataFrame:
-    """The only two rows of a ticker a window can push.
+def latest_in_span(events: DataFrame, span_us: int, numeric: bool) -> DataFrame:
+    """``poll, news_id, news_created_at`` of every poll in ``ticker, span, at, poll, news_id``.
+
+    The state holds the polls not answered yet and the articles of the span, in
+    time order. A timer at the next unanswered poll, then one at the end of the
+    span, which forgets the key.
+    """
+
+    def rank(news_id: str):
+        return int(news_id) if numeric else news_id
+
+    def step(key, rows, held: GroupState):
+        end = (int(key[1]) + 1) * span_us
+        asked, told = [], []
+        if held.exists:
+            a, b, c, d = held.get
+            asked, told = list(zip(a, b)), list(zip(c, d))
+        if not held.hasTimedOut:
+            for batch in rows:
+                at = batch["at"].astype("datetime64[us]").astype("int64")
+                poll, news = batch["poll"].notna(), batch["news_id"].notna()
+                asked += zip(at[poll].tolist(), batch["poll"][poll].tolist())
+                told += zip(at[news].tolist(), batch["news_id"][news].tolist())
+            told.sort(key=lambda x: (x[0], rank(x[1])))
+            asked.sort()
+        passed = held.getCurrentWatermarkMs() * 1000
+        ready = [p for p in asked if p[0] < passed]
+        asked = asked[len(ready):]
+        times = [t for t, _ in told]
+        out = []
+        for at, poll in ready:
+            i = bisect_right(times, at) - 1
+            fresh = i >= 0 and times[i] >= at - span_us
+            out.append((poll, told[i][1] if fresh else None,
+                        pd.Timestamp(times[i], unit="us") if fresh else pd.NaT))
+        if asked or passed <= end:
+            held.update(([t for t, _ in asked], [p for _, p in asked], times, [n for _, n in told]))
+            due = asked[0][0] if asked else end
+            held.setTimeoutTimestamp(max(due, passed) // 1000 + 1)
+        elif held.exists:
+            held.remove()
+        if out:
+            answered = pd.DataFrame(out, columns=["poll", "news_id", "news_created_at"])
+            answered["news_created_at"] = answered["news_created_at"].astype("datetime64[us]")
+            yield answered
+
+    return events.groupBy("ticker", "span").applyInPandasWithState(
+        step, "poll string, news_id string, news_created_at timestamp",
+        "polls_at array<bigint>, polls array<string>, news_at array<bigint>, news array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    ``level`` is 3 for A, 2 for B, 0 otherwise. The state is the highest level
-    emitted: the first pushable row and, after a B, the first A. One pass over
-    the rows, holding two of them. ``order`` starts with the event time.
+def first_tickers(rows: DataFrame, order: Sequence[str], tickers: int) -> DataFrame:
+    """Of every window in a task: the first B and the first A row of the ``tickers`` that come first.
+
+    What comes later in the order than that many tickers cannot be pushed; so a
+    window with very many rows arrives at its state as few from each task.
     """
     order, columns = list(order), list(rows.columns)
 
-    def step(_key, batches, state):
-        seen = state.get[0] if state.exists else 0
-        best: dict[int, tuple] = {}
+    def fold(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["window_start", *order]).drop_duplicates(["window_start", "ticker", "level"])
+        first = held.drop_duplicates(["window_start", "ticker"])
+        first = first[first.groupby("window_start", dropna=False).cumcount() < tickers]
+        return held.merge(first[["window_start", "ticker"]], on=["window_start", "ticker"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            for level in (2, 3):
-                part = batch[batch["level"] == level]
-                if len(part):
-                    row = part.sort_values(order).iloc[[0]]
-                    place = tuple(row[order].itertuples(index=False, name=None))[0]
-                    if level not in best or place < best[level][0]:
-                        best[level] = (place, row)
-        for level in sorted(best, key=lambda k: best[k][0]):
-            if level > seen:
-                seen = level
-                yield best[level][1][columns]
-        state.update((seen,))
-
-    on_time = rows.where("level > 0").withWatermark(order[0], lateness)
-    return on_time.groupBy("window_start", "ticker").applyInPandasWithState(
-        _expiring(step, order[0], ttl_ms), rows.schema, "level int", "append",
+            held = fold(batch if held is None else pd.concat([held, batch]))
+        if held is not None and len(held):
+            yield held[columns]
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def budgeted_pushes(rows: DataFrame, order: Sequence[str], most: int, ttl_ms: int = 24 * HOUR_MS,
+                    lateness: str = "10 minutes") -> DataFrame:
+    """The pushed rows of every window, ``most`` at most.
+
+    A ticker is pushed at its first A or B row, and after a B once more at its
+    first A. ``level`` is 3 for A, 2 for B, 0 otherwise. The state is what was
+    pushed: a ticker and a level for each push, so no more than the budget.
+    ``order`` starts with the event time.
+    """
+    order, columns = list(order), list(rows.columns)
+
+    def step(_key, batches, held):
+        tickers, levels, used = held.get if held.exists else ([], [], 0)
+        pushed = dict(zip(tickers, levels))
+        batch = pd.concat(list(batches)).sort_values(order)
+        chosen = []
+        for i, (ticker, level) in enumerate(zip(batch["ticker"], batch["level"])):
+            if used >= most:
+                break
+            if level > pushed.get(ticker, 0):
+                pushed[ticker] = int(level)
+                used += 1
+                chosen.append(i)
+        held.update((list(pushed), list(pushed.values()), used))
+        if chosen:
+            yield batch.iloc[chosen][columns]
+
+    # as many tickers may have been pushed already as may be pushed now
+    ahead = first_tickers(rows.where("level > 0"), order, 2 * most)
+    return ahead.withWatermark(order[0], lateness).groupBy("window_start").applyInPandasWithState(
+        _expiring(step, order[0], ttl_ms), rows.schema,
+        "tickers array<string>, levels array<int>, used int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def outages(log: DataFrame, keys: Sequence[str], report_after_ms: int,
+            lateness: str = "10 minutes") -> DataFrame:
+    """``*keys, started, ended`` of every gap in ``*keys, ts, event_id, state`` logs.
+
+    A gap that lasts ``report_after_ms`` of event time is reported with a NULL
+    end while it lasts, by a timer and without waiting for an event, and again
+    with its end when it is over. Repeated ``down`` events are one gap.
+    """
+    keys = list(keys)
+
+    def step(key, rows, held):
+        started, told = held.get if held.exists else (None, False)
+        out = []
+        if held.hasTimedOut:
+            out.append((*key, started, None))
+            told = True
+        else:
+            for at, state in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["ts", "state"]].itertuples(index=False):
+                at = at.value // 1000
+                if state == "down" and started is None:
+                    started, told = at, False
+                elif state == "up" and started is not None:
+                    out.append((*key, started, at))
+                    started = None
+        if started is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((started, told))
+            if not told:
+                due = started // 1000 + report_after_ms
+                held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs()) + 1)
+        if out:
+            found = pd.DataFrame(out, columns=[*keys, "started", "ended"])
+            for c in ("started", "ended"):
+                found[c] = pd.to_datetime(found[c], unit="us")
+            yield found
+
+    types = dict(log.dtypes)
+    fields = ", ".join(f"{k} {types[k]}" for k in keys)
+    return log.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
+        step, f"{fields}, started timestamp, ended timestamp", "started bigint, told boolean", "append",
         GroupStateTimeout.EventTimeTimeout)

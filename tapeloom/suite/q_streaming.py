@@ -113,16 +113,18 @@ def buffered_lake_sink(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("feed_latency_s").alias("latency"))
 
 
-@query("i4_late_news_join", with_("purchases tagged", f"""SELECT p.event_id, n.news_id FROM purchases p LEFT JOIN tagged n
-    ON n.ticker=p.ticker AND n.created_at <= p.ts AND n.created_at >= p.ts - INTERVAL 1440 MINUTE
-    WHERE n.news_id IS NOT NULL"""))
+@query("i4_late_news_join", with_("purchases tagged", f"""SELECT p.event_id, m.last.i AS news_id,
+    {t('m.last.c','news_created_at')} FROM purchases p LEFT JOIN (
+      SELECT q.event_id, max(struct_pack(c := n.created_at, i := n.news_id)) AS last FROM purchases q
+      JOIN tagged n ON n.ticker = q.ticker AND n.created_at <= q.ts AND n.created_at >= q.ts - INTERVAL 1440 MINUTE
+      GROUP BY q.event_id) m USING (event_id)"""))
 def late_news_join(spark, d):
-    """Stream-stream join: polls meet articles created up to a day before."""
+    """Streaming as-of join: every poll with the latest article created up to a day before, or none."""
     polls = src.purchases(spark, d).select("event_id", "ticker", F.col("ts").alias("poll_ts"))
     tagged = news_ops.by_symbol(src.news(spark, d)).select("ticker", "news_id", "created_at")
-    joined = feeds.news_in_reach(replay(polls, "poll_ts", "polls"),
-                                 replay(tagged, "created_at", "tagged"), 1440)
-    return drained(joined, "late").where(F.col("news_id").isNotNull()).select("event_id", "news_id")
+    joined = feeds.latest_news(replay(polls, "poll_ts", "polls", closing="3 days"),
+                               replay(tagged, "created_at", "tagged", closing="3 days"), 1440)
+    return drained(joined, "late").select("event_id", "news_id", "news_created_at")
 
 
 @query("i5_window_baseline_state", with_("polls", f"""SELECT ticker, {t('window_start','window_start')}, {t('poll_ts','poll_ts')},
@@ -157,13 +159,9 @@ def push_budget_state(spark, d):
     rows = src.scored(spark, d).select(
         "window_start", F.col("brand").alias("ticker"), "poll_ts", level.alias("level"),
         (-F.col("l_quantity")).alias("neg_score"), "l_orderkey", "l_linenumber", "l_partkey")
-    root = scratch_path(spark, "pushes")
-    schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes)
     order = ["poll_ts", "neg_score", "ticker", "l_orderkey", "l_linenumber", "l_partkey"]
     stream = replay(rows, "window_start", "evals", ORDER_CUTS)
-    sources.drain(jobs.push_stream(stream, PushRules(max_pushes=3), order, root, schema),
-                  scratch_path(spark, "cp-pushes"))
-    return sources.read_batches(spark, root, "pushes", schema).select(
+    return drained(state.budgeted_pushes(stream, order, PushRules(max_pushes=3).max_pushes), "pushes").select(
         "window_start", "ticker", "poll_ts", "level", "l_orderkey")
 
 
@@ -175,15 +173,11 @@ ALL_OUTAGES = """SELECT ts AS started, (SELECT min(u.ts) FROM health u WHERE u.s
 @query("i8_feed_health_state", with_("health", f"""SELECT {t('started','started')}, {t('ended','ended')} FROM outages""",
     outages=ALL_OUTAGES))
 def feed_health_state(spark, d):
-    """Outages of one feed, one still open included; a gap may begin in one batch and end in another."""
+    """Outages of one feed, those still open as well, which a timer reports while they last."""
     log = src.health(spark, d).select(F.lit("news").alias("feed"), "ts", "event_id", "state")
-    root = scratch_path(spark, "health")
-    sources.drain(jobs.outage_stream(replay(log, "ts", "health"), root, ["feed"]),
-                  scratch_path(spark, "cp-health"))
-    ended = sources.read_batches(
-        spark, root, "outages", "feed string, started timestamp, ended timestamp").select("started", "ended")
-    still = sources.of_last_batch(spark, root, "open_outages", "feed string, started timestamp")
-    return ended.unionByName(still.select("started", F.lit(None).cast("timestamp").alias("ended")))
+    found = state.outages(replay(log, "ts", "health", closing="3 days"), ["feed"], report_after_ms=30 * 60_000)
+    # a long gap is told twice, the second time with its end
+    return drained(found.where("feed IS NOT NULL"), "outages").groupBy("started").agg(F.max("ended").alias("ended"))
 
 
 @query("i1_streaming_evaluations", with_("polls tagged udaily", f"""SELECT ticker, {t('poll_ts','poll_ts')},
