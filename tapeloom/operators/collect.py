@@ -70,7 +70,12 @@ def window_baselines(polls: DataFrame, window: str = "window_start") -> DataFram
 def with_window_moves(polls: DataFrame, window: str = "window_start") -> DataFrame:
     """Move and volume since the ticker was first seen in its window."""
     base = window_baselines(polls, window)
-    return polls.join(base, [window, "ticker"], "left").withColumns({
+    return moves_from(polls.join(base, [window, "ticker"], "left"))
+
+
+def moves_from(polls: DataFrame) -> DataFrame:
+    """Move and volume since ``open_price`` and ``open_volume``."""
+    return polls.withColumns({
         "window_change_pct": m.pct_change(F.col("price"), F.col("open_price")),
         "window_volume": m.window_volume(F.col("volume"), F.col("open_volume")),
     })

@@ -53,14 +53,16 @@ def judge_polls(
     ``polls`` carries ticker, poll_ts, price, volume, change_pct,
     average_volume_10d and float_shares; ``prev_closes`` is keyed by ticker and
     date, ``baselines`` by ticker, date and minute offset, ``recent_runners``
-    is a list of tickers.
+    is a list of tickers. Polls that come with ``open_price`` and ``open_volume``,
+    what a ticker had when first seen in its window, are measured against those.
     """
     c = F.col
     rows = polls.withColumns({
         "window_start": tg.window_start(c("poll_ts"), context.windows),
         "date": tg.et_date(c("poll_ts")),
     }).where(c("window_start").isNotNull())
-    rows = collect.with_window_moves(rows)
+    known = {"open_price", "open_volume"} <= set(polls.columns)
+    rows = collect.moves_from(rows) if known else collect.with_window_moves(rows)
     if prev_closes is not None:
         rows = rows.join(prev_closes.select("ticker", "date", "prev_close"),
                          ["ticker", "date"], "left")
@@ -106,11 +108,11 @@ def judge_polls(
     })
 
 
-def rank_and_push(judged: DataFrame, context: PollContext) -> DataFrame:
-    """Composite rank across each poll, then the push decision per window.
+def rank_polls(judged: DataFrame, context: PollContext) -> DataFrame:
+    """Composite rank across each poll.
 
-    Ranks and pushes read their input several times, a few columns each, so
-    both stages start from a written table.
+    Ranks read their input several times, a few columns each, so both this and
+    what follows start from a written table.
     """
     judged = written_once(judged, "judged-polls")
     ranked = percentile_ranks(judged, ["poll_ts"], {
@@ -118,7 +120,12 @@ def rank_and_push(judged: DataFrame, context: PollContext) -> DataFrame:
     scored = ranked.withColumn("rank_score", m.rank_score(
         F.col("_r_change"), F.col("_r_rvol"), F.col("_r_gap"), context.weights)).drop(
         "_r_change", "_r_rvol", "_r_gap")
-    return push.decide_pushes(written_once(scored, "ranked-polls"), context.push_rules)
+    return written_once(scored, "ranked-polls")
+
+
+def rank_and_push(judged: DataFrame, context: PollContext) -> DataFrame:
+    """Composite rank across each poll, then the push decision per window."""
+    return push.decide_pushes(rank_polls(judged, context), context.push_rules)
 
 
 def evaluate_polls(polls: DataFrame, context: PollContext, tagged_news: DataFrame,

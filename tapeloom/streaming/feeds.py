@@ -14,6 +14,9 @@ from tapeloom.functions import timegrid as tg
 from tapeloom.streaming import state
 from tapeloom.streaming.sources import each_batch
 
+#: How a row travels through keyed state as one text.
+PAYLOAD = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def tumbling_bars(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> DataFrame:
     """OHLCV per ticker and bucket, emitted once the watermark passes it."""
@@ -62,9 +65,8 @@ def latest_news(polls: DataFrame, tagged: DataFrame, fresh_minutes: int,
     span = fresh_minutes * 60_000_000
     # a row without a ticker only moves the watermark; as a filter would be pushed below it, the state skips the row
     named = F.col("ticker").isNotNull()
-    payload = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     asked = polls.select(
-        "ticker", F.col("poll_ts").alias("at"), F.when(named, F.to_json(F.struct(*polls.columns), payload)).alias("poll"),
+        "ticker", F.col("poll_ts").alias("at"), F.when(named, F.to_json(F.struct(*polls.columns), PAYLOAD)).alias("poll"),
         F.lit(None).cast("string").alias("news_id"),
         F.floor(F.unix_micros("poll_ts") / span).alias("span"))
     own = F.floor(F.unix_micros("created_at") / span)
@@ -77,7 +79,7 @@ def latest_news(polls: DataFrame, tagged: DataFrame, fresh_minutes: int,
     answered = state.latest_in_span(both, span, numeric=kind in ("bigint", "int"))
     fields = ", ".join(f"`{name}` {of}" for name, of in polls.dtypes)
     return answered.select(
-        F.from_json("poll", fields, payload).alias("p"), F.col("news_id").cast(kind).alias("news_id"),
+        F.from_json("poll", fields, PAYLOAD).alias("p"), F.col("news_id").cast(kind).alias("news_id"),
         "news_created_at").select("p.*", "news_id", "news_created_at")
 
 

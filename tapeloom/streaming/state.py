@@ -48,9 +48,9 @@ def _number(value) -> float | None:
 
 def first_seen(polls: DataFrame, ttl_ms: int = 24 * HOUR_MS,
                lateness: str = "10 minutes") -> DataFrame:
-    """``(ticker, window_start, poll_ts, price, volume)`` with the window's baseline."""
-    columns = ["ticker", "window_start", "poll_ts", "price", "volume", "open_price", "open_volume",
-               "opened_at"]
+    """``ticker, window_start, poll_ts, price, volume`` and any further columns, with the window's baseline."""
+    columns = [*polls.columns, "open_price", "open_volume", "opened_at"]
+    fields = ", ".join(f"{name} {kind}" for name, kind in polls.dtypes)
 
     def step(_key, rows, state):
         batch = pd.concat(list(rows)).sort_values("poll_ts")
@@ -65,8 +65,7 @@ def first_seen(polls: DataFrame, ttl_ms: int = 24 * HOUR_MS,
     on_time = polls.withWatermark("poll_ts", lateness)
     return on_time.groupBy("ticker", "window_start").applyInPandasWithState(
         _expiring(step, "poll_ts", ttl_ms),
-        "ticker string, window_start timestamp, poll_ts timestamp, price double, volume double, "
-        "open_price double, open_volume double, opened_at timestamp",
+        fields + ", open_price double, open_volume double, opened_at timestamp",
         "price double, volume double, opened_us bigint",
         "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -219,10 +218,11 @@ def outages(log: DataFrame, keys: Sequence[str], report_after_ms: int,
     def step(key, rows, held):
         started, told = held.get if held.exists else (None, False)
         out = []
-        if held.hasTimedOut:
+        # a batch with rows of the key comes in place of its timer
+        if started is not None and not told and held.getCurrentWatermarkMs() > started // 1000 + report_after_ms:
             out.append((*key, started, None))
             told = True
-        else:
+        if not held.hasTimedOut:
             for at, state in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["ts", "state"]].itertuples(index=False):
                 at = at.value // 1000
                 if state == "down" and started is None:

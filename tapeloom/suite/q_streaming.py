@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.config import PushRules
 from tapeloom.operators import news as news_ops
-from tapeloom.session import scratch_path
+from tapeloom.session import scratch_path, written_once
 from tapeloom.sources import adapters as src
 from tapeloom.sources import lake
 from tapeloom.streaming import feeds, jobs, sources, state
@@ -180,23 +180,26 @@ def feed_health_state(spark, d):
     return drained(found.where("feed IS NOT NULL"), "outages").groupBy("started").agg(F.max("ended").alias("ended"))
 
 
-@query("i1_streaming_evaluations", with_("polls tagged udaily", f"""SELECT ticker, {t('poll_ts','poll_ts')},
-    {t('window_start','window_start')}, {r('gap','gap_pct')}, p1, p2, p3, p4, p5, CASE WHEN recent AND tier='watch' AND
-    (p2='pass')::INT+(p3='pass')::INT+(p4='pass')::INT+(p5='pass')::INT < 2 THEN 'none' ELSE tier END AS tier
-    FROM judged""", **{k: qp.K1[k] for k in ("recents", "judged")}))
+EVALUATION_FIELDS = (
+    "ticker string, poll_ts_utc timestamp, window_start_utc timestamp, gap_pct double, window_change_pct double, "
+    "pillar_1_status string, pillar_2_status string, pillar_3_status string, pillar_4_status string, "
+    "pillar_5_status string, tier string, rank_score double, pushed boolean, push_reason string")
+#: The second cut falls into the middle of a session, so that windows span batches.
+LIVE_CUTS = ("2024-01-09", "2024-01-17 17:00:00", "2024-01-25")
+
+
+@query("i1_streaming_evaluations", with_("polls tagged udaily", f"""SELECT ticker, {t('poll_ts','poll_ts_utc')},
+    {t('window_start','window_start_utc')}, {r('gap','gap_pct')}, {r('wc','window_change_pct')}, p1 AS pillar_1_status,
+    p2 AS pillar_2_status, p3 AS pillar_3_status, p4 AS pillar_4_status, p5 AS pillar_5_status, tier,
+    {r('score','rank_score')}, pushed, push_reason FROM decided""", **qp.K1))
 def streaming_evaluations(spark, d):
-    """Every micro-batch of polls is judged by the batch plan."""
+    """The live pipeline over a stream of polls: equal to the batch plan over all of them."""
     root = scratch_path(spark, "live")
-    polls = src.polls(spark, d)
-    tagged = news_ops.by_symbol(src.news(spark, d))
+    # every batch reads it
+    daily = written_once(src.user_daily(spark, d), "daily")
     writer = jobs.evaluate_stream(
-        replay(polls, "poll_ts", "live"), qp.CONTEXT, tagged, root, ql.now(),
-        prev_closes=src.user_daily(spark, d))
+        replay(src.polls(spark, d), "poll_ts", "live", LIVE_CUTS), qp.CONTEXT,
+        news_ops.by_symbol(src.news(spark, d)), root, ql.now(), prev_closes=daily,
+        recent_runners=daily.where(F.col("close") / F.col("prev_close") >= 20))
     sources.drain(writer, scratch_path(spark, "cp-live"))
-    schema = ("ticker string, date date, poll_ts timestamp, window_start timestamp, "
-              "gap_pct double, rvol double, p1 string, p2 string, p3 string, p4 string, p5 string, "
-              "passed int, unknown int, tier string, written_at timestamp")
-    return sources.read_batches(spark, root, "evaluations", schema).select(
-        "ticker", "poll_ts", "window_start", "gap_pct", "p1", "p2", "p3", "p4", "p5", "tier")
-
-
+    return sources.read_batches(spark, root, "evaluations", EVALUATION_FIELDS).drop("batch_id")

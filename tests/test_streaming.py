@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.streaming import state
+from tapeloom.streaming import feeds, state
+from tapeloom.suite import q_streaming
 from tapeloom.suite.q_streaming import drained, replay
 
 
@@ -14,3 +15,49 @@ def test_a_whole_number_beside_a_null_has_not_changed(spark):
         "k string, at string, v long").select("k", F.col("at").cast("timestamp").alias("ts"), "v")
     stream = state.change_only(replay(rows, "ts", "whole"), ["k"], ["v"], ["ts"], ttl_ms=10**12)
     assert [r["v"] for r in drained(stream, "whole").orderBy("ts").collect()] == [5, None]
+
+
+def stamped(spark, rows, fields, at):
+    return spark.createDataFrame(rows, fields).withColumn(at, F.col(at).cast("timestamp"))
+
+
+def test_latest_news_meets_late_articles_and_lone_polls(spark):
+    polls = stamped(spark, [
+        ("A", "2024-01-05 10:00:00.123456", 1, None), ("A", "2024-01-12 10:00:00", 2, 2**60 + 1),
+        ("A", "2024-01-12 10:30:00", 3, 3), ("B", "2024-01-12 10:00:00", 4, 4), ("A", "2024-01-20 00:00:00", 5, 5)],
+        "ticker string, poll_ts string, id long, big long", "poll_ts")
+    news = stamped(spark, [
+        ("A", 7, "2024-01-12 09:50:00"), ("A", 10, "2024-01-12 09:55:00"), ("A", 9, "2024-01-12 09:55:00"),
+        ("A", 11, "2024-01-12 10:00:00.000001"), ("A", 12, "2024-01-19 23:44:59"), ("B", 13, "2024-01-12 09:45:00")],
+        "ticker string, news_id long, created_at string", "created_at")
+    found = feeds.latest_news(replay(polls, "poll_ts", "p", closing="3 days"),
+                              replay(news, "created_at", "n", closing="3 days"), 15)
+    got = {r["id"]: (r["big"], r["news_id"], str(r["poll_ts"])) for r in drained(found, "asof").collect()}
+    assert got == {
+        1: (None, None, "2024-01-05 10:00:00.123456"), 2: (2**60 + 1, 10, "2024-01-12 10:00:00"),
+        3: (3, None, "2024-01-12 10:30:00"), 4: (4, 13, "2024-01-12 10:00:00"), 5: (5, None, "2024-01-20 00:00:00")}
+
+
+def test_an_outage_is_told_while_it_lasts(spark, monkeypatch):
+    monkeypatch.setattr(q_streaming, "FILES", 1)  # a batch is one step
+    log = stamped(spark, [
+        ("f", "2024-01-05 10:00:00", 1, "down"), ("f", "2024-01-05 10:01:00", 2, "down"), ("f", "2024-01-05 10:02:00", 3, "up"),
+        ("f", "2024-01-05 11:00:00", 4, "down"), ("g", "2024-01-12 11:00:00", 5, "up"), ("f", "2024-01-20 11:00:00", 6, "up"),
+        ("g", "2024-01-20 11:00:00", 7, "down")], "feed string, ts string, event_id long, state string", "ts")
+    found = state.outages(replay(log, "ts", "log", closing="1 days"), ["feed"], 30 * 60_000)
+    rows = drained(found, "out").collect()
+    told = sorted((r["feed"], str(r["started"]), r["ended"] and str(r["ended"])) for r in rows if r["ended"])
+    assert told == [("f", "2024-01-05 10:00:00", "2024-01-05 10:02:00"), ("f", "2024-01-05 11:00:00", "2024-01-20 11:00:00")]
+    # the long gap was known to be open before its end, the short one was not
+    assert sorted((r["feed"], str(r["started"])) for r in rows if not r["ended"]) == [
+        ("f", "2024-01-05 11:00:00"), ("g", "2024-01-20 11:00:00")]
+
+
+def test_pushes_keep_to_the_budget_across_batches(spark):
+    rows = [("w", f"2024-01-05 10:{m:02d}:00", t, lv) for m, t, lv in [
+        (0, "a", 2), (0, "a", 2), (1, "b", 0), (2, "a", 3), (3, "c", 2)]] + [
+        ("w", "2024-01-12 10:00:00", "c", 2), ("w", "2024-01-12 10:01:00", "c", 3), ("w", "2024-01-12 10:02:00", "d", 3)]
+    polls = stamped(spark, rows, "window_start string, poll_ts string, ticker string, level int", "poll_ts")
+    found = state.budgeted_pushes(replay(polls, "poll_ts", "pushes"), ["poll_ts", "ticker"], 4, ttl_ms=10**12)
+    got = [(r["ticker"], r["level"]) for r in drained(found, "pushes").orderBy("poll_ts", "ticker").collect()]
+    assert got == [("a", 2), ("a", 3), ("c", 2), ("c", 3)]
