@@ -238,3 +238,11 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
 def test_collocations_of_nothing(spark):
     assert phrases.collocations(frame(spark, [(1, "a", "en")]).limit(0)).collect() == []
     assert phrases.collocations(frame(spark, [(1, None, None)])).collect() == []
+
+
+def test_words_alike_in_structure_link_nothing(spark):
+    from tapeloom.llm.jaccard import similarity_components
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(thue_morse(), 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similarity_components(docs).collect()}
+    assert got == {1: 1, 2: 2}
