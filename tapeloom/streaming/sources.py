@@ -72,15 +72,3 @@ def read_batches(spark: SparkSession, root: str, name: str, schema: str) -> Data
     if not lake.exists(spark, path):
         return spark.createDataFrame([], schema + ", batch_id int")
     return spark.read.schema(schema + ", batch_id int").parquet(path)
-
-
-def of_last_batch(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """What the latest micro-batch wrote, which may be nothing."""
-    folders = lake.entries(spark, f"{root.rstrip('/')}/{name}")
-    last = max((int(x.split("=")[1]) for x in folders if x.startswith("batch_id=")), default=-1)
-    return read_batches(spark, root, name, schema).where(F.col("batch_id") == last).drop("batch_id")
-
-
-def earlier(batches: DataFrame, batch_id: int) -> DataFrame:
-    """Outputs of the batches before this one, so that a retry sees the same."""
-    return batches.where(F.col("batch_id") < batch_id).drop("batch_id")
