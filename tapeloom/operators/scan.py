@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` puts every row of a key on one task. The
 operators here split each key into chunks that follow the sort order (an hour
-of time, a band of values), scan every chunk on its own task, and hand the
-totals of the earlier chunks forward through a table with one row per chunk.
-Results equal the plain window; only the work is spread.
+of time, a band of values, or equal parts of the rows at hand), scan every chunk
+on its own task, and hand the totals of the earlier chunks forward through a
+table with one row per chunk. Results equal the plain window; only the work is
+spread.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.session import written_once
+
 CHUNK = "_chunk"
 
 _OVER = {
     "sum": F.sum,
     "min": F.min,
     "max": F.max,
+    "product": F.product,
     "last": lambda c: F.last(c, ignorenulls=True),
 }
 
@@ -30,6 +34,9 @@ def _merge(how: str, local: Column, carry: Column) -> Column:
     if how == "sum":
         both = F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
         return F.when(local.isNotNull() | carry.isNotNull(), both)
+    if how == "product":
+        both = F.coalesce(local, F.lit(1.0)) * F.coalesce(carry, F.lit(1.0))
+        return F.when(local.isNotNull() | carry.isNotNull(), both)
     if how == "min":
         return F.least(local, carry)
     if how == "max":
@@ -49,8 +56,8 @@ def running(
     """Add running aggregates along ``order`` within ``keys``.
 
     ``chunk`` must never decrease along ``order``. ``values`` maps an output
-    name to ``(how, column)`` with how one of sum, min, max, last (``last``
-    skips NULLs). With ``include_current=False`` a row sees only earlier rows,
+    name to ``(how, column)`` with how one of sum, product, min, max, last
+    (``last`` skips NULLs). With ``include_current=False`` a row sees only earlier rows,
     so ``last`` of a never-NULL struct is ``lag``. ``totals`` maps an output
     name to one of ``values`` whose whole-key aggregate it should hold; it
     comes from the chunk table, at no extra pass.
@@ -94,6 +101,29 @@ def running(
     )
 
 
+def even_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with a ``CHUNK`` number that never decreases along ``order``, chunks near equal in rows.
+
+    Spark samples the rows for the borders, so they follow the data: a single
+    group, score or instant that holds most rows is cut by the columns after it
+    in ``order``. Only rows alike in all of ``order`` stay together. There are as
+    many chunks as shuffle partitions. The rows are written once, since borders
+    drawn twice need not be the same.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *order).withColumn(CHUNK, F.spark_partition_id())
+    return written_once(cut, "chunks")
+
+
+def _in_chunks(rows: DataFrame, on: Sequence[str], order: Sequence[str], unit: str | None,
+               deal: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``rows`` and their chunk: a unit of the time ``_at``, or even parts that also deal out equal instants."""
+    if unit is not None:
+        return rows, F.date_trunc(unit, F.col("_at"))
+    dealt = rows.withColumn("_deal", F.xxhash64(*deal))
+    return even_chunks(dealt, [*on, *order, "_deal"]), F.col(CHUNK)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -102,7 +132,7 @@ def asof_join(
     right_ts: str,
     payload: Sequence[str],
     tie: Sequence[str] = (),
-    chunk_unit: str = "hour",
+    chunk_unit: str | None = "hour",
     out: str = "matched",
 ) -> DataFrame:
     """Backward as-of join: the latest right row with ``right_ts <= left_ts``.
@@ -110,6 +140,8 @@ def asof_join(
     One union, one chunked scan, no inequality join and so no fan-out. The
     payload arrives as a struct named ``out``, NULL where nothing was known.
     ``tie`` columns of the right side settle equal instants (largest wins).
+    Without a ``chunk_unit`` chunks are cut evenly from the rows themselves, for
+    one key or instant that holds most of them; map columns cannot be dealt then.
     """
     ties = [f"_tie{i}" for i in range(len(tie))]
     tie_types = dict(right.select(*tie).dtypes) if tie else {}
@@ -129,13 +161,9 @@ def asof_join(
         F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
         F.struct(*payload).alias("_payload"),
     )
-    scanned = running(
-        rows.unionByName(facts),
-        on,
-        F.date_trunc(chunk_unit, F.col("_at")),
-        ["_at", "_side", *ties],
-        {out: ("last", F.col("_payload"))},
-    )
+    order = ["_at", "_side", *ties]
+    both, chunk = _in_chunks(rows.unionByName(facts), on, order, chunk_unit, ["_row", "_payload"])
+    scanned = running(both, on, chunk, order, {out: ("last", F.col("_payload"))})
     return scanned.where(F.col("_side") == 1).select("_row.*", out)
 
 
@@ -218,11 +246,13 @@ def places(df: DataFrame, by: Sequence[str], score: Column, ties: Sequence[str],
            name: str = "place") -> DataFrame:
     """Position of every row in its group, largest ``score`` first.
 
-    The whole group is numbered, not a top of it, band by band of the score.
+    The whole group is numbered, not a top of it, in even chunks along score and
+    ``ties``, so rows of one score are spread as well. A NULL score comes first;
+    ``ties`` should tell all rows of a score apart.
     """
-    ranked = df.withColumn("_neg", -score)
-    return running(ranked, by, value_band(F.col("_neg")), ["_neg", *ties],
-                   {name: ("sum", F.lit(1))}).drop("_neg")
+    ranked = even_chunks(df.withColumn("_neg", -score), [*by, "_neg", *ties])
+    return running(ranked, by, F.col(CHUNK), ["_neg", *ties],
+                   {name: ("sum", F.lit(1))}).drop("_neg", CHUNK)
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
@@ -243,13 +273,14 @@ def intervals_overlap(
     on: Sequence[str],
     probe: tuple[str, str],
     interval: tuple[str, str],
-    chunk_unit: str = "hour",
+    chunk_unit: str | None = "hour",
     out: str = "overlaps",
 ) -> DataFrame:
     """Flag probes ``[s, e)`` that meet any interval ``[hs, he)``.
 
     An overlap exists exactly when the largest ``he`` among intervals with
-    ``hs < e`` lies after ``s``: one running maximum, no pairs.
+    ``hs < e`` lies after ``s``: one running maximum, no pairs. Chunks are as in
+    ``asof_join``.
     """
     start, end = probe
     rows = probes.select(
@@ -266,10 +297,9 @@ def intervals_overlap(
         F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
         F.col(interval[1]).alias("_until"),
     )
-    scanned = running(
-        rows.unionByName(facts), on, F.date_trunc(chunk_unit, F.col("_at")), ["_at", "_side"],
-        {"_reach": ("max", F.col("_until"))},
-    )
+    order = ["_at", "_side"]
+    both, chunk = _in_chunks(rows.unionByName(facts), on, order, chunk_unit, ["_row", "_until"])
+    scanned = running(both, on, chunk, order, {"_reach": ("max", F.col("_until"))})
     hit = F.coalesce(F.col("_reach") > F.col(f"_row.{start}"), F.lit(False))
     return scanned.where(F.col("_side") == 0).select("_row.*", hit.alias(out))
 

@@ -222,7 +222,8 @@ def interval_overlap(spark, d):
         tg.plus_minutes(F.col("ts"), 30).alias("window_end"))
     halts = integrity.infer_halts(src.bars(spark, d), SILENT, BAR)
     return intervals_overlap(windows, halts, ["ticker"], ("window_start", "window_end"),
-                             ("halt_start", "halt_end")).select("event_id", "window_start", "overlaps")
+                             ("halt_start", "halt_end"), chunk_unit=None
+                             ).select("event_id", "window_start", "overlaps")
 
 
 @query("c10_point_in_interval", with_("bars purchases", """SELECT p.event_id, EXISTS (SELECT 1 FROM gaps g
@@ -232,7 +233,8 @@ def point_in_interval(spark, d):
     """Was the sign-up feed silent at the moment? Latest start, then containment."""
     halts = integrity.infer_halts(src.bars(spark, d), SILENT, BAR)
     points = src.purchases(spark, d).select("event_id", F.lit("signup").alias("ticker"), "ts")
-    found = asof_join(points, halts, ["ticker"], "ts", "halt_start", ["halt_start", "halt_end"])
+    found = asof_join(points, halts, ["ticker"], "ts", "halt_start", ["halt_start", "halt_end"],
+                      chunk_unit=None)
     inside = integrity.covers(F.col("ts"), F.col("matched.halt_start"), F.col("matched.halt_end"))
     return found.select("event_id", F.coalesce(inside, F.lit(False)).alias("halted"))
 
