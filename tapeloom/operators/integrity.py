@@ -13,7 +13,7 @@ from tapeloom.functions import metrics as m
 from tapeloom.functions import rules
 from tapeloom.functions import timegrid as tg
 from tapeloom.operators.bars import DAY, reference_times
-from tapeloom.operators.scan import asof_join
+from tapeloom.operators.scan import asof_join, running
 
 
 def with_gaps(bars: DataFrame, min_silent: float, bar_minutes: int = 1,
@@ -92,6 +92,29 @@ def adjusted_close(close: Column, action_type: Column, ratio: Column) -> Column:
                   m.adjust_price(close, ratio)).otherwise(close)
 
 
+def split_ratio(rows: DataFrame, actions: DataFrame, day: str = "date",
+                out: str = "split_ratio") -> DataFrame:
+    """Add the ratio that puts each row on the basis after every later split of its ticker.
+
+    Several splits compound, one row in gives one row out, and rows without a
+    later split get 1. A split on the row's own day is not later; a missing or
+    zero ratio changes nothing. One running product from the newest day back,
+    no pairs of rows and actions.
+    """
+    back = lambda c: -F.unix_date(F.col(c).cast("date"))
+    history = rows.select(
+        "ticker", back(day).alias("_back"), F.lit(0).alias("_side"),
+        F.struct(*[F.col(c) for c in rows.columns]).alias("_row"),
+        F.lit(None).cast("double").alias("_ratio"))
+    ratio = F.col("ratio").cast("double")
+    splits = actions.where(ratio > m.EPSILON).select(
+        "ticker", back("effective_date").alias("_back"), F.lit(1).alias("_side"),
+        F.lit(None).cast(history.schema["_row"].dataType).alias("_row"), ratio.alias("_ratio"))
+    scanned = running(history.unionByName(splits), ["ticker"], F.col("_back"), ["_back", "_side"],
+                      {out: ("product", F.col("_ratio"))})
+    return scanned.where("_side = 0").select("_row.*", F.coalesce(out, F.lit(1.0)).alias(out))
+
+
 def spread_estimate(high: Column, low: Column) -> Column:
     """Spread proxy of one bar, NULL where a side is missing."""
     usable = (high > m.EPSILON) & (low > m.EPSILON)

@@ -134,8 +134,12 @@ def asof_join(
     tie: Sequence[str] = (),
     chunk_unit: str | None = "hour",
     out: str = "matched",
+    forward: bool = False,
 ) -> DataFrame:
-    """Backward as-of join: the latest right row with ``right_ts <= left_ts``.
+    """As-of join: the latest right row with ``right_ts <= left_ts``.
+
+    With ``forward`` the earliest one with ``right_ts >= left_ts``: the same scan
+    over mirrored time.
 
     One union, one chunked scan, no inequality join and so no fan-out. The
     payload arrives as a struct named ``out``, NULL where nothing was known.
@@ -143,11 +147,14 @@ def asof_join(
     Without a ``chunk_unit`` chunks are cut evenly from the rows themselves, for
     one key or instant that holds most of them; map columns cannot be dealt then.
     """
+    def moment(ts: str) -> Column:
+        return F.timestamp_micros(-F.unix_micros(ts)) if forward else F.col(ts)
+
     ties = [f"_tie{i}" for i in range(len(tie))]
     tie_types = dict(right.select(*tie).dtypes) if tie else {}
     rows = left.select(
         *on,
-        F.col(left_ts).alias("_at"),
+        moment(left_ts).alias("_at"),
         F.lit(1).alias("_side"),
         *[F.lit(None).cast(tie_types[t]).alias(a) for t, a in zip(tie, ties, strict=True)],
         F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
@@ -155,7 +162,7 @@ def asof_join(
     )
     facts = right.select(
         *on,
-        F.col(right_ts).alias("_at"),
+        moment(right_ts).alias("_at"),
         F.lit(0).alias("_side"),
         *[F.col(t).alias(a) for t, a in zip(tie, ties, strict=True)],
         F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),

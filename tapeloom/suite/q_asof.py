@@ -9,7 +9,7 @@ from tapeloom.functions import metrics as m
 from tapeloom.functions import rules
 from tapeloom.functions import timegrid as tg
 from tapeloom.operators import bars as bar_ops
-from tapeloom.operators import baseline, integrity, outcomes
+from tapeloom.operators import baseline, integrity, outcomes, research
 from tapeloom.operators import news as news_ops
 from tapeloom.operators.scan import asof_join, intervals_overlap, latest_rows
 from tapeloom.sources import adapters as src
@@ -292,17 +292,28 @@ def baselines_to_recompute(spark, d):
     return integrity.baselines_to_recompute(src.actions(spark, d))
 
 
+SPLITS = """SELECT ticker, effective_date + 120*k AS effective_date, CASE k WHEN 1 THEN 2.0::DOUBLE
+    ELSE ratio END AS ratio FROM (SELECT *, unnest([0,1,2]) AS k FROM actions WHERE ratio IS NOT NULL)"""
+
+
+def splits(spark, d):
+    """Three splits of each ticker that has one, 120 days apart."""
+    first = src.actions(spark, d).where(F.col("ratio").isNotNull())
+    each = first.select("ticker", "effective_date", "ratio", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return each.select(
+        "ticker", F.date_add("effective_date", F.col("k") * 120).alias("effective_date"),
+        F.when(F.col("k") == 1, 2.0).otherwise(F.col("ratio")).alias("ratio"))
+
+
 @query("h7_split_adjustment", with_("evals actions", f"""SELECT l_orderkey, l_linenumber, l_partkey,
-    {r('CASE WHEN ratio>1e-9 THEN rvol/ratio ELSE rvol END','adjusted_price')},
-    {r('CASE WHEN ratio>1e-9 THEN l_quantity*ratio ELSE l_quantity END','adjusted_volume')}
-    FROM evals e JOIN actions a ON a.ticker=e.ticker WHERE e.date < a.effective_date"""))
+    {r('f','split_ratio')}, {r('rvol/f','adjusted_price')}, {r('l_quantity*f','adjusted_volume')}
+    FROM (SELECT *, coalesce((SELECT product(s.ratio) FROM splits s WHERE s.ticker=e.ticker
+      AND s.effective_date > e.date), 1) AS f FROM evals e)""", splits=SPLITS))
 def split_adjustment(spark, d):
-    """History before an action, on the basis after it."""
-    rows = src.evals(spark, d).join(
-        src.actions(spark, d).select("ticker", "effective_date", "ratio"), "ticker")
-    ratio = F.col("ratio")
-    return rows.where(F.col("date") < F.col("effective_date")).select(
-        "l_orderkey", "l_linenumber", "l_partkey",
+    """All history on today's basis: later splits compound, rows without one keep their values."""
+    ratio = F.col("split_ratio")
+    return integrity.split_ratio(src.evals(spark, d), splits(spark, d)).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "split_ratio",
         m.adjust_price(F.col("rvol"), ratio).alias("adjusted_price"),
         m.adjust_volume(F.col("l_quantity"), ratio).alias("adjusted_volume"))
 
@@ -403,6 +414,26 @@ def held_above_vwap(spark, d):
         "ticker", "date", F.col("held_above_vwap_1000").alias("held")).distinct()
 
 
+@query("c21_poll_outcomes", with_("day_evals ubars", f"""SELECT l_orderkey, l_linenumber, l_partkey, p.ticker,
+    {t('poll_ts','poll_ts')}, tier, {t('o.ref','reference_ts')}, {r(pct('o.p60','o.price'),'ret_60m_pct')},
+    CASE WHEN o.ref IS NOT NULL THEN coalesce(dollars >= 8000 AND spread <= 60, false) END AS tradeable
+    FROM spread_polls p ASOF LEFT JOIN folded o ON p.ticker=o.ticker AND p.date=o.date AND p.poll_ts <= o.ref""",
+    bars="SELECT *, close AS vwap FROM ubars", refs=REFS, folded=FOLDED,
+    spread_polls="""SELECT * REPLACE (date::TIMESTAMP + to_minutes(480 + ((l_orderkey*7 + l_linenumber*53)%720)::INT)
+      AS poll_ts) FROM day_evals"""))
+def poll_outcomes(spark, d):
+    """Each poll with the label of the next reference time of its day: one row per poll."""
+    minute = 480 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 53) % 720
+    polls = src.day_evals(spark, d).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "ticker", "date", "tier",
+        tg.plus_minutes(F.col("date").cast("timestamp"), minute).alias("poll_ts"))
+    rows = outcomes.outcomes(src.user_bars(spark, d), RULES, TRADE)
+    found = research.polls_with_outcome(polls, rows, ["reference_ts_utc", "ret_60m_pct", "tradeable"])
+    return found.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "ticker", "poll_ts", "tier",
+        F.col("outcome.reference_ts_utc").alias("reference_ts"), "outcome.ret_60m_pct", "outcome.tradeable")
+
+
 @query("c13_reference_grid", with_("bars", f"""SELECT ticker, {t('date','date')}, {t('ref','reference_ts')}
     FROM refs WHERE ref <= TIMESTAMP '2024-01-20 14:10:00'""", refs=REFS))
 def reference_grid(spark, d):

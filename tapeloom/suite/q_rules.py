@@ -81,8 +81,9 @@ def feed_outage_override(spark, d):
 
 
 @query("b11_near_miss", with_("statuses", """SELECT number, count(*) AS n,
-    count(*) FILTER (status='fail' AND abs(value-threshold)/abs(threshold) <= 0.2::DOUBLE) AS n_near
-    FROM (SELECT 1 AS number, p1 AS status, gap_pct::DOUBLE AS value, 10::DOUBLE AS threshold FROM statuses
+    count(*) FILTER (status='fail' AND abs(value-threshold)/abs(threshold) <= 0.2::DOUBLE) AS n_near,
+    count(*) FILTER (status='fail' AND CASE WHEN number=4 AND value<2 THEN abs(value-2)/2
+      ELSE abs(value-threshold)/abs(threshold) END <= 0.2::DOUBLE) AS n_near_bound FROM (SELECT 1 AS number, p1 AS status, gap_pct::DOUBLE AS value, 10::DOUBLE AS threshold FROM statuses
       UNION ALL SELECT 2, p2, rvol, 5 FROM statuses UNION ALL SELECT 3, p3, news_age, 15 FROM statuses
       UNION ALL SELECT 4, p4, price, 20 FROM statuses
       UNION ALL SELECT 5, p5, float_shares, 20000000 FROM statuses) GROUP BY 1"""))
@@ -92,8 +93,11 @@ def near_miss(spark, d):
                                    c("float_shares"), c("confidence"), TH)
     rows = src.evals(spark, d).select(F.inline(results))
     hit = rules.near_miss(c("status"), c("value"), c("threshold"), 0.2)
+    low = F.when(c("number") == 4, F.lit(float(TH.price_min)))
+    at_bound = rules.near_miss(c("status"), c("value"), c("threshold"), 0.2, low)
     return rows.groupBy("number").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_near"))
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_near"),
+        F.count_if(at_bound).alias("n_near_bound"))
 
 
 @query("b12_tiers", with_("scored", f"""SELECT {EVAL_KEY}, {t('poll_ts','poll_ts')},

@@ -58,3 +58,32 @@ def test_baseline_excludes_the_day_itself(spark, sf):
     names = [c for c in full.columns]
     known = bars.where(F.col("date") == day).select("ticker").distinct()
     assert same(full.select(*names), past.select(*names).join(known, "ticker", "left_semi").select(*names))
+
+
+def test_later_splits_compound(spark):
+    from tapeloom.operators.integrity import split_ratio
+
+    rows = spark.sql("""SELECT * FROM VALUES (1, 'a', DATE'2024-01-01'), (2, 'a', DATE'2024-01-05'),
+        (3, 'a', DATE'2024-01-06'), (4, 'a', DATE'2024-03-01'), (5, 'b', DATE'2024-01-01'),
+        (6, 'c', DATE'2024-01-01'), (7, NULL, DATE'2024-01-01'), (1, 'a', DATE'2024-01-01') AS t(id, ticker, date)""")
+    splits = spark.sql("""SELECT * FROM VALUES ('a', DATE'2024-01-05', 2.0D), ('a', DATE'2024-02-01', 3.0D),
+        ('a', DATE'2024-02-01', 5.0D), ('a', DATE'2024-02-02', CAST(NULL AS DOUBLE)), ('a', DATE'2024-02-03', 0.0D),
+        ('c', DATE'2023-12-31', 7.0D), ('d', DATE'2025-01-01', 9.0D) AS t(ticker, effective_date, ratio)""")
+    got = sorted((r["id"], r["split_ratio"]) for r in split_ratio(rows, splits).collect())
+    assert got == [(1, 30.0), (1, 30.0), (2, 15.0), (3, 15.0), (4, 1.0), (5, 1.0), (6, 1.0), (7, 1.0)]
+    assert split_ratio(rows.limit(0), splits).isEmpty()
+    assert split_ratio(rows, splits.limit(0)).where("split_ratio <> 1").isEmpty()
+
+
+def test_poll_meets_one_outcome_at_or_after_it(spark):
+    from tapeloom.operators.research import polls_with_outcome
+
+    polls = spark.sql("""SELECT id, 'a' AS ticker, DATE'2024-01-01' AS date, CAST(ts AS TIMESTAMP) AS poll_ts
+        FROM VALUES (1, '2024-01-01 09:00:00'), (2, '2024-01-01 10:00:00'), (3, '2024-01-01 10:00:01'),
+        (4, '2024-01-01 15:00:00'), (5, NULL) AS t(id, ts)""")
+    known = spark.sql("""SELECT 'a' AS ticker, DATE'2024-01-01' AS date, CAST(ts AS TIMESTAMP) AS reference_ts_utc, v
+        FROM VALUES ('2024-01-01 10:00:00', 1), ('2024-01-01 11:00:00', 2), ('2024-01-01 12:00:00', 3) AS t(ts, v)""")
+    other_day = known.selectExpr("ticker", "date_add(date, 1) AS date", "reference_ts_utc", "v + 10 AS v")
+    rows = polls_with_outcome(polls, known.union(other_day), ["v"]).collect()
+    assert {r["id"]: r["outcome"] and r["outcome"]["v"] for r in rows} == {1: 1, 2: 1, 3: 2, 4: None, 5: None}
+    assert len(rows) == 5

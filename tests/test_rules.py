@@ -170,3 +170,16 @@ def test_impossible_parameters_are_refused(spark):
 
 def test_share_of_nothing_is_null(spark):
     assert value(spark, quality.share(F.lit(0), F.lit(0))) is None
+
+
+def test_near_miss_below_a_range(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions.rules import near_miss
+
+    rows = spark.createDataFrame([(1.9,), (1.0,), (23.0,), (25.0,), (None,)], "v double")
+    args = F.lit("fail"), F.col("v"), F.lit(20.0), 0.2
+    upper = [r[0] for r in rows.select(near_miss(*args)).collect()]
+    either = [r[0] for r in rows.select(near_miss(*args, F.lit(2.0))).collect()]
+    assert upper == [False, False, True, False, False]
+    assert either == [True, False, True, False, False]
