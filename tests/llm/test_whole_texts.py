@@ -146,3 +146,36 @@ def test_addresses_of_any_length_come_out_whole():
         assert not base_spans(text)
         assert [(kind, text[a:b]) for kind, a, b in added_spans({0: text}, {0: []}, tagger)[0]] == [("email", own)]
     assert added_spans({0: f"{prose(990, 9)} (at) {prose(991, 9)} [at] all (at) noon. {prose(992, 5)}"}, {0: []}, tagger) == {}
+
+
+def test_recall_of_every_rewritten_form(spark):
+    """Trained as the query trains, measured on rewritten spans of texts it has not seen."""
+    from collections import Counter
+
+    from tapeloom.llm.base import texts
+    from tapeloom.llm.personal import added_spans, base_spans, rewritings, trained_tagger
+
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = trained_tagger(texts(known, "doc_id", "text"))
+    unseen = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(known.select("text"), "text", "left_anti")
+    unseen = [r["text"] for r in unseen.filter("text IS NOT NULL").orderBy("doc_id").limit(9000).collect()]
+    by_form: dict = {}
+    for text in unseen:
+        spans = base_spans(text)
+        for kind, a, b in spans if len(spans) < 4 else []:
+            for form, new in enumerate(rewritings(kind, text[a:b])):
+                before = text[max(0, a - 200):a]
+                lead = len("tel. ") if new.startswith("tel. ") else 0
+                by_form.setdefault((kind, form), []).append(
+                    (before + new + text[b:b + 200], (kind, len(before) + lead, len(before) + len(new))))
+    pick = random.Random(5)
+    cases = [(form, *case) for form, of in sorted(by_form.items()) for case in pick.sample(of, min(60, len(of)))]
+    assert len(by_form) == 14 and len(cases) >= 14 * 40
+    found = {i: text for i, (_, text, _) in enumerate(cases)}
+    got = added_spans(found, {i: base_spans(t) for i, t in found.items()}, tagger)
+    total = Counter(form for form, _, _ in cases)
+    right = Counter(form for i, (form, _, want) in enumerate(cases) if want in got.get(i, []))
+    assert {form: right[form] / n for form, n in total.items() if right[form] < 0.9 * n} == {}
+    found = dict(enumerate(pick.sample(unseen, 1500)))
+    wrong = added_spans(found, {i: base_spans(t) for i, t in found.items()}, tagger)
+    assert len(wrong) <= 3
