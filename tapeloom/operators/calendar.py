@@ -35,20 +35,27 @@ def during_regular_hours(events: DataFrame, hours: DataFrame, ts: str = "ts") ->
     return kept.where(inside).drop("open_utc", "close_utc")
 
 
-def expiry(entries: DataFrame, days: DataFrame, run_date: str, keep_days: int) -> DataFrame:
-    """``expires_on``: the ``keep_days``-th trading day after ``run_date``.
+def sessions_upto(marks: DataFrame, days: DataFrame) -> DataFrame:
+    """``date, _upto``: trading days up to and on each date of ``marks``, a trading day or not.
 
-    Past the end of the calendar it is the last known day, and never earlier
-    than the run itself.
+    The window has one row per calendar day and distinct mark.
     """
-    marks = entries.select(F.col(run_date).alias("date")).distinct()
     in_order = W.orderBy("date").rangeBetween(W.unboundedPreceding, W.currentRow)
-    placed = (
-        marks.withColumn("_n", F.lit(0))
+    return (
+        marks.select("date").distinct().withColumn("_n", F.lit(0))
         .unionByName(days.select("date", F.lit(1).alias("_n")))
         .select("date", "_n", F.sum("_n").over(in_order).alias("_upto"))
-        .where(F.col("_n") == 0)
+        .where(F.col("_n") == 0).drop("_n")
     )
+
+
+def expiry(entries: DataFrame, days: DataFrame, run_date: str, keep_days: int) -> DataFrame:
+    """``expires_on``: the ``keep_days``-th trading day after ``run_date``.
+
+    Past the end of the calendar it is the last known day, and never earlier
+    than the run itself.
+    """
+    placed = sessions_upto(entries.select(F.col(run_date).alias("date")), days)
     last = days.agg(F.max("date")).scalar()
     ahead = days.select((F.col("ord") - keep_days).alias("_upto"), F.col("date").alias("_later"))
     dated = placed.join(ahead, "_upto", "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators.calendar import sessions_upto
 from tapeloom.operators.scan import asof_join
 from tapeloom.session import cut_lineage
 
@@ -12,12 +13,23 @@ BEFORE_TIME = "0001-01-01"
 COLUMNS = ("ticker", "first_seen", "last_seen", "status", "ticker_canonical_id")
 
 
-def transitions(known: DataFrame, seen: DataFrame, day: Column, absent_days: int = 5) -> DataFrame:
-    """Known listings merged with the tickers of one day."""
+def transitions(known: DataFrame, seen: DataFrame, day: Column, absent_days: int = 5,
+                sessions: DataFrame | None = None) -> DataFrame:
+    """Known listings merged with the tickers of one day.
+
+    A listing is gone after ``absent_days`` days without it: calendar days, or
+    the trading days (``date``) in ``sessions``, of which holidays are none.
+    """
     today = seen.select("ticker").distinct().withColumn("_seen", F.lit(True))
     both = known.join(today, "ticker", "full_outer")
     here = F.coalesce("_seen", F.lit(False))
-    gone = (F.datediff(day, F.col("last_seen")) >= absent_days) & (F.col("status") == "active")
+    absent = F.datediff(day, F.col("last_seen"))
+    if sessions is not None:
+        placed = sessions_upto(known.select(F.col("last_seen").alias("date")), sessions)
+        both = both.join(placed.withColumnRenamed("date", "last_seen"), "last_seen", "left")
+        today_at = sessions.agg(F.count_if(F.col("date") <= day)).scalar()
+        absent = today_at - F.col("_upto")
+    gone = (absent >= absent_days) & (F.col("status") == "active")
     return both.select(
         "ticker",
         F.coalesce(F.col("first_seen"), day).alias("first_seen"),

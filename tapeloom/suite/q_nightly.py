@@ -513,6 +513,25 @@ def listing_transitions(spark, d):
     return after(spark, d)
 
 
+TRADED = """SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem WHERE isodow(l_shipdate) < 6
+    AND NOT (month(l_shipdate)=9 AND day(l_shipdate)<=7)"""
+
+
+@query("c23_absent_sessions", f"""WITH known AS ({KNOWN}), seen AS ({SEEN}), traded AS ({TRADED}),
+    both_ AS (SELECT coalesce(k.ticker, s.ticker) AS ticker, s.ticker IS NOT NULL AS here, last_seen,
+      (SELECT count(*) FROM traded d WHERE d.date > k.last_seen AND d.date <= DATE '{CUT}') AS absent
+      FROM known k FULL JOIN seen s ON s.ticker=k.ticker)
+    SELECT ticker, {t(f"CASE WHEN here THEN DATE '{CUT}' ELSE last_seen END",'last_seen')},
+    CASE WHEN NOT here AND absent >= 40 THEN 'delisted' ELSE 'active' END AS status FROM both_""")
+def absent_sessions(spark, d):
+    """Listings gone for 40 trading days: weekdays with shipments, outside the holiday week."""
+    day = F.to_date("l_shipdate")
+    traded = src.table(spark, d, "lineitem").select(day.alias("date")).distinct().where(
+        (F.weekday("date") < 5) & ~((F.month("date") == 9) & (F.dayofmonth("date") <= 7)))
+    rows = ls.transitions(src.known_listings(spark, d, CUT), seen(spark, d), F.lit(CUT).cast("date"), 40, traded)
+    return rows.select("ticker", "last_seen", "status")
+
+
 RENAME = f"""WITH RECURSIVE known AS ({KNOWN}), seen AS ({SEEN}), after AS ({AFTER}), edge AS (SELECT p_partkey AS k,
       'P'||p_partkey AS old, 'P'||(p_partkey+1) AS new, DATE '1998-01-01' + (p_partkey%700)::INT AS day
       FROM part WHERE p_size=3),

@@ -87,3 +87,26 @@ def test_poll_meets_one_outcome_at_or_after_it(spark):
     rows = polls_with_outcome(polls, known.union(other_day), ["v"]).collect()
     assert {r["id"]: r["outcome"] and r["outcome"]["v"] for r in rows} == {1: 1, 2: 1, 3: 2, 4: None, 5: None}
     assert len(rows) == 5
+
+
+def test_absence_counts_sessions_not_days(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators.listings import transitions
+
+    known = spark.sql("""SELECT ticker, DATE'2023-01-01' AS first_seen, last_seen, status,
+        CAST(NULL AS STRING) AS ticker_canonical_id FROM VALUES ('a', DATE'2023-12-20', 'active'),
+        ('b', DATE'2023-12-22', 'active'), ('c', DATE'2023-12-24', 'active'), ('d', DATE'2023-12-01', 'renamed'),
+        ('e', DATE'2023-12-01', 'active'), ('f', CAST(NULL AS DATE), 'active') AS t(ticker, last_seen, status)""")
+    today = spark.sql("SELECT * FROM VALUES ('e'), ('new'), ('new') AS t(ticker)")
+    day = F.lit("2024-01-03").cast("date")
+    dates = spark.sql("SELECT explode(sequence(DATE'2023-11-01', DATE'2024-02-01')) AS date").where("weekday(date) < 5")
+    holidays = dates.where("date NOT BETWEEN DATE'2023-12-23' AND DATE'2024-01-01'")
+    gone = lambda *rest: {r["ticker"] for r in transitions(known, today, day, 4, *rest).collect()
+                          if r["status"] == "delisted"}
+    assert gone() == {"a", "b", "c"}
+    assert gone(dates) == {"a", "b", "c"}
+    assert gone(holidays) == {"a"}
+    rows = transitions(known, today, day, 4, holidays)
+    assert rows.columns == transitions(known, today, day, 4).columns and rows.count() == 7
+    assert rows.where("ticker = 'new' AND first_seen = DATE'2024-01-03'").count() == 1
