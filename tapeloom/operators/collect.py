@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.config import FALLBACK_SESSION_FRACTION, CollectionRules, IntegrityRules
+from tapeloom.config import FALLBACK_SESSION_FRACTION, CollectionRules, IntegrityRules, Window
 from tapeloom.functions import metrics as m
 from tapeloom.functions import rules
 from tapeloom.functions import timegrid as tg
+from tapeloom.operators.integrity import action_on, quoted_spread, state_at
 from tapeloom.operators.scan import running, top_rows
 
 #: Slow fields whose change makes a new reference row. Market
@@ -116,12 +117,22 @@ def collect_polls(
     window: Column,
     prev_closes: DataFrame | None = None,
     fraction: float = FALLBACK_SESSION_FRACTION,
+    bars: DataFrame | None = None,
+    actions: DataFrame | None = None,
+    bar_minutes: int = 1,
+    sessions: Mapping[str, Window] | None = None,
 ) -> Collected:
     """Snapshots, change-only reference rows and per-poll counts.
 
     ``polls`` carries ticker, poll_ts, price, volume, change_pct,
     average_volume_10d, float_shares and, where known, sector, industry,
-    shares_outstanding, average_volume_30d and market_cap.
+    shares_outstanding, average_volume_30d, market_cap, bid and ask.
+
+    ``bars`` of the days give the halt state known at each poll and a spread
+    where no quote does (:func:`integrity.state_at`); without them both are
+    NULL. A price is suspect if it is far from ``prev_closes`` and neither the
+    volume that would have it collected nor one of ``actions`` on that day
+    explains it; without a previous close it never is.
     """
     labelled = label_rules(polls, rule_set, fraction)
     kept = labelled.where("collected").withColumns(
@@ -131,6 +142,22 @@ def collect_polls(
                          ["ticker", "date"], "left")
     else:
         kept = kept.withColumn("prev_close", F.lit(None).cast("double"))
+    have = set(polls.columns)
+    if bars is not None:
+        kept = state_at(kept, bars, integrity.halt_min_silent_minutes, bar_minutes,
+                        sessions=sessions)
+    else:
+        unset = {"halt_status": "string", "inferred_halt": "boolean", "bar_spread_pct": "double"}
+        kept = kept.withColumns({c: F.lit(None).cast(kind) for c, kind in unset.items()})
+    if actions is not None:
+        kept = action_on(kept, actions).withColumn(
+            "on_record", F.col("action_type").isNotNull()).drop("action_type", "ratio")
+    else:
+        kept = kept.withColumn("on_record", F.lit(False))
+    kept = kept.withColumns({
+        side: (F.col(side) if side in have else F.lit(None)).cast("double") for side in ("bid", "ask")})
+    quoted = quoted_spread(F.col("bid"), F.col("ask"))
+    rvol = m.rvol_fallback(F.col("volume"), F.col("average_volume_10d"), fraction)
     moved = with_window_moves(kept)
     turnover = m.float_turnover(F.coalesce(F.col("volume"), F.lit(0.0)), F.col("float_shares"))
     snapshots = moved.select(
@@ -138,13 +165,20 @@ def collect_polls(
         F.col("volume").alias("session_volume"),
         m.gap_pct(F.col("price"), F.col("prev_close"), F.col("change_pct")).alias("gap_pct"),
         "window_change_pct", "window_volume",
-        m.rvol_fallback(F.col("volume"), F.col("average_volume_10d"), fraction).alias("rvol"),
+        rvol.alias("rvol"),
         F.when(F.col("average_volume_10d") > m.EPSILON, "fallback").otherwise("unknown")
         .alias("rvol_source"),
         m.dollar_volume(F.col("price"), F.col("volume")).alias("dollar_volume"),
+        "bid", "ask", F.coalesce(quoted, "bar_spread_pct").alias("spread_pct"),
+        F.when(quoted.isNotNull(), "quoted").when(F.col("bar_spread_pct").isNotNull(), "estimated")
+        .otherwise("unavailable").alias("spread_source"),
+        "halt_status", "inferred_halt",
+        rules.suspect_price(
+            F.col("price"), F.col("prev_close"), integrity.suspect_price_change,
+            F.coalesce(rvol >= rule_set.min_volume_ratio, F.lit(False)), F.col("on_record"),
+        ).alias("suspect_price"),
         F.col("poll_ts").alias("written_at_utc"),
     )
-    have = set(polls.columns)
 
     def slow(name: str, kind: str, source: str | None = None) -> Column:
         source = source or name

@@ -50,6 +50,32 @@ def halt_summary(halts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("halt_count"), F.sum(minutes).alias("halt_minutes"))
 
 
+def state_at(polls: DataFrame, bars: DataFrame, min_silent: float, bar_minutes: int = 1,
+             at: str = "poll_ts", sessions: Mapping[str, Window] | None = None) -> DataFrame:
+    """What the bars say at each poll: ``halt_status``, ``inferred_halt``, ``bar_spread_pct``.
+
+    Only bars that had ended by the poll count, so cutting the data there changes
+    nothing: a silence is known once it has lasted ``min_silent`` minutes,
+    whatever ends it later. Before the day's first bar the status is ``unknown``
+    and the flag NULL; with ``sessions`` also where poll and last bar do not lie
+    in one named session. One as-of scan, one row per poll.
+    """
+    ended = bars.select(
+        *DAY, "minute", "high", "low", tg.plus_minutes(F.col("minute"), bar_minutes).alias("_ended"))
+    found = asof_join(polls, ended, list(DAY), at, "_ended", ["_ended", "minute", "high", "low"],
+                      out="_bar")
+    known = F.col("_bar._ended").isNotNull()
+    if sessions is not None:
+        together = tg.session_of(F.col(at), sessions) == tg.session_of(F.col("_bar.minute"), sessions)
+        known = known & F.coalesce(together, F.lit(False))
+    silent = tg.minutes_between(F.col("_bar._ended"), F.col(at)) >= min_silent
+    return found.withColumns({
+        "halt_status": F.when(~known, "unknown").when(silent, "halted").otherwise("trading"),
+        "inferred_halt": F.when(known, silent),
+        "bar_spread_pct": spread_estimate(F.col("_bar.high"), F.col("_bar.low")),
+    }).drop("_bar")
+
+
 def covers(moment: Column, start: Column, end: Column) -> Column:
     """Half-open containment."""
     return (start <= moment) & (moment < end)
@@ -121,6 +147,11 @@ def spread_estimate(high: Column, low: Column) -> Column:
     return F.when(usable, (high - low) / ((high + low) / 2) * 100.0)
 
 
+def quoted_spread(bid: Column, ask: Column) -> Column:
+    """Spread of a quote in percent of its middle, NULL where crossed or one-sided."""
+    return F.when((bid > m.EPSILON) & (ask >= bid), (ask - bid) / ((ask + bid) / 2) * 100.0)
+
+
 def assess_tradability(bars: DataFrame, walls: tuple[str, ...],
                        rule_set: TradabilityRules) -> DataFrame:
     """Was there liquidity in the minutes after each reference time?"""

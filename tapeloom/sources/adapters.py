@@ -185,6 +185,15 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and renames moved onto users and January days."""
+    part = F.substring("ticker", 2, 20).cast("long")
+    return actions(spark, sf_dir).select(
+        F.concat(F.lit("U"), (part % 120).cast("string")).alias("ticker"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (part % 30).cast("int")).alias("effective_date"),
+        "action_type", "ratio")
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade decisions, from orders."""
     o = table(spark, sf_dir, "orders")

@@ -493,14 +493,39 @@ def _collected(spark, d):
                                  four_hours(F.col("poll_ts")))
 
 
-@query("k2_collected_snapshots", with_("polls", f"""SELECT ticker, {t('date','date')},
+HALT_MINUTES = 4 * src.BAR_MINUTES
+K2_KNOWN = f"""SELECT k.*, coalesce({pct('price','prev_close')}, change_pct) AS gap, rv,
+    (epoch_us(poll_ts) - epoch_us(ended)) / 60000000.0::DOUBLE >= {HALT_MINUTES} AS silent,
+    CASE WHEN b.high > 1e-9 AND b.low > 1e-9 THEN (b.high-b.low)/((b.high+b.low)/2)*100 END AS spread,
+    coalesce(CASE WHEN prev_close > 1e-9 THEN abs(price/prev_close-1) > 0.8::DOUBLE AND rv < 2
+      AND NOT EXISTS (SELECT 1 FROM user_actions a WHERE a.ticker=k.ticker AND a.effective_date=k.date) END,
+      false) AS suspect
+    FROM (SELECT k2.*, y.prev_close, volume/(average_volume_10d*0.05::DOUBLE) AS rv FROM k2
+      LEFT JOIN udaily y ON y.ticker=k2.ticker AND y.date=k2.date) k
+    ASOF LEFT JOIN (SELECT *, minute + INTERVAL {src.BAR_MINUTES} MINUTE AS ended FROM ubars) b
+      ON b.ticker=k.ticker AND b.date=k.date AND b.ended <= k.poll_ts"""
+
+
+def collected_with_facts(spark, d):
+    """Collection that knows the bars, closes and actions of its days."""
+    return collect.collect_polls(
+        src.polls(spark, d), COLLECT, IntegrityRules(halt_min_silent_minutes=HALT_MINUTES),
+        four_hours(F.col("poll_ts")), src.user_daily(spark, d), bars=src.user_bars(spark, d),
+        actions=src.user_actions(spark, d), bar_minutes=src.BAR_MINUTES)
+
+
+@query("k2_collected_snapshots", with_("polls ubars udaily user_actions", f"""SELECT ticker, {t('date','date')},
     {t('poll_ts','poll_ts_utc')}, {r('price','price')}, {r('volume','session_volume')},
-    {r('change_pct','gap_pct')}, {r('wc','window_change_pct')}, {r('wv','window_volume')},
-    {r('volume/(average_volume_10d*0.05::DOUBLE)','rvol')}, 'fallback' AS rvol_source,
-    {r('price*volume','dollar_volume')}, {t('poll_ts','written_at_utc')} FROM k2""",
-    labelled=LABELLED, k2=K2))
+    {r('gap','gap_pct')}, {r('wc','window_change_pct')}, {r('wv','window_volume')},
+    {r('rv','rvol')}, 'fallback' AS rvol_source,
+    {r('price*volume','dollar_volume')}, {r('NULL','bid')}, {r('NULL','ask')}, {r('spread','spread_pct')},
+    CASE WHEN spread IS NULL THEN 'unavailable' ELSE 'estimated' END AS spread_source,
+    CASE WHEN silent IS NULL THEN 'unknown' WHEN silent THEN 'halted' ELSE 'trading' END AS halt_status,
+    silent AS inferred_halt, suspect AS suspect_price, {t('poll_ts','written_at_utc')} FROM known""",
+    labelled=LABELLED, k2=K2, known=K2_KNOWN))
 def collected_snapshots(spark, d):
-    return _collected(spark, d).snapshots
+    """With what was known at each poll: halt state, spread of the last ended bar, suspect prices."""
+    return collected_with_facts(spark, d).snapshots
 
 
 @query("k2_collected_reference", with_("polls", f"""SELECT ticker, {t('date','date')},

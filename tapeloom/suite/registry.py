@@ -181,6 +181,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN p_size=3 THEN 'P'||p_partkey END AS old_symbol,
         CASE WHEN p_size=3 THEN 'P'||(p_partkey+1) END AS new_symbol
         FROM part WHERE p_size <= 3"""),
+    "user_actions": (("actions",), """SELECT 'U'||(substr(ticker, 2)::BIGINT%120) AS ticker,
+        DATE '2024-01-01' + (substr(ticker, 2)::BIGINT%30)::INT AS effective_date, action_type, ratio
+        FROM actions"""),
     "journal": ((), """SELECT o_orderkey AS entry_id, 'C'||o_custkey AS ticker,
         o_orderdate::DATE AS date, CASE o_orderstatus WHEN 'F' THEN 'traded'
         WHEN 'O' THEN 'skipped' ELSE 'watched' END AS action, o_totalprice/100 AS entry,

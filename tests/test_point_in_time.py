@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import bars as bar_ops
-from tapeloom.operators import baseline, news
+from tapeloom.config import CollectionRules, IntegrityRules
+from tapeloom.operators import baseline, collect, integrity, news
 from tapeloom.operators.scan import asof_join
 from tapeloom.sources import adapters as src
 
@@ -110,3 +111,51 @@ def test_absence_counts_sessions_not_days(spark):
     rows = transitions(known, today, day, 4, holidays)
     assert rows.columns == transitions(known, today, day, 4).columns and rows.count() == 7
     assert rows.where("ticker = 'new' AND first_seen = DATE'2024-01-03'").count() == 1
+
+
+def clock(text):
+    return F.to_timestamp(F.concat(F.lit("2024-01-16 "), F.col(text)))
+
+
+def test_a_silence_is_known_once_it_has_lasted(spark):
+    day = F.lit("2024-01-16").cast("date")
+    bars = spark.createDataFrame(
+        [("X", "15:00:00", 2.0, 1.0), ("X", "15:01:00", 3.0, 1.0), ("X", "15:10:00", 1.0, 1.0)],
+        "ticker string, t string, high double, low double").withColumns(
+        {"minute": clock("t"), "date": day})
+    polls = spark.createDataFrame(
+        [("X", t) for t in ("15:00:30", "15:04:00", "15:05:00", "15:10:30", "15:11:00")] + [("Y", "15:05:00")],
+        "ticker string, t string").withColumns({"poll_ts": clock("t"), "date": day})
+    got = {(r.ticker, r.t): (r.halt_status, r.inferred_halt, r.bar_spread_pct)
+           for r in integrity.state_at(polls, bars, 3).collect()}
+    assert got == {
+        ("X", "15:00:30"): ("unknown", None, None), ("Y", "15:05:00"): ("unknown", None, None),
+        ("X", "15:04:00"): ("trading", False, 100.0), ("X", "15:05:00"): ("halted", True, 100.0),
+        ("X", "15:10:30"): ("halted", True, 100.0), ("X", "15:11:00"): ("trading", False, 0.0)}
+    apart = integrity.state_at(polls, bars, 3, sessions={"one": ("10:00", "10:05"), "two": ("10:05", "16:00")})
+    assert {r.t: r.halt_status for r in apart.where("ticker = 'X'").collect()} == {
+        "15:00:30": "unknown", "15:04:00": "trading", "15:05:00": "unknown",
+        "15:10:30": "unknown", "15:11:00": "trading"}
+
+
+def test_snapshots_know_only_the_past(spark, sf):
+    def collected(bars):
+        polls = src.polls(spark, sf).where(F.col("poll_ts") <= cut())
+        done = collect.collect_polls(
+            polls, CollectionRules(min_price=5.0), IntegrityRules(halt_min_silent_minutes=60),
+            F.date_trunc("day", F.col("poll_ts")), src.user_daily(spark, sf), bars=bars,
+            actions=src.user_actions(spark, sf), bar_minutes=15)
+        return done.snapshots
+    bars = src.user_bars(spark, sf)
+    full = collected(bars)
+    assert same(full, collected(bars.where(F.col("minute") <= cut())))
+    seen = {c: {r[0] for r in full.select(c).distinct().collect()}
+            for c in ("halt_status", "spread_source", "suspect_price")}
+    assert seen == {"halt_status": {"unknown", "halted", "trading"},
+                    "spread_source": {"estimated", "unavailable"}, "suspect_price": {True, False}}
+
+
+def test_a_quote_comes_before_the_bar(spark):
+    quotes = spark.createDataFrame([(9.0, 11.0), (11.0, 9.0), (None, 9.0), (0.0, 9.0)], "bid double, ask double")
+    got = [r[0] for r in quotes.select(integrity.quoted_spread(F.col("bid"), F.col("ask"))).collect()]
+    assert got == [20.0, None, None, None]
