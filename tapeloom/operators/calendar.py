@@ -74,12 +74,7 @@ def previous_days(days: DataFrame, count: int) -> DataFrame:
     return steps.join(days, "ord").select("day", F.col("date").alias("previous_day"))
 
 
-def windows_of(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
-    """One row per trading day and window with its UTC bounds.
-
-    ``hours`` comes from :func:`with_hours`; a half day loses the windows that
-    start at or after its close.
-    """
+def _open_windows(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
     cells = F.array(*[
         F.struct(F.lit(start).alias("wall"), tg.et_instant(F.col("date"), start).alias("starts_at"),
                  tg.et_instant(F.col("date"), end).alias("ends_at"))
@@ -87,7 +82,40 @@ def windows_of(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
     ])
     rows = hours.select("date", "early_close", "close_utc", F.inline(cells))
     closed = F.col("early_close") & (F.col("starts_at") >= F.col("close_utc"))
-    return rows.where(~closed).select(F.col("date").alias("day"), "wall", "starts_at", "ends_at")
+    return rows.where(~closed)
+
+
+def windows_of(hours: DataFrame, windows: Iterable[Window]) -> DataFrame:
+    """One row per trading day and window with its UTC bounds.
+
+    ``hours`` comes from :func:`with_hours`; a half day loses the windows that
+    start at or after its close.
+    """
+    return _open_windows(hours, windows).select(
+        F.col("date").alias("day"), "wall", "starts_at", "ends_at")
+
+
+def expected_polls(hours: DataFrame, windows: Iterable[Window], cadence_minutes: int) -> DataFrame:
+    """``(date, slot)``: the instants at which a poll is due, every so many minutes of a window.
+
+    A half day ends at its close. Slots are unfolded from the days inside the
+    task; a window shorter than the cadence has one.
+    """
+    if cadence_minutes <= 0:
+        raise ValueError(f"cadence must be positive, got {cadence_minutes}")
+    end = F.when(F.col("early_close"), F.least("ends_at", "close_utc")).otherwise(F.col("ends_at"))
+    slots = F.ceil(tg.minutes_between(F.col("starts_at"), end) / cadence_minutes)
+    steps = F.sequence(F.lit(0), (slots - 1).cast("int"))
+    return _open_windows(hours, windows).where(F.col("starts_at") < end).select(
+        "date", "starts_at", F.explode(steps).alias("_step")).select(
+        "date", tg.plus_minutes(F.col("starts_at"), F.col("_step") * cadence_minutes).alias("slot"))
+
+
+def poll_slot(at: Column, windows: Iterable[Window], cadence_minutes: int) -> Column:
+    """The slot of :func:`expected_polls` an instant falls into, NULL outside every window."""
+    start = tg.window_start(at, windows)
+    return tg.plus_minutes(
+        start, F.floor(tg.minutes_between(start, at) / cadence_minutes) * cadence_minutes)
 
 
 def next_windows(hours: DataFrame, windows: Iterable[Window], as_of: Column, n: int) -> DataFrame:

@@ -72,11 +72,24 @@ def thin_old_bars(spark: SparkSession, root: str, today: Column, rules: Retentio
         "action", F.lit(f"thinned to {rules.bars_thinned_minutes}m"))
 
 
+class DayFacts(NamedTuple):
+    """What the lake does not hold: ``quality.poll_coverage`` and ``failed_requests``, and the actions."""
+
+    coverage: DataFrame | None = None
+    failures: DataFrame | None = None
+    actions: DataFrame | None = None
+
+
+#: Cells of a snapshot counted as missing where NULL.
+NEEDED = ("price", "session_volume", "gap_pct", "rvol")
+
+
 def quality_rows(spark: SparkSession, root: str, days: Sequence[date], prune_report: DataFrame,
-                 outage_minutes: DataFrame | None = None) -> DataFrame:
+                 outage_minutes: DataFrame | None = None, facts: DayFacts = DayFacts()) -> DataFrame:
     """One row per table and given day from what the lake holds now.
 
-    Halts come from the day's universe, which the evening job wrote.
+    Halts come from the day's universe, which the evening job wrote. Missing
+    fields and suspect prices are those of the rows pruning kept.
     """
     def of(table: str) -> DataFrame:
         return lake.read_days(spark, root, table, days)
@@ -86,17 +99,20 @@ def quality_rows(spark: SparkSession, root: str, days: Sequence[date], prune_rep
         F.count_if(F.coalesce("suspect_price", F.lit(False))).alias("suspect_price_rows"))
     # three rows per ticker-day carry the same halts
     halts = of("daily_universe").groupBy("ticker", "date").agg(F.max("halt_count").alias("halt_count"))
+    applied = None if facts.actions is None else quality.action_counts(
+        facts.actions.where(F.col("effective_date").isin(list(days))))
     return quality.union_rows(
-        quality.evaluation_quality(evaluations),
-        quality.outcome_quality(of("outcomes"), halts),
+        quality.evaluation_quality(evaluations, applied),
+        quality.outcome_quality(of("outcomes"), halts, applied),
         quality.news_quality(of("news"), outage_minutes),
-        quality.snapshot_quality(prune_report, suspects),
+        quality.snapshot_quality(prune_report, suspects, facts.coverage,
+                                 quality.missing_fields(of("snapshots"), NEEDED), facts.failures),
     )
 
 
 def run_nightly(spark: SparkSession, root: str, days: Sequence[date], classified: DataFrame,
                 rules: RetentionRules, today: Column, now: Column, outage_minutes: DataFrame | None = None,
-                raw_minutes: int = 1) -> NightlyDone:
+                raw_minutes: int = 1, facts: DayFacts = DayFacts()) -> NightlyDone:
     """All closing steps for the given days; ``classified`` comes from ``retention.classify``."""
     report = prune_snapshots(spark, root, days, classified, rules, now)
     compacted = None
@@ -105,7 +121,7 @@ def run_nightly(spark: SparkSession, root: str, days: Sequence[date], classified
         compacted = one if compacted is None else compacted.unionByName(one)
     thinned = thin_old_bars(spark, root, today, rules, raw_minutes)
     dropped = lake.drop_days(spark, root, "snapshots", rt.snapshot_cutoff(today, rules))
-    rows = written_once(quality_rows(spark, root, days, report, outage_minutes), "quality")
+    rows = written_once(quality_rows(spark, root, days, report, outage_minutes, facts), "quality")
     ints = [c for c in quality.COUNTERS if c != "missing_field_count"]
     lake.set_days(
         rows.withColumns({c: F.col(c).cast("int") for c in [*ints, "polls_expected",

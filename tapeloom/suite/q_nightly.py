@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.config import PillarThresholds, RetentionRules
+from tapeloom.config import SESSIONS, PillarThresholds, RetentionRules
 from tapeloom.functions import rules
 from tapeloom.operators import bars as bar_ops
+from tapeloom.operators import calendar as cal
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators import journal as jn
 from tapeloom.operators import listings as ls
@@ -19,7 +20,7 @@ from tapeloom.sources import adapters as src
 from tapeloom.suite import q_asof as qa
 from tapeloom.suite import q_rules as qr
 from tapeloom.suite import q_runners as qu
-from tapeloom.suite.registry import et, half_even, pct, query, r, t, with_
+from tapeloom.suite.registry import et, et_instant, half_even, mins, pct, query, r, sod, t, with_
 
 RULES = RetentionRules(move_threshold_pct=400.0, control_sample_pct=40)
 BUSY = 5000.0  # ticker-days above this traded value have bars fetched
@@ -213,30 +214,75 @@ def _qsql(name, rel, where="", **values):
     for c in ("pillar5_low_confidence_share", "news_latency_median_s", "news_latency_p95_s",
               "tradeable_share", "move_threshold_pct"):
         cells.append(r(values.get(c, "NULL"), c))
+    polls = ", ".join(f"({values.get(c, 'NULL')})::BIGINT AS {c}" for c in ("polls_expected", "polls_completed"))
     return (f"SELECT {t('date', 'date')}, '{name}' AS table_name, {values['rows']}::BIGINT AS rows_collected, "
-            f"{', '.join(cells)}, NULL::BIGINT AS polls_expected, NULL::BIGINT AS polls_completed, "
+            f"{', '.join(cells)}, {polls}, "
             f"NULL::VARCHAR AS note FROM {rel}")
 
 
+CADENCE, LATE = 30, 10  # minutes
+SLOTS = f"""SELECT date, slot FROM (SELECT date, {et_instant('date','04:00')} + to_minutes(i*{CADENCE}) AS slot
+    FROM calendar, range(32) r(i)) WHERE NOT (dayofweek(date)=5 AND slot >= {et_instant('date','13:00')})"""
+ANSWERED = f"""SELECT slot, min(ts) AS first_poll FROM (SELECT ts, {et_instant('date','04:00')}
+      + to_minutes((floor({mins(et_instant('date','04:00'),'ts')}/{CADENCE})*{CADENCE})::BIGINT) AS slot
+    FROM ticks WHERE ticker='click' AND {sod('ts')} >= 14400 AND {sod('ts')} < 72000) GROUP BY slot"""
+COVERAGE = f"""SELECT date, count(*) AS polls_expected, count(first_poll) AS polls_completed,
+    count(*) FILTER (first_poll IS NULL) AS polls_missed,
+    count(*) FILTER ({mins('slot','first_poll')} > {LATE}) AS polls_late, max(run)*{CADENCE} AS gap FROM (
+      SELECT *, n - coalesce(max(CASE WHEN first_poll IS NOT NULL THEN n END) OVER (PARTITION BY date ORDER BY n), 0) AS run
+      FROM (SELECT s.*, a.first_poll, row_number() OVER (PARTITION BY date ORDER BY s.slot) AS n
+        FROM slots s LEFT JOIN answered a ON a.slot=s.slot)) GROUP BY date"""
+COVER = dict(slots=SLOTS, answered=ANSWERED, covered=COVERAGE)
+
+
+def coverage(spark, d):
+    """Clicks stand for answered polls, due every half hour of the session; Fridays close early."""
+    windows = tuple(SESSIONS.values())
+    hours = cal.with_hours(src.calendar(spark, d), early_close=F.dayofweek("date") == 6)
+    clicks = src.ticks(spark, d).where(F.col("ticker") == "click")
+    return ql.poll_coverage(
+        cal.expected_polls(hours, windows, CADENCE), clicks, windows, CADENCE, LATE, at="ts")
+
+
+@query("d20_poll_coverage", with_("calendar ticks", f"""SELECT {t('date','date')}, polls_expected, polls_completed,
+    polls_missed, polls_late, {r('gap','longest_gap_minutes')} FROM covered""", **COVER))
+def poll_coverage(spark, d):
+    """Polls expected, completed, missed and late, and the longest gap of every trading day."""
+    return coverage(spark, d)
+
+
 OUTAGE_DAY = """SELECT day AS date, sum(epoch_us(coalesce(ended, day + INTERVAL 1 DAY)) - epoch_us(started))
     /60000000.0::DOUBLE AS minutes FROM outages GROUP BY day"""
 LABELLED = f"""SELECT f.ticker, f.date, coalesce(dollars >= 8000 AND spread <= 60, false) AS tradeable FROM folded f"""
 QUALITY = " UNION ALL ".join([
-    _qsql("evaluations", "(SELECT date, count(*) AS n, count(*) FILTER (confidence='low') AS low FROM day_evals GROUP BY 1)",
-          rows="n", pillar5_low_confidence_share="low/n::DOUBLE"),
-    _qsql("outcomes", """(SELECT l.date, count(*) AS n, count(*) FILTER (tradeable) AS ok, any_value(h.halts) AS halts
-          FROM labelled l LEFT JOIN (SELECT date, count(*) AS halts FROM gaps GROUP BY 1) h ON h.date=l.date GROUP BY 1)""",
+    _qsql("evaluations", "(SELECT e.*, splits FROM (SELECT date, count(*) AS n, count(*) FILTER (confidence='low') AS low"
+          " FROM day_evals GROUP BY 1) e LEFT JOIN applied a ON a.date=e.date)",
+          rows="n", pillar5_low_confidence_share="low/n::DOUBLE", rvol_baselines_recomputed="coalesce(splits,0)"),
+    _qsql("outcomes", """(SELECT l.date, count(*) AS n, count(*) FILTER (tradeable) AS ok, any_value(h.halts) AS halts,
+          any_value(a.actions) AS actions FROM labels_of_day l LEFT JOIN (SELECT date, count(*) AS halts FROM gaps GROUP BY 1) h
+          ON h.date=l.date LEFT JOIN applied a ON a.date=l.date GROUP BY 1)""", corporate_actions_applied="coalesce(actions,0)",
           rows="n", tradeable_share="ok/n::DOUBLE", halt_count="coalesce(halts,0)",
           inferred_halt_count="coalesce(halts,0)"),
     _qsql("news", "(SELECT m.*, coalesce(o.minutes,0) AS minutes FROM marks m LEFT JOIN outage_day o ON o.date=m.date)",
           rows="n", news_latency_p95_s="p95", news_latency_median_s="med", ws_disconnect_minutes="minutes"),
-    _qsql("snapshots", "(SELECT * REPLACE (date::DATE AS date) FROM report)", rows="rows_after",
+    _qsql("snapshots", """(SELECT p.* REPLACE (p.date::DATE AS date), c.polls_expected, c.polls_completed, f.nulls, f.suspects,
+          x.errors FROM report p LEFT JOIN covered c ON c.date=p.date::DATE LEFT JOIN faults f ON f.date=p.date::DATE
+          LEFT JOIN failures x ON x.date=p.date::DATE)""", rows="rows_after", polls_expected="polls_expected",
+          polls_completed="polls_completed", missing_field_count="coalesce(nulls,0)",
+          suspect_price_rows="coalesce(suspects,0)", api_errors="coalesce(errors,0)",
           mover_count="mover_count", control_count="control_count", dropped_count="dropped_count",
           move_threshold_pct="move_threshold_pct"),
 ])
+APPLIED = """SELECT effective_date AS date, count(*) AS actions,
+    count(DISTINCT ticker) FILTER (action_type LIKE '%split') AS splits FROM user_actions GROUP BY 1"""
+FAULTS = """SELECT coalesce(a.date, b.date) AS date, nulls, suspects FROM (SELECT date, count(*) FILTER (float_shares IS NULL)
+      + count(*) FILTER (average_volume_10d IS NULL) AS nulls FROM snaps GROUP BY date) a
+    FULL JOIN (SELECT date, count(*) FILTER (suspect) AS suspects FROM known GROUP BY date) b ON b.date=a.date"""
+FAILURES = "SELECT date, count(*) AS errors FROM ticks WHERE ticker='error' GROUP BY date"
 QCTE = dict(CTE, keep=KEEP, report=REPORT, lat=LATENCY, marks=MARKS, outages=qa.OUTAGES, outage_day=OUTAGE_DAY,
-            refs=qa.REFS, folded=qa.FOLDED, gaps=qa.GAPS, labelled=LABELLED, quality=QUALITY)
-QDEPS = DEPS + " news health bars daily"
+            refs=qa.REFS, folded=qa.FOLDED, gaps=qa.GAPS, labels_of_day=LABELLED, labelled=qr.LABELLED, k2=qr.K2,
+            known=qr.K2_KNOWN, **COVER, applied=APPLIED, faults=FAULTS, failures=FAILURES, quality=QUALITY)
+QDEPS = DEPS + " news health bars daily calendar ubars polls ticks user_actions"
 
 
 def quality_rows(spark, d):
@@ -246,11 +292,17 @@ def quality_rows(spark, d):
     midnight = F.date_add(F.col("date"), 1).cast("timestamp")
     down = news_ops.outage_minutes(
         news_ops.outages(health, ["date"]).withColumn("_end", midnight), ["date"], F.col("_end"))
+    applied = ql.action_counts(src.user_actions(spark, d))
+    suspects = qr.collected_with_facts(spark, d).snapshots.groupBy("date").agg(
+        F.count_if("suspect_price").alias("suspect_price_rows"))
     return ql.union_rows(
-        ql.evaluation_quality(src.day_evals(spark, d)),
-        ql.outcome_quality(qa.labels(spark, d), halts),
+        ql.evaluation_quality(src.day_evals(spark, d), applied),
+        ql.outcome_quality(qa.labels(spark, d), halts, applied),
         ql.news_quality(news_ops.news_rows(src.news(spark, d)), down),
-        ql.snapshot_quality(pruned(spark, d).report),
+        ql.snapshot_quality(
+            pruned(spark, d).report, suspects, coverage(spark, d),
+            ql.missing_fields(src.snapshots(spark, d), ("float_shares", "average_volume_10d")),
+            ql.failed_requests(src.ticks(spark, d), F.col("ticker") == "error")),
     )
 
 
