@@ -6,7 +6,7 @@ ticker and day, so one layout serves them all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.config import (
+    SESSIONS,
     IntegrityRules,
     OutcomeRules,
     PillarThresholds,
     RunnerRules,
     TradabilityRules,
+    Window,
 )
 from tapeloom.functions import rules
 from tapeloom.operators import bars as bar_ops
@@ -30,6 +32,8 @@ from tapeloom.sources import lake
 
 @dataclass(frozen=True)
 class EveningRules:
+    """``halt_sessions`` bounds the silences that count as halts; None takes the whole day."""
+
     outcomes: OutcomeRules = field(default_factory=OutcomeRules)
     tradability: TradabilityRules = field(default_factory=TradabilityRules)
     runners: RunnerRules = field(default_factory=RunnerRules)
@@ -37,6 +41,8 @@ class EveningRules:
     thresholds: PillarThresholds = field(default_factory=PillarThresholds)
     bar_minutes: int = 1
     surge_volume: float = float("inf")
+    halt_sessions: Mapping[str, Window] | None = field(
+        default_factory=lambda: {"regular": SESSIONS["regular"]})
 
 
 def lake_bars(spark: SparkSession, root: str, days: Sequence[date]) -> DataFrame:
@@ -83,14 +89,14 @@ def run_evening(spark: SparkSession, root: str, days: Sequence[date], prev_close
     bars = lake_bars(spark, root, days)
     prev_closes = prev_closes.where(F.col("date").isin(list(days)))
     silent, minutes = rule_set.integrity.halt_min_silent_minutes, rule_set.bar_minutes
-    halts = integrity.infer_halts(bars, silent, minutes)
+    halts = integrity.infer_halts(bars, silent, minutes, rule_set.halt_sessions)
     on_basis = integrity.action_on(prev_closes.select(*DAY, "prev_close"), actions).select(
         *DAY, integrity.adjusted_close(
             F.col("prev_close"), F.col("action_type"), F.col("ratio")).alias("prev_close"))
     lake.set_days(
         universe_rows(bars, halts, on_basis, actions, rule_set, now), root, "daily_universe", days, "bars")
     labels = outcomes.outcomes(
-        integrity.with_gaps(bars, silent, minutes), rule_set.outcomes, rule_set.tradability,
+        integrity.with_gaps(bars, silent, minutes, rule_set.halt_sessions), rule_set.outcomes, rule_set.tradability,
         on_basis, now)
     lake.set_days(labels.withColumn("written_at_utc", now), root, "outcomes", days, "bars")
     found = runners.diagnose(

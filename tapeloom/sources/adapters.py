@@ -191,7 +191,7 @@ def user_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions(spark, sf_dir).select(
         F.concat(F.lit("U"), (part % 120).cast("string")).alias("ticker"),
         F.date_add(F.lit("2024-01-01").cast("date"), (part % 30).cast("int")).alias("effective_date"),
-        "action_type", "ratio")
+        "action_type", "ratio", "old_symbol", "new_symbol")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,9 +105,9 @@ def second_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          body.alias("value")), "second")
 
 
-def action_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corporate actions by kind, a page of parts each; dates sit in varying fields."""
-    a = src.actions(spark, sf_dir).withColumn("key", F.expr("int(substring(ticker, 2))"))
+def action_payloads(spark: SparkSession, sf_dir: str, actions: DataFrame | None = None) -> DataFrame:
+    """Corporate actions by kind, a page of tickers each; dates sit in varying fields."""
+    a = (src.actions(spark, sf_dir) if actions is None else actions).withColumn("key", F.expr("int(substring(ticker, 2))"))
     day = F.col("effective_date").cast("string")
     split = F.col("ratio").isNotNull()
     rec = F.to_json(F.struct(

@@ -13,6 +13,7 @@ from tapeloom.config import (
     RetentionRules,
     SESSIONS,
 )
+from tapeloom.operators import baseline
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators import news as news_ops
 from tapeloom.operators import research as rs
@@ -117,6 +118,24 @@ def corporate_actions(spark, d):
     return out.unionByName(done.payloads.select(F.lit("unreadable").alias("kind"), F.col("unreadable").alias("n")))
 
 
+UCURVE = qa.CURVE.replace("FROM bars)", "FROM ubars)")
+USPLIT = """SELECT DISTINCT ticker, effective_date AS date FROM user_actions WHERE action_type LIKE '%split'
+    AND NOT (substr(ticker, 2)::BIGINT%3=2 AND substr(ticker, 2)::BIGINT%5=0)"""
+
+
+@query("k3_baselines_after_splits", with_("user_actions ubars calendar", f"""SELECT ticker, {t('date','date')},
+    minute_offset::BIGINT AS minute_offset, {r('baseline_volume','baseline_volume')}, days_used FROM base b
+    WHERE NOT EXISTS (SELECT 1 FROM split_days s WHERE s.ticker=b.ticker AND s.date=b.date)""",
+    curve=UCURVE, base=qa.BASE, split_days=USPLIT))
+def baselines_after_splits(spark, d):
+    """The actions job where splits meet stored baselines: those of the split's ticker and day go."""
+    root = scratch_path(spark, "lake")
+    stored = baseline.baselines(lambda: src.user_bars(spark, d), src.calendar(spark, d), qa.OFFSETS)
+    return actions_plan.run_actions(
+        landed.action_payloads(spark, d, src.user_actions(spark, d)), root, stored,
+        F.lit("2000-01-03").cast("date"), ql.now()).baselines
+
+
 def day_rows(spark, root, *tables):
     """Rows of every day of the named tables."""
     out = None
@@ -177,6 +196,43 @@ def universe_rows(spark, d):
         "ticker", "date", "session", "close", "volume", "prev_close", "halt_count", "suspect_price")
 
 
+REGULAR = " AND ".join(f"{SESSION(c)} = 'regular'" for c in ("prev", "minute"))
+
+
+@query("k4_stored_universe", with_("ubars udaily user_actions", f"""SELECT g.ticker, {t('g.date','date')}, g.session,
+    {r('s.close','close')}, {r('coalesce(s.volume,0)','volume')}, {r("y.prev_close/CASE WHEN a.ratio > 1e-9 THEN a.ratio ELSE 1 END",'prev_close')},
+    a.ratio IS NOT NULL AS split_flag, {r('a.ratio','split_ratio')}, coalesce(h.n,0) AS halt_count, {r('coalesce(h.mins,0)','halt_minutes')},
+    coalesce(CASE WHEN y.prev_close > 1e-9 AND a.action_type IS NULL THEN abs(q.close/y.prev_close-1) > 0.8::DOUBLE END, false)
+      AS suspect_price FROM (SELECT ticker, date, unnest(['pre','regular','post']) AS session
+      FROM (SELECT DISTINCT ticker, date FROM ubars)) g
+    LEFT JOIN rolled s ON s.ticker=g.ticker AND s.date=g.date AND s.session=g.session
+    LEFT JOIN rolled q ON q.ticker=g.ticker AND q.date=g.date AND q.session='regular'
+    LEFT JOIN udaily y ON y.ticker=g.ticker AND y.date=g.date
+    LEFT JOIN on_day a ON a.ticker=g.ticker AND a.effective_date=g.date
+    LEFT JOIN (SELECT ticker, date, count(*) AS n, sum(silent) AS mins FROM quiet
+      WHERE silent >= {qa.SILENT} AND {REGULAR} GROUP BY 1,2) h
+      ON h.ticker=g.ticker AND h.date=g.date""",
+    rolled=f"""SELECT ticker, date, {SESSION('minute')} AS session, arg_max(close, minute) AS close,
+      sum(volume) AS volume FROM ubars GROUP BY ALL""",
+    quiet=f"""SELECT *, {mins(f"prev + INTERVAL {qa.BAR} MINUTE",'minute')} AS silent FROM (SELECT *, lag(minute) OVER
+      (PARTITION BY ticker, date ORDER BY minute) AS prev FROM ubars)""",
+    on_day="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, effective_date
+      ORDER BY action_type, ratio NULLS FIRST) AS n FROM user_actions) WHERE n=1"""))
+def stored_universe(spark, d):
+    """Rows the evening job left in the lake: silences of the regular session only, closes on the split's basis."""
+    from tapeloom.sources import feeds
+    root = scratch_path(spark, "lake")
+    lake.append(feeds.bar_rows(src.user_bars(spark, d), ql.now(), src.BAR_MINUTES), root, "bars_1m", "suite")
+    summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), qr.EVAL_ORDER)
+    firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
+    days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
+    evening.run_evening(spark, root, days, src.user_daily(spark, d), src.user_actions(spark, d),
+                        summaries, firsts, _standard(EVENING), ql.now())
+    return lake.read_days(spark, root, "daily_universe", days).select(
+        "ticker", "date", "session", "close", "volume", "prev_close", "split_flag", "split_ratio",
+        "halt_count", "halt_minutes", "suspect_price")
+
+
 @query("k5_nightly_job", with_(qn.DEPS + " news bars", f"""SELECT table_name, {t('date','date')}, rows FROM (
     SELECT 'snapshots '||klass AS table_name, date, count(*) AS rows FROM keep
       WHERE klass IS NOT NULL AND date >= DATE '2024-01-16' GROUP BY klass, date
