@@ -150,6 +150,16 @@ def test_decimals_tie_where_the_scaled_double_does(spark):
         == ("9.49", "2", "2", "-9.49", "10")
 
 
+def test_prices_of_orders_tie_like_their_sql(spark):
+    import duckdb
+    prices = [-134.985, -141.925, -284.165, -134.925, 0.125, 1234.5, 12_345_000.0, 999.995]
+    found = spark.createDataFrame([(x,) for x in prices], "x double").select(
+        text.number(F.when(F.abs("x") < 1000, F.col("x"))).alias("n")).collect()
+    want = duckdb.execute("SELECT CASE WHEN abs(x) < 1000 THEN printf('%.2f', round_even(x, 2)) ELSE '—' END "
+                          "FROM (SELECT unnest(?) AS x)", [prices]).fetchall()
+    assert [r["n"] for r in found] == [r[0] for r in want]
+
+
 def test_control_sample_matches_sha256(spark):
     import hashlib
     from datetime import date
