@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def rounded(col: Column, digits: int) -> Column:
+    """Half away from zero on the scaled double, as SQL engines round doubles.
+
+    ``round`` goes by the shortest decimal text: 0.0640625 is a tie there, but
+    0.0640625 * 1e6 is below 64062.5.
+    """
+    size = F.abs(col) * 10.0**digits
+    # from 2^52 on doubles are whole
+    whole = F.when(size < 2.0**52, F.floor(size) + F.floor((size - F.floor(size)) * 2)).otherwise(size)
+    value = whole / 10.0**digits
+    return F.when(value == float("inf"), col).when(col < 0, -value).otherwise(value)
+
+
 def present(df: DataFrame) -> DataFrame:
     """Engine-neutral columns: text for times, long for integers, 6 decimals."""
     out = []
@@ -24,7 +37,7 @@ def present(df: DataFrame) -> DataFrame:
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             col = col.cast("long")
         elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            col = F.round(col.cast("double"), 6) + F.lit(0.0)
+            col = rounded(col.cast("double"), 6) + F.lit(0.0)
         elif isinstance(kind, T.ArrayType):
             col = F.concat_ws("|", F.transform(col, lambda x: x.cast("string")))
         out.append(col.alias(field.name))

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from check import compare, connect
 from tapeloom.suite import ORACLE, QUERIES
+from tapeloom.suite.registry import present
 
 #: A cross-section; TAPELOOM_ALL=1 runs every query.
 SAMPLE = (
@@ -58,3 +59,12 @@ def test_scan_reads_only_what_it_needs(spark, sf):
     plan = entry.queries()["d31_low_confidence_share"](spark, sf)._jdf.queryExecution().toString()
     scan = next(line for line in plan.splitlines() if "lineitem" in line and "ReadSchema" in line)
     assert "l_extendedprice" not in scan.split("ReadSchema")[1]
+
+
+def test_doubles_are_shown_as_their_sql_rounds_them(spark):
+    import duckdb
+
+    values = [0.0640625, 0.0046875, -0.0640625, 2.5e-6, 0.5e-6, 1e15, 1e308, 123456.1234565, 0.0, None]
+    found = present(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double"))
+    want = duckdb.execute("SELECT round(x, 6) + 0.0::DOUBLE FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
+    assert [r["x"] for r in found.orderBy("i").collect()] == [r[0] for r in want]
