@@ -1,14 +1,14 @@
 """Keyed state of the live system.
 
-Keys are a ticker in a window or on a day, so the rows of a key in one
-micro-batch number at most the polls of that window or day. State travels with
-the Arrow batches and expires once the watermark is a given time past the last
-row of its key.
+Where keys are many (a ticker in a window or on a day), they are dealt by hash over
+:data:`GROUPS` groups: Python is called once per group and micro-batch, not once per
+key, and works on columns. A group's state lists its keys with what is known of each;
+a key is forgotten once the watermark is a given time past its last row. The rows of
+a group in one micro-batch number about the batch's rows divided by the groups.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR_MS = 3_600_000
+#: Groups that many keys are dealt over; a call of Python costs more than a thousand rows in it.
+GROUPS = 256
+#: How a key travels as one text.
+KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 Step = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
@@ -42,37 +46,78 @@ def _expiring(step: Step, at: str, ttl_ms: int) -> Step:
     return run
 
 
+def _dealt(rows: DataFrame, keys: Sequence[str], groups: int) -> DataFrame:
+    """Rows with their key as text and the group it falls to."""
+    return rows.withColumn("_key", F.to_json(F.struct(*keys), KEY_TEXT)).withColumn(
+        "_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
+
+
+def _micros(at: pd.Series) -> pd.Series:
+    return at.astype("datetime64[us]").astype("int64")
+
+
+def _keep(held: GroupState, known: dict[str, tuple], latest: dict[str, int], ttl_ms: int) -> None:
+    """Store the keys still alive, a list per field, and wake up when the next one ends."""
+    passed = held.getCurrentWatermarkMs()
+    alive = [key for key in known if latest[key] + ttl_ms >= passed]
+    if alive:
+        held.update((alive, [latest[key] for key in alive], *map(list, zip(*(known[key] for key in alive)))))
+        held.setTimeoutTimestamp(max(min(latest[key] for key in alive) + ttl_ms, passed) + 1)
+    elif held.exists:
+        held.remove()
+
+
+def _known(held: GroupState) -> tuple[dict[str, tuple], dict[str, int]]:
+    if not held.exists:
+        return {}, {}
+    keys, latest, *fields = held.get
+    return dict(zip(keys, zip(*fields))), dict(zip(keys, latest))
+
+
+def _seen_last(latest: dict[str, int], batch: pd.DataFrame, at: str, passed: int) -> None:
+    """Move the keys of a batch on to their last row."""
+    for key, micros in _micros(batch[at]).groupby(batch["_key"]).max().items():
+        latest[key] = max(latest.get(key, passed), micros // 1000, passed)
+
+
 def _number(value) -> float | None:
     return None if pd.isna(value) else float(value)
 
 
 def first_seen(polls: DataFrame, ttl_ms: int = 24 * HOUR_MS,
-               lateness: str = "10 minutes") -> DataFrame:
+               lateness: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """``ticker, window_start, poll_ts, price, volume`` and any further columns, with the window's baseline."""
     columns = [*polls.columns, "open_price", "open_volume", "opened_at"]
     fields = ", ".join(f"{name} {kind}" for name, kind in polls.dtypes)
 
-    def step(_key, rows, state):
-        batch = pd.concat(list(rows)).sort_values("poll_ts")
-        if not state.exists:
-            head = batch.iloc[0]
-            state.update((_number(head["price"]), _number(head["volume"]),
-                          head["poll_ts"].value // 1000))
-        price, volume, opened = state.get
-        yield batch.assign(
-            open_price=price, open_volume=volume, opened_at=pd.Timestamp(opened, unit="us"))[columns]
-
-    on_time = polls.withWatermark("poll_ts", lateness)
-    return on_time.groupBy("ticker", "window_start").applyInPandasWithState(
-        _expiring(step, "poll_ts", ttl_ms),
-        fields + ", open_price double, open_volume double, opened_at timestamp",
-        "price double, volume double, opened_us bigint",
+    def step(_group, rows, held):
+        known, latest = _known(held)
+        if not held.hasTimedOut:
+            batch = pd.concat(list(rows)).sort_values("poll_ts", kind="stable")
+            head = batch.drop_duplicates("_key")
+            for key, price, volume, opened in zip(
+                    head["_key"], head["price"], head["volume"], _micros(head["poll_ts"])):
+                if key not in known:
+                    known[key] = (_number(price), _number(volume), opened)
+            _seen_last(latest, batch, "poll_ts", held.getCurrentWatermarkMs())
+            baseline = pd.DataFrame([known[key] for key in batch["_key"]], batch.index,
+                                    ["open_price", "open_volume", "opened_at"])
+            yield batch.assign(
+                open_price=baseline["open_price"].astype("float64"),
+                open_volume=baseline["open_volume"].astype("float64"),
+                opened_at=pd.to_datetime(baseline["opened_at"], unit="us"))[columns]
+        _keep(held, known, latest, ttl_ms)
+
+    on_time = _dealt(polls, ["ticker", "window_start"], groups).withWatermark("poll_ts", lateness)
+    return on_time.groupBy("_group").applyInPandasWithState(
+        step, fields + ", open_price double, open_volume double, opened_at timestamp",
+        "keys array<string>, latest_ms array<bigint>, price array<double>, volume array<double>, opened_us array<bigint>",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
                 order: Sequence[str], ttl_ms: int = 48 * HOUR_MS,
-                lateness: str = "10 minutes") -> DataFrame:
+                lateness: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """Emit a row when it is the first of its key or its fields changed.
 
     ``order`` starts with the event time.
@@ -83,67 +128,70 @@ def change_only(observed: DataFrame, keys: Sequence[str], fields: Sequence[str],
     order, columns = list(order), list(observed.columns)
     seen_as = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
-    def step(_key, rows, state):
-        batch = pd.concat(list(rows)).sort_values(order)
-        before = batch["_seen"].shift(1, fill_value=state.get[0] if state.exists else "")
-        state.update((batch["_seen"].iloc[-1],))
-        yield batch[batch["_seen"] != before][columns]
-
-    marked = observed.withColumn("_seen", seen_as).withWatermark(order[0], lateness)
-    return marked.groupBy(*keys).applyInPandasWithState(
-        _expiring(step, order[0], ttl_ms), observed.schema, "seen string", "append",
+    def step(_group, rows, held):
+        known, latest = _known(held)
+        if not held.hasTimedOut:
+            batch = pd.concat(list(rows)).sort_values(order)
+            before = batch.groupby("_key")["_seen"].shift(1)
+            earlier = pd.Series([known.get(key, ("",))[0] for key in batch["_key"]], batch.index)
+            changed = batch["_seen"] != before.where(before.notna(), earlier)
+            tail = batch.drop_duplicates("_key", keep="last")
+            known.update((key, (seen,)) for key, seen in zip(tail["_key"], tail["_seen"]))
+            _seen_last(latest, batch, order[0], held.getCurrentWatermarkMs())
+            yield batch[changed][columns]
+        _keep(held, known, latest, ttl_ms)
+
+    marked = _dealt(observed.withColumn("_seen", seen_as), keys, groups).withWatermark(order[0], lateness)
+    return marked.groupBy("_group").applyInPandasWithState(
+        step, observed.schema, "keys array<string>, latest_ms array<bigint>, seen array<string>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_in_span(events: DataFrame, span_us: int, numeric: bool) -> DataFrame:
+def latest_in_span(events: DataFrame, span_us: int, numeric: bool, groups: int = GROUPS) -> DataFrame:
     """``poll, news_id, news_created_at`` of every poll in ``ticker, span, at, poll, news_id``.
 
-    The state holds the polls not answered yet and the articles of the span, in
-    time order. A timer at the next unanswered poll, then one at the end of the
-    span, which forgets the key.
+    The state holds the polls not answered yet and the articles of spans that have
+    not ended. A timer at the next unanswered poll, then one at the end of the
+    next span, which forgets its articles.
     """
+    kept = ["_key", "span", "at", "poll", "news_id"]
 
-    def rank(news_id: str):
-        return int(news_id) if numeric else news_id
-
-    def step(key, rows, held: GroupState):
-        end = (int(key[1]) + 1) * span_us
-        asked, told = [], []
+    def step(_group, rows, held: GroupState):
+        parts = []
         if held.exists:
-            a, b, c, d = held.get
-            asked, told = list(zip(a, b)), list(zip(c, d))
+            parts.append(pd.DataFrame(dict(zip(kept, held.get)), columns=kept))
         if not held.hasTimedOut:
-            for batch in rows:
-                at = batch["at"].astype("datetime64[us]").astype("int64")
-                poll, news = batch["poll"].notna(), batch["news_id"].notna()
-                asked += zip(at[poll].tolist(), batch["poll"][poll].tolist())
-                told += zip(at[news].tolist(), batch["news_id"][news].tolist())
-            told.sort(key=lambda x: (x[0], rank(x[1])))
-            asked.sort()
+            parts += [batch.assign(at=_micros(batch["at"]))[kept] for batch in rows]
+        rows = pd.concat(parts, ignore_index=True)
+        asked, told = rows[rows["poll"].notna()], rows[rows["news_id"].notna()]
         passed = held.getCurrentWatermarkMs() * 1000
-        ready = [p for p in asked if p[0] < passed]
-        asked = asked[len(ready):]
-        times = [t for t, _ in told]
-        out = []
-        for at, poll in ready:
-            i = bisect_right(times, at) - 1
-            fresh = i >= 0 and times[i] >= at - span_us
-            out.append((poll, told[i][1] if fresh else None,
-                        pd.Timestamp(times[i], unit="us") if fresh else pd.NaT))
-        if asked or passed <= end:
-            held.update(([t for t, _ in asked], [p for _, p in asked], times, [n for _, n in told]))
-            due = asked[0][0] if asked else end
-            held.setTimeoutTimestamp(max(due, passed) // 1000 + 1)
+        ready = asked[asked["at"] < passed].sort_values("at")
+        asked = asked[asked["at"] >= passed]
+        if len(ready):
+            told = told.assign(rank=told["news_id"].map(int) if numeric else told["news_id"]).sort_values(
+                ["at", "rank"]).drop(columns="rank")
+            answered = pd.merge_asof(
+                ready[["_key", "at", "poll"]].astype({"at": "int64"}),
+                told[["_key", "at", "news_id"]].astype({"at": "int64"}).assign(news_created_at=told["at"]),
+                on="at", by="_key", tolerance=span_us)
+            yield pd.DataFrame({
+                "poll": answered["poll"],
+                "news_id": answered["news_id"].astype(object).where(answered["news_id"].notna(), None),
+                "news_created_at": pd.to_datetime(answered["news_created_at"].astype("Int64"), unit="us")})
+        told = told[(told["span"] + 1) * span_us >= passed]
+        if len(asked) or len(told):
+            left = pd.concat([asked, told])
+            nulls = left[["poll", "news_id"]].astype(object).where(left[["poll", "news_id"]].notna(), None)
+            held.update((left["_key"].tolist(), left["span"].astype("int64").tolist(), left["at"].astype("int64").tolist(),
+                         nulls["poll"].tolist(), nulls["news_id"].tolist()))
+            due = asked["at"].min() if len(asked) else (told["span"].min() + 1) * span_us
+            held.setTimeoutTimestamp(int(max(due, passed) // 1000 + 1))
         elif held.exists:
             held.remove()
-        if out:
-            answered = pd.DataFrame(out, columns=["poll", "news_id", "news_created_at"])
-            answered["news_created_at"] = answered["news_created_at"].astype("datetime64[us]")
-            yield answered
 
-    return events.groupBy("ticker", "span").applyInPandasWithState(
+    return _dealt(events, ["ticker", "span"], groups).groupBy("_group").applyInPandasWithState(
         step, "poll string, news_id string, news_created_at timestamp",
-        "polls_at array<bigint>, polls array<string>, news_at array<bigint>, news array<string>",
+        "keys array<string>, spans array<bigint>, at_us array<bigint>, polls array<string>, news array<string>",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 

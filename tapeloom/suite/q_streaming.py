@@ -29,6 +29,8 @@ def replay(df: DataFrame, ts: str, label: str, cuts=BATCHES, closing: str | None
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"replay-{label}")
+    # every step reads it
+    df = written_once(df, f"landed-{label}")
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = df

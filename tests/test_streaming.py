@@ -61,3 +61,36 @@ def test_pushes_keep_to_the_budget_across_batches(spark):
     found = state.budgeted_pushes(replay(polls, "poll_ts", "pushes"), ["poll_ts", "ticker"], 4, ttl_ms=10**12)
     got = [(r["ticker"], r["level"]) for r in drained(found, "pushes").orderBy("poll_ts", "ticker").collect()]
     assert got == [("a", 2), ("a", 3), ("c", 2), ("c", 3)]
+
+
+def test_many_keys_are_few_calls(spark, monkeypatch):
+    """Keys of one group keep their own state, and Python is called per group, not per key."""
+    monkeypatch.setattr(q_streaming, "FILES", 2)
+    rows = spark.range(3000).select(
+        F.concat(F.lit("k"), (F.col("id") % 1000).cast("string")).alias("ticker"),
+        F.lit("2024-01-01").cast("timestamp").alias("window_start"),
+        F.expr("timestamp'2024-01-05 10:00:00' + make_interval(0, 0, 0, int(id div 1000) * 7)").alias("poll_ts"),
+        F.col("id").cast("double").alias("price"),
+        F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("volume"))
+    found = state.first_seen(replay(rows, "poll_ts", "many"), ttl_ms=10**12, groups=3)
+    keys = [k for k in found._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroupsInPandasWithState" in k]
+    assert len(keys) == 1 and "_group" in keys[0]
+    got = drained(found, "many")
+    first = F.substring("ticker", 2, 9).cast("double")
+    assert got.count() == 3000
+    assert got.where(~(F.col("open_price") == first)
+                     | ~F.col("open_volume").eqNullSafe(F.when(first % 3 > 0, first))).count() == 0
+    moved = rows.select("ticker", "poll_ts", (F.col("price") % 1000 + F.floor(F.col("price") / 2000)).alias("v"))
+    changed = drained(state.change_only(replay(moved, "poll_ts", "moved"), ["ticker"], ["v"], ["poll_ts"],
+                                        ttl_ms=10**12, groups=3), "moved")
+    assert changed.groupBy("ticker").count().where("count <> 2").count() == 0 and changed.count() == 2000
+
+
+def test_a_forgotten_key_begins_anew(spark, monkeypatch):
+    monkeypatch.setattr(q_streaming, "FILES", 1)
+    rows = stamped(spark, [("a", "2024-01-05 10:00:00", 1), ("b", "2024-01-12 10:00:00", 1), ("b", "2024-01-20 10:00:00", 1),
+                           ("a", "2024-01-26 10:00:00", 1)], "k string, ts string, v long", "ts")
+    # b is still known when its second row comes, a is not
+    for ttl, n in ((24 * state.HOUR_MS, 3), (10**12, 2)):
+        found = state.change_only(replay(rows, "ts", "ttl"), ["k"], ["v"], ["ts"], ttl_ms=ttl, groups=1)
+        assert drained(found, "ttl").count() == n
