@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tapeloom.functions import timegrid as tg
 from tapeloom.operators import push
 from tapeloom.plans import window_poll
+from tapeloom.session import written_once
 from tapeloom.streaming import state
 from tapeloom.streaming.feeds import PAYLOAD
 from tapeloom.streaming.sources import each_batch, read_batches, write_batch
@@ -48,6 +49,8 @@ def evaluate_stream(polls: DataFrame, context: window_poll.PollContext, tagged_n
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # every read of a micro-batch runs its state again
+        batch = written_once(batch, "opened-polls")
         rows = batch.select(F.from_json("poll", fields, PAYLOAD).alias("p"), "open_price", "open_volume").select(
             "p.*", "open_price", "open_volume")
         near = news_within(tagged_news, batch, context.thresholds.news_fresh_minutes)
