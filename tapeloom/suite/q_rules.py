@@ -298,8 +298,10 @@ def alert_history(spark, d):
     FROM (SELECT *, CASE WHEN confidence<>'low' THEN l_quantity END AS score FROM scored)"""))
 def push_order(spark, d):
     """The order every row of a window competes in; a NULL score ranks last."""
-    rows = src.evals(spark, d).withColumn(
-        "score", F.when(F.col("confidence") != "low", F.col("l_quantity")))
+    # rows are written between the shuffles: only what is asked for travels
+    rows = src.evals(spark, d).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "window_start", "brand",
+        F.when(F.col("confidence") != "low", F.col("l_quantity")).alias("score"))
     return places(rows, ["window_start"], F.coalesce("score", F.lit(-1.0)),
                   ["brand", "l_orderkey", "l_linenumber", "l_partkey"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "window_start", "score", "place")

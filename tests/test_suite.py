@@ -68,3 +68,14 @@ def test_doubles_are_shown_as_their_sql_rounds_them(spark):
     found = present(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double"))
     want = duckdb.execute("SELECT round(x, 6) + 0.0::DOUBLE FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
     assert [r["x"] for r in found.orderBy("i").collect()] == [r[0] for r in want]
+
+
+def test_push_order_shuffles_only_what_it_returns(spark, sf, monkeypatch):
+    from tapeloom.operators import scan
+
+    written = []
+    keep = scan.written_once
+    monkeypatch.setattr(scan, "written_once", lambda df, label: written.append(df.columns) or keep(df, label))
+    QUERIES["f3_push_order"](spark, sf)
+    assert set(written[0]) == {"l_orderkey", "l_linenumber", "l_partkey", "window_start", "brand", "score",
+                               "_neg", scan.CHUNK}
