@@ -312,7 +312,10 @@ def splits(spark, d):
 def split_adjustment(spark, d):
     """All history on today's basis: later splits compound, rows without one keep their values."""
     ratio = F.col("split_ratio")
-    return integrity.split_ratio(src.evals(spark, d), splits(spark, d)).select(
+    # a row travels whole through the scan: only what is asked for goes in
+    rows = src.evals(spark, d).select(
+        "ticker", "date", "l_orderkey", "l_linenumber", "l_partkey", "rvol", "l_quantity")
+    return integrity.split_ratio(rows, splits(spark, d)).select(
         "l_orderkey", "l_linenumber", "l_partkey", "split_ratio",
         m.adjust_price(F.col("rvol"), ratio).alias("adjusted_price"),
         m.adjust_volume(F.col("l_quantity"), ratio).alias("adjusted_volume"))
