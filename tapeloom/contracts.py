@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,13 +157,21 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         if have[name] not in (kind, "void") and (have[name], kind) not in _SAFE_WIDENINGS:
             raise SchemaDrift(f"{table}: {name} is {have[name]}, declared {kind}")
         col = F.col(name).cast(kind)
-        if required:
-            col = F.when(col.isNull(), F.raise_error(
-                F.lit(f"{table}: required column '{name}' is missing"))).otherwise(col)
-        out.append(col.alias(name))
+        out.append((_filled(col, table, name) if required else col).alias(name))
     return df.select(*out)
 
 
+def _filled(col: Column, table: str, name: str) -> Column:
+    return F.when(col.isNull(), F.raise_error(
+        F.lit(f"{table}: required column '{name}' is missing"))).otherwise(col)
+
+
+def filled(df: DataFrame, table: str) -> DataFrame:
+    """The required columns ``df`` has, checked for NULL as :func:`conform` does, nothing added."""
+    return df.withColumns({
+        c: _filled(F.col(c), table, c) for c in required_columns(table) if c in df.columns})
+
+
 def null_counts(df: DataFrame, table: str) -> DataFrame:
     """NULLs per required column present in ``df``, in one aggregate."""
     present = [c for c in required_columns(table) if c in df.columns]

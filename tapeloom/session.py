@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a task holds few dates, so it keeps their files open and sorts nothing
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
 _local_scratch: list[str] = []

@@ -250,8 +250,12 @@ def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last close per user and day, with the one before it."""
-    days = user_bars(spark, sf_dir).groupBy("ticker", "date").agg(
-        F.max_by("close", "minute").alias("close"))
+    return daily_of(user_bars(spark, sf_dir))
+
+
+def daily_of(bars: DataFrame) -> DataFrame:
+    """:func:`user_daily` from bars at hand."""
+    days = bars.groupBy("ticker", "date").agg(F.max_by("close", "minute").alias("close"))
     return days.withColumn(
         "prev_close", F.lag("close").over(W.partitionBy("ticker").orderBy("date")))
 

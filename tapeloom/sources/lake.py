@@ -20,6 +20,7 @@ from tapeloom.operators.research import holdout_cutoff
 from tapeloom.session import written_once
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+_SPLIT_AT = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: Ends the name of a day that a swap has set aside.
 _ASIDE = "-replaced"
 
@@ -124,24 +125,39 @@ def stamp(df: DataFrame, source: str) -> DataFrame:
     return df
 
 
-def _write(df: DataFrame, path: str, mode: str, laid_out: bool = False) -> None:
-    """Date-partitioned write.
+def _by_day(df: DataFrame, table: str) -> DataFrame:
+    """Rows rebalanced by date: a day lands in few well-sized files, a heavy day is split over several tasks.
 
-    Rows are rebalanced by date first, so a day lands in few well-sized files
-    and a heavy day is split over several tasks. ``laid_out`` rows already are.
+    Comes before the contract adds columns, so that those which are NULL or the same in all rows do
+    not travel; a bad row still fails before the write begins.
     """
-    rows = df if laid_out else df.hint("rebalance", "date")
-    (
-        rows.write.mode(mode).partitionBy("date")
-        .option("compression", "zstd")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
+    return contracts.filled(df, table).hint("rebalance", "date")
+
+
+def _write(df: DataFrame, path: str, mode: str) -> None:
+    """Date-partitioned write of rows that :func:`_by_day` or a repartition laid out.
+
+    A rebalanced day is split by its shuffled size, several times that of its
+    files: split at Spark's 64 MB it would be small files again, which
+    :func:`compact` then has to merge.
+    """
+    conf = df.sparkSession.conf
+    usual = conf.get(_SPLIT_AT)
+    conf.set(_SPLIT_AT, str(2 * TARGET_FILE_BYTES))
+    try:
+        (
+            df.write.mode(mode).partitionBy("date")
+            .option("compression", "zstd")
+            .option("partitionOverwriteMode", "dynamic")
+            .parquet(path)
+        )
+    finally:
+        conf.set(_SPLIT_AT, usual)
 
 
 def append(df: DataFrame, root: str, table: str, source: str) -> None:
     """Checked append. A bad row fails the job before anything is committed."""
-    _write(contracts.conform(stamp(df, source), table), table_path(root, table), "append")
+    _write(contracts.conform(stamp(_by_day(df, table), source), table), table_path(root, table), "append")
 
 
 def replace_days(df: DataFrame, root: str, table: str, source: str) -> None:
@@ -150,7 +166,7 @@ def replace_days(df: DataFrame, root: str, table: str, source: str) -> None:
     The dynamic overwrite stages the new rows and swaps at commit, so ``df``
     may read the very partitions it replaces, and a failed job changes nothing.
     """
-    _write(contracts.conform(stamp(df, source), table), table_path(root, table), "overwrite")
+    _write(contracts.conform(stamp(_by_day(df, table), source), table), table_path(root, table), "overwrite")
 
 
 def set_days(df: DataFrame, root: str, table: str, days: Sequence[date], source: str) -> None:
@@ -235,7 +251,7 @@ def compact(spark: SparkSession, root: str, table: str,
         "_file", F.pmod(F.xxhash64(*key), F.col("files_after")))
     columns = [f.name for f in contracts.schema(table)]
     laid_out = spread.repartition(int(total), "date", "_file").select(*columns)
-    _write(laid_out, staging, "overwrite", laid_out=True)
+    _write(laid_out, staging, "overwrite")
     staged = spark.read.schema(contracts.schema(table)).parquet(staging)
 
     def counted(df: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from tapeloom.operators import quality as ql
 from tapeloom.operators import research as rs
 from tapeloom.operators import retention as rt
 from tapeloom.operators.scan import quantiles
+from tapeloom.session import written_once
 from tapeloom.sources import adapters as src
 from tapeloom.suite import q_asof as qa
 from tapeloom.suite import q_rules as qr
@@ -80,17 +81,27 @@ DEPS = "umoves udaily snaps day_evals"
 
 
 def bar_summaries(spark, d):
-    busy = user_moves(spark, d).where(F.col("dollar_volume") >= BUSY)
-    return rt.summaries_from_bars(busy, src.snapshots(spark, d))
+    return summaries_of(src.user_bars(spark, d), src.user_daily(spark, d), src.snapshots(spark, d))
 
 
-def all_summaries(spark, d):
-    return rt.combine_summaries(bar_summaries(spark, d), rt.summaries_from_snapshots(
-        src.snapshots(spark, d), src.user_daily(spark, d)))
+def summaries_of(bars, daily, polls):
+    busy = bar_ops.move_metrics(bars, daily).where(F.col("dollar_volume") >= BUSY)
+    return rt.summaries_from_bars(busy, polls)
 
 
-def classified(spark, d):
-    return rt.classify(all_summaries(spark, d), ev.best_tier(src.day_evals(spark, d)), RULES)
+def all_summaries(spark, d, polls=None):
+    """Bars and polls feed several branches, so each is a stored table first."""
+    bars = written_once(src.user_bars(spark, d), "bars")
+    daily = written_once(src.daily_of(bars), "daily")
+    polls = written_once(src.snapshots(spark, d), "snapshots") if polls is None else polls
+    return rt.combine_summaries(
+        summaries_of(bars, daily, polls), rt.summaries_from_snapshots(polls, daily))
+
+
+def classified(spark, d, polls=None, evaluations=None):
+    """From stored polls and evaluations where they are given."""
+    evaluations = src.day_evals(spark, d) if evaluations is None else evaluations
+    return rt.classify(all_summaries(spark, d, polls), ev.best_tier(evaluations), RULES)
 
 
 SUM_COLS = f"""ticker, {t('date','date')}, {r('up','up_move_pct')}, {r('down','down_move_pct')},
@@ -126,9 +137,10 @@ KEEP = f"""SELECT s.*, CASE WHEN j.ticker IS NULL THEN 'signal' ELSE j.klass END
     LEFT JOIN (SELECT * FROM judged WHERE NOT ({UNKNOWN})) j ON j.ticker=s.ticker AND j.date=s.date"""
 
 
-def pruned(spark, d):
-    known = classified(spark, d).where(~(F.col("last_price") > 200))
-    return rt.prune(src.snapshots(spark, d), known, RULES)
+def pruned(spark, d, evaluations=None):
+    polls = written_once(src.snapshots(spark, d), "snapshots")
+    known = classified(spark, d, polls, evaluations).where(~(F.col("last_price") > 200))
+    return rt.prune(polls, known, RULES)
 
 
 @query("c17_pruned_snapshots", with_(DEPS, f"""SELECT ticker, {t('poll_ts','poll_ts')}, {r('price','price')},

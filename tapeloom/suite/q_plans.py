@@ -20,7 +20,7 @@ from tapeloom.operators import research as rs
 from tapeloom.operators import runners
 from tapeloom.plans import actions as actions_plan
 from tapeloom.plans import evening, nightly, window_poll
-from tapeloom.session import scratch_path
+from tapeloom.session import scratch_path, written_once
 from tapeloom.sources import adapters as src
 from tapeloom.sources import lake, landed
 from tapeloom.suite import q_asof as qa
@@ -248,7 +248,11 @@ def nightly_job(spark, d):
     root = ql.new_lake(spark, d, "snapshots", "evaluations", "news", "bars_1m")
     rules = RetentionRules(move_threshold_pct=400.0, control_sample_pct=40, bars_raw_days=10,
                            bars_thinned_minutes=30, snapshots_months=0.5)
-    known = qn.classified(spark, d).where(~(F.col("last_price") > 200))
+    polls = lake.read_table(spark, root, "snapshots").withColumnsRenamed(
+        {"poll_ts_utc": "poll_ts", "session_volume": "volume"})
+    evaluations = lake.read_table(spark, root, "evaluations").withColumnRenamed("poll_ts_utc", "poll_ts")
+    known = written_once(
+        qn.classified(spark, d, polls, evaluations).where(~(F.col("last_price") > 200)), "classified")
     days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
     for night in (days[:18], days[18:]):
         nightly.run_nightly(spark, root, night, known.where(F.col("date").isin(night)), rules,

@@ -191,3 +191,20 @@ def test_nights_leave_other_days_alone(spark, tmp_path):
     second = night(date(2024, 1, 2))
     assert second == {(d, t): k for d in ("2024-01-01", "2024-01-02") for t, k in (("MV", "mover"), ("CT", "control"))}
     assert lake.row_counts(spark, root, "pruned_summary").count() == 2
+
+
+def test_report_and_summary_of_a_prune_read_one_written_table(spark):
+    from tapeloom.operators import retention as rt
+
+    rows = spark.createDataFrame([("MV", 1), ("DR", 1), ("NEW", 1)], "ticker string, price int").withColumn(
+        "date", F.lit("2024-01-01").cast("date"))
+    known = spark.createDataFrame([("MV", "mover"), ("DR", None)], "ticker string, retention_class string").withColumns(
+        {"date": F.lit("2024-01-01").cast("date"), "poll_count": F.lit(1)} | {c: F.lit(None).cast("double") for c in (
+            "first_poll_ts", "last_poll_ts", "day_high", "day_low", "last_price", "session_volume", "max_gap_pct",
+            "max_rvol", "up_move_pct", "down_move_pct", "best_tier", "reason")})
+    done = rt.prune(rows, known, RetentionRules())
+    assert {r["ticker"]: r["retention_class"] for r in done.snapshots.collect()} == {"MV": "mover", "NEW": "signal"}
+    assert [r["ticker"] for r in done.summary.collect()] == ["DR"]
+    assert done.report.first()["rows_after"] == 2
+    read = [*done.report.inputFiles(), *done.summary.inputFiles()]
+    assert read and all("judged-days" in f for f in read)
