@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.config import DISPLAY_TZ, MARKET_TZ, Window
 from tapeloom.functions import timegrid as tg
+from tapeloom.session import written_once
 
 
 def with_hours(days: DataFrame, early_close: Column, close: str = "16:00",
@@ -53,8 +54,9 @@ def expiry(entries: DataFrame, days: DataFrame, run_date: str, keep_days: int) -
     """``expires_on``: the ``keep_days``-th trading day after ``run_date``.
 
     Past the end of the calendar it is the last known day, and never earlier
-    than the run itself.
+    than the run itself. Entries are written once: their days are placed first, then all of them joined.
     """
+    entries = written_once(entries, "entries")
     placed = sessions_upto(entries.select(F.col(run_date).alias("date")), days)
     last = days.agg(F.max("date")).scalar()
     ahead = days.select((F.col("ord") - keep_days).alias("_upto"), F.col("date").alias("_later"))
