@@ -37,7 +37,7 @@ def prune_snapshots(spark: SparkSession, root: str, days: Sequence[date], classi
     nights and cannot be recomputed from pruned rows.
     """
     snapshots = lake.read_days(spark, root, "snapshots", days)
-    done = rt.prune(snapshots, classified.where(F.col("date").isin(list(days))), rules)
+    done = rt.prune(snapshots, classified.where(F.col("date").isin(list(days))), rules, store=True)
     report = written_once(done.report, "prune-report")
     dropped = written_once(done.summary.withColumn("written_at_utc", now), "pruned-summary")
     lake.set_days(dropped, root, "pruned_summary", days, "nightly")

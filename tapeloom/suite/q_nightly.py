@@ -16,7 +16,6 @@ from tapeloom.operators import quality as ql
 from tapeloom.operators import research as rs
 from tapeloom.operators import retention as rt
 from tapeloom.operators.scan import quantiles
-from tapeloom.session import written_once
 from tapeloom.sources import adapters as src
 from tapeloom.suite import q_asof as qa
 from tapeloom.suite import q_rules as qr
@@ -89,19 +88,18 @@ def summaries_of(bars, daily, polls):
     return rt.summaries_from_bars(busy, polls)
 
 
-def all_summaries(spark, d, polls=None):
-    """Bars and polls feed several branches, so each is a stored table first."""
-    bars = written_once(src.user_bars(spark, d), "bars")
-    daily = written_once(src.daily_of(bars), "daily")
-    polls = written_once(src.snapshots(spark, d), "snapshots") if polls is None else polls
+def all_summaries(spark, d, polls=None, bars=None):
+    polls = src.snapshots(spark, d) if polls is None else polls
+    bars = src.user_bars(spark, d) if bars is None else bars
+    daily = src.daily_of(bars)
     return rt.combine_summaries(
         summaries_of(bars, daily, polls), rt.summaries_from_snapshots(polls, daily))
 
 
-def classified(spark, d, polls=None, evaluations=None):
-    """From stored polls and evaluations where they are given."""
-    evaluations = src.day_evals(spark, d) if evaluations is None else evaluations
-    return rt.classify(all_summaries(spark, d, polls), ev.best_tier(evaluations), RULES)
+def classified(spark, d, polls=None, best=None, bars=None):
+    """From stored polls, best tiers and bars where they are given."""
+    best = ev.best_tier(src.day_evals(spark, d)) if best is None else best
+    return rt.classify(all_summaries(spark, d, polls, bars), best, RULES)
 
 
 SUM_COLS = f"""ticker, {t('date','date')}, {r('up','up_move_pct')}, {r('down','down_move_pct')},
@@ -137,10 +135,9 @@ KEEP = f"""SELECT s.*, CASE WHEN j.ticker IS NULL THEN 'signal' ELSE j.klass END
     LEFT JOIN (SELECT * FROM judged WHERE NOT ({UNKNOWN})) j ON j.ticker=s.ticker AND j.date=s.date"""
 
 
-def pruned(spark, d, evaluations=None):
-    polls = written_once(src.snapshots(spark, d), "snapshots")
-    known = classified(spark, d, polls, evaluations).where(~(F.col("last_price") > 200))
-    return rt.prune(polls, known, RULES)
+def pruned(spark, d, best=None):
+    known = classified(spark, d, best=best).where(~(F.col("last_price") > 200))
+    return rt.prune(src.snapshots(spark, d), known, RULES)
 
 
 @query("c17_pruned_snapshots", with_(DEPS, f"""SELECT ticker, {t('poll_ts','poll_ts')}, {r('price','price')},

@@ -130,14 +130,19 @@ PARTS = dict(rolled=ROLLED_U, detected=DETECTED, firsts=FIRST, summary=SUMMARY,
 DEPS = "ubars udaily tagged day_evals"
 
 
-def diagnosed(spark, d):
-    summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), EVAL_ORDER)
+def summaries(spark, d):
+    return ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), EVAL_ORDER)
+
+
+def diagnosed(spark, d, verdicts=None):
+    """From stored summaries where they are given."""
+    verdicts = summaries(spark, d) if verdicts is None else verdicts
     firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
-    return ops.diagnose(detected(spark, d), summaries, firsts, RULES)
+    return ops.diagnose(detected(spark, d), verdicts, firsts, RULES)
 
 
-def runner_table(spark, d):
-    return ops.runner_rows(diagnosed(spark, d), F.lit("2024-02-01").cast("timestamp"))
+def runner_table(spark, d, verdicts=None):
+    return ops.runner_rows(diagnosed(spark, d, verdicts), F.lit("2024-02-01").cast("timestamp"))
 
 
 @query("l2_miss_diagnosis", with_(DEPS, f"""SELECT ticker, {t('date','date')}, caught, miss_reasons, miss_detail

@@ -202,7 +202,7 @@ def test_report_and_summary_of_a_prune_read_one_written_table(spark):
         {"date": F.lit("2024-01-01").cast("date"), "poll_count": F.lit(1)} | {c: F.lit(None).cast("double") for c in (
             "first_poll_ts", "last_poll_ts", "day_high", "day_low", "last_price", "session_volume", "max_gap_pct",
             "max_rvol", "up_move_pct", "down_move_pct", "best_tier", "reason")})
-    done = rt.prune(rows, known, RetentionRules())
+    done = rt.prune(rows, known, RetentionRules(), store=True)
     assert {r["ticker"]: r["retention_class"] for r in done.snapshots.collect()} == {"MV": "mover", "NEW": "signal"}
     assert [r["ticker"] for r in done.summary.collect()] == ["DR"]
     assert done.report.first()["rows_after"] == 2
