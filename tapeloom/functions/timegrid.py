@@ -26,9 +26,8 @@ def et_date(ts: Column) -> Column:
 
 
 def et_seconds(ts: Column) -> Column:
-    """Market wall clock as seconds of the day, so comparisons are integers."""
-    wall = et(ts)
-    return F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
+    """Market wall clock as seconds of the day, so comparisons are integers; one zone lookup."""
+    return F.pmod(F.unix_seconds(et(ts)), F.lit(86400)).cast("int")
 
 
 def et_instant(day: Column, wall: str) -> Column:

@@ -27,6 +27,7 @@ from tapeloom.operators import bars as bar_ops
 from tapeloom.operators import evaluations as ev
 from tapeloom.operators import integrity, outcomes, runners
 from tapeloom.operators.bars import DAY
+from tapeloom.session import written_once
 from tapeloom.sources import lake
 
 
@@ -90,9 +91,9 @@ def run_evening(spark: SparkSession, root: str, days: Sequence[date], prev_close
     prev_closes = prev_closes.where(F.col("date").isin(list(days)))
     silent, minutes = rule_set.integrity.halt_min_silent_minutes, rule_set.bar_minutes
     halts = integrity.infer_halts(bars, silent, minutes, rule_set.halt_sessions)
-    on_basis = integrity.action_on(prev_closes.select(*DAY, "prev_close"), actions).select(
+    on_basis = written_once(integrity.action_on(prev_closes.select(*DAY, "prev_close"), actions).select(
         *DAY, integrity.adjusted_close(
-            F.col("prev_close"), F.col("action_type"), F.col("ratio")).alias("prev_close"))
+            F.col("prev_close"), F.col("action_type"), F.col("ratio")).alias("prev_close")), "closes")
     lake.set_days(
         universe_rows(bars, halts, on_basis, actions, rule_set, now), root, "daily_universe", days, "bars")
     labels = outcomes.outcomes(

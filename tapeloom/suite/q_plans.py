@@ -150,21 +150,28 @@ EVENING = evening.EveningRules(
     integrity=IntegrityRules(halt_min_silent_minutes=qa.SILENT), bar_minutes=src.BAR_MINUTES)
 
 
+def _evening_inputs(spark, d):
+    """A lake with bars, and closes, verdicts and first headlines as the evenings find them: stored tables."""
+    from tapeloom.sources import feeds
+    root = scratch_path(spark, "lake")
+    lake.append(feeds.bar_rows(src.user_bars(spark, d), ql.now(), src.BAR_MINUTES), root, "bars_1m", "suite")
+    bars = lake.read_table(spark, root, "bars_1m").withColumnRenamed("minute_utc", "minute")
+    summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), qr.EVAL_ORDER)
+    firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
+    return (root, written_once(src.daily_of(bars), "daily"), written_once(summaries, "summaries"),
+            written_once(firsts, "first-news"))
+
+
 @query("k4_evening_job", with_(qu.DEPS + " bars sessions", f"""SELECT table_name, {t('date','date')}, rows FROM (
     SELECT 'daily_universe' AS table_name, date, 3*count(DISTINCT ticker) AS rows FROM ubars GROUP BY date
     UNION ALL SELECT 'outcomes', date, 6*count(DISTINCT ticker) FROM ubars GROUP BY date
     UNION ALL SELECT 'runners', date, count(*) FROM diagnosed GROUP BY date)""", **qu.PARTS))
 def evening_job(spark, d):
     """Bars in the lake become universe, outcomes and runners."""
-    from tapeloom.sources import feeds
-    root = scratch_path(spark, "lake")
-    bars = src.user_bars(spark, d)
-    lake.append(feeds.bar_rows(bars, ql.now(), src.BAR_MINUTES), root, "bars_1m", "suite")
-    summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), qr.EVAL_ORDER)
-    firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
+    root, daily, summaries, firsts = _evening_inputs(spark, d)
     days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
     for evening_days in (days[:20], days[20:], days[5:6]):  # two runs, then one day again
-        evening.run_evening(spark, root, evening_days, src.user_daily(spark, d), src.actions(spark, d),
+        evening.run_evening(spark, root, evening_days, daily, src.actions(spark, d),
                             summaries, firsts, _standard(EVENING), ql.now())
     return day_rows(spark, root, "daily_universe", "outcomes", "runners")
 
@@ -220,13 +227,9 @@ REGULAR = " AND ".join(f"{SESSION(c)} = 'regular'" for c in ("prev", "minute"))
       ORDER BY action_type, ratio NULLS FIRST) AS n FROM user_actions) WHERE n=1"""))
 def stored_universe(spark, d):
     """Rows the evening job left in the lake: silences of the regular session only, closes on the split's basis."""
-    from tapeloom.sources import feeds
-    root = scratch_path(spark, "lake")
-    lake.append(feeds.bar_rows(src.user_bars(spark, d), ql.now(), src.BAR_MINUTES), root, "bars_1m", "suite")
-    summaries = ev.evaluation_summary(src.day_evals(spark, d), PillarThresholds(), qr.EVAL_ORDER)
-    firsts = news_ops.first_news(news_ops.by_symbol(src.news(spark, d)))
+    root, daily, summaries, firsts = _evening_inputs(spark, d)
     days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
-    evening.run_evening(spark, root, days, src.user_daily(spark, d), src.user_actions(spark, d),
+    evening.run_evening(spark, root, days, daily, src.user_actions(spark, d),
                         summaries, firsts, _standard(EVENING), ql.now())
     return lake.read_days(spark, root, "daily_universe", days).select(
         "ticker", "date", "session", "close", "volume", "prev_close", "split_flag", "split_ratio",
@@ -251,8 +254,9 @@ def nightly_job(spark, d):
     polls = lake.read_table(spark, root, "snapshots").withColumnsRenamed(
         {"poll_ts_utc": "poll_ts", "session_volume": "volume"})
     evaluations = lake.read_table(spark, root, "evaluations").withColumnRenamed("poll_ts_utc", "poll_ts")
+    bars = written_once(src.user_bars(spark, d), "bars")
     known = written_once(
-        qn.classified(spark, d, polls, evaluations).where(~(F.col("last_price") > 200)), "classified")
+        qn.classified(spark, d, polls, ev.best_tier(evaluations), bars).where(~(F.col("last_price") > 200)), "classified")
     days = [date(2024, 1, 1) + timedelta(k) for k in range(-1, 31)]
     for night in (days[:18], days[18:]):
         nightly.run_nightly(spark, root, night, known.where(F.col("date").isin(night)), rules,
@@ -275,10 +279,11 @@ def nightly_job(spark, d):
     UNION ALL SELECT 'classes', date::VARCHAR||' '||klass, count(DISTINCT ticker), NULL FROM keep WHERE klass IS NOT NULL
       GROUP BY 2)""", **{**qu.PARTS, **qn.CTE, "keep": qn.KEEP, "refs": qa.REFS, "folded": qa.FOLDED, "gaps": qa.GAPS}))
 def starter_pack(spark, d):
-    """The saved questions with their answers."""
+    """The saved questions with their answers; verdicts are folded once."""
     c = F.col
     none = F.lit(None).cast("double")
-    runners_table = qu.runner_table(spark, d)
+    verdicts = written_once(qu.summaries(spark, d), "summaries")
+    runners_table = qu.runner_table(spark, d, verdicts)
     answers = (
         ("start_hours", rs.start_hours(runners_table), c("hour_utc").cast("string"), c("runners"), none),
         ("miss_reasons", runners.reason_counts(runners_table), c("reason"), c("n"), none),
@@ -286,7 +291,7 @@ def starter_pack(spark, d):
          none.cast("long"), c("low_share")),
         ("tradability", rs.outcomes_by_tradability(qa.labels(spark, d), "ret_60m_pct"),
          c("tradeable").cast("string"), c("n"), c("avg_ret")),
-        ("classes", rs.tickers_per_class(qn.pruned(spark, d).snapshots),
+        ("classes", rs.tickers_per_class(qn.pruned(spark, d, verdicts).snapshots),
          F.concat_ws(" ", c("date").cast("string"), c("retention_class")), c("tickers"), none),
     )
     out = None

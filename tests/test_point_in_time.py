@@ -159,3 +159,21 @@ def test_a_quote_comes_before_the_bar(spark):
     quotes = spark.createDataFrame([(9.0, 11.0), (11.0, 9.0), (None, 9.0), (0.0, 9.0)], "bid double, ask double")
     got = [r[0] for r in quotes.select(integrity.quoted_spread(F.col("bid"), F.col("ask"))).collect()]
     assert got == [20.0, None, None, None]
+
+
+def test_expiry_reads_its_entries_once(spark):
+    from tapeloom.operators import calendar as cal
+
+    days = spark.sql("SELECT date_add(DATE'2024-01-01', CAST(id AS INT)) AS date, CAST(id AS INT) AS ord FROM range(9)")
+    entries = spark.sql("SELECT 'X' AS ticker, DATE'2024-01-02' AS run_date")
+    found = cal.expiry(entries, days, "run_date", 5)
+    assert str(found.first()["expires_on"]) == "2024-01-07"
+    assert any("entries-" in f for f in found.inputFiles())
+
+
+def test_outcomes_do_not_repeat_bars(spark, sf):
+    from tapeloom.operators import outcomes as oc
+    from tapeloom.sources import adapters as src
+
+    plan = oc.outcomes(src.bars(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # unfolded after the aggregate, nearer the root
