@@ -164,7 +164,7 @@ def test_a_quote_comes_before_the_bar(spark):
 def test_expiry_reads_its_entries_once(spark):
     from tapeloom.operators import calendar as cal
 
-    days = spark.sql("SELECT date_add(DATE'2024-01-01', CAST(id AS INT)) AS date, CAST(id AS INT) AS ord FROM range(9)")
+    days = spark.sql("SELECT date_add(DATE'2024-01-01', CAST(id AS INT)) AS date, CAST(id + 1 AS INT) AS ord FROM range(9)")
     entries = spark.sql("SELECT 'X' AS ticker, DATE'2024-01-02' AS run_date")
     found = cal.expiry(entries, days, "run_date", 5)
     assert str(found.first()["expires_on"]) == "2024-01-07"
