@@ -469,10 +469,10 @@ def member_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def dealt(nodes: DataFrame, leaf: int) -> DataFrame:
-    """Adds ``leaf`` to ``node, candidate``: components beyond the size of a leaf are dealt by a hash."""
+    """Adds ``leaf`` to ``node, candidate``: components beyond the size of a leaf are dealt by a hash, single nodes dropped."""
     # written, so that both sides of the join are plain exchanges and a large component's can be split
-    sizes = written_once(
-        nodes.groupBy("candidate").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("leaves")), "sizes")
+    sizes = written_once(nodes.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(
+        "candidate", F.ceil(F.col("k") / leaf).alias("leaves")), "sizes")
     return nodes.join(sizes, "candidate").withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")))
 
 
@@ -482,15 +482,14 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
     Every set outside its candidate component's largest part meets each leaf,
     in chunks: as a point first, and as a set where the bound allows a link.
     """
-    part = members.join(current, "node").select("node", "candidate", "leaf", "root", "hashes")
+    # written, so that sets meet their parts once
+    part = written_once(members.join(current, "node").select(
+        "node", "candidate", "leaf", "leaves", "root", "hashes"), "parted")
     counts = part.groupBy("candidate", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("candidate").agg(
+    main = written_once(counts.groupBy("candidate").agg(
         F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts"),
-        F.sum("k").alias("total"), F.max("k").alias("largest")).filter("parts > 1")
-    part = part.join(main, "candidate")
-    chunk_count = F.ceil((F.col("total") - F.col("largest")) / leaf)
-    leaves = part.select("candidate", "leaf", "main", "total", "largest").distinct()
-    outside = part.filter("root <> main").withColumn("chunk", F.pmod(F.xxhash64("node"), chunk_count))
+        F.sum("k").alias("total"), F.max("k").alias("largest")).filter("parts > 1").select(
+        "candidate", "main", F.ceil((F.col("total") - F.col("largest")) / leaf).cast("long").alias("chunks")), "main")
 
     def points(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]):
@@ -503,10 +502,17 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
         return rows.mapInArrow(run, rows.schema)
 
     columns = ["candidate", "leaf", "chunk", "node", "root", "hashes"]
-    inner = part.select("candidate", "leaf", "node", "root", "hashes", F.explode(
-        F.sequence(F.lit(0).cast("long"), chunk_count.cast("long") - 1)).alias("chunk"))
-    outer = outside.select("candidate", "chunk", "node", "root", "hashes").join(
-        leaves.select("candidate", "leaf"), "candidate")
+
+    def numbers(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+
+    def sides(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All sets for each chunk of their component, and those outside the largest part for each leaf."""
+        part = part.join(main, "candidate")
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")
+        return (part.select("candidate", "leaf", "node", "root", "hashes", numbers("chunks").alias("chunk")),
+                part.filter("root <> main").select(
+                    "candidate", chunk, "node", "root", "hashes", numbers("leaves").alias("leaf")))
 
     def both(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.select(*columns, F.lit(False).alias("outer")).unionByName(
@@ -527,7 +533,7 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
         n = len(found)
         return pa.table({**{c: pa.array([v] * n, pa.int64()) for c, v in first.items()}, "node": pa.array(found, pa.int64())})
 
-    met = written_once(both(points(inner), points(outer)).groupBy("candidate", "leaf", "chunk").applyInArrow(
+    met = written_once(both(*sides(points(part))).groupBy("candidate", "leaf", "chunk").applyInArrow(
         bound, "candidate long, leaf long, chunk long, node long"), "met")
 
     def verify(rows: pa.Table) -> pa.Table:
@@ -551,8 +557,8 @@ def stragglers_edges(members: DataFrame, current: DataFrame, leaf: int) -> DataF
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
 
     key = ["candidate", "leaf", "chunk"]
-    again = both(inner.join(met.select(*key).distinct(), key, "left_semi"),
-                 outer.join(met, [*key, "node"], "left_semi"))
+    inner, outer = sides(part)
+    again = both(inner.join(met, key, "left_semi"), outer.join(met, [*key, "node"], "left_semi"))
     return again.groupBy(*key).applyInArrow(verify, EDGES)
 
 
@@ -612,12 +618,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slices = 1 << int(np.clip(np.ceil(np.log2(total / SLICE)), 6, 15))
     edges = candidate_edges(docs, frequent, slices)
     candidates = components(edges, "candidates")
-    # vertices of frequent hashes are no nodes, and a candidate component needs two nodes
+    # vertices of frequent hashes are no nodes
     nodes = rows.filter("node IS NOT NULL").select("node").distinct()
-    candidates = written_once(candidates.join(nodes, "node").withColumnRenamed("root", "candidate"), "candidates")
-    several = written_once(candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(
-        "candidate"), "several")
-    wanted = written_once(candidates.join(several, "candidate").select("node", "candidate"), "wanted")
+    wanted = written_once(candidates.join(nodes, "node").withColumnRenamed("root", "candidate"), "wanted")
     linked = link_sets(docs, wanted, leaf)
     # per distinct set first; both sides of each join are written or plain, so that Spark can split a large component
     placed = written_once(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(

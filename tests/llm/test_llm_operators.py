@@ -365,3 +365,21 @@ def test_components(spark):
     want = {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 21)} | {500: 500, 501: 500}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_take_few_passes(spark, monkeypatch):
+    """A long path, a hub and a ring over many tasks: every pass is some hundred tasks where groups are dealt to as many."""
+    from tapeloom.llm import components as c
+    from tapeloom.session import written_once
+
+    writes = []
+    monkeypatch.setattr(c, "written_once", lambda df, label: writes.append(label) or written_once(df, label))
+    edges = [(i, i + 1) for i in range(3000)] + [(i, 5000) for i in range(5001, 6000)]
+    edges += [(7000 + i, 7000 + (i + 1) % 500) for i in range(500)]
+    found = c.components(spark.createDataFrame(edges, "a long, b long").repartition(29))
+    assert {r["root"]: r["n"] for r in found.groupBy("root").agg(F.count("*").alias("n")).collect()} == {
+        0: 3001, 5000: 1000, 7000: 500}
+    assert len(writes) <= 12
+    # chunks smaller than a task's edges
+    monkeypatch.setattr(c, "CHUNK", 50)
+    assert {r["root"] for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0, 5000, 7000}
