@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -78,9 +79,33 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+#: What this Python worker keeps from task to task, by its key: one operator's at a time.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """Something large that an operator makes once per worker; another operator's goes."""
+    release(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release(but: object = None) -> None:
+    """Drop what the worker keeps, unless it is ``but``: workers live on from one operator to the next."""
+    if _kept and but not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str = "text",
-           limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, one row at least."""
+           limit: int = CHUNK_BYTES, keeps: object = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each, one row at least.
+
+    ``keeps`` is the key of what the operator itself keeps in the worker.
+    """
+    release(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue

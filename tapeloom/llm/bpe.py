@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.base import chunks, query, table, texts
+from tapeloom.llm.base import chunks, kept, query, table, texts
 from tapeloom.llm.presplit import WordEncoder, byte_letters
 
 #: The tokenizer file of the query.
@@ -169,14 +169,9 @@ class MergeAutomaton(WordEncoder):
         return b"".join(map(self.label.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, MergeAutomaton] = {}
-
-
 def automaton(path: str) -> MergeAutomaton:
-    """The automaton of a vocabulary file, compiled once per worker."""
-    if path not in _loaded:
-        _loaded[path] = MergeAutomaton.load(path)
-    return _loaded[path]
+    """The automaton of a vocabulary file, compiled once per worker, which keeps it until another operator comes."""
+    return kept(path, lambda: MergeAutomaton.load(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -190,7 +185,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]):
         machine = automaton(path)
-        for batch in chunks(batches):
+        for batch in chunks(batches, keeps=path):
             ids = machine.encode_all(batch.column("text").to_pylist())
             offsets = np.append(0, np.cumsum([len(i) // 4 for i in ids]))
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
@@ -220,7 +215,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]):
         machine = automaton(path)
-        for batch in chunks(batches):
+        for batch in chunks(batches, keeps=path):
             counts, ids_sha, text_sha = [], [], []
             for ids in machine.encode_all(batch.column("text").to_pylist()):
                 ids = np.frombuffer(ids, "<i4")

@@ -357,6 +357,23 @@ def test_hilbert_curve_is_a_curve(spark):
     assert all(sum(abs(x - y) for x, y in zip(p, q)) == 1 for (_, p), (_, q) in zip(order, order[1:]))
 
 
+def test_a_worker_keeps_one_operator_at_a_time():
+    """What the tokens stage keeps in a Python worker goes when another operator's task comes there."""
+    import weakref
+
+    import pyarrow as pa
+
+    from tapeloom.llm import base, bpe
+
+    path = bpe.vocabulary_path()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c"])], names=["text"])
+    machine = weakref.ref(bpe.automaton(path))
+    assert len(list(base.chunks([batch], keeps=path))) == 1
+    assert machine() is bpe.automaton(path)
+    list(base.chunks([batch]))
+    assert machine() is None
+
+
 def test_components(spark):
     from tapeloom.llm.components import components
 
