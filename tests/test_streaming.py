@@ -94,3 +94,19 @@ def test_a_forgotten_key_begins_anew(spark, monkeypatch):
     for ttl, n in ((24 * state.HOUR_MS, 3), (10**12, 2)):
         found = state.change_only(replay(rows, "ts", "ttl"), ["k"], ["v"], ["ts"], ttl_ms=ttl, groups=1)
         assert drained(found, "ttl").count() == n
+
+
+def test_replayed_steps_are_written_without_an_exchange(spark, tmp_path):
+    """Stored rows in enough files become FILES files, none empty; too few rows are dealt out."""
+    from tapeloom.suite.q_streaming import FILES, in_files
+
+    spark.range(0, 9000, 1, 3 * FILES).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many")).repartition(3 * FILES)
+    spark.range(0, 20, 1, 1).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    for name, df, exchanges in (("a", many, 1), ("b", many.where("id < 0 OR id > 10"), 1), ("c", few, 1)):
+        part = in_files(df)
+        assert part._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanges
+        part.write.parquet(str(tmp_path / name))
+        assert len(list((tmp_path / name).glob("*.parquet"))) == FILES
+        assert spark.read.parquet(str(tmp_path / name)).count() == df.count()
