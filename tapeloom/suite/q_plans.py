@@ -74,10 +74,10 @@ K1 = dict(recents=RECENT, judged=JUDGED, scored_polls=SCORED, decided=DECIDED)
 
 def evaluated(spark, d):
     tagged = news_ops.by_symbol(src.news(spark, d))
-    daily = src.user_daily(spark, d)
+    # each feeds two branches: days the closes and the runners, polls the rows and their windows' baselines
+    daily, polls = written_once(src.user_daily(spark, d), "daily"), written_once(src.polls(spark, d), "polls")
     recent = daily.where(F.col("close") / F.col("prev_close") >= 20)
-    return window_poll.evaluate_polls(
-        src.polls(spark, d), CONTEXT, tagged, prev_closes=daily, recent_runners=recent)
+    return window_poll.evaluate_polls(polls, CONTEXT, tagged, prev_closes=daily, recent_runners=recent)
 
 
 @query("k1_window_poll", with_("polls tagged udaily", f"""SELECT ticker, {t('date','date')}, {t('poll_ts','poll_ts_utc')},

@@ -110,3 +110,16 @@ def test_replayed_steps_are_written_without_an_exchange(spark, tmp_path):
         part.write.parquet(str(tmp_path / name))
         assert len(list((tmp_path / name).glob("*.parquet"))) == FILES
         assert spark.read.parquet(str(tmp_path / name)).count() == df.count()
+
+
+def test_polls_are_stored_without_structs(spark, monkeypatch):
+    """What ranks read again and again holds no verdict structs and no headlines."""
+    from tapeloom.plans import window_poll
+    from tapeloom.session import written_once
+    from tapeloom.suite import QUERIES
+
+    stored = {}
+    monkeypatch.setattr(window_poll, "written_once", lambda df, label: stored.update({label: dict(df.dtypes)}) or written_once(df, label))
+    rows = QUERIES["k1_window_poll"](spark, "/root/testdata/sf0.001")
+    assert {"news_age_minutes", "news_id"} <= set(rows.columns) and rows.count()
+    assert len(stored) == 2 and not [k for kinds in stored.values() for k in kinds.values() if "struct" in k]
