@@ -53,6 +53,20 @@ def test_sets_that_share_a_bit_with_many_are_no_candidates(spark, written):
     assert written["members"] == 20  # 5 pairs, twice; all 250 before
 
 
+def test_the_pipeline_takes_few_rows_for_near_duplicates(spark, written):
+    """Of rows that share a bit with many, only a copy of two goes; the others are not gathered as sets."""
+    import corpus_pipeline as p
+
+    passages = [" ".join(f"p{k}x{i}" for i in range(24)) for k in range(12)]
+    rows = [(i, " ".join([" ".join(f"w{i}x{k}" for k in range(20)), passages[i % 12], passages[(i + 5) % 12]])) for i in range(48)]
+    rows += [(None, rows[7][1] + " end"), (60, rows[8][1] + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in p.near_duplicates(spark, docs, "").collect())
+    assert kept == list(range(48))
+    assert written["members"] == 4  # 2 pairs; all 50 before
+
+
 def test_stragglers_meet_the_others_in_blocks(spark, written):
     """Copies with so many edits that some link with few others or none."""
     pick, base, rows = random.Random(11), [f"b{i}" for i in range(60)], []
